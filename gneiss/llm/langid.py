@@ -39,9 +39,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     top = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "id"), "id")
     ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
-    ids = ids.join(F.broadcast(top.select("lang")), "lang").select("id", "lang").distinct()
+    ids = ids.join(F.broadcast(top.select(F.col("lang").alias("_top"))), F.col("lang") == F.col("_top"), "left_semi").select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     # at most per_lang x languages ids and their texts
-    rows = known.join(F.broadcast(ids), (F.col(id_col) == ids["id"]) & (F.col(lang_col) == ids["lang"])).select(F.col("id"), ids["lang"].alias("lang"), F.substring(text_col, 1, dictionary).alias("text"))
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, dictionary).alias("text"))
+    rows = rows.join(F.broadcast(ids), F.expr("id = _id and lang = _lang"))
     by: dict[str, list[tuple]] = {}
     for r in rows.collect():
         by.setdefault(r["lang"], []).append((str(r["id"]), plain(r["text"])))

@@ -89,10 +89,10 @@ least AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a)
 ORACLE_SQL = {
     "op2_embedding_dedup": f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), u AS (
   SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
-  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
   WHERE list_inner_product(x.e, y.e) >= 0.9 * x.n * y.n
@@ -102,7 +102,7 @@ FROM v LEFT JOIN least l ON l.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FR
 """,
     "op5_lm_scoring": r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), t AS (
   SELECT doc_id, i, ws[i] AS w3, CASE WHEN i > 1 THEN ws[i - 1] END AS w2, CASE WHEN i > 2 THEN ws[i - 2] END AS w1 FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
 ), c1 AS (SELECT w3 AS a, count(*) AS n FROM t GROUP BY ALL),
@@ -122,26 +122,26 @@ FROM w LEFT JOIN d ON d.doc_id = w.doc_id
 """,
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, upper(sha1(coalesce(html, ''))) AS x FROM pages),
-b AS (SELECT page_id, h, x, array_to_string(list_transform(range(1, 41), i -> right('000' || (strpos('0123456789ABCDEF', x[i]) - 1)::BIGINT::BIT::VARCHAR, 4)), '') AS bits FROM p),
+b AS (SELECT page_id, h, x, array_to_string(list_transform(range(1, 41), lambda i: right('000' || (strpos('0123456789ABCDEF', x[i]) - 1)::BIGINT::BIT::VARCHAR, 4)), '') AS bits FROM p),
 d AS (
   SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
-    array_to_string(list_transform(range(0, 32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + substr(bits, 5 * i + 1, 1)::INT * 16 + substr(bits, 5 * i + 2, 1)::INT * 8 + substr(bits, 5 * i + 3, 1)::INT * 4 + substr(bits, 5 * i + 4, 1)::INT * 2 + substr(bits, 5 * i + 5, 1)::INT]), '') AS payload_digest,
+    array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + substr(bits, 5 * i + 1, 1)::INT * 16 + substr(bits, 5 * i + 2, 1)::INT * 8 + substr(bits, 5 * i + 3, 1)::INT * 4 + substr(bits, 5 * i + 4, 1)::INT * 2 + substr(bits, 5 * i + 5, 1)::INT]), '') AS payload_digest,
     max(page_id) OVER (PARTITION BY x) AS keeper
   FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
 """,
     "op10_minhash_dedup": rf"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS sh FROM w
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS sh FROM w
 ), g AS (
   SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh
 ), e AS (SELECT rep, n, unnest(sh) AS x FROM g),
 i AS (
-  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
   WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL
-), one AS (SELECT a, b FROM i WHERE 100 * both >= 85 * (na + nb - both)),
+), one AS (SELECT a, b FROM i WHERE 100 * shared >= 85 * (na + nb - shared)),
 links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one), {_COMPONENTS},
 c AS (SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(l.component_id, g.rep, s.doc_id) AS component_id FROM s LEFT JOIN g ON g.sh = s.sh LEFT JOIN least l ON l.a = g.rep)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import running
 
-VNODES = 64
+VNODES, BITS = 64, 16
 
 
 def ring(shards: int, vnodes: int = VNODES) -> tuple[list[int], list[int]]:
-    """Signed positions in order, and the shard of each."""
-    points = sorted((xxhash.xxh3_64_intdigest(f"shard-{s}-{v}") - (1 << 63), s) for s in range(shards) for v in range(vnodes))
+    """Positions (the ring's first BITS bits) in order, and the shard of each."""
+    points = sorted((xxhash.xxh3_64_intdigest(f"shard-{s}-{v}") >> (64 - BITS), s) for s in range(shards) for v in range(vnodes))
     return [p for p, _ in points], [s for _, s in points]
 
 
@@ -64,9 +64,11 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("crc"))
     place = F.xxhash64("id", "crc", "size")
     points, owner = ring(shards, vnodes)
-    # the first point at or after place; past the last one, the first
-    arc = F.expr(_search("place", points))
-    kept = rows.withColumn("place", place).groupBy("id", "size", "crc", "place").agg(F.count("*").alias("copies")).withColumn("arc", arc)
+    # the first point at or after a position; past the last one, the first
+    arcs = [(p, bisect.bisect_left(points, p) % len(points)) for p in range(1 << BITS)]
+    arcs = spark.createDataFrame(arcs, "at long, arc int")
+    kept = rows.withColumn("place", place).groupBy("id", "size", "crc", "place").agg(F.count("*").alias("copies"))
+    kept = kept.withColumn("at", F.shiftrightunsigned("place", 64 - BITS)).join(F.broadcast(arcs), "at").drop("at")
     counted = {r[0]: r[1] for r in kept.groupBy("arc").agg(F.sum("copies")).collect()}
     counts = [counted.get(a, 0) for a in range(len(points))]
     plan = settle(counts, owner, capacities(sum(counts), shards))
@@ -81,20 +83,3 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     each = F.explode(F.sequence(F.col("c"), F.least(F.col("c") + step - 1, "last"))).alias("r")
     out = chunk.select("id", "size", "crc", "shard", "lo", "slot0", each)
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("slot0") + F.col("r") - F.col("lo")).alias("slot"))
-
-
-def _search(column: str, points: list[int]) -> str:
-    """A SQL expression for the index of the first point >= column, in log2(points) comparisons."""
-
-    def node(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo if lo < len(points) else 0)
-        mid = (lo + hi) // 2
-        return f"if({column} <= {points[mid]}L, {node(lo, mid)}, {node(mid + 1, hi)})"
-
-    return node(0, len(points))
-
-
-def shard_of(place: int, points: list[int], owner: list[int]) -> int:
-    """The shard that a hash meets first, before loads are bounded."""
-    return owner[bisect.bisect_left(points, place) % len(points)]
