@@ -31,6 +31,25 @@ EXPLODED = "block long, ord int, part long, hashes binary, counts binary"
 REPLY = "block long, ord int, part long, counts binary"
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: equal bytes lie together, for the shuffle's compression."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b""
+
+
+def unplanes(data: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Sorted hashes as the planes of their differences."""
+    return planes(np.diff(x, prepend=np.uint64(0)).astype("<u8"))
+
+
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, "<u8"), dtype=np.uint64)
+
+
 class Block:
     """The n-grams of a block's documents; grams(n) lie at the positions at(n) of their last words."""
 
@@ -96,7 +115,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
         if replies is not None:
             rows = sorted(replies.select(["ord", "part", "counts"]).to_pylist(), key=lambda r: (r["ord"], r["part"]))
             for n in sorted({r["ord"] for r in rows}):
-                b.learn(n, np.frombuffer(b"".join(r["counts"] for r in rows if r["ord"] == n), "<u4").astype(np.int64), least)
+                b.learn(n, np.concatenate([unplanes(r["counts"], "<u4") for r in rows if r["ord"] == n]).astype(np.int64), least)
         return b
 
     def exploded(b: Block, orders: list[int], number: int) -> pa.Table:
@@ -105,7 +124,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
             u, c = np.unique(b.grams(n, b.at(n, least)), return_counts=True)
             cuts = [0, *np.searchsorted(u, bounds).tolist(), len(u)]
             # every part, empty ones too: a block knows of each order that it was answered
-            rows += [{"block": number, "ord": n, "part": p, "hashes": u[i:j].tobytes(), "counts": c[i:j].astype("<u4").tobytes()} for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i or p == 0]
+            rows += [{"block": number, "ord": n, "part": p, "hashes": rising(u[i:j]), "counts": planes(c[i:j].astype("<u4"))} for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i or p == 0]
         return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("ord", pa.int32()), ("part", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     def first(held: pa.Table) -> pa.Table:
@@ -115,13 +134,13 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
         return lambda held, replies: exploded(restored(held, replies), [n], held["block"][0].as_py())
 
     def count(rows: pa.Table) -> pa.Table:
-        h = [np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()]
-        c = [np.frombuffer(x, "<u4") for x in rows["counts"].to_pylist()]
+        h = [risen(x) for x in rows["hashes"].to_pylist()]
+        c = [unplanes(x, "<u4") for x in rows["counts"].to_pylist()]
         _, inverse = np.unique(np.concatenate(h), return_inverse=True)
         sums = np.bincount(inverse, np.concatenate(c)) if len(inverse) else np.zeros(0)
         answers = np.minimum(sums[inverse], 2**32 - 1).astype("<u4") if len(inverse) else np.zeros(0, "<u4")
         cuts = np.cumsum([0, *(len(x) for x in h)])
-        return pa.table({"block": rows["block"], "ord": rows["ord"], "part": rows["part"], "counts": pa.array([answers[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
+        return pa.table({"block": rows["block"], "ord": rows["ord"], "part": rows["part"], "counts": pa.array([planes(answers[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary())})
 
     def counted(rows: DataFrame) -> DataFrame:
         return rows.groupBy("ord", "part").applyInArrow(count, REPLY)
