@@ -221,3 +221,25 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = root[root]
     moved = root != np.arange(len(ids))
     return ids[moved].astype(np.int64), ids[root[moved]].astype(np.int64)
+
+
+def forest(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Star edges (id, smallest id) of the components of a symmetric boolean matrix."""
+    n, left, out = len(ids), np.ones(len(ids), bool), []
+    for i in range(n):
+        if not left[i]:
+            continue
+        left[i] = False
+        part, edge = [i], [i]
+        while edge:
+            j = edge.pop()
+            new = np.flatnonzero(linked[j] & left)
+            if len(new):
+                left[new] = False
+                part += new.tolist()
+                edge += new.tolist()
+        if len(part) > 1:
+            own = ids[part]
+            root = own.min()
+            out += [(int(x), int(root)) for x in own if x != root]
+    return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, mix, stored
+from .common import connected_components, forest, mix, stored
 from .vectors import matrices, units
 
 PROBES, FOUND, BLOCK = 4, 0.998, 1024
@@ -127,28 +127,6 @@ def vectors_of(column) -> list[np.ndarray]:
     return [np.frombuffer(v, np.float64) for v in column.to_pylist()]
 
 
-def forest(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Star edges (id, smallest id) of the components of a symmetric boolean matrix."""
-    n, left, out = len(ids), np.ones(len(ids), bool), []
-    for i in range(n):
-        if not left[i]:
-            continue
-        left[i] = False
-        part, edge = [i], [i]
-        while edge:
-            j = edge.pop()
-            new = np.flatnonzero(linked[j] & left)
-            if len(new):
-                left[new] = False
-                part += new.tolist()
-                edge += new.tolist()
-        if len(part) > 1:
-            own = ids[part]
-            root = own.min()
-            out += [(int(x), int(root)) for x in own if x != root]
-    return out
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", probes: int = PROBES, found: float = FOUND, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: its id, n_links, component_id (the smallest id reachable) and kept."""
 

@@ -5,10 +5,12 @@ drawn; table (i, j) is keyed by band i of the left collection and band j of the
 2 x groups x width minhashes. A pair of similarity s meets in a table with probability (1 - (1 - s^width)^groups)^2;
 `groups` is the smallest number for which that is `found` at the threshold.
 
-Texts of equal sets form one class, so exact copies cost one row. Within a table key, members are first compared with
-the key's smallest member only; classes that these links leave in different components, though they share a key, are
-compared in full afterwards. So connectivity is that of all pairs that share a key, while a key of n linked members
-costs n - 1 comparisons. All links are confirmed on whole shingle sets, of sizes that allow the threshold.
+Texts of equal sets form one class, so exact copies cost one row. Members of a table key are first compared with the
+key's smallest member only, and links joined to components. The members of all keys with the same smallest member
+form a neighbourhood; where one still holds several components, its members outside the largest of them are compared
+with all others of another component, in blocks of `block` rows, as products of incidence matrices, without a row for each
+pair. So connectivity is that of all pairs that share a key, while a neighbourhood of n linked members costs n - 1
+comparisons. All links are confirmed on whole shingle sets.
 
 Rows with an id of their own are assumed; rows that repeat an id and text get the same result each. Null texts and texts
 without words have no shingles, are linked with nothing, and are their own component. A class is named by a 64-bit hash
@@ -23,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import connected_components, mix, shingle_set, signed, stored
+from .common import connected_components, forest, mix, shingle_set, signed, stored
 
-WIDTH, FOUND = 3, 0.9985
+WIDTH, FOUND, BLOCK = 3, 0.9985, 512
 SIGNATURE = "n_shingles long, cls long, lefts array<long>, rights array<long>"
 
 
@@ -113,7 +115,64 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "cls long, set binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, found: float = FOUND) -> DataFrame:
+def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """The sizes of the intersections of all pairs, as products of 0/1 matrices over the shingles that two sets share."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    u, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    new = np.cumsum(n > 1) - 1
+    keep = n[at] > 1
+    row, col = row[keep], new[at[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(new[-1]) + 1 if len(new) else 0, width):
+        i, j = np.searchsorted(col, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[i:j], col[i:j] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def across(near: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between members of a neighbourhood that lie in different components. near: (first, cls, root, set).
+
+    The rows of the largest component of a neighbourhood are dealt to blocks, the others to blocks of their own; units are
+    pairs of blocks with at least one of the latter.
+    """
+    by_root = near.groupBy("first", "root").agg(F.count("*").alias("c"))
+    plan = by_root.groupBy("first").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("big"), F.count("*").alias("roots")).where("roots > 1")
+    plan = plan.select("first", F.col("big.root").alias("major"), F.ceil(F.col("big.c") / block).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("big.c")) / block).cast("int").alias("no"))
+    rows = near.join(plan, "first").withColumn("is_major", F.col("root") == F.col("major"))
+    own = F.expr("cast(pmod(xxhash64(cls, 77), if(is_major, nb, no)) as int)")
+    # x: block of the largest component, or -1 - a block of others; y: block of others
+    rows = rows.withColumn("own", own).withColumn("u", F.explode(F.expr(
+        "if(is_major, transform(sequence(0, no - 1), y -> struct(own as x, y as y)),"
+        " concat(transform(sequence(0, nb - 1), x -> struct(x as x, own as y)),"
+        " transform(filter(sequence(0, no - 1), o -> o <> own), o -> struct(-1 - least(o, own) as x, greatest(o, own) as y))))")))
+    few = F.pmod(F.xxhash64("first"), F.lit(256))
+    rows = rows.withColumn("unit", F.when((F.col("nb") == 1) & (F.col("no") == 1), few).otherwise(F.xxhash64("first", "u").bitwiseOR(F.lit(1 << 62))))
+    rows = rows.select("unit", "first", F.col("u.x").alias("x"), F.col("u.y").alias("y"), "cls", "root", "set")
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = [t[c].to_numpy() for c in ("y", "x", "first")]
+        order = np.lexsort(keys)
+        keys = [k[order] for k in keys]
+        t = t.take(pa.array(order))
+        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        cls, root, sets, out = t["cls"].to_numpy(), t["root"].to_numpy(), t["set"], []
+        for i, j in zip(new.tolist(), [*new[1:].tolist(), t.num_rows]):
+            s = [np.frombuffer(x, "<u8") for x in sets.slice(i, j - i).to_pylist()]
+            n = np.array([len(x) for x in s], np.int64)
+            both = intersections(s)
+            linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[i:j, None] != root[None, i:j])
+            if linked.any():
+                out += forest(linked, cls[i:j])
+        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
+
+    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, found: float = FOUND, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: its id, n_shingles, component_id (the smallest id reachable) and kept."""
     groups = groups_for(percent / 100, width, found)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -144,14 +203,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     links = stored(confirmed(star), "links")
     roots = stored(connected_components(links), "roots")
-    # members of one key in different components are compared with each other
-    named = members.where("m > 2").join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", "first", F.coalesce("root", "cls").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    named = stored(named.join(mixed, "key", "left_semi"), "mixed")
-    x, y = named.alias("x"), named.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.root < y.root and x.cls <> x.first and y.cls <> y.first")).where(fits(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    links = stored(links.unionByName(confirmed(rest)), "links")
+    near = members.select("first", "cls").distinct()
+    near = near.join(roots, F.col("cls") == F.col("node"), "left").select("first", "cls", F.coalesce("root", "cls").alias("root"))
+    several = near.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("first")
+    near = stored(near.join(several, "first", "left_semi"), "near")
+    links = stored(links.unionByName(across(near.join(sets, "cls"), percent, block)).distinct(), "links")
     roots = stored(connected_components(links), "roots")
 
     label = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
