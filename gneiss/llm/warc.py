@@ -50,7 +50,8 @@ def record(kind: str, ident: str, uri: str | None, payload: bytes, sha: str, ref
     """A gzip member with one WARC record; a revisit keeps the HTTP header only."""
     body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{ident}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha}"]
-    head += [f"WARC-Target-URI: {clean(uri)}"] * bool(uri)
+    if uri:
+        head += [f"WARC-Target-URI: {clean(uri)}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>"] * (refers_to is not None)
