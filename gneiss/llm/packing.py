@@ -16,6 +16,7 @@ no rows. Extra columns are ignored. sequence_id is (task << 32) + a number from
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -31,48 +32,91 @@ class Encoder:
     """Little-endian uint32 token ids of a text, as bytes.
 
     The tokenizer's pre-tokenizer drops white space and no rule looks across it, so the ids of a text are those of its
-    parts between blanks and newlines, one after another. Ids of short parts are kept in a bounded table. New parts are
-    encoded many at a time, with a symbol of one token between them that none of them holds.
+    parts between blanks and newlines, one after another. Most parts are Latin letters and then ASCII marks: their ids
+    are those of the letters in lower case and of the marks. Ids of short parts and of letters are kept in tables of
+    bounded size, the older half of which is dropped when they are full. New ones are encoded many at a time: letters
+    by the ends of words that their last tokens show, other parts with a symbol of one token between them.
     """
 
-    limit, longest = 350_000, 48
+    limit, longest = 250_000, 48
     symbols = "☃☎♻⚠✂✏❄➡⬇⭐"
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts, self.old_parts, self.letters, self.old_letters, self.marks = {}, {}, {}, {}, {"": b""}
         self.symbol, self.mark = next((c, e.ids[0]) for c in self.symbols if len(e := self.tokenizer.encode(c, add_special_tokens=False)) == 1)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def one(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids(part).tobytes()
 
-    def of(self, parts: set[str]) -> dict[str, bytes]:
+    def of_letters(self, words: list[str]) -> None:
+        for i in range(0, len(words), 1024):
+            some = words[i : i + 1024]
+            ids = self.ids(" ".join(some))
+            data, at = ids.tobytes(), 0
+            for w, k in zip(some, (np.flatnonzero(self.last[ids]) + 1).tolist(), strict=True):
+                self.letters[w] = data[at * 4 : k * 4]
+                at = k
+
+    def of_others(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 1024):
+            some = parts[i : i + 1024]
+            ids = self.ids(f" {self.symbol} ".join(some))
+            data, at = ids.tobytes(), 0
+            for p, k in zip(some, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
+                self.parts[p] = data[at * 4 : k * 4]
+                at = k + 1
+
+    def of(self, wanted: set[str]) -> dict[str, bytes]:
         """The ids of each part."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        out, new = {"": b""}, []
-        for p in parts:
-            v = young.get(p)
+        if len(self.parts) > self.limit:
+            self.parts, self.old_parts = {}, self.parts
+        if len(self.letters) > self.limit:
+            self.letters, self.old_letters = {}, self.letters
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        parts, old, letters, old_letters, marks = self.parts, self.old_parts, self.letters, self.old_letters, self.marks
+        out, split, odd, other, new = {"": b""}, [], [], [], set()
+        for p in wanted:
+            v = parts.get(p)
             if v is None:
                 v = old.get(p)
                 if v is None:
-                    new.append(p)
+                    if len(p) > self.longest:
+                        odd.append(p)
+                    elif m := self.plain(p):
+                        w, marked = m[1].lower(), m[2]
+                        split.append((p, w, marked))
+                        if w not in letters:
+                            v = old_letters.get(w)
+                            if v is None:
+                                new.add(w)
+                            else:
+                                letters[w] = v
+                        if marked not in marks:
+                            marks[marked] = self.one(marked)
+                    elif self.symbol in p:
+                        odd.append(p)
+                    elif p:
+                        other.append(p)
                     continue
-                young[p] = v
+                parts[p] = v
             out[p] = v
-        odd = [p for p in new if self.symbol in p or len(p) > self.longest]
-        out.update((p, self.one(p)) for p in odd if p)
-        if odd:
-            new = [p for p in new if p not in out]
-        for i in range(0, len(new), 1024):
-            some = new[i : i + 1024]
-            ids = np.array(self.tokenizer.encode(f" {self.symbol} ".join(some), add_special_tokens=False).ids, "<u4")
-            data, at = ids.tobytes(), 0
-            for p, k in zip(some, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
-                young[p] = out[p] = data[at * 4 : k * 4]
-                at = k + 1
+        self.of_letters(list(new))
+        self.of_others(other)
+        out.update((p, self.one(p)) for p in odd)
+        out.update((p, parts[p]) for p in other)
+        for p, w, marked in split:
+            parts[p] = out[p] = letters[w] + marks[marked]
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
