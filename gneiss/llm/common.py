@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all when it is full, so its memory is bounded."""
 
-    limit = 300_000
+    limit = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

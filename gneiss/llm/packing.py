@@ -38,7 +38,7 @@ class Encoder:
     by the ends of words that their last tokens show, other parts with a symbol of one token between them.
     """
 
-    limit, longest = 250_000, 48
+    limit, longest = 80_000, 48
     symbols = "☃☎♻⚠✂✏❄➡⬇⭐"
     plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import MIX, WordHashes, hashes_of, mix
 
-BITS, STEM, SAMPLE, THRESHOLD = 22, 5, 16_000, 0.3
+BITS, STEM, SAMPLE, THRESHOLD = 21, 5, 12_000, 0.3
 ALPHA, BETA, L1, L2, EPOCHS = 0.6, 1.0, 3.0, 1.0, 5
 #: Characters around words.
 EDGES = b"\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -77,7 +77,7 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: floa
 
     for _ in range(epochs):
         for at, y in zip(rows, labels):
-            at = np.append(at, bias)
+            at = np.append(at, np.int32(bias)).astype(np.int32)
             w = weight(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             m = n[at]
@@ -102,9 +102,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([t["id"].cast(pa.string()).combine_chunks(), pa.array(data, pa.binary()), t["y"].combine_chunks()], ["id", "at", "y"])
 
     def learn(batches):
-        t = [b for b in batches]
-        rows = [(i, np.frombuffer(a, "<i4").astype(np.int64), y) for b in t for i, a, y in zip(*(c.to_pylist() for c in b.columns))]
-        rows.sort(key=lambda r: (hash_of(r[0]), len(r[1])))
+        # the features stay in the batches' own memory, 4 bytes each
+        rows = [(hash_of(i), np.frombuffer(a.as_buffer(), "<i4") if a.as_buffer().size else np.zeros(0, "<i4"), y) for b in batches for i, a, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist())]
+        rows.sort(key=lambda r: (r[0], len(r[1])))
         at, w, bias = fit([r[1] for r in rows], [r[2] for r in rows], **how)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()]), pa.array([w.astype("<f8").tobytes()]), pa.array([bias])], ["at", "w", "bias"])
 
