@@ -31,22 +31,23 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Little-endian uint32 token ids of a text, as bytes.
 
-    The tokenizer's pre-tokenizer drops white space and no rule looks across it, so the ids of a text are those of its
-    parts between blanks and newlines, one after another. Most parts are Latin letters and then ASCII marks: their ids
-    are those of the letters in lower case and of the marks. Ids of short parts and of letters are kept in tables of
-    bounded size, the older half of which is dropped when they are full. New ones are encoded many at a time: letters
-    by the ends of words that their last tokens show, other parts with a symbol of one token between them.
+    The tokenizer drops white space, cuts the lower-cased text into pieces by a pattern, and encodes each piece by
+    itself. Texts of Latin letters, ASCII marks and digits are lower-cased and cut here, by the same pattern; other
+    texts are cut at blanks and newlines only, across which no rule of the tokenizer looks. Ids of short pieces are kept in
+    a table of bounded size, whose older half is dropped when it is full. New pieces are encoded many at a time and
+    told apart by the ends of words that their last tokens show; other parts by a symbol of one token between them.
     """
 
-    limit, longest = 80_000, 48
+    limit, longest = 150_000, 48
     symbols = "☃☎♻⚠✂✏❄➡⬇⭐"
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+    strange = re.compile(r"[^\n -~À-ÖØ-öø-ÿ]|<\|").search
+    # Fixed value: the tokenizer's pattern, for such texts.
+    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+").findall
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.old_parts, self.letters, self.old_letters, self.marks = {}, {}, {}, {}, {"": b""}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
         self.symbol, self.mark = next((c, e.ids[0]) for c in self.symbols if len(e := self.tokenizer.encode(c, add_special_tokens=False)) == 1)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -55,81 +56,55 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def one(self, part: str) -> bytes:
-        return self.ids(part).tobytes()
-
-    def of_letters(self, words: list[str]) -> None:
-        for i in range(0, len(words), 1024):
-            some = words[i : i + 1024]
+    def cut(self, some: list[str], ids: np.ndarray, ends: list[int], gap: int) -> None:
+        data, at = ids.tobytes(), 0
+        for p, k in zip(some, ends, strict=True):
+            self.young[p] = data[at * 4 : k * 4]
+            at = k + gap
+
+    def learn(self, pieces: set[str], parts: set[str]) -> set[str]:
+        """Enter what is new; the long ones among them are to be taken out again."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {"": b""}, self.young
+        young, old = self.young, self.old
+        new = []
+        for p in pieces.difference(young):
+            v = old.get(p)
+            if v is None:
+                new.append(p)
+            else:
+                young[p] = v
+        for i in range(0, len(new), 1024):
+            some = new[i : i + 1024]
             ids = self.ids(" ".join(some))
-            data, at = ids.tobytes(), 0
-            for w, k in zip(some, (np.flatnonzero(self.last[ids]) + 1).tolist(), strict=True):
-                self.letters[w] = data[at * 4 : k * 4]
-                at = k
-
-    def of_others(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 1024):
-            some = parts[i : i + 1024]
+            self.cut(some, ids, (np.flatnonzero(self.last[ids]) + 1).tolist(), 0)
+        new = [p for p in parts.difference(young) if self.symbol not in p]
+        for i in range(0, len(new), 1024):
+            some = new[i : i + 1024]
             ids = self.ids(f" {self.symbol} ".join(some))
-            data, at = ids.tobytes(), 0
-            for p, k in zip(some, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
-                self.parts[p] = data[at * 4 : k * 4]
-                at = k + 1
-
-    def of(self, wanted: set[str]) -> dict[str, bytes]:
-        """The ids of each part."""
-        if len(self.parts) > self.limit:
-            self.parts, self.old_parts = {}, self.parts
-        if len(self.letters) > self.limit:
-            self.letters, self.old_letters = {}, self.letters
-        if len(self.marks) > 10_000:
-            self.marks = {"": b""}
-        parts, old, letters, old_letters, marks = self.parts, self.old_parts, self.letters, self.old_letters, self.marks
-        out, split, odd, other, new = {"": b""}, [], [], [], set()
-        for p in wanted:
-            v = parts.get(p)
-            if v is None:
-                v = old.get(p)
-                if v is None:
-                    if len(p) > self.longest:
-                        odd.append(p)
-                    elif m := self.plain(p):
-                        w, marked = m[1].lower(), m[2]
-                        split.append((p, w, marked))
-                        if w not in letters:
-                            v = old_letters.get(w)
-                            if v is None:
-                                new.add(w)
-                            else:
-                                letters[w] = v
-                        if marked not in marks:
-                            marks[marked] = self.one(marked)
-                    elif self.symbol in p:
-                        odd.append(p)
-                    elif p:
-                        other.append(p)
-                    continue
-                parts[p] = v
-            out[p] = v
-        self.of_letters(list(new))
-        self.of_others(other)
-        out.update((p, self.one(p)) for p in odd)
-        out.update((p, parts[p]) for p in other)
-        for p, w, marked in split:
-            parts[p] = out[p] = letters[w] + marks[marked]
-        return out
+            self.cut(some, ids, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], 1)
+        for p in parts.difference(young):
+            young[p] = self.ids(p).tobytes()
+        return {p for s in (pieces, parts) for p in s if len(p) > self.longest}
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split, strange = [], []
+        for t in texts:
+            odd = bool(t) and self.strange(t) is not None
+            strange.append(odd)
+            split.append(t.replace("\n", " ").split(" ") if odd else self.pieces(t.lower()) if t else [])
         out, i = [], 0
         while i < len(split):
             # as many texts as keep the table of their parts small
-            parts, j = set(), i
-            while j < len(split) and (j == i or len(parts) < self.limit // 3):
-                parts.update(split[j])
+            sets, j = (set(), set()), i
+            while j < len(split) and (j == i or len(sets[0]) + len(sets[1]) < self.limit // 2):
+                sets[strange[j]].update(split[j])
                 j += 1
-            known = self.of(parts)
-            out += [b"".join(map(known.__getitem__, words)) for words in split[i:j]]
+            long = self.learn(*sets)
+            known = self.young.__getitem__
+            out += [b"".join(map(known, words)) for words in split[i:j]]
+            for p in long:
+                del self.young[p]
             i = j
         return out
 
@@ -220,9 +195,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 512):
-                texts = batch.column(1).slice(lo, 512).to_pylist()
-                for doc, data in zip(ids[lo : lo + 512], enc.encode_batch(texts)):
+            for lo in range(0, len(ids), 1024):
+                texts = batch.column(1).slice(lo, 1024).to_pylist()
+                for doc, data in zip(ids[lo : lo + 1024], enc.encode_batch(texts)):
                     data += tail
                     total, at = len(data) // 4, 0
                     while total - at >= window:
