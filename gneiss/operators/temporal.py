@@ -75,7 +75,7 @@ def cochange_pairs(t: DataFrame, n_commits: int | None = None, max_files: int =
 
 def significant(pairs: DataFrame, min_count: int = 3, min_support: float = 0.3, max_p: float = 0.01) -> DataFrame:
     """Pairs that meet often enough; the cheap filters come before the p-value."""
-    kept = pairs.where((F.col("n_ab") >= min_count) & (F.col("support") >= min_support) & (F.col("g_stat") > 0))
+    kept = pairs.where((F.col("n_ab") >= min_count) & (F.col("support") >= min_support))
     return kept.withColumn("p_value", stats.p_value(F.col("g_stat"))).where(F.col("p_value") <= max_p)
 
 

@@ -95,11 +95,11 @@ def commits(spark: SparkSession, root: str | Path, config: HistoryConfig = Histo
 
 def subjects(spark: SparkSession, root: str | Path, after_ts: int = 0) -> DataFrame:
     """(sha, ts, subject, body, path) of changes after a time."""
-    raw = git(root, "log", "--no-merges", "--name-only", "-z", f"--format={RECORD}%H{FIELD}%at{FIELD}%s{FIELD}%b{FIELD}", f"--since={after_ts}")
+    raw = git(root, "log", "--no-merges", "--name-only", "-z", f"--format={RECORD}%H{FIELD}%at{FIELD}%s{FIELD}%b{FIELD}", *[f"--since=@{after_ts}"] * bool(after_ts))
     rows = []
     for record in raw.split(RECORD)[1:]:
         sha, ts, subject, body, files = record.split(FIELD, 4)
-        rows += [(sha, int(ts), subject, body, p) for p in (x.strip("\n") for x in files.split("\0")) if p]
+        rows += [(sha.strip("\n"), int(ts), subject, body, p) for p in (x.strip("\n") for x in files.split("\0")) if p]
     return spark.createDataFrame(rows, "sha string, ts long, subject string, body string, path string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -64,18 +65,31 @@ def read_lines(root: str | Path, path: str | Path) -> list[str]:
     return real.read_bytes().decode("utf-8", "replace").splitlines() if real else []
 
 
+def leading_out(root: str | Path) -> list[str]:
+    """Links of a local tree whose targets lie outside it, as relative paths."""
+    base, out = Path(root).resolve(), []
+    for folder, dirs, names in os.walk(base):
+        for n in [*dirs, *names]:
+            p = Path(folder, n)
+            if p.is_symlink() and not p.resolve().is_relative_to(base):
+                out.append(p.relative_to(base).as_posix())
+    return out
+
+
 def scan(spark: SparkSession, root: str, most: int = MOST_TEXT) -> DataFrame:
     """(path, text, language, is_doc) of the tree's code and documents, in parallel over files.
 
-    Paths are relative to root. Links that lead out of the tree are dropped by their real path where it is local.
+    Paths are relative to root. Links of a local tree that lead out of it are left out.
     """
-    base = root if "://" in root else "file://" + str(Path(root).resolve())
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    prefix = F.regexp_replace(F.lit(base), "^file:/*", "file:/")
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/*", "file:/"), F.concat(F.lit("^"), F.regexp_replace(prefix, r"([.\\+*?\[\]^$(){}|])", r"\\$1"), F.lit("/?")), "")
-    out = f.select(F.expr("url_decode(replace(path, '+', '%2B'))").alias("path"), "length", "content").withColumn("path", rel)
-    out = out.where(walkable("path") & (F.col("length") <= most))
-    out = out.select("path", F.decode("content", F.lit("utf-8")).alias("text"), language("path").alias("language"), is_document("path").alias("is_doc"))
+    local = "://" not in root
+    base = str(Path(root).resolve()) if local else root.rstrip("/")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + base if local else base)
+    rel = F.regexp_replace("path", ("^file:/*" if local else "^") + r"\Q" + base.lstrip("/" if local else "") + r"\E/?", "")
+    out = f.withColumn("path", rel).where(walkable("path") & (F.col("length") <= most))
+    for link in leading_out(root) if local else []:
+        out = out.where(~((F.col("path") == link) | F.startswith(F.col("path"), F.lit(link + "/"))))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    out = out.select("path", text.alias("text"), language("path").alias("language"), is_document("path").alias("is_doc"))
     return out.where(F.col("language").isNotNull() | F.col("is_doc"))
 
 
