@@ -15,9 +15,22 @@ _names = itertools.count()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch between the JVM and Python; whole texts and shingle sets are wide.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of Arrow batches, unless the session has a smaller bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 # ---------------------------------------------------------------- shared files
 
 
@@ -43,6 +56,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -74,7 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all when it is full, so its memory is bounded."""
 
-    limit = 120_000
+    limit = 30_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
+from .common import small_batches
+
 PER_LANG, DICTIONARY, LANGUAGES, CHUNK, LEVEL, NARROW, HALF = 64, 96 * 1024, 256, 2048, 6, 0.002, 0.05
 _GAPS = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -85,6 +87,7 @@ class Coders:
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = LEVEL, narrow: float = NARROW, half: float = HALF) -> DataFrame:
     """docs with lang_pred, score, margin and rejected."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
     state: list[Coders] = []
 

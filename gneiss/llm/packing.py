@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 WINDOW, END, GRAIN = 4096, 2, 32
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -38,7 +40,7 @@ class Encoder:
     told apart by the ends of words that their last tokens show; other parts by a symbol of one token between them.
     """
 
-    limit, longest = 150_000, 48
+    limit, longest = 120_000, 48
     symbols = "☃☎♻⚠✂✏❄➡⬇⭐"
     strange = re.compile(r"[^\n -~À-ÖØ-öø-ÿ]|<\|").search
     # Fixed value: the tokenizer's pattern, for such texts.
@@ -176,6 +178,7 @@ def cut_at(parts: list[tuple], window: int) -> list[list[tuple]]:
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, end: int = END) -> DataFrame:
     """One row per piece (SCHEMA): its document's ids before it, its length and the CRC of its ids, and its place."""
+    small_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX, WordHashes, hashes_of, mix
+from .common import MIX, WordHashes, hashes_of, mix, small_batches
 
 BITS, STEM, SAMPLE, THRESHOLD = 21, 5, 12_000, 0.3
 ALPHA, BETA, L1, L2, EPOCHS = 0.6, 1.0, 3.0, 1.0, 5
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", bits: int = BITS, out: str = "score") -> DataFrame:
     """docs with the score (0 to 1) of each whole text."""
+    small_batches(docs.sparkSession)
     at, weights, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights.astype(np.float32)))
     state: dict = {}
