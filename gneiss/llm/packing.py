@@ -40,15 +40,16 @@ class Encoder:
     told apart by the ends of words that their last tokens show; other parts by a symbol of one token between them.
     """
 
-    limit, longest = 120_000, 48
+    longest = 48
     symbols = "☃☎♻⚠✂✏❄➡⬇⭐"
     strange = re.compile(r"[^\n -~À-ÖØ-öø-ÿ]|<\|").search
     # Fixed value: the tokenizer's pattern, for such texts.
     pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+").findall
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
+        self.limit = limit
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
         self.symbol, self.mark = next((c, e.ids[0]) for c in self.symbols if len(e := self.tokenizer.encode(c, add_special_tokens=False)) == 1)
         vocabulary = self.tokenizer.get_vocab()
@@ -114,9 +115,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = 400_000) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]
 
 
@@ -176,15 +178,18 @@ def cut_at(parts: list[tuple], window: int) -> list[list[tuple]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, end: int = END) -> DataFrame:
-    """One row per piece (SCHEMA): its document's ids before it, its length and the CRC of its ids, and its place."""
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, end: int = END, known: int = 400_000) -> DataFrame:
+    """One row per piece (SCHEMA): its document's ids before it, its length and the CRC of its ids, and its place.
+
+    known: pieces whose ids a worker keeps, about 0.2 KB each, twice that at most.
+    """
     small_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 32
-        enc, packer = encoder(tokenizer), Packer(window, grain)
+        enc, packer = encoder(tokenizer, known), Packer(window, grain)
         held: dict[int, list] = {}  # pieces of open windows: (doc, start, bytes, doc tokens)
         rows: list[tuple] = []
 
