@@ -2,9 +2,10 @@
 
 A vector of unit length, padded with zeros to a power of two, is turned by three rounds of random signs and fast
 Hadamard transforms; its hash is the axis it is nearest to, with the sign. A table's key joins `k` such hashes. Each
-vector lies in its own bucket and asks the `probes` buckets that are next nearest. k is the rounded logarithm of the
-number of distinct vectors to the base of the number of axes, so that buckets stay small at any size, and the number
-of tables is the smallest for which simulated pairs at the threshold are found with probability `found`.
+vector lies in its own bucket and asks the `probes` buckets that are next nearest. k grows with the logarithm of the
+number of distinct vectors, so that at any size unrelated vectors seldom share a bucket, and the number of tables is the
+smallest for which simulated pairs at the threshold are found with probability `found`. Buckets that hold one vector, or
+only asking ones, are dropped before vectors are joined to the others.
 
 Equal vectors form one class. Members of a bucket are compared in blocks of `block` rows, pairs of blocks as tasks of
 their own; a task gives a spanning forest of its links, not the links. Components come from these forests. The numbers
@@ -77,7 +78,7 @@ def codes(x: np.ndarray, table: int, k: int, probes: int) -> np.ndarray:
 
 def hashes_for(n: int, d: int) -> int:
     axes = 2 << max(1, (d - 1).bit_length())
-    return min(6, max(1, round(math.log(max(n, 2)) / math.log(axes))))
+    return min(8, max(1, math.ceil(math.log(25 * max(n, 1)) / math.log(axes))))
 
 
 def tables_for(d: int, k: int, probes: int, cosine: float, found: float, trials: int = 2000) -> int:
@@ -157,19 +158,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 by.setdefault(len(v), []).append(i)
             for at in by.values():
                 x = units(np.array([np.frombuffer(data[i], np.float64) for i in at]))
-                sent = pa.array([u.tobytes() for u in x], pa.binary())
                 for t in range(tables):
                     c = codes(x, t, k, probes)
-                    for p in range(c.shape[1]):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[:, p]), pa.array(cls[at]), pa.array(np.full(len(at), p == 0)), sent], ["key", "cls", "home", "vec"])
+                    home = np.zeros(c.shape, bool)
+                    home[:, 0] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(np.repeat(cls[at], c.shape[1])), pa.array(home.ravel())], ["key", "cls", "home"])
 
     def links(t: pa.Table, at: np.ndarray) -> pa.Table:
         cls, home, block_, lo, hi = (t[c].to_numpy() for c in ("cls", "home", "block", "lo", "hi"))
-        data, out = vectors_of(t["vec"]), []
+        vec, out = vectors_of(t["vec"]), []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if b - a < 2 or not home[a:b].any():
                 continue
-            x = np.array(data[a:b])
+            x = units(np.array(vec[a:b]))
             near = (x @ x.T) >= cosine
             h = home[a:b]
             near &= h[:, None] | h[None, :]
@@ -181,8 +182,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 out += forest(near, cls[a:b])
         return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
-    hashed = classes.select("cls", "vec").mapInArrow(buckets, "key long, cls long, home boolean, vec binary")
-    edges = in_blocks(stored(hashed, "buckets"), "key", links, "a long, b long", block)
+    hashed = stored(classes.select("cls", "vec").mapInArrow(buckets, "key long, cls long, home boolean"), "buckets")
+    shared = hashed.groupBy("key").agg(F.count("*").alias("m"), F.max("home").alias("any")).where("m > 1 and any").select("key")
+    held = stored(hashed.join(shared, "key", "left_semi").join(classes.select("cls", "vec"), "cls"), "held")
+    edges = in_blocks(held, "key", links, "a long, b long", block)
     roots = stored(connected_components(edges.distinct()), "roots")
 
     def counts(t: pa.Table, at: np.ndarray) -> pa.Table:
