@@ -247,7 +247,7 @@ def find_node(nodes: DataFrame, text: str) -> DataFrame:
 
 
 def explain_neighbours(edges: DataFrame, nodes: DataFrame, idx: int, n: int = 15) -> DataFrame:
-    out = edges.where(F.col("src") == idx).join(nodes.select(F.col("idx").alias("dst"), "label", "kind", "source_file"), "dst")
+    out = edges.where(F.col("src") == idx).select("dst", "relation").join(nodes.select(F.col("idx").alias("dst"), "label", "kind", "source_file"), "dst")
     return out.select("dst", "relation", "label", "kind", "source_file").orderBy("dst", "relation").limit(n)
 
 
