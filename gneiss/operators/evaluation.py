@@ -18,14 +18,18 @@ KS = (1, 5, 10, 20)
 def time_split(commits: DataFrame, fraction: float = 0.8) -> DataFrame:
     """(sha, ts): the commit `fraction` of the way through history, newest first; an error below 20 commits.
 
-    The cut is found by a rank among distinct commits, a top-n, not a window over all of them.
+    Commits are counted by day; only the day that holds the cut is ranked, so no task orders the whole history.
     """
-    c = commits.select("sha", "ts").distinct()
-    n = c.count()
-    if n < 20:
-        raise ValueError(f"{n} commits are too few to evaluate")
-    at = int(n * (1.0 - fraction))
-    return c.orderBy(F.desc("ts"), "sha").limit(at + 1).orderBy("ts", F.desc("sha")).limit(1)
+    c = commits.select("sha", "ts").distinct().withColumn("day", F.floor(F.col("ts") / 86_400))
+    days = c.groupBy("day").agg(F.count("*").alias("n"))
+    total = days.agg(F.sum("n")).first()[0] or 0
+    if total < 20:
+        raise ValueError(f"{total} commits are too few to evaluate")
+    at = int(total * (1.0 - fraction))
+    newer = F.sum("n").over(Window.orderBy(F.desc("day")))  # one row per day
+    day = days.withColumn("upto", newer).where(F.col("upto") > at).orderBy("upto").limit(1).select("day", (F.lit(at) - F.col("upto") + F.col("n")).alias("skip"))
+    ranked = c.join(F.broadcast(day), "day").withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("ts"), "sha")))
+    return ranked.where(F.col("r") == F.col("skip") + 1).select("sha", "ts")
 
 
 def eval_set(commits: DataFrame, current: DataFrame, after_ts: int, limit: int | None = 200, seed: int = 0, max_files: int = 12, min_length: int = 15) -> DataFrame:
