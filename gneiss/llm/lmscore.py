@@ -22,9 +22,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import gram_hashes, hashes_of, words_of
+from .common import gram_hashes, hashes_of, small_batches
 
 ORDER, ALPHA, LEAST, BLOCK = 3, 0.4, 2, 16 << 20
 EXPLODED = "block long, ord int, part long, hashes binary, counts binary"
@@ -53,8 +54,8 @@ def risen(data: bytes) -> np.ndarray:
 class Block:
     """The n-grams of a block's documents; grams(n) lie at the positions at(n) of their last words."""
 
-    def __init__(self, texts: list[str | None]):
-        each = [hashes_of(words_of(t)) for t in texts]
+    def __init__(self, texts: list[bytes | None]):
+        each = [hashes_of(t.lower().split() if t else []) for t in texts]
         self.lengths = np.array([len(h) for h in each], np.int64)
         self.h = np.concatenate(each) if each else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(each)), self.lengths)
@@ -107,11 +108,22 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     blocks = max(1, -(-size // block))
     parts = max(1, -(-total // 4_000_000))
     bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    small_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)[id_col]
+
+    def squeezed(batches):
+        # texts are dealt out once and read in each round: zstandard makes them a third smaller than the shuffle would
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            data = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["block", "id", "text"])
+
     texts = docs.select(F.expr(f"pmod(xxhash64({id_col}), {blocks}L)").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.repartition(blocks, "block")
+    texts = texts.mapInArrow(squeezed, f"block long, id {kind}, text binary").repartition(blocks, "block")
 
     def restored(held: pa.Table, replies: pa.Table | None) -> Block:
-        b = Block(held["text"].to_pylist())
+        unpack = zstandard.ZstdDecompressor().decompress
+        b = Block([None if t is None else unpack(t) for t in held["text"].to_pylist()])
         if replies is not None:
             rows = sorted(replies.select(["ord", "part", "counts"]).to_pylist(), key=lambda r: (r["ord"], r["part"]))
             for n in sorted({r["ord"] for r in rows}):
@@ -153,6 +165,6 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
         b = restored(held, replies)
         return pa.table({"id": held["id"], "n_tokens": pa.array(b.lengths), "log_score": pa.array(b.scores(order, alpha, least, total))})
 
-    out = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"id {dict(docs.dtypes)[id_col]}, n_tokens long, log_score double")
+    out = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"id {kind}, n_tokens long, log_score double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_score", mean.alias("mean_log_score"))
