@@ -69,6 +69,12 @@ def flat_ranges(nodes: DataFrame, reach: int = 60) -> DataFrame:
     return nodes.select("idx", "source_file", "start_line", F.greatest(F.col("start_line"), F.least(upto, F.col("start_line") + reach, F.col("total"))).alias("end_line"))
 
 
+def ends_before_next(spans: DataFrame, group: str = "path") -> DataFrame:
+    """spans with end_line set to the line before the next start in the group; the last one keeps its own."""
+    w = Window.partitionBy(group).orderBy("start_line", "span_id")
+    return spans.withColumn("end_line", F.greatest("start_line", F.coalesce(F.lead("start_line").over(w) - 1, "end_line")))
+
+
 def links_of(graph: DataFrame) -> DataFrame:
     """The rows of `links`, or of `edges` where links are missing or empty."""
     some = F.when(F.size(F.coalesce("links", F.array())) > 0, F.col("links")) if "links" in graph.columns else F.lit(None)

@@ -85,6 +85,15 @@ def scaled(rows: DataFrame) -> DataFrame:
     return j.select("path", hot.alias("hot"), age.alias("age"), F.when(F.col("bus_factor").isin(1, 2), F.col("bus_factor")).otherwise(F.lit(0)).cast("int").alias("bus"))
 
 
+def map_nodes(nodes: DataFrame, files: DataFrame, cap: int = MAX_NODES) -> DataFrame:
+    """(idx, source_file, owner): the first `cap` nodes (idx has no gaps, so no sort is needed); owners are numbers from 0 in order of name, -1 without one."""
+    authors = files.where("primary_owner is not null").select("primary_owner").distinct()
+    codes = authors.withColumn("owner", F.row_number().over(Window.orderBy("primary_owner")) - 1)  # one row per author
+    owned = files.select(F.col("path").alias("source_file"), "primary_owner").join(codes, "primary_owner").select("source_file", "owner")
+    kept = nodes.where(F.col("idx") < cap).select("idx", "source_file")
+    return kept.join(owned, "source_file", "left").select("idx", "source_file", F.coalesce("owner", F.lit(-1)).alias("owner"))
+
+
 def majority(nodes: DataFrame, value: str = "community") -> DataFrame:
     """(path, value): the most frequent value of a file's nodes, ties to the smallest."""
     n = nodes.where(F.col(value).isNotNull() & F.col("source_file").isNotNull()).groupBy(F.col("source_file").alias("path"), value).agg(F.count("*").alias("n"))

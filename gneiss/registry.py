@@ -502,6 +502,20 @@ def community_regions(spark: SparkSession, sf: str) -> DataFrame:
     return mapview.regions(table(spark, sf, "part").select(F.col("p_brand").alias("source_file"), F.col("p_size").alias("community")))
 
 
+@query("WITH a AS (SELECT DISTINCT n_name FROM nation WHERE n_nationkey < 20), k AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS owner FROM a) SELECT s_suppkey - 1 AS idx, s_name AS source_file, coalesce(owner, -1)::INT AS owner FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN k ON k.n_name = nation.n_name WHERE s_suppkey <= 50")
+def map_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").where("n_nationkey < 20")
+    nodes = s.select((F.col("s_suppkey") - 1).alias("idx"), F.col("s_name").alias("source_file"))
+    files = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("path"), F.col("n_name").alias("primary_owner"))
+    return mapview.map_nodes(nodes, files, 50)
+
+
+@query("SELECT event_id AS span_id, greatest(event_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 1000000)) AS end_line FROM (SELECT DISTINCT event_id, user_id FROM events)")
+def ends_before_next(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("event_id").alias("span_id"), F.col("user_id").alias("path")).distinct()
+    return ingest.ends_before_next(e.select("span_id", "path", F.col("span_id").alias("start_line"), F.lit(1_000_000).cast("long").alias("end_line"))).select("span_id", "end_line")
+
+
 @query(f"WITH {T}, {CHURN}, h AS (SELECT path, churn * ln(1 + lines) AS h FROM c JOIN l USING (path)), d AS (SELECT l_suppkey AS path, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY 1) SELECT path, round(h, 6) AS hotspot, degree::BIGINT AS degree FROM h JOIN d USING (path) ORDER BY h DESC, degree DESC, path LIMIT 12")
 def key_files(spark: SparkSession, sf: str) -> DataFrame:
     h = temporal.hotspots(temporal.churn(_touches(spark, sf), AS_OF), lines(spark, sf))
