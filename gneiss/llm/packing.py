@@ -16,6 +16,7 @@ no rows. Extra columns are ignored. sequence_id is (task << 32) + a number from
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -51,13 +52,17 @@ class Encoder:
 
         self.limit = limit
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        # pieces are lower-cased and cut already: their blanks are all that is left to cut at
+        rest = json.loads(self.tokenizer.to_str())
+        rest["normalizer"], rest["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(rest))
         self.symbol, self.mark = next((c, e.ids[0]) for c in self.symbols if len(e := self.tokenizer.encode(c, add_special_tokens=False)) == 1)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def ids(self, text: str, bare: bool = False) -> np.ndarray:
+        return np.array((self.bare if bare else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def cut(self, some: list[str], ids: np.ndarray, ends: list[int], gap: int) -> None:
         data, at = ids.tobytes(), 0
@@ -79,7 +84,7 @@ class Encoder:
                 young[p] = v
         for i in range(0, len(new), 1024):
             some = new[i : i + 1024]
-            ids = self.ids(" ".join(some))
+            ids = self.ids(" ".join(some), bare=True)
             self.cut(some, ids, (np.flatnonzero(self.last[ids]) + 1).tolist(), 0)
         new = [p for p in parts.difference(young) if self.symbol not in p]
         for i in range(0, len(new), 1024):
