@@ -502,7 +502,7 @@ def community_regions(spark: SparkSession, sf: str) -> DataFrame:
     return mapview.regions(table(spark, sf, "part").select(F.col("p_brand").alias("source_file"), F.col("p_size").alias("community")))
 
 
-@query("WITH a AS (SELECT DISTINCT n_name FROM nation WHERE n_nationkey < 20), k AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS owner FROM a) SELECT s_suppkey - 1 AS idx, s_name AS source_file, coalesce(owner, -1)::INT AS owner FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN k ON k.n_name = nation.n_name WHERE s_suppkey <= 50")
+@query("WITH a AS (SELECT DISTINCT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 20), k AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS owner FROM a) SELECT s_suppkey - 1 AS idx, s_name AS source_file, coalesce(owner, -1)::INT AS owner FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN k ON k.n_name = nation.n_name WHERE s_suppkey <= 50")
 def map_nodes(spark: SparkSession, sf: str) -> DataFrame:
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").where("n_nationkey < 20")
     nodes = s.select((F.col("s_suppkey") - 1).alias("idx"), F.col("s_name").alias("source_file"))
