@@ -201,13 +201,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "color").select("node", F.col("color").alias("component"))
 
 
-def file_cycles(edges: DataFrame, nodes: DataFrame, min_size: int = 2, n: int = 10) -> DataFrame:
-    """(component, size, files): clusters of files that depend on each other, largest first."""
+def file_cycles(edges: DataFrame, nodes: DataFrame, min_size: int = 2, n: int | None = 10) -> DataFrame:
+    """(component, size, files): clusters of files that depend on each other, largest first; all of them if n is None."""
     f = nodes.where("source_file is not null and source_file <> ''").select("idx", "source_file")
     e = edges.join(f.toDF("src", "a"), "src").join(f.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     scc = strong_components(e)
     out = scc.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("files"))
-    return out.where(F.col("size") >= min_size).orderBy(F.desc("size"), "component").limit(n)
+    out = out.where(F.col("size") >= min_size)
+    return out if n is None else out.orderBy(F.desc("size"), "component").limit(n)
 
 
 def _by_file(edges: DataFrame, nodes: DataFrame) -> DataFrame:

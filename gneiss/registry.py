@@ -409,6 +409,14 @@ def file_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.strong_components(e)
 
 
+@query()
+def file_cycles_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles between customers (files) over all orders (nodes): a line joins its order to the order whose key is its part's."""
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    n = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), F.format_string("c%09d", "o_custkey").alias("source_file"))
+    return graph.file_cycles(e, n, n=None)
+
+
 SUPPLY = "x AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), f AS (SELECT x.src, x.dst, 'n' || s_nationkey AS a, p_brand AS b FROM x JOIN supplier ON s_suppkey = src JOIN part ON p_partkey = dst)"
 
 
@@ -533,14 +541,24 @@ def flat_ranges_lead(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.flat_ranges(n).select("idx", "end_line")
 
 
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as spans of their user, from their minute on."""
+    minute = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 60)
+    return table(spark, sf, "events").select(F.col("event_id").alias("span_id"), F.col("user_id").alias("path"), minute.alias("start_line"), (minute + 600 + (F.col("event_id") * 7919) % 5000).alias("end_line"))
+
+
 @query(
     """WITH s AS (SELECT event_id AS id, user_id AS path, floor(epoch(ts))::BIGINT // 60 AS a, floor(epoch(ts))::BIGINT // 60 + 600 + (event_id * 7919) % 5000 AS b FROM events WHERE user_id <= 40)
 SELECT x.id AS span_id, (SELECT y.id FROM s y WHERE y.path = x.path AND y.id <> x.id AND y.a <= x.a AND x.b <= y.b AND y.b - y.a > x.b - x.a ORDER BY y.b - y.a, y.a DESC, y.id LIMIT 1) AS parent_id FROM s x"""
 )
 def innermost_container(spark: SparkSession, sf: str) -> DataFrame:
-    minute = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 60)
-    s = table(spark, sf, "events").where("user_id <= 40").select(F.col("event_id").alias("span_id"), F.col("user_id").alias("path"), minute.alias("start_line"), (minute + 600 + (F.col("event_id") * 7919) % 5000).alias("end_line"))
-    return ingest.innermost_container(s).select("span_id", "parent_id")
+    return ingest.innermost_container(_spans(spark, sf).where("path <= 40")).select("span_id", "parent_id")
+
+
+@query()
+def innermost_container_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the spans of all users."""
+    return ingest.innermost_container(_spans(spark, sf)).select("span_id", "parent_id")
 
 
 @query(
