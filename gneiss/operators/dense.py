@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -112,38 +113,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 100, block: int = 4096) -> DataFrame:
-    """(query_id, idx, score, rank) of (idx, embedding) for (query_id, query_vec), a bounded set of queries.
+def best(k: int, q: np.ndarray, i: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Positions of the k best of each query number q: the largest scores, ties to smaller ids."""
+    order = np.lexsort((i, -score, q))
+    new = np.flatnonzero(np.diff(q[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(new, np.diff(new, append=len(order))) < k]
 
-    Vectors have length one, so the product is the cosine. Each task multiplies blocks of its rows with the queries
-    and keeps k of each, so rows are never shuffled. Queries of another length find nothing.
-    """
-    asked = queries.limit(100_001).collect()
-    if len(asked) > 100_000:
-        raise ValueError("more than 100,000 queries")
-    sent = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], [np.asarray(r["query_vec"], np.float64) for r in asked]))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        for pdf in parts:
-            for lo in range(0, len(pdf), block):
-                some = pdf.iloc[lo : lo + block]
-                for d in {len(v) for v in q}:
-                    own = [i for i, v in enumerate(q) if len(v) == d]
-                    rows = [i for i, v in enumerate(some["embedding"]) if v is not None and len(v) == d]
-                    if not rows:
-                        continue
-                    x = np.array([some["embedding"].iloc[i] for i in rows], np.float64)
-                    idx = some["idx"].to_numpy()[rows]
-                    score = np.array([q[i] for i in own]) @ x.T
-                    for i, s in zip(own, score):
-                        top = np.lexsort((idx, -s))[:k]
-                        yield pd.DataFrame({"query_id": ids[i], "idx": idx[top], "score": s[top]})
-
-    q_type = dict(queries.dtypes)["query_id"]
-    found = vectors.select("idx", "embedding").mapInPandas(run, f"query_id {q_type}, idx long, score double")
+def search(vectors: DataFrame, queries: DataFrame, k: int = 100, block: int = 4096, at_once: int = 8192) -> DataFrame:
+    """(query_id, idx, score, rank) of (idx, embedding) for (query_id, query_vec).
+
+    Vectors have length one, so the product is the cosine. Queries pass through the driver in blocks of `at_once`, of which one is
+    held at a time. Each task multiplies blocks of its rows with the queries and keeps k of each, so rows are never shuffled.
+    Queries of another length find nothing.
+    """
+    spark, q_type = vectors.sparkSession, dict(queries.dtypes)["query_id"]
+    rows = vectors.select("idx", "embedding")
+
+    def found(asked: list) -> DataFrame:
+        by_size: dict[int, list] = {}
+        for r in asked:
+            if r["query_vec"] is not None:
+                by_size.setdefault(len(r["query_vec"]), []).append(r)
+        sent = spark.sparkContext.broadcast({d: ([r["query_id"] for r in own], np.array([r["query_vec"] for r in own], np.float64)) for d, own in by_size.items()})
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = {d: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] for d in sent.value}
+            for pdf in parts:
+                sizes = np.array([-1 if v is None else len(v) for v in pdf["embedding"]])
+                for d, (_, q) in sent.value.items():
+                    own = np.flatnonzero(sizes == d)
+                    for lo in range(0, len(own), block):
+                        some = own[lo : lo + block]
+                        x, idx = np.array(pdf["embedding"].iloc[some].tolist(), np.float64), pdf["idx"].to_numpy()[some]
+                        new = [held[d]]
+                        for at in range(0, len(q), 512):
+                            score = q[at : at + 512] @ x.T
+                            worth = np.where(np.isnan(score), -np.inf, score)
+                            least = np.partition(worth, -k, axis=1)[:, -k, None] if k < len(some) else -np.inf
+                            r, c = np.nonzero(worth >= least)
+                            new.append([r + at, idx[c], score[r, c]])
+                        both = [np.concatenate(z) for z in zip(*new)]
+                        keep = best(k, *both)
+                        held[d] = [z[keep] for z in both]
+            for d, (r, idx, score) in held.items():
+                ids = sent.value[d][0]
+                for lo in range(0, len(r), 100_000):
+                    yield pd.DataFrame({"query_id": [ids[i] for i in r[lo : lo + 100_000]], "idx": idx[lo : lo + 100_000], "score": score[lo : lo + 100_000]})
+
+        return rows.mapInPandas(run, f"query_id {q_type}, idx long, score double")
+
+    out, asked = None, queries.select("query_id", "query_vec").toLocalIterator()
+    while True:
+        some = list(itertools.islice(asked, at_once))
+        if some or out is None:
+            out = found(some) if out is None else out.unionByName(found(some))
+        if len(some) < at_once:
+            break
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "idx")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def seconds_to_confirm(documents: int, device: str, limit: float = 120.0) -> float | None:

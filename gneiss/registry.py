@@ -266,25 +266,40 @@ QUERY_VECS = "q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda
 COSINE = f"WITH {QUERY_VECS}, s AS (SELECT query_id, vec_id AS idx, list_inner_product(q, list_transform(embedding, lambda x: x::DOUBLE)) AS score FROM embeddings CROSS JOIN q), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS rank FROM s QUALIFY rank <= 50)"
 
 
-def _cosine(spark: SparkSession, sf: str, k: int = 50) -> DataFrame:
+#: The query set of the SQL, which is kept small for it, and the whole one.
+FEW, ALL = "{} < 5", "{} % 20 = 0"
+
+
+def _cosine(spark: SparkSession, sf: str, asked: str = FEW, k: int = 50) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
-    q = e.where("idx < 5").select(F.col("idx").alias("query_id"), F.col("embedding").alias("query_vec"))
+    q = e.where(asked.format("idx")).select(F.col("idx").alias("query_id"), F.col("embedding").alias("query_vec"))
     return dense.search(e, q, k)
 
 
 @query(f"{COSINE} SELECT query_id, idx, rank::INT AS rank, round(score, 6) AS score FROM d")
-def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _cosine(spark, sf).select("query_id", "idx", "rank", r6("score").alias("score"))
+def cosine_topk(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
+    return _cosine(spark, sf, asked).select("query_id", "idx", "rank", r6("score").alias("score"))
+
+
+@query()
+def cosine_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """For every row whose id is divisible by 20, as the three others with this ending."""
+    return cosine_topk(spark, sf, ALL)
 
 
 @query(f"{COSINE}, x AS (SELECT vec_id AS idx, label FROM embeddings), a AS (SELECT query_id, idx, rank FROM d), b AS (SELECT query_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY label, idx) AS rank FROM d JOIN x USING (idx)) SELECT query_id, idx, round(sum(w / (60.0::DOUBLE + rank)), 9) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM a UNION ALL SELECT *, 0.5::DOUBLE FROM b) GROUP BY ALL")
-def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    a = _cosine(spark, sf)
+def rrf_fuse(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
+    a = _cosine(spark, sf, asked)
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "label")
     b = a.join(labels, "idx").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("label", "idx")))
     return fusion.rrf([a, b], [1.0, 0.5]).select("query_id", "idx", r6("score", 9).alias("score"))
 
 
+@query()
+def rrf_fuse_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rrf_fuse(spark, sf, ALL)
+
+
 @query("WITH s AS (SELECT c_custkey AS idx, CASE WHEN lower(c_name) = 'customer#000000012' THEN 1.0::DOUBLE WHEN lower(c_name) LIKE 'customer#00000001%' THEN 0.7::DOUBLE END AS score FROM customer) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, idx LIMIT 10")
 def exact_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
     """Names as identifiers: # is no word character, so the prefix tier is asked for by the name's own letters."""
@@ -625,18 +640,28 @@ JUDGED = f"{COSINE}, x AS (SELECT vec_id AS idx, label FROM embeddings), h AS (S
 
 
 @query(f"{JUDGED} SELECT query_id, round(count_if(rank <= 1)::DOUBLE / count(*), 6) AS recall_1, round(count_if(rank <= 5)::DOUBLE / count(*), 6) AS recall_5, round(count_if(rank <= 10)::DOUBLE / count(*), 6) AS recall_10, round(count_if(rank <= 20)::DOUBLE / count(*), 6) AS recall_20, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM j GROUP BY query_id")
-def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+def recall_at_k(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
     """Vectors of the query's label are the truth."""
-    hits = _cosine(spark, sf).select("query_id", F.col("idx").alias("source_file"), "rank")
+    hits = _cosine(spark, sf, asked).select("query_id", F.col("idx").alias("source_file"), "rank")
     files = hits.select("query_id", F.col("source_file").alias("path"), "rank")
     e = table(spark, sf, "embeddings")
-    truth = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("path"), "label"), "label").select("query_id", "path")
+    truth = e.where(asked.format("vec_id")).select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("path"), "label"), "label").select("query_id", "path")
     return evaluation.scores(files, truth).select("query_id", *(r6(f"recall_{k}").alias(f"recall_{k}") for k in evaluation.KS), r6("rr").alias("rr"))
 
 
+@query()
+def recall_at_k_all(spark: SparkSession, sf: str) -> DataFrame:
+    return recall_at_k(spark, sf, ALL)
+
+
 @query(f"{JUDGED}, m AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM j GROUP BY query_id) SELECT round(avg(rr), 6) AS mrr, count(*)::BIGINT AS n FROM m")
-def mrr(spark: SparkSession, sf: str) -> DataFrame:
-    return recall_at_k(spark, sf).agg(r6(F.avg("rr")).alias("mrr"), F.count("*").alias("n"))
+def mrr(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
+    return recall_at_k(spark, sf, asked).agg(r6(F.avg("rr")).alias("mrr"), F.count("*").alias("n"))
+
+
+@query()
+def mrr_all(spark: SparkSession, sf: str) -> DataFrame:
+    return mrr(spark, sf, ALL)
 
 
 @query("WITH c AS (SELECT o_orderkey AS sha, epoch(o_orderdate)::BIGINT AS ts, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS r FROM orders) SELECT sha, ts FROM c WHERE r = (SELECT floor(count(*) * (1.0::DOUBLE - 0.8::DOUBLE)) FROM orders)")
@@ -669,5 +694,5 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 def pack_greedy(spark: SparkSession, sf: str) -> DataFrame:
     """One pack per query of the cosine ranking; each choice rests on the ones before."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.concat(F.lit("f"), (F.col("vec_id") % 17).cast("string")).alias("source_file"), F.col("label").cast("long").alias("community"))
-    hits = _cosine(spark, sf).join(e, "idx").withColumn("cost", (F.col("idx") * 131 % 900 + 100).cast("long"))
+    hits = _cosine(spark, sf, ALL).join(e, "idx").withColumn("cost", (F.col("idx") * 131 % 900 + 100).cast("long"))
     return pack.pack(hits)

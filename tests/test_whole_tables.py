@@ -4,7 +4,10 @@ import collections
 import datetime
 import random
 
+import numpy as np
+
 from gneiss import registry
+from gneiss.operators import dense
 
 
 def write(spark, folder, **tables):
@@ -54,3 +57,48 @@ def test_containers_of_all_users(spark, tmp_path):
     got = {r.span_id: r.parent_id for r in registry.QUERIES["innermost_container_all"](spark, sf).collect()}
     assert got == {i: parent(i) for i in spans}
     assert any(p is not None and spans[i][0] > 40 for i, p in got.items())
+
+
+def embeddings(n=210, d=6):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (n, d)).astype(np.float64)  # many equal scores
+    x[:, 0] += 3
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_every_twentieth_vector_is_a_query(spark, tmp_path):
+    x = embeddings()
+    labels = [i % 7 for i in range(len(x))]
+    sf = write(spark, tmp_path / "t", embeddings=([(i, v.tolist(), labels[i]) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int"))
+    y = x.astype(np.float64)
+    want = {q: np.lexsort((np.arange(len(y)), -np.round(y @ y[q], 12)))[:50].tolist() for q in range(0, len(y), 20)}
+    got = {}
+    for r in registry.QUERIES["cosine_topk_all"](spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.idx
+    assert set(got) == set(want) and all(sorted(g) == list(range(1, 51)) for g in got.values())
+    for q, g in got.items():
+        assert np.allclose([y[q] @ y[g[r]] for r in range(1, 51)], y[want[q]] @ y[q], atol=1e-9)
+    fused = registry.QUERIES["rrf_fuse_all"](spark, sf).collect()
+    assert {(r.query_id, r.idx) for r in fused} == {(q, i) for q, g in got.items() for i in g.values()}
+    rows = {r.query_id: r for r in registry.QUERIES["recall_at_k_all"](spark, sf).collect()}
+    rr = {}
+    for q, g in got.items():
+        same = [r for r, i in sorted(g.items()) if labels[i] == labels[q]]
+        rr[q] = 1 / same[0]
+        assert abs(rows[q].recall_10 - sum(r <= 10 for r in same) / labels.count(labels[q])) < 1e-6 and abs(rows[q].rr - rr[q]) < 1e-6
+    m = registry.QUERIES["mrr_all"](spark, sf).first()
+    assert m.n == len(want) == 11 and abs(m.mrr - sum(rr.values()) / 11) < 1e-6
+    assert {r.query_id for r in registry.QUERIES["pack_greedy"](spark, sf).collect()} == set(want)
+
+
+def test_search_in_blocks_of_queries_and_rows(spark):
+    x = embeddings(90)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [1.0])], "idx long, embedding array<float>")
+    q = d.select(d.idx.alias("query_id"), d.embedding.alias("query_vec"))
+    got = {(r.query_id, r["rank"]): (r.idx, round(r.score, 9)) for r in dense.search(d, q, 4, block=13, at_once=20).collect()}
+    y = x.astype(np.float64)
+    assert {i for i, _ in got} == {*range(90), 91} and len(got) == 90 * 4 + 1
+    for i in range(90):
+        s = np.sort(y @ y[i])[::-1][:4]
+        assert np.allclose([got[i, r][1] for r in (1, 2, 3, 4)], s, atol=1e-8)
+    assert dense.search(d, q.limit(0), 4).count() == 0
