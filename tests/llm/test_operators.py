@@ -262,6 +262,18 @@ def test_toxicity_on_held_out_rows(spark, odd, nothing):
     assert {r.score for r in toxicity.score(d.limit(5), none).collect()} == {0.5}
 
 
+def test_toxicity_learns_from_all_labels_below_its_bound(spark):
+    """15,000 labelled rows, of which the last 2,500 by the sample's hash alone hold the toxic words."""
+    ids = spark.range(15_000).select(F.col("id").alias("doc_id"))
+    late = ids.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id").desc()).limit(2500).withColumn("late", F.lit(True))
+    d = ids.join(late, "doc_id", "left").select("doc_id", F.when(F.col("late"), "a scoundrel").otherwise("a friend").alias("text"), F.coalesce(F.col("late"), F.lit(False)).cast("int").alias("toxic")).cache()
+    model = toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, "a scoundrel"), (2, "a friend")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert got[1] > 0.9 and got[2] < 0.1
+    assert toxicity.BITS == 22
+
+
 def test_features_are_words_pairs_and_skips():
     two = set(toxicity.features("one two").tolist())
     assert set(toxicity.features("one").tolist()) < two
