@@ -326,14 +326,20 @@ def dedupe_label_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("WITH f AS (SELECT c_custkey AS idx, greatest(c_acctbal, 0) AS f FROM customer WHERE c_custkey % 3 = 0), m AS (SELECT o_custkey AS idx, sum(o_totalprice) AS m FROM orders GROUP BY 1), j AS (SELECT coalesce(f.idx, m.idx) AS idx, coalesce(f, 0) / (SELECT max(f) FROM f) AS f, coalesce(m, 0) / (SELECT max(m) FROM m) AS m FROM f FULL JOIN m ON f.idx = m.idx) SELECT idx, round(0.6::DOUBLE * f + 0.4::DOUBLE * m, 6) AS score FROM j WHERE f > 0 OR m > 0")
-def blend_scores(spark: SparkSession, sf: str) -> DataFrame:
+def blend_scores(spark: SparkSession, sf: str, ranked: str = "c_custkey % 3 = 0") -> DataFrame:
     c = table(spark, sf, "customer")
-    f = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("idx"), F.greatest("c_acctbal", F.lit(0.0)).alias("score"))
+    f = c.where(ranked).select(F.col("c_custkey").alias("idx"), F.greatest("c_acctbal", F.lit(0.0)).alias("score"))
     m = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("idx")).agg(F.sum("o_totalprice").alias("score"))
     nodes = c.select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("source_file"))
     return fusion.blend(f, m, nodes).select("idx", r6("score").alias("score"))
 
 
+@query()
+def blend_scores_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers; those without orders have no diffused score."""
+    return blend_scores(spark, sf, "true")
+
+
 @query("WITH h AS (SELECT md5(text) AS hash, doc_id FROM documents) SELECT h.doc_id, coalesce(NOT (h.hash = o.hash AND h.doc_id % 4 <> 0), true) AS dirty FROM h LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE hash END AS hash FROM h WHERE doc_id % 3 <> 0) o ON o.doc_id = h.doc_id")
 def dirty_keys(spark: SparkSession, sf: str) -> DataFrame:
     """A third of the keys are new, a fifth changed, a quarter without a vector."""
@@ -526,11 +532,17 @@ def community_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("WITH a AS (SELECT DISTINCT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 20), k AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS owner FROM a) SELECT s_suppkey - 1 AS idx, s_name AS source_file, coalesce(owner, -1)::INT AS owner FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN k ON k.n_name = nation.n_name WHERE s_suppkey <= 50")
-def map_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").where("n_nationkey < 20")
+def map_nodes(spark: SparkSession, sf: str, owners: str = "n_nationkey < 20", cap: int = 50) -> DataFrame:
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").where(owners)
     nodes = s.select((F.col("s_suppkey") - 1).alias("idx"), F.col("s_name").alias("source_file"))
     files = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("path"), F.col("n_name").alias("primary_owner"))
-    return mapview.map_nodes(nodes, files, 50)
+    return mapview.map_nodes(nodes, files, cap)
+
+
+@query()
+def map_nodes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All nations and suppliers, up to the operator's own cap."""
+    return map_nodes(spark, sf, "true", mapview.MAX_NODES)
 
 
 @query("SELECT event_id AS span_id, greatest(event_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 1000000)) AS end_line FROM (SELECT DISTINCT event_id, user_id FROM events)")

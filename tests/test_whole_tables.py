@@ -102,3 +102,25 @@ def test_search_in_blocks_of_queries_and_rows(spark):
         s = np.sort(y @ y[i])[::-1][:4]
         assert np.allclose([got[i, r][1] for r in (1, 2, 3, 4)], s, atol=1e-8)
     assert dense.search(d, q.limit(0), 4).count() == 0
+
+
+def test_blend_and_map_of_all_rows(spark, tmp_path):
+    rng = random.Random(7)
+    balance = {i: round(rng.uniform(-900, 9000), 2) for i in range(1, 41)}
+    orders = [(i, rng.randrange(1, 30), round(rng.uniform(1, 900), 2)) for i in range(120)]
+    nations = {i: f"N{(i * 7) % 25:02d}" for i in range(25)}
+    suppliers = [(i, f"S{i}", rng.choice([*range(25), 99])) for i in range(1, 81)]
+    sf = write(
+        spark, tmp_path / "t", customer=([(i, f"C{i}", b) for i, b in balance.items()], "c_custkey long, c_name string, c_acctbal double"), orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double"),
+        nation=(list(nations.items()), "n_nationkey long, n_name string"), supplier=(suppliers, "s_suppkey long, s_name string, s_nationkey long"),
+    )
+    m = collections.Counter()
+    for _, c, x in orders:
+        m[c] += x
+    f = {i: max(b, 0) for i, b in balance.items()}
+    want = {i: 0.6 * f[i] / max(f.values()) + 0.4 * m[i] / max(m.values()) for i in f if f[i] > 0 or m[i] > 0}
+    got = {r.idx: r.score for r in registry.QUERIES["blend_scores_all"](spark, sf).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 2e-6 for i in want) and any(i >= 30 for i in got)
+    code = {n: k for k, n in enumerate(sorted({nations[k] for _, _, k in suppliers if k in nations}))}
+    owner = {r.idx: r.owner for r in registry.QUERIES["map_nodes_all"](spark, sf).collect()}
+    assert owner == {i - 1: code[nations[k]] if k in nations else -1 for i, _, k in suppliers}
