@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gneiss.llm import langid, minhash, mixing, packing, toxicity
@@ -27,10 +28,25 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of the row's own: a 64-bit hash of its place in its file; where rows have no place, they are stored with a number."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id; null ids come last.
+
+    Rows are told apart by a key of the stage's own, so null and repeated ids are rows like others: a row that repeats an id and text is
+    a copy. Texts without words are in no group, and all stay.
+    """
+    keyed = _keyed(docs)
+    groups = minhash.near_duplicates(keyed, size=5, percent=80, id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least._row").alias("_kept"))
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

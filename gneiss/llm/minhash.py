@@ -12,7 +12,7 @@ with all others of another component, in blocks of `block` rows, as products of
 pair. So connectivity is that of all pairs that share a key, while a neighbourhood of n linked members costs n - 1
 comparisons. All links are confirmed on whole shingle sets.
 
-Rows with an id of their own are assumed; rows that repeat an id and text get the same result each. Null texts and texts
+Rows with an id of their own are assumed (the pipeline's stage gives them one); rows that repeat an id and text get the same result each. Null texts and texts
 without words have no shingles, are linked with nothing, and are their own component. A class is named by a 64-bit hash
 of its set. Empty tables give no rows.
 """

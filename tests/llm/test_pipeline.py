@@ -64,3 +64,24 @@ def test_contract_columns(spark, name):
     out = queries.QUERIES[name](spark, SF)
     assert out.columns[: len(COLUMNS[name])] == COLUMNS[name]
     assert out.limit(1).count() == 1
+
+
+@pytest.mark.parametrize("filed", [False, True])
+def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path, filed):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: words(k) + " more"
+    rows = [(None, words(1)), (None, near(1))]  # a group without ids
+    rows += [(7, words(2))] * 5 + [(None, near(2))]  # repeated rows, and a near copy without an id
+    rows += [(9, words(3)), (9, words(4)), (8, near(4))]  # an id with two texts
+    rows += [(None, words(5)), (6, words(6)), (None, None), (10, "")]
+    d = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    if filed:
+        d.write.parquet(f"{tmp_path}/d")
+        d = spark.read.parquet(f"{tmp_path}/d")
+    assert corpus_pipeline._keyed(d).select("_row").distinct().count() == len(rows)
+    out = corpus_pipeline.drop_near_duplicates(spark, d, "")
+    assert out.columns == d.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    first = [x for x in got if x in [(None, words(1)), (None, near(1))]]
+    assert len(first) == 1
+    assert got == sorted([*first, (7, words(2)), (9, words(3)), (8, near(4)), (None, words(5)), (6, words(6)), (None, None), (10, "")], key=repr)
