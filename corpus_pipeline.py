@@ -50,8 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as temperature mixing places them; each once at least."""
-    return mixing.mixed_documents(docs, repetition=1.25)
+    """Documents as often as temperature mixing places them, with op7's defaults; each once at least."""
+    return mixing.mixed_documents(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

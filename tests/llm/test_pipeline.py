@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gneiss.llm import queries
+from gneiss.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -85,3 +85,11 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path, filed):
     first = [x for x in got if x in [(None, words(1)), (None, near(1))]]
     assert len(first) == 1
     assert got == sorted([*first, (7, words(2)), (9, words(3)), (8, near(4)), (None, words(5)), (6, words(6)), (None, None), (10, "")], key=repr)
+
+
+def test_sources_are_mixed_as_by_op7(spark):
+    rows = [(i, f"w{i} x y z", "hot" if i % 11 else "cold") for i in range(660)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = lambda out: out.groupBy("source").count().orderBy("source").collect()
+    got = placed(corpus_pipeline.mix_sources(spark, d, ""))
+    assert got == placed(mixing.mixed_documents(d, repetition=1.5)) and got != placed(mixing.mixed_documents(d, repetition=1.25))
