@@ -9,7 +9,9 @@ The margin is (second smallest - smallest) / second smallest. `score` is 1 - 2^-
 rejected if its margin is below `narrow` or it has no letter.
 
 Sample: at most `per_lang` documents of each language, the first by a hash of the id; a dictionary holds at most
-`dictionary` bytes of them. At most `languages` languages are learned, the most frequent first.
+`dictionary` bytes of them. Each document gives an equal share first (more where others are shorter): pieces of about
+`PIECE` bytes from places all over the text, in the order of a hash. At most `languages` languages are learned, the
+most frequent first.
 
 Defined cases: texts that are null or have no letters get `und`, score 0 and are rejected. Rows with a null language
 teach nothing. With no labelled rows every text is `und`. An empty table gives no rows.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
@@ -27,6 +30,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 from .common import small_batches
 
 PER_LANG, DICTIONARY, LANGUAGES, CHUNK, LEVEL, NARROW, HALF = 64, 96 * 1024, 256, 2048, 6, 0.002, 0.05
+PIECE = 256
 _GAPS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -35,6 +39,21 @@ def plain(text: str | None) -> bytes:
     return _GAPS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
 
 
+def spread(data: bytes, most: int, piece: int = PIECE) -> bytes:
+    """At most `most` bytes of data: its pieces, which end with a word where one ends soon, in the order of a hash of their place."""
+    if not data:
+        return data
+    data, ends, at = b" " + data, [0], 0
+    while at < len(data):
+        cut = data.find(b" ", at + piece, at + piece + 64)
+        at = min(len(data), at + piece if cut < 0 else cut)
+        ends.append(at)
+    seed = xxhash.xxh3_64_intdigest(data)  # texts of one length give different places
+    order = sorted(range(len(ends) - 1), key=lambda i: xxhash.xxh3_64_intdigest(i.to_bytes(8, "little"), seed))
+    # pieces begin with the blank before them
+    return b"".join(data[ends[i] : ends[i + 1]] for i in order[: most // piece + 2])[:most]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Dictionaries by language, the language with most sampled documents first."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -43,11 +62,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
     ids = ids.join(F.broadcast(top.select(F.col("lang").alias("_top"))), F.col("lang") == F.col("_top"), "left_semi").select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     # at most per_lang x languages ids and their texts
-    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, dictionary).alias("text"))
-    rows = rows.join(F.broadcast(ids), F.expr("id = _id and lang = _lang"))
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(ids), F.expr("id = _id and lang = _lang")).select(F.col("id").cast("string").alias("id"), "lang", "text")
+
+    def pieces(batches):
+        for batch in batches:
+            data = [spread(plain(t), dictionary) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(data, pa.binary())], ["id", "lang", "data"])
+
     by: dict[str, list[tuple]] = {}
-    for r in rows.collect():
-        by.setdefault(r["lang"], []).append((str(r["id"]), plain(r["text"])))
+    for r in rows.mapInArrow(pieces, "id string, lang string, data binary").collect():
+        by.setdefault(r["lang"], []).append((r["id"], bytes(r["data"])))
     out = {}
     for lang, texts in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
         # an equal share for each document first, so that one long text doesn't fill the dictionary

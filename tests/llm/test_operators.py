@@ -234,6 +234,23 @@ def test_narrow_margins_are_rejected(spark):
     assert rows[1].margin == 0 and rows[1].rejected
 
 
+def test_dictionaries_hold_pieces_of_whole_texts(spark):
+    """Documents that begin with the same long foreign passage."""
+    rng = random.Random(12)
+    heading = " ".join(rng.choice("zyxwvuts") * rng.randrange(3, 8) for _ in range(900))
+    own = lambda alphabet, n: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(n))
+    rows = [(i, heading + " " + own(v, 2500), k) for i in range(128) for k, v in [list(LANGS.items())[i % 2]]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for k, alphabet in list(LANGS.items())[:2]:
+        assert len(model[k]) == langid.DICTIONARY
+        assert sum(chr(x) in alphabet for x in model[k]) > 0.5 * len(model[k])
+    data = b" ".join(b"w%04d" % i for i in range(5000))
+    some = langid.spread(data, 3000)
+    places = [int(w[1:]) for w in some.split() if len(w) == 5]
+    assert len(some) == 3000 and min(places) < 1250 and max(places) > 3750
+    assert sorted(langid.spread(data, len(data) + 1).split()) == sorted(data.split()) and langid.spread(b"", 9) == b""
+
+
 def toxic_docs(spark, n=2400):
     rng = random.Random(9)
     rows, labels = [], []
