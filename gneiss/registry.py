@@ -385,6 +385,12 @@ def ppr_structural(spark: SparkSession, sf: str) -> DataFrame:
     return graph.ppr_fixed(graph.symmetric_weights(part_edges(spark, sf)), _seeds(spark, sf), 5).select("idx", r6("score", 10).alias("score"))
 
 
+@query()
+def ppr_structural_full(spark: SparkSession, sf: str) -> DataFrame:
+    """With the operator's own steps and tolerance."""
+    return graph.ppr(graph.symmetric_weights(part_edges(spark, sf)), _seeds(spark, sf)).select("idx", r6("score", 10).alias("score"))
+
+
 TEMPORAL = "te AS (SELECT path_a * 2 AS src, path_b * 2 AS dst, support AS weight FROM pairs WHERE support >= 0.3), ts AS (SELECT src, dst, weight FROM te UNION ALL SELECT dst, src, weight FROM te), tn AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM ts)"
 
 
@@ -699,7 +705,7 @@ def eval_set_filter(spark: SparkSession, sf: str) -> DataFrame:
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Account balances against zero; the draws are Poisson weights, which SQL hasn't."""
     d = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("diff"))
-    return evaluation.paired_bootstrap(d, iterations=200)
+    return evaluation.paired_bootstrap(d)
 
 
 @query()

@@ -124,3 +124,26 @@ def test_blend_and_map_of_all_rows(spark, tmp_path):
     code = {n: k for k, n in enumerate(sorted({nations[k] for _, _, k in suppliers if k in nations}))}
     owner = {r.idx: r.owner for r in registry.QUERIES["map_nodes_all"](spark, sf).collect()}
     assert owner == {i - 1: code[nations[k]] if k in nations else -1 for i, _, k in suppliers}
+
+
+def test_page_rank_until_it_settles_and_all_resamples(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    lines = [(rng.randrange(1, 9), rng.randrange(1, 12)) for _ in range(30)]
+    sf = write(spark, tmp_path / "t", lineitem=(lines, "l_suppkey long, l_partkey long"), supplier=([(i, 10.0 * i) for i in range(1, 9)], "s_suppkey long, s_acctbal double"), customer=([(i, float(i)) for i in range(9)], "c_custkey long, c_acctbal double"))
+    nodes = sorted({a * 2 for a, _ in lines} | {b * 2 + 1 for _, b in lines} | {2, 4, 6, 8, 10})
+    at, w, seed = {x: i for i, x in enumerate(nodes)}, np.zeros((len(nodes),) * 2), np.zeros(len(nodes))
+    for a, b in lines:
+        w[at[a * 2], at[b * 2 + 1]] += 1
+        w[at[b * 2 + 1], at[a * 2]] += 1
+    w /= np.maximum(w.sum(axis=1, keepdims=True), 1)
+    for i in range(1, 6):
+        seed[at[2 * i]] = i / 15
+    p = seed
+    for _ in range(30):
+        spread = 0.85 * p @ w
+        p = spread + seed * (1 - spread.sum())
+    got = {r.idx: r.score for r in registry.QUERIES["ppr_structural_full"](spark, sf).collect()}
+    assert all(abs(got.get(x, 0) - p[i]) < 1e-5 for x, i in at.items())
+    seen, own = [], registry.evaluation.paired_bootstrap
+    monkeypatch.setattr(registry.evaluation, "paired_bootstrap", lambda d, iterations=2000: seen.append(iterations) or own(d, iterations))
+    assert registry.QUERIES["paired_bootstrap"](spark, sf).first().delta == 4.0 and seen == [2000]
