@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _names = itertools.count()
 
@@ -19,26 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a batch between the JVM and Python; whole texts and shingle sets are wide.
-BATCH_ROWS = 2048
+#: Rows and bytes of a batch between the JVM and Python; whole texts and shingle sets are wide. A wider row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow batches, unless the session has a smaller bound."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound the rows and bytes of Arrow batches, unless the session has smaller bounds."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", spark.conf.get(name))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 # ---------------------------------------------------------------- shared files
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all runs in this process (tests), else an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gneiss-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -73,6 +79,20 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def keyed(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a number of the row's own: a 64-bit hash of its place in its file; where rows have no place, they are stored with a number."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... and their names by the old ones, so that no new column can clash with one of them."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 # ---------------------------------------------------------------- words and hashes
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -141,15 +161,14 @@ def arrow_list(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 # ---------------------------------------------------------------- order within large groups
 
 
-def running(df: DataFrame, groups: list[str], order: list[str], value: str, rows: int = 20_000) -> DataFrame:
+def running(df: DataFrame, groups: list[str], order: list[str], value: str, rows: int = 2048) -> DataFrame:
     """df with `before` (the sum of value over the earlier rows of the group, in the order given by
     `place`, a 64-bit hash that the caller has put into the column, then by the columns of order) and `total`.
 
     A group may hold any share of the rows: it is cut into buckets of about `rows` rows by the leading bits
-    of place; windows run within a bucket and over the table of bucket sums, never over a whole group.
+    of place; windows run within a bucket and over the table of bucket sums, never over a whole group. So places must
+    be spread evenly within a group, whatever the group is.
     """
-    from pyspark.sql import Window
-
     sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"), F.sum(value).cast("long").alias("total"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("_n") / F.lit(rows), F.lit(1.0))))).cast("int")
     sizes = sizes.select(*groups, "total", F.least(bits, F.lit(40)).alias("_bits"))
@@ -163,6 +182,73 @@ def running(df: DataFrame, groups: list[str], order: list[str], value: str, rows
     return out.withColumn("before", F.col("_base") + F.col("_in")).drop("_b", "_bits", "_base", "_in")
 
 
+def unrolled(df: DataFrame, first: str, last: str, number: str, step: int = 1 << 16) -> DataFrame:
+    """df with a row for each number from first to last, in two steps, so that no task makes all rows of a long interval."""
+    chunk = df.withColumn("_c", F.explode(F.sequence(F.col(first), F.col(last), F.lit(step)))).repartition("_c", first)
+    return chunk.withColumn(number, F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + (step - 1), F.col(last))))).drop("_c")
+
+
+# ---------------------------------------------------------------- pairs
+
+
+def confirm(pairs: DataFrame, payload: DataFrame, test: Callable[[list[bytes], list[bytes]], list[bool]]) -> DataFrame:
+    """The pairs (a, b) of classes whose payloads (cls, data) pass the test."""
+
+    def run(batches):
+        for batch in batches:
+            keep = pa.array(test(batch.column("da").to_pylist(), batch.column("db").to_pylist()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    both = pairs.join(payload.toDF("a", "da"), "a").join(payload.toDF("b", "db"), "b")
+    return both.select("a", "b", "da", "db").mapInArrow(run, "a long, b long")
+
+
+#: Bytes of payloads of a block.
+ROOM = 8 << 20
+
+
+def across(near: DataFrame, payload: DataFrame, linked: Callable[[list[bytes]], np.ndarray], block: int, room: int = ROOM) -> DataFrame:
+    """Links (a, b) between members of a neighbourhood that lie in different components, as forests.
+
+    near: (first, cls, root, n), n the bytes of the member's payload (cls, data). linked gives a symmetric boolean matrix for a list of
+    payloads. The rows of the largest component of a neighbourhood are dealt to blocks, the others to blocks of their own; a unit is a
+    pair of blocks with at least one of the latter, or some neighbourhoods of one block each. All is planned on numbers; payloads,
+    which are wide, are joined last, so a neighbourhood may hold any share of the rows.
+    """
+    by_root = near.groupBy("first", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    plan = by_root.groupBy("first").agg(F.sum("c").alias("m"), F.sum("s").alias("s"), F.max(F.struct("c", "root", "s")).alias("big"), F.count("*").alias("roots")).where("roots > 1")
+    parts = lambda c, s: F.ceil(F.greatest(c / block, s / room, F.lit(1e-9))).cast("int")
+    plan = plan.select("first", F.col("big.root").alias("major"), parts(F.col("big.c"), F.col("big.s")).alias("nb"), parts(F.col("m") - F.col("big.c"), F.col("s") - F.col("big.s")).alias("no"), "s")
+    plan = stored(plan, "plan")
+    small = (F.col("nb") == 1) & (F.col("no") == 1)
+    units = max(1, -(-(plan.where(small).agg(F.sum("s")).first()[0] or 0) // room))
+    rows = near.join(plan.drop("s"), "first").withColumn("is_major", F.col("root") == F.col("major"))
+    own = F.expr("cast(pmod(xxhash64(cls, 77), if(is_major, nb, no)) as int)")
+    # x: block of the largest component, or -1 - a block of others; y: block of others
+    rows = rows.withColumn("own", own).withColumn("u", F.explode(F.expr(
+        "if(is_major, transform(sequence(0, no - 1), y -> struct(own as x, y as y)),"
+        " concat(transform(sequence(0, nb - 1), x -> struct(x as x, own as y)),"
+        " transform(filter(sequence(0, no - 1), o -> o <> own), o -> struct(-1 - least(o, own) as x, greatest(o, own) as y))))")))
+    several = F.pmod(F.xxhash64("first"), F.lit(units))
+    rows = rows.withColumn("unit", F.when(small, several).otherwise(F.xxhash64("first", "u").bitwiseOR(F.lit(1 << 62))))
+    rows = rows.select("unit", "first", F.col("u.x").alias("x"), F.col("u.y").alias("y"), "cls", "root").join(payload.toDF("cls", "data"), "cls")
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = [t[c].to_numpy() for c in ("y", "x", "first")]
+        order = np.lexsort(keys)
+        keys = [k[order] for k in keys]
+        t = t.take(pa.array(order))
+        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        cls, root, data, out = t["cls"].to_numpy(), t["root"].to_numpy(), t["data"], []
+        for i, j in zip(new.tolist(), [*new[1:].tolist(), t.num_rows]):
+            near = linked(data.slice(i, j - i).to_pylist()) & (root[i:j, None] != root[None, i:j])
+            if near.any():
+                out += forest(near, cls[i:j])
+        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
+
+    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
+
+
 # ---------------------------------------------------------------- connected components
 
 

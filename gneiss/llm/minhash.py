@@ -12,9 +12,10 @@ with all others of another component, in blocks of `block` rows, as products of
 pair. So connectivity is that of all pairs that share a key, while a neighbourhood of n linked members costs n - 1
 comparisons. All links are confirmed on whole shingle sets.
 
-Rows with an id of their own are assumed (the pipeline's stage gives them one); rows that repeat an id and text get the same result each. Null texts and texts
-without words have no shingles, are linked with nothing, and are their own component. A class is named by a 64-bit hash
-of its set. Empty tables give no rows.
+Defined cases: null texts and texts without words have no shingles, are linked with nothing, and are their own component.
+Rows are told apart by a key of their own, not by their id: an id that occurs with several texts links each of them, rows that repeat
+an id and text get the same result each, and rows without an id link others; a component whose rows all lack ids has the component id null.
+Whole texts count, however long. A class is named by a 64-bit hash of its set. Extra columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import connected_components, forest, mix, shingle_set, signed, stored
+from .common import across, confirm, connected_components, keyed, mix, shingle_set, signed, stored
 
 WIDTH, FOUND, BLOCK = 3, 0.9985, 512
 SIGNATURE = "n_shingles long, cls long, lefts array<long>, rights array<long>"
@@ -86,23 +87,32 @@ def signatures(docs: DataFrame, size: int, groups: int, width: int, text_col: st
     return docs.mapInArrow(run, StructType([*keep, *StructType.fromDDL(SIGNATURE).fields]))
 
 
-def similar(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of (a, b, set_a, set_b) with 100 x intersection >= percent x union."""
+def similar(percent: int):
+    """A test of pairs of whole sets: 100 x intersection >= percent x union."""
+
+    def test(left: list[bytes], right: list[bytes]) -> list[bool]:
+        out, last, s = [], None, None
+        for x, y in zip(left, right):
+            if x is not last:
+                last, s = x, np.frombuffer(x, "<u8")
+            t = np.frombuffer(y, "<u8")
+            both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
+            out.append(100 * both >= percent * (len(s) + len(t) - both))
+        return out
+
+    return test
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            last, s = None, None
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                if x is not last:
-                    last, s = x, np.frombuffer(x, "<u8")
-                t = np.frombuffer(y, "<u8")
-                both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+def all_similar(percent: int):
+    """The same test for all pairs of a list of sets, as a matrix."""
+
+    def linked(data: list[bytes]) -> np.ndarray:
+        sets = [np.frombuffer(x, "<u8") for x in data]
+        n = np.array([len(x) for x in sets], np.int64)
+        both = intersections(sets)
+        return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+    return linked
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -124,90 +134,47 @@ def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     row, col = row[keep], new[at[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.int64)
     for lo in range(0, int(new[-1]) + 1 if len(new) else 0, width):
         i, j = np.searchsorted(col, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[i:j], col[i:j] - lo] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
-
-
-def across(near: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between members of a neighbourhood that lie in different components. near: (first, cls, root, set).
-
-    The rows of the largest component of a neighbourhood are dealt to blocks, the others to blocks of their own; units are
-    pairs of blocks with at least one of the latter.
-    """
-    by_root = near.groupBy("first", "root").agg(F.count("*").alias("c"))
-    plan = by_root.groupBy("first").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("big"), F.count("*").alias("roots")).where("roots > 1")
-    plan = plan.select("first", F.col("big.root").alias("major"), F.ceil(F.col("big.c") / block).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("big.c")) / block).cast("int").alias("no"))
-    rows = near.join(plan, "first").withColumn("is_major", F.col("root") == F.col("major"))
-    own = F.expr("cast(pmod(xxhash64(cls, 77), if(is_major, nb, no)) as int)")
-    # x: block of the largest component, or -1 - a block of others; y: block of others
-    rows = rows.withColumn("own", own).withColumn("u", F.explode(F.expr(
-        "if(is_major, transform(sequence(0, no - 1), y -> struct(own as x, y as y)),"
-        " concat(transform(sequence(0, nb - 1), x -> struct(x as x, own as y)),"
-        " transform(filter(sequence(0, no - 1), o -> o <> own), o -> struct(-1 - least(o, own) as x, greatest(o, own) as y))))")))
-    few = F.pmod(F.xxhash64("first"), F.lit(256))
-    rows = rows.withColumn("unit", F.when((F.col("nb") == 1) & (F.col("no") == 1), few).otherwise(F.xxhash64("first", "u").bitwiseOR(F.lit(1 << 62))))
-    rows = rows.select("unit", "first", F.col("u.x").alias("x"), F.col("u.y").alias("y"), "cls", "root", "set")
-
-    def run(t: pa.Table) -> pa.Table:
-        keys = [t[c].to_numpy() for c in ("y", "x", "first")]
-        order = np.lexsort(keys)
-        keys = [k[order] for k in keys]
-        t = t.take(pa.array(order))
-        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
-        cls, root, sets, out = t["cls"].to_numpy(), t["root"].to_numpy(), t["set"], []
-        for i, j in zip(new.tolist(), [*new[1:].tolist(), t.num_rows]):
-            s = [np.frombuffer(x, "<u8") for x in sets.slice(i, j - i).to_pylist()]
-            n = np.array([len(x) for x in s], np.int64)
-            both = intersections(s)
-            linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[i:j, None] != root[None, i:j])
-            if linked.any():
-                out += forest(linked, cls[i:j])
-        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
-
-    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
+        out += (m @ m.T).astype(np.int64)  # at most width, so exact
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, found: float = FOUND, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: its id, n_shingles, component_id (the smallest id reachable) and kept."""
     groups = groups_for(percent / 100, width, found)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # row: rows that repeat an id, or have none, are told apart
+    texts = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row")
     signed_rows = stored(signatures(texts, size, groups, width), "signatures")
-    classes = signed_rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.min_by(F.struct("n_shingles", "lefts", "rights"), "id").alias("s"))
-    classes = stored(classes.select("cls", "rep", F.col("s.n_shingles").alias("n"), "s.lefts", "s.rights"), "classes")
+    classes = signed_rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.min("row").alias("row"), F.min_by(F.struct("n_shingles", "lefts", "rights"), "row").alias("s"))
+    classes = stored(classes.select("cls", "rep", "row", F.col("s.n_shingles").alias("n"), "s.lefts", "s.rights"), "classes")
 
     tables = F.flatten(F.transform("lefts", lambda x: F.transform("rights", lambda y: F.xxhash64(x, y))))
     rows = classes.select("cls", "n", F.explode(tables).alias("key"))
-    shared = rows.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("m")).where("m > 1")
-    members = stored(rows.join(shared, "key").select("key", "cls", "n", "first", "m"), "members")
+    # stored, so that the join with it can be split where a key is hot
+    shared = stored(rows.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "shared")
+    members = stored(rows.join(shared, "key").select("first", "cls", "n").distinct(), "members")
 
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    firsts = members.select(F.col("first").alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
-    sizes = classes.select("cls", "n")
-    star = firsts.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
-    star = stored(star, "star")
+    sizes = members.select("cls", "n").distinct()
+    star = members.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    star = star.join(sizes.toDF("a", "na"), "a").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
 
     # whole sets of the classes that share a key with another
-    wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
-    sets = texts.join(wanted.withColumnRenamed("rep", "id"), "id").select("cls", "id", "text")
-    sets = shingle_sets(sets.select("cls", "text"), size)
+    wanted = members.select("cls").distinct().join(classes.select("cls", "row"), "cls")
+    sets = shingle_sets(texts.select("row", "text").join(wanted, "row").select("cls", "text"), size)
     sets = stored(sets, "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return similar(both.select("a", "b", "set_a", "set_b"), percent)
-
-    links = stored(confirmed(star), "links")
+    links = stored(confirm(star, sets, similar(percent)), "links")
     roots = stored(connected_components(links), "roots")
-    near = members.select("first", "cls").distinct()
-    near = near.join(roots, F.col("cls") == F.col("node"), "left").select("first", "cls", F.coalesce("root", "cls").alias("root"))
-    several = near.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("first")
-    near = stored(near.join(several, "first", "left_semi"), "near")
-    links = stored(links.unionByName(across(near.join(sets, "cls"), percent, block)).distinct(), "links")
+    near = members.join(roots, F.col("cls") == F.col("node"), "left").select("first", "cls", F.coalesce("root", "cls").alias("root"), (F.col("n") * 8).alias("n"))
+    near = stored(near, "near")
+    several = stored(near.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("first"), "several")
+    mixed = stored(near.join(several, "first", "left_semi"), "mixed")
+    links = stored(links.unionByName(across(mixed, sets, all_similar(percent), block)).distinct(), "links")
     roots = stored(connected_components(links), "roots")
 
     label = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
