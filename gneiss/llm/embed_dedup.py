@@ -2,22 +2,27 @@
 
 A vector of unit length, padded with zeros to a power of two, is turned by three rounds of random signs and fast
 Hadamard transforms; its hash is the axis it is nearest to, with the sign. A table's key joins `k` such hashes. Each
-vector lies in its own bucket and asks the `probes` buckets that are next nearest. k grows with the logarithm of the
-number of distinct vectors, so that at any size unrelated vectors seldom share a bucket, and the number of tables is the
-smallest for which simulated pairs at the threshold are found with probability `found`. Buckets that hold one vector, or
-only asking ones, are dropped before vectors are joined to the others.
+vector lies in its own bucket and in the `probes` buckets that are next nearest. k grows with the logarithm of the
+number of distinct vectors, so that a bucket holds a bounded number of unrelated ones at any size, and the number of tables
+is the smallest for which simulated pairs at the threshold meet with probability `found`; both are chosen for each length of vectors.
 
-Equal vectors form one class. Members of a bucket are compared in blocks of `block` rows, pairs of blocks as tasks of
-their own; a task gives a spanning forest of its links, not the links. Components come from these forests. The numbers
-of links are then counted over the pairs of each component, again in blocks, without a row for each pair: every pair
-of a component that is at the threshold counts, whether a bucket held it or not.
+Equal vectors form one class. What is dealt to buckets is a class's number and a sketch, the signs of 64 random projections, never
+the vector. A bucket is read as a run of sorted rows: a run of at most `small` rows gives the pairs whose sketches differ in few enough
+bits (all but one in 100,000 pairs at the threshold do), a longer one those of its first member only, and its membership. Candidate pairs
+are verified with the vectors, in double precision, and joined to components. The members of long runs with the same first member form a
+neighbourhood; where one still holds several components, its members are compared in blocks, without a row for each pair.
+
+The numbers of links are then counted over the pairs of each component, in blocks: every pair of a component that is at the threshold
+counts, whether a bucket held it or not. Blocks are planned on numbers, and vectors are joined to them last.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors
-of different lengths do not link. Rows that repeat an id are rows of their own. An empty table gives no rows.
+of different lengths do not link. Rows that repeat an id are rows of their own; a row without an id is a component of its own or part of
+one that others name. Extra columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -26,10 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, forest, mix, stored
+from .common import ROOM, across, confirm, connected_components, mix, stored
 from .vectors import matrices, units
 
-PROBES, FOUND, BLOCK = 4, 0.998, 1024
+PROBES, FOUND, BLOCK, SMALL, CROWD = 2, 0.998, 1024, 64, 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -54,7 +59,7 @@ def rotated(x: np.ndarray, number: int) -> np.ndarray:
 
 
 def codes(x: np.ndarray, table: int, k: int, probes: int) -> np.ndarray:
-    """Bucket keys (rows x (1 + probes)): the own bucket, then the probed ones."""
+    """Bucket keys (rows x (1 + probes)): the own bucket, then the next nearest ones."""
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
     wide = min(3, d)
     axes, losses = [], []
@@ -77,10 +82,12 @@ def codes(x: np.ndarray, table: int, k: int, probes: int) -> np.ndarray:
 
 
 def hashes_for(n: int, d: int) -> int:
+    """Hashes of a key: as many as leave CROWD of n vectors, if they were spread evenly, to a bucket."""
     axes = 2 << max(1, (d - 1).bit_length())
-    return min(8, max(1, math.ceil(math.log(25 * max(n, 1)) / math.log(axes))))
+    return min(8, max(1, math.ceil(math.log(max(n, 1) / CROWD) / math.log(axes))))
 
 
+@functools.lru_cache
 def tables_for(d: int, k: int, probes: int, cosine: float, found: float, trials: int = 2000) -> int:
     """The number of tables by simulation of pairs at the threshold."""
     rng = np.random.default_rng(5)
@@ -93,106 +100,181 @@ def tables_for(d: int, k: int, probes: int, cosine: float, found: float, trials:
     hit = []
     for t in range(2):
         a, b = codes(x, t, k, probes), codes(y, t, k, probes)
-        hit.append(((a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)).mean())
+        hit.append((a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean())
     p = min(0.999, max(0.01, float(np.mean(hit))))
     return max(2, math.ceil(math.log(1 - found) / math.log(1 - p)))
 
 
-def in_blocks(rows: DataFrame, key: str, run, schema: str, block: int) -> DataFrame:
-    """run(key, table of the rows of two blocks or one) for all pairs of blocks of each key with more than one row.
+@functools.lru_cache
+def projections(d: int) -> np.ndarray:
+    return np.random.default_rng([20240301, d]).standard_normal((d, 64))
 
-    rows: (key long, cls long, ...). Blocks have about `block` rows, dealt by a hash of cls. Small keys share groups.
-    """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1")
-    units_ = rows.join(sizes, key).withColumn("_nb", F.ceil(F.col("_m") / block).cast("int"))
-    units_ = units_.withColumn("block", F.expr("cast(pmod(xxhash64(cls, 77), _nb) as int)"))
-    units_ = units_.withColumn("_o", F.explode(F.expr("sequence(0, _nb - 1)")))
-    units_ = units_.withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o"))
-    n = max(64, rows.count() // (4 * block))
-    units_ = units_.withColumn("unit", F.when(F.col("_nb") == 1, F.pmod(F.xxhash64(key), F.lit(n))).otherwise(F.xxhash64(key, "lo", "hi").bitwiseOR(F.lit(1 << 62))))
-    units_ = units_.drop("_m", "_nb", "_o")
 
-    def each(t: pa.Table) -> pa.Table:
-        k = t[key].to_numpy()
-        lo, hi = t["lo"].to_numpy(), t["hi"].to_numpy()
-        order = np.lexsort((hi, lo, k))
-        k, lo, hi = k[order], lo[order], hi[order]
-        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        t = t.take(pa.array(order))
-        return run(t, np.append(new, len(k)))
+def sketches(x: np.ndarray) -> np.ndarray:
+    """64 bits of each row: the signs of random projections."""
+    return np.packbits(x @ projections(x.shape[1]) > 0, axis=1).view("<u8").ravel()
 
-    return units_.groupBy("unit").applyInArrow(each, schema)
 
+def bits_apart(cosine: float, miss: float = 1e-5) -> int:
+    """The number of bits in which sketches of a pair at the threshold differ at most, but for a share of `miss`."""
+    p, tail = math.acos(min(1.0, max(-1.0, cosine))) / math.pi, 1.0
+    for t in range(65):
+        tail -= math.comb(64, t) * p**t * (1 - p) ** (64 - t)
+        if tail <= miss:
+            return t
+    return 64
 
-def vectors_of(column) -> list[np.ndarray]:
-    return [np.frombuffer(v, np.float64) for v in column.to_pylist()]
 
+class Runs:
+    """Candidates from rows (key, cls, sketch) that come sorted by key and cls, a batch at a time.
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", probes: int = PROBES, found: float = FOUND, block: int = BLOCK) -> DataFrame:
+    Rows of a run are held until it ends or is longer than `small`; of a longer one, its first member only.
+    """
+
+    def __init__(self, apart: int, small: int = SMALL):
+        self.apart, self.small = apart, small
+        self.rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        self.long: tuple | None = None  # the key, first member and its sketch of a long run that may go on
+
+    def put(self, key: np.ndarray, cls: np.ndarray, sketch: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, long): candidate pairs, and (first, member) rows of long runs."""
+        key, cls, sketch = (np.concatenate([x, y]) for x, y in zip(self.rows, (key, cls, sketch)))
+        out: list[tuple] = []
+        if self.long is not None:
+            n = int(np.searchsorted(key != self.long[0], True))
+            out += self.follow(cls[:n], sketch[:n])
+            key, cls, sketch = key[n:], cls[n:], sketch[n:]
+            if len(key):
+                self.long = None
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(new, len(key)))
+        for i, n in zip(new[size > self.small].tolist(), size[size > self.small].tolist()):
+            self.long = (key[i], cls[i], sketch[i])
+            out.append((cls[i : i + 1], cls[i : i + 1], True))
+            out += self.follow(cls[i + 1 : i + n], sketch[i + 1 : i + n])
+            if i + n < len(key):
+                self.long = None
+        # the last run may go on
+        ends = len(key) if last or self.long is not None or not len(new) else int(new[-1])
+        self.rows = [x[ends:] for x in (key, cls, sketch)]
+        left = np.repeat(np.where(size <= self.small, size, 0), size) - (np.arange(len(key)) - np.repeat(new, size))  # rows of the run from here on
+        left[ends:] = 0
+        at, step = np.flatnonzero(left > 1), 1
+        while len(at):
+            to = at + step
+            near = (np.bitwise_count(sketch[at] ^ sketch[to]) <= self.apart) & (cls[at] != cls[to])
+            out.append((cls[at[near]], cls[to[near]], False))
+            step += 1
+            at = at[left[at] > step]
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.repeat([o[2] for o in out], [len(o[0]) for o in out])
+
+    def follow(self, cls: np.ndarray, sketch: np.ndarray) -> list[tuple]:
+        _, first, own = self.long
+        near = (np.bitwise_count(sketch ^ own) <= self.apart) & (cls != first)
+        return [(np.full(len(cls), first), cls, True), (np.full(near.sum(), first), cls[near], False)]
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", probes: int = PROBES, found: float = FOUND, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """One row per row of vectors: its id, n_links, component_id (the smallest id reachable) and kept."""
+    kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
+
+    def classed(batch):
+        """(length, row numbers, matrix, class numbers) for each length of usable vectors."""
+        for at, x in matrices(batch.column(1)):
+            cls = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in x.astype(kind)], np.uint64).view(np.int64)
+            yield x.shape[1], at, x, cls
 
-    def prepare(batches):
+    def names(batches):
         for batch in batches:
-            data = [None] * batch.num_rows
-            for at, x in matrices(batch.column(1)):
-                for i, v in zip(at.tolist(), x):
-                    data[i] = v.tobytes()
-            cls = [None if v is None else int(np.uint64(xxhash.xxh3_64_intdigest(v)).astype(np.int64)) for v in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(data, pa.binary())], ["id", "cls", "vec"])
+            cls, d = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
+            for size, at, _, c in classed(batch):
+                cls[at], d[at] = c, size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, mask=d == 0), pa.array(d)], ["id", "cls", "d"])
+
+    def payloads(batches):
+        for batch in batches:
+            for _, _, x, cls in classed(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], ["cls", "data"])
 
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    rows = stored(source.mapInArrow(prepare, "id long, cls long, vec binary"), "vectors")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("vec", "id").alias("vec"))
+    rows = stored(source.mapInArrow(names, "id long, cls long, d int"), "names")
+    classes = rows.where("cls is not null").groupBy("cls", "d").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "classes")
-    n, size = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
-    d = (size or 8) // 8
-    k = hashes_for(n, d)
-    tables = tables_for(d, k, probes, cosine, found)
+    plan = {}
+    for d, n in classes.groupBy("d").count().collect():  # one row for each length
+        k = hashes_for(n, d)
+        plan[d] = (k, tables_for(d, k, probes, cosine, found))
+    apart = bits_apart(cosine)
 
     def buckets(batches):
+        seen: set[int] = set()
         for batch in batches:
-            data = batch.column(1).to_pylist()
-            cls = batch.column(0).to_numpy()
-            by: dict[int, list[int]] = {}
-            for i, v in enumerate(data):
-                by.setdefault(len(v), []).append(i)
-            for at in by.values():
-                x = units(np.array([np.frombuffer(data[i], np.float64) for i in at]))
+            for d, _, x, cls in classed(batch):
+                # copies within a task are dealt out once
+                new = np.array([i for i, c in enumerate(cls.tolist()) if not (c in seen or seen.add(c))], np.int64)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if not len(new):
+                    continue
+                x, cls = units(x[new]), cls[new]
+                sketch, (k, tables) = sketches(x), plan[d]
                 for t in range(tables):
                     c = codes(x, t, k, probes)
-                    home = np.zeros(c.shape, bool)
-                    home[:, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(np.repeat(cls[at], c.shape[1])), pa.array(home.ravel())], ["key", "cls", "home"])
-
-    def links(t: pa.Table, at: np.ndarray) -> pa.Table:
-        cls, home, block_, lo, hi = (t[c].to_numpy() for c in ("cls", "home", "block", "lo", "hi"))
-        vec, out = vectors_of(t["vec"]), []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            if b - a < 2 or not home[a:b].any():
-                continue
-            x = units(np.array(vec[a:b]))
-            near = (x @ x.T) >= cosine
-            h = home[a:b]
-            near &= h[:, None] | h[None, :]
-            if lo[a] < hi[a]:
-                side = block_[a:b] == lo[a]
-                near &= side[:, None] != side[None, :]
-            np.fill_diagonal(near, False)
-            if near.any():
-                out += forest(near, cls[a:b])
-        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
-
-    hashed = stored(classes.select("cls", "vec").mapInArrow(buckets, "key long, cls long, home boolean"), "buckets")
-    shared = hashed.groupBy("key").agg(F.count("*").alias("m"), F.max("home").alias("any")).where("m > 1 and any").select("key")
-    held = stored(hashed.join(shared, "key", "left_semi").join(classes.select("cls", "vec"), "cls"), "held")
-    edges = in_blocks(held, "key", links, "a long, b long", block)
-    roots = stored(connected_components(edges.distinct()), "roots")
-
-    def counts(t: pa.Table, at: np.ndarray) -> pa.Table:
+                    n = c.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(np.repeat(cls, n)), pa.array(np.repeat(sketch, n).view(np.int64))], ["key", "cls", "sketch"])
+
+    def candidates(batches):
+        runs = Runs(apart, small)
+        for batch in itertools.chain(batches, [None]):
+            columns = [batch.column(i).to_numpy() for i in range(3)] if batch is not None else [np.zeros(0, np.int64)] * 3
+            a, b, long = runs.put(columns[0], columns[1], columns[2].view(np.uint64), batch is None)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(long)], ["a", "b", "long"])
+
+    def units_of(data: list[bytes]) -> np.ndarray:
+        return units(np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64))
+
+    def near(left: list[bytes], right: list[bytes]) -> list[bool]:
+        out = np.zeros(len(left), bool)
+        sizes = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(left, right)])
+        for d in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == d)
+            out[at] = (units_of([left[i] for i in at]) * units_of([right[i] for i in at])).sum(axis=1) >= cosine
+        return out.tolist()
+
+    def all_near(data: list[bytes]) -> np.ndarray:
+        sizes, out = np.array([len(x) for x in data]), np.zeros((len(data), len(data)), bool)
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            x = units_of([data[i] for i in at])
+            out[np.ix_(at, at)] = x @ x.T >= cosine
+        return out
+
+    dealt = source.mapInArrow(buckets, "key long, cls long, sketch long").repartition("key").sortWithinPartitions("key", "cls")
+    found_ = stored(dealt.mapInArrow(candidates, "a long, b long, long boolean").distinct(), "candidates")
+    wanted = found_.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    payload = source.mapInArrow(payloads, "cls long, data binary").join(wanted, "cls", "left_semi")
+    payload = stored(payload.groupBy("cls").agg(F.first("data").alias("data")), "payload")
+    pairs = found_.where("not long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(confirm(pairs, payload, near), "links")
+    roots = stored(connected_components(links), "roots")
+    hoods = found_.where("long").select(F.col("a").alias("first"), F.col("b").alias("cls"))
+    hoods = hoods.join(roots, F.col("cls") == F.col("node"), "left").select("first", "cls", F.coalesce("root", "cls").alias("root"), F.lit(int(kind[2]) * max(plan, default=1)).cast("long").alias("n"))
+    hoods = stored(hoods, "hoods")
+    mixed = stored(hoods.groupBy("first").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("first"), "mixed")
+    more = across(hoods.join(mixed, "first", "left_semi"), payload, all_near, block)
+    roots = stored(connected_components(links.unionByName(more)), "roots")
+
+    def counts(t: pa.Table) -> pa.Table:
+        keys = [t[c].to_numpy() for c in ("hi", "lo", "root")]
+        order = np.lexsort(keys)
+        t, keys = t.take(pa.array(order)), [k[order] for k in keys]
+        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
         cls, copies, block_, lo, hi = (t[c].to_numpy() for c in ("cls", "copies", "block", "lo", "hi"))
-        data, total = vectors_of(t["vec"]), np.zeros(t.num_rows, np.int64)
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            x = units(np.array(data[a:b]))
+        total = np.zeros(t.num_rows, np.int64)
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), t.num_rows]):
+            x = units_of(t["data"].slice(a, b - a).to_pylist())
             if lo[a] < hi[a]:
                 side = block_[a:b] == lo[a]
                 i, j = np.flatnonzero(side), np.flatnonzero(~side)
@@ -205,8 +287,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 total[a:b] = near @ copies[a:b]
         return pa.table({"cls": pa.array(cls, pa.int64()), "n": pa.array(total, pa.int64())})
 
-    members = classes.join(roots, F.col("cls") == F.col("node")).select("root", "cls", "copies", "vec")
-    linked = in_blocks(stored(members, "members"), "root", counts, "cls long, n long", block).groupBy("cls").agg(F.sum("n").alias("n"))
+    members = classes.join(roots, F.col("cls") == F.col("node")).select("root", "cls", "copies", "d")
+    plan_ = stored(members.groupBy("root").agg(F.count("*").alias("m"), F.max("d").alias("d")), "components")
+    parts = F.ceil(F.greatest(F.col("m") / block, F.col("m") * F.col("d") * int(kind[2]) / ROOM)).cast("int")
+    plan_ = plan_.select("root", "m", parts.alias("nb"), (F.col("m") * F.col("d") * int(kind[2])).alias("bytes"))
+    several = max(1, -(-(plan_.where("nb = 1").agg(F.sum("bytes")).first()[0] or 0) // ROOM))
+    dealt = members.join(plan_, "root").withColumn("block", F.expr("cast(pmod(xxhash64(cls, 77), nb) as int)")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = dealt.withColumn("lo", F.least("block", "o")).withColumn("hi", F.greatest("block", "o"))
+    unit = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("root"), F.lit(several))).otherwise(F.xxhash64("root", "lo", "hi").bitwiseOR(F.lit(1 << 62)))
+    dealt = dealt.select(unit.alias("unit"), "root", "lo", "hi", "block", "cls", "copies").join(payload, "cls")
+    linked = dealt.groupBy("unit").applyInArrow(counts, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
     label = classes.select("cls", "rep", "copies").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", "copies", F.coalesce("root", "cls").alias("root"))
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = label.join(least, "root").join(linked, "cls", "left")
