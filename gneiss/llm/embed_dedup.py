@@ -6,7 +6,7 @@ vector lies in its own bucket and in the `probes` buckets that are next nearest.
 number of distinct vectors, so that a bucket holds a bounded number of unrelated ones at any size, and the number of tables
 is the smallest for which simulated pairs at the threshold meet with probability `found`; both are chosen for each length of vectors.
 
-Equal vectors form one class. What is dealt to buckets is a class's number and a sketch, the signs of 64 random projections, never
+Equal vectors form one class. What is dealt to buckets is a class's number and a sketch, the signs of 128 random projections, never
 the vector. A bucket is read as a run of sorted rows: a run of at most `small` rows gives the pairs whose sketches differ in few enough
 bits (all but one in 100,000 pairs at the threshold do), a longer one those of its first member only, and its membership. Candidate pairs
 are verified with the vectors, in double precision, and joined to components. The members of long runs with the same first member form a
@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ROOM, across, confirm, connected_components, mix, stored
 from .vectors import matrices, units
 
-PROBES, FOUND, BLOCK, SMALL, CROWD = 2, 0.998, 1024, 64, 16
+PROBES, FOUND, BLOCK, SMALL, CROWD, BITS = 2, 0.998, 1024, 64, 16, 128
+
+WORDS = [f"s{i}" for i in range(BITS // 64)]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -107,22 +109,27 @@ def tables_for(d: int, k: int, probes: int, cosine: float, found: float, trials:
 
 @functools.lru_cache
 def projections(d: int) -> np.ndarray:
-    return np.random.default_rng([20240301, d]).standard_normal((d, 64))
+    return np.random.default_rng([20240301, d]).standard_normal((d, BITS))
 
 
 def sketches(x: np.ndarray) -> np.ndarray:
-    """64 bits of each row: the signs of random projections."""
-    return np.packbits(x @ projections(x.shape[1]) > 0, axis=1).view("<u8").ravel()
+    """BITS bits of each row, in words of 64: the signs of random projections."""
+    return np.packbits(x @ projections(x.shape[1]) > 0, axis=1).view("<u8")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of bits in which sketches differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def bits_apart(cosine: float, miss: float = 1e-5) -> int:
     """The number of bits in which sketches of a pair at the threshold differ at most, but for a share of `miss`."""
     p, tail = math.acos(min(1.0, max(-1.0, cosine))) / math.pi, 1.0
-    for t in range(65):
-        tail -= math.comb(64, t) * p**t * (1 - p) ** (64 - t)
+    for t in range(BITS):
+        tail -= math.comb(BITS, t) * p**t * (1 - p) ** (BITS - t)
         if tail <= miss:
             return t
-    return 64
+    return BITS
 
 
 class Runs:
@@ -131,9 +138,9 @@ class Runs:
     Rows of a run are held until it ends or is longer than `small`; of a longer one, its first member only.
     """
 
-    def __init__(self, apart: int, small: int = SMALL):
-        self.apart, self.small = apart, small
-        self.rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    def __init__(self, most: int, small: int = SMALL):
+        self.most, self.small = most, small
+        self.rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)]
         self.long: tuple | None = None  # the key, first member and its sketch of a long run that may go on
 
     def put(self, key: np.ndarray, cls: np.ndarray, sketch: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +169,7 @@ class Runs:
         at, step = np.flatnonzero(left > 1), 1
         while len(at):
             to = at + step
-            near = (np.bitwise_count(sketch[at] ^ sketch[to]) <= self.apart) & (cls[at] != cls[to])
+            near = (apart(sketch[at], sketch[to]) <= self.most) & (cls[at] != cls[to])
             out.append((cls[at[near]], cls[to[near]], False))
             step += 1
             at = at[left[at] > step]
@@ -172,7 +179,7 @@ class Runs:
 
     def follow(self, cls: np.ndarray, sketch: np.ndarray) -> list[tuple]:
         _, first, own = self.long
-        near = (np.bitwise_count(sketch ^ own) <= self.apart) & (cls != first)
+        near = (apart(sketch, own) <= self.most) & (cls != first)
         return [(np.full(len(cls), first), cls, True), (np.full(near.sum(), first), cls[near], False)]
 
 
@@ -206,7 +213,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     for d, n in classes.groupBy("d").count().collect():  # one row for each length
         k = hashes_for(n, d)
         plan[d] = (k, tables_for(d, k, probes, cosine, found))
-    apart = bits_apart(cosine)
+    most = bits_apart(cosine)
 
     def buckets(batches):
         seen: set[int] = set()
@@ -223,13 +230,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 for t in range(tables):
                     c = codes(x, t, k, probes)
                     n = c.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(np.repeat(cls, n)), pa.array(np.repeat(sketch, n).view(np.int64))], ["key", "cls", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(np.repeat(cls, n)), *(pa.array(np.repeat(w, n).view(np.int64)) for w in sketch.T)], ["key", "cls", *WORDS])
 
     def candidates(batches):
-        runs = Runs(apart, small)
+        runs = Runs(most, small)
         for batch in itertools.chain(batches, [None]):
-            columns = [batch.column(i).to_numpy() for i in range(3)] if batch is not None else [np.zeros(0, np.int64)] * 3
-            a, b, long = runs.put(columns[0], columns[1], columns[2].view(np.uint64), batch is None)
+            key, cls, *sketch = [c.to_numpy() for c in batch.columns] if batch is not None else [np.zeros(0, np.int64)] * (2 + len(WORDS))
+            a, b, long = runs.put(key, cls, np.stack(sketch, axis=1).view(np.uint64), batch is None)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(long)], ["a", "b", "long"])
 
     def units_of(data: list[bytes]) -> np.ndarray:
@@ -251,7 +258,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
             out[np.ix_(at, at)] = x @ x.T >= cosine
         return out
 
-    dealt = source.mapInArrow(buckets, "key long, cls long, sketch long").repartition("key").sortWithinPartitions("key", "cls")
+    dealt = source.mapInArrow(buckets, ", ".join(f"{c} long" for c in ("key", "cls", *WORDS))).repartition("key").sortWithinPartitions("key", "cls")
     found_ = stored(dealt.mapInArrow(candidates, "a long, b long, long boolean").distinct(), "candidates")
     wanted = found_.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     payload = source.mapInArrow(payloads, "cls long, data binary").join(wanted, "cls", "left_semi")
