@@ -182,8 +182,11 @@ def running(df: DataFrame, groups: list[str], order: list[str], value: str, rows
     return out.withColumn("before", F.col("_base") + F.col("_in")).drop("_b", "_bits", "_base", "_in")
 
 
-def unrolled(df: DataFrame, first: str, last: str, number: str, step: int = 1 << 16) -> DataFrame:
-    """df with a row for each number from first to last, in two steps, so that no task makes all rows of a long interval."""
+def unrolled(df: DataFrame, first: str, last: str, number: str, most: int, step: int = 1 << 16) -> DataFrame:
+    """df with a row for each number from first to last. most: the length of the longest interval; where it is above `step`, intervals
+    are cut and dealt out before they are unrolled, so that no task makes all rows of a long one."""
+    if most <= step:
+        return df.withColumn(number, F.explode(F.sequence(F.col(first), F.col(last))))
     chunk = df.withColumn("_c", F.explode(F.sequence(F.col(first), F.col(last), F.lit(step)))).repartition("_c", first)
     return chunk.withColumn(number, F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + (step - 1), F.col(last))))).drop("_c")
 
@@ -204,7 +207,7 @@ def confirm(pairs: DataFrame, payload: DataFrame, test: Callable[[list[bytes], l
 
 
 #: Bytes of payloads of a block.
-ROOM = 8 << 20
+ROOM = 4 << 20
 
 
 def across(near: DataFrame, payload: DataFrame, linked: Callable[[list[bytes]], np.ndarray], block: int, room: int = ROOM) -> DataFrame:

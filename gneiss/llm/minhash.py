@@ -162,6 +162,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sizes = members.select("cls", "n").distinct()
     star = members.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb"))
     star = star.join(sizes.toDF("a", "na"), "a").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
+    star = stored(star, "star")  # so that the join with the sets, which may have a hot side, can be split
 
     # whole sets of the classes that share a key with another
     wanted = members.select("cls").distinct().join(classes.select("cls", "row"), "cls")
