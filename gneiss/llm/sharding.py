@@ -7,11 +7,11 @@ Capacities are the row count divided by the shards, the first (count mod shards)
 
 Rows of one arc are interchangeable but for their order, so overflow is settled on arc counts (a table of shards x
 vnodes entries, whatever the input): round r lets what is left of each arc try the r-th shard ahead. The outcome is,
-for each arc, a list of intervals of ranks with a shard and a first slot. Ranks come from windows over small hash
-buckets and sums of bucket counts. No task sees a whole shard, arc or key.
+for each arc, a list of intervals of ranks with a shard and a first slot. Rows of an arc are ranked by a second hash, which
+does not depend on the arc, in windows over small buckets of it and sums of bucket counts. No task sees a whole shard, arc or key.
 
-Defined cases: null or empty text has no bytes (size 8, crc32 0). Equal rows are counted and spread like others.
-Null ids hash as a value of their own. An empty table gives no rows. Extra columns are ignored.
+Defined cases: null or empty text has no bytes (size 8, crc32 0). Equal rows are counted and spread like others; very long texts
+are read once. Null ids hash as a value of their own. An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import bisect
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import running
+from .common import running, unrolled
 
 VNODES, BITS = 64, 16
 
@@ -69,17 +69,15 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     arcs = spark.createDataFrame(arcs, "at long, arc int")
     kept = rows.withColumn("place", place).groupBy("id", "size", "crc", "place").agg(F.count("*").alias("copies"))
     kept = kept.withColumn("at", F.shiftrightunsigned("place", 64 - BITS)).join(F.broadcast(arcs), "at").drop("at")
-    counted = {r[0]: r[1] for r in kept.groupBy("arc").agg(F.sum("copies")).collect()}
-    counts = [counted.get(a, 0) for a in range(len(points))]
+    # places of one arc lie close together: the order within it comes from another hash
+    kept = kept.withColumn("place", F.xxhash64(F.lit("rank"), "place"))
+    counted = {r[0]: (r[1], r[2]) for r in kept.groupBy("arc").agg(F.sum("copies"), F.max("copies")).collect()}
+    counts = [counted.get(a, (0, 0))[0] for a in range(len(points))]
     plan = settle(counts, owner, capacities(sum(counts), shards))
     pieces = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "arc int, lo long, hi long, shard int, slot0 long")
     # equal rows have equal places: they form one interval of ranks, cut at the ends of the pieces
     ranked = running(kept, ["arc"], ["id", "crc", "size"], "copies")
     cut = ranked.join(F.broadcast(pieces), "arc").where("before < hi and before + copies > lo")
     cut = cut.withColumn("first", F.greatest("before", "lo")).withColumn("last", F.least(F.expr("before + copies"), "hi") - 1)
-    # a large group of equal rows is unrolled in two steps, so that no task makes all its rows
-    step = 1 << 16
-    chunk = cut.withColumn("c", F.explode(F.sequence("first", "last", F.lit(step))))
-    each = F.explode(F.sequence(F.col("c"), F.least(F.col("c") + step - 1, "last"))).alias("r")
-    out = chunk.select("id", "size", "crc", "shard", "lo", "slot0", each)
+    out = unrolled(cut, "first", "last", "r", max((m for _, m in counted.values()), default=0))
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("slot0") + F.col("r") - F.col("lo")).alias("slot"))
