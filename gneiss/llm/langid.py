@@ -8,13 +8,16 @@ Chunks keep the dictionary in reach over long texts; the whole text counts.
 The margin is (second smallest - smallest) / second smallest. `score` is 1 - 2^-(margin / `half`), and a text is
 rejected if its margin is below `narrow` or it has no letter.
 
-Sample: at most `per_lang` documents of each language, the first by a hash of the id; a dictionary holds at most
-`dictionary` bytes of them. Each document gives an equal share first (more where others are shorter): pieces of about
-`PIECE` bytes from places all over the text, in the order of a hash. At most `languages` languages are learned, the
-most frequent first.
-
-Defined cases: texts that are null or have no letters get `und`, score 0 and are rejected. Rows with a null language
-teach nothing. With no labelled rows every text is `und`. An empty table gives no rows.
+Sample: at most `per_lang` documents of each language, the first by a hash of the id, then of the text; a dictionary holds at most
+`dictionary` bytes of them, or `room` bytes shared equally by all languages if that is less, so that what is broadcast is bounded whatever
+their number: no language is left out. Each document gives an equal share first (more where others are shorter): pieces of about
+`PIECE` bytes from places all over the text, in the order of a hash. A language's dictionary is made in one task from its sampled texts.
+
+Defined cases: texts that are null or have no letters (combining marks alone are none) get `und`, score 0 and are rejected. Rows with a
+null language teach nothing, nor does a language whose sampled texts have no letters. With nothing learned every text is `und` with score
+0, and none is rejected but those without letters. Rows that repeat an id are predicted each, and are sampled as one where their texts are
+equal too. Very long texts are read whole, chunk by chunk. Extra columns are kept; one that has the name of a result is replaced by it. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,18 +28,19 @@ import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
+from pyspark.sql.types import StructType
 
 from .common import small_batches
 
-PER_LANG, DICTIONARY, LANGUAGES, CHUNK, LEVEL, NARROW, HALF = 64, 96 * 1024, 256, 2048, 6, 0.002, 0.05
+PER_LANG, DICTIONARY, ROOM, CHUNK, LEVEL, NARROW, HALF = 64, 96 * 1024, 128 << 20, 2048, 6, 0.002, 0.05
 PIECE = 256
-_GAPS = regex.compile(r"[^\p{L}\p{M}]+")
+_GAPS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}").search
+RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
 def plain(text: str | None) -> bytes:
     """The text's letters in lower case, words parted by one blank; empty if it has none."""
-    return _GAPS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    return _GAPS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text and _LETTER(text) else b""
 
 
 def spread(data: bytes, most: int, piece: int = PIECE) -> bytes:
@@ -54,34 +58,41 @@ def spread(data: bytes, most: int, piece: int = PIECE) -> bytes:
     return b"".join(data[ends[i] : ends[i + 1]] for i in order[: most // piece + 2])[:most]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
+def made_of(texts: list[bytes], dictionary: int) -> bytes:
+    """A dictionary of texts: an equal share of each first, at its end, so that one long text doesn't fill it; at least the 8 bytes that zstandard needs."""
+    texts = [t for t in texts if t]
+    share = max(256, dictionary // max(1, len(texts)))
+    data = b" ".join([t[share:] for t in texts] + [t[:share] for t in texts])[-dictionary:]
+    return data and data.rjust(8)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, dictionary: int = DICTIONARY, room: int = ROOM) -> dict[str, bytes]:
     """Dictionaries by language, the language with most sampled documents first."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "id"), "id")
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
-    ids = ids.join(F.broadcast(top.select(F.col("lang").alias("_top"))), F.col("lang") == F.col("_top"), "left_semi").select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    # at most per_lang x languages ids and their texts
-    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(ids), F.expr("id = _id and lang = _lang")).select(F.col("id").cast("string").alias("id"), "lang", "text")
+    small_batches(docs.sparkSession)
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    # one row for each language
+    languages = known.select("lang").distinct().count()
+    most = min(dictionary, max(256, room // max(1, languages)))
+    # ids and hashes of texts are sampled, then only texts that are wanted are moved; copies of one row are one
+    light = known.select("id", "lang", F.xxhash64("text").alias("h")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "id"), "id", "h")
+    picked = light.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).toDF("_id", "_lang", "_h", "r").drop("r")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h"))
+    rows = known.withColumn("h", F.xxhash64("text")).join(picked, same).select(F.col("id").cast("string").alias("id"), "lang", "h", "text")
 
     def pieces(batches):
         for batch in batches:
-            data = [spread(plain(t), dictionary) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(data, pa.binary())], ["id", "lang", "data"])
-
-    by: dict[str, list[tuple]] = {}
-    for r in rows.mapInArrow(pieces, "id string, lang string, data binary").collect():
-        by.setdefault(r["lang"], []).append((r["id"], bytes(r["data"])))
-    out = {}
-    for lang, texts in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
-        # an equal share for each document first, so that one long text doesn't fill the dictionary
-        texts = [t for _, t in sorted(texts) if t]
-        share = max(256, dictionary // max(1, len(texts)))
-        data = b" ".join([t[share:] for t in texts] + [t[:share] for t in texts])[-dictionary:]
-        if len(data) >= 8:
-            out[lang] = data
-    return out
+            data = [spread(plain(t), most) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("h"), pa.array(data, pa.binary())], ["id", "lang", "h", "data"])
+
+    def gathered(t: pa.Table) -> pa.Table:
+        texts = [r["data"] for r in sorted(t.to_pylist(), key=lambda r: (r["id"] or "", r["h"]))]
+        return pa.table({"lang": t["lang"].slice(0, 1), "n": pa.array([len(texts)], pa.int64()), "data": pa.array([made_of(texts, most)], pa.binary())})
+
+    rows = rows.mapInArrow(pieces, "id string, lang string, h long, data binary")
+    rows = rows.groupBy("id", "lang", "h").agg(F.first("data").alias("data"))  # at most per_lang of a language
+    found = rows.groupBy("lang").applyInArrow(gathered, "lang string, n long, data binary").collect()
+    return {r["lang"]: bytes(r["data"]) for r in sorted(found, key=lambda r: (-r["n"], r["lang"])) if r["data"]}
 
 
 class Coders:
@@ -113,6 +124,9 @@ class Coders:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = LEVEL, narrow: float = NARROW, half: float = HALF) -> DataFrame:
     """docs with lang_pred, score, margin and rejected."""
     small_batches(docs.sparkSession)
+    own = StructType.fromDDL(RESULT)
+    keep = [f for f in docs.schema.fields if f.name.lower() not in own.names]
+    at = [f.name for f in keep].index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
     state: list[Coders] = []
 
@@ -120,11 +134,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
         if not state:
             state.append(Coders(sent.value, level))
         for batch in batches:
-            got = [state[0].choose(t) for t in batch.column(text_col).to_pylist()]
+            got = [state[0].choose(t) for t in batch.column(at).to_pylist()]
             margin = np.array([m for _, m in got], np.float64)
             score = 1 - np.exp2(-margin / half)
             bad = np.array([l == "und" for l, _ in got], bool) | (margin < narrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([l for l, _ in got], pa.string()), pa.array(score), pa.array(margin), pa.array(bad)], names=[*batch.schema.names, "lang_pred", "score", "margin", "rejected"])
+            if not state[0].langs:
+                bad = np.array([not plain(t) for t in batch.column(at).to_pylist()], bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([l for l, _ in got], pa.string()), pa.array(score), pa.array(margin), pa.array(bad)], names=[*batch.schema.names, *own.names])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType()).add("rejected", BooleanType())
-    return docs.mapInArrow(run, schema)
+    return docs.select([f.name for f in keep]).mapInArrow(run, StructType([*keep, *own.fields]))
