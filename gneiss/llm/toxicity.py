@@ -2,14 +2,15 @@
 
 Features of a text are the distinct hashes of its lower-cased words, word pairs and pairs that skip one word; the
 words are also hashed by their first letters (`stem`), which stands for the inflections of a word. Training runs
-over a sample of at most `sample` labelled documents (the first by a hash of the id; whole texts), in one task,
-in a hashed order: FTRL with a learning rate for each coordinate and L1 sparsity. Most coordinates stay at zero, so
-the weights that are sent to all tasks are a small array of (index, weight), at most 2^bits entries. Scoring reads
+over a sample of at most `sample` labelled documents (the first by a hash of the id, then of the text; whole texts) and at most `room`
+bytes of features, in one task, in a hashed order: FTRL with a learning rate for each coordinate and L1 sparsity. Most coordinates stay at
+zero, so the weights that are sent to all tasks are a small array of (index, weight), at most 2^bits entries. Scoring reads
 every document once, without a shuffle.
 
 Defined cases: null and empty texts have the score of the bias alone. Rows whose label is null, and labels of other
-documents, teach nothing; a document with several labels counts as toxic if one of them is. With no labelled rows all
-scores are 0.5 and none is predicted toxic but by the threshold. An empty table gives no rows.
+documents, teach nothing; a document with several labels counts as toxic if one of them is. An id that occurs with several texts teaches
+each of them, equal rows teach once. With no labelled rows nothing is known, and all scores are 0. Very long texts are read whole: their
+features are bounded by 2^bits. Extra columns are kept; one that has the name of the result is replaced by it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import MIX, WordHashes, hashes_of, mix, small_batches
 
-BITS, STEM, SAMPLE, THRESHOLD = 22, 5, 16_000, 0.3
+BITS, STEM, SAMPLE, ROOM, THRESHOLD = 22, 5, 16_000, 512 << 20, 0.3
+UNKNOWN = -700.0  # the bias of a model that has learned nothing
 ALPHA, BETA, L1, L2, EPOCHS = 0.6, 1.0, 3.0, 1.0, 5
 #: Characters around words.
 EDGES = b"\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -87,34 +90,44 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: floa
     return used, weight(used), float(weight(np.array([bias]))[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, **how) -> tuple[np.ndarray, np.ndarray, float]:
     """The model from at most `sample` labelled documents; its sparse weights reach the driver."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     order = F.xxhash64(F.lit("toxicity"), "id")
-    pick = y.orderBy(order).limit(sample)
-    pick = F.broadcast(pick)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick, "id")
+    pick = F.broadcast(y.orderBy(order).limit(sample))
+    # ids and hashes of texts are picked first: a repeated id brings no more than `sample` texts, a repeated row one
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick, "id").withColumn("h", F.xxhash64("text"))
+    picked = texts.select("id", "h").distinct().orderBy(order, "h").limit(sample)
+    rows = texts.join(F.broadcast(picked.toDF("_id", "_h")), F.expr("id = _id and h = _h")).select("id", "h", "text", "y")
 
     def featurise(batches):
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            data = [features(x).astype("<i4").tobytes() for x in t["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([t["id"].cast(pa.string()).combine_chunks(), pa.array(data, pa.binary()), t["y"].combine_chunks()], ["id", "at", "y"])
+            data = [features(x, bits).astype("<i4").tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(data, pa.binary()), batch.column(3)], ["id", "h", "at", "y"])
 
     def learn(batches):
         # the features stay in the batches' own memory, 4 bytes each
-        rows = [(hash_of(i), np.frombuffer(a.as_buffer(), "<i4") if a.as_buffer().size else np.zeros(0, "<i4"), y) for b in batches for i, a, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist())]
+        rows, held = [], 0
+        for b in batches:
+            for i, a, y in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                x = a.as_buffer()
+                held += x.size
+                if held <= room or not rows:
+                    rows.append((hash_of(i), np.frombuffer(x, "<i4") if x.size else np.zeros(0, "<i4"), y))
         rows.sort(key=lambda r: (r[0], len(r[1])))
-        at, w, bias = fit([r[1] for r in rows], [r[2] for r in rows], **how)
-        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()]), pa.array([w.astype("<f8").tobytes()]), pa.array([bias])], ["at", "w", "bias"])
+        if rows:
+            at, w, bias = fit([r[1] for r in rows], [r[2] for r in rows], bits, **how)
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()]), pa.array([w.astype("<f8").tobytes()]), pa.array([bias])], ["at", "w", "bias"])
 
     def hash_of(x: str) -> int:
         return xxhash.xxh3_64_intdigest(x or "")
 
-    seen = rows.select("id", "text", "y").mapInArrow(featurise, "id string, at binary, y int")
-    model = seen.repartition(1).mapInArrow(learn, "at binary, w binary, bias double").collect()
+    seen = rows.mapInArrow(featurise, "id string, h long, at binary, y int").groupBy("id", "h", "y").agg(F.first("at").alias("at")).select("id", "h", "at", "y")
+    one = seen.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("room"), "id", "h"))
+    model = one.mapInArrow(learn, "at binary, w binary, bias double").collect()
     if not model:
-        return np.zeros(0, np.int64), np.zeros(0), 0.0
+        return np.zeros(0, np.int64), np.zeros(0), UNKNOWN
     m = model[0]
     return np.frombuffer(m["at"], "<i8"), np.frombuffer(m["w"], "<f8"), m["bias"]
 
@@ -123,6 +136,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     """docs with the score (0 to 1) of each whole text."""
     small_batches(docs.sparkSession)
     at, weights, bias = model
+    keep = [f for f in docs.schema.fields if f.name.lower() != out.lower()]
+    column = [f.name for f in keep].index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights.astype(np.float32)))
     state: dict = {}
 
@@ -133,10 +148,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
             state["w"] = w
         w = state["w"]
         for batch in batches:
-            x = np.array([bias + total(found(t, bits), w) for t in batch.column(text_col).to_pylist()], np.float64)
-            p = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+            x = np.array([bias + total(found(t, bits), w) for t in batch.column(column).to_pylist()], np.float64)
+            p = 1 / (1 + np.exp(-np.clip(x, UNKNOWN, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, out])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))
+    return docs.select([f.name for f in keep]).mapInArrow(run, StructType([*keep, StructField(out, DoubleType())]))
