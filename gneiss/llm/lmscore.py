@@ -12,8 +12,15 @@ to the sums; replies: (block, order, part, counts), joined by block to the docum
 summed per document. A frequent n-gram takes one entry per block, never one per occurrence. N-grams longer than two are
 exploded only where both n-grams one shorter occur `least` times; they can't otherwise.
 
+Every document is part of its own counts, so with `least` = 1 no n-gram would ever be given up, and a text of words that occur
+nowhere else would get the best score there is; with 2, an n-gram counts if it occurs in another place too.
+
+Counts are 64-bit integers; they are sent with as many bytes as the largest of a row needs. Equal rows of a batch go as one with a number
+of copies, and blocks are dealt by a hash of id and text, so neither null nor repeated ids nor repeated rows fill one block.
+
 Defined cases: documents that are null or have no words have n_tokens 0, log_score 0 and a null mean_log_score. Rows that
-repeat an id are scored each and counted each. Empty tables give no rows. Extra columns are ignored.
+repeat an id are scored each and counted each. Very long texts are read whole. Empty tables give no rows. Extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import gram_hashes, hashes_of, small_batches
 
-ORDER, ALPHA, LEAST, BLOCK = 3, 0.4, 2, 16 << 20
+ORDER, ALPHA, LEAST, BLOCK, PART = 3, 0.4, 2, 16 << 20, 4_000_000
 EXPLODED = "block long, ord int, part long, hashes binary, counts binary"
 REPLY = "block long, ord int, part long, counts binary"
 
@@ -42,6 +49,17 @@ def unplanes(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as planes, after a byte that says how wide they are."""
+    most = int(counts.max()) if len(counts) else 0
+    kind = next(k for k in ("<u2", "<u4", "<u8") if most < 1 << 8 * np.dtype(k).itemsize)
+    return kind[2].encode() + planes(counts.astype(kind))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return unplanes(data[1:], f"<u{data[:1].decode()}").astype(np.int64)
+
+
 def rising(x: np.ndarray) -> bytes:
     """Sorted hashes as the planes of their differences."""
     return planes(np.diff(x, prepend=np.uint64(0)).astype("<u8"))
@@ -54,7 +72,8 @@ def risen(data: bytes) -> np.ndarray:
 class Block:
     """The n-grams of a block's documents; grams(n) lie at the positions at(n) of their last words."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], copies: list[int] | None = None):
+        self.copies = np.ones(len(texts), np.int64) if copies is None else np.array(copies, np.int64)
         each = [hashes_of(t.lower().split() if t else []) for t in texts]
         self.lengths = np.array([len(h) for h in each], np.int64)
         self.h = np.concatenate(each) if each else np.zeros(0, np.uint64)
@@ -76,6 +95,12 @@ class Block:
         g = gram_hashes(self.h, n)
         return g[at - (n - 1)]
 
+    def exploded(self, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams in order, and how often each occurs here."""
+        at = self.at(n, least)
+        u, inverse = np.unique(self.grams(n, at), return_inverse=True)
+        return u, np.bincount(inverse, self.copies[self.doc[at]], len(u)).astype(np.int64)
+
     def learn(self, n: int, counts: np.ndarray, least: int) -> None:
         at = self.at(n, least)
         u, inverse = np.unique(self.grams(n, at), return_inverse=True)
@@ -102,12 +127,12 @@ def tokens_and_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]
     return r[0] or 0, r[1] or 0
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, block: int = BLOCK, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_tokens, log_score and mean_log_score."""
     total, size = tokens_and_bytes(docs, text_col)
     blocks = max(1, -(-size // block))
-    parts = max(1, -(-total // 4_000_000))
-    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    # parts are told by the leading bits of a hash
+    bits = max(0, (total // part).bit_length())
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
@@ -115,28 +140,32 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
         # texts are dealt out once and read in each round: zstandard makes them a third smaller than the shuffle would
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            data = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["block", "id", "text"])
+            own: dict[tuple, int] = {}
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                own[r] = own.get(r, 0) + 1
+            data = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for _, _, t in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], batch.schema.field(1).type), pa.array(list(own.values()), pa.int64()), pa.array(data, pa.binary())], ["block", "id", "copies", "text"])
 
-    texts = docs.select(F.expr(f"pmod(xxhash64({id_col}), {blocks}L)").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.mapInArrow(squeezed, f"block long, id {kind}, text binary").repartition(blocks, "block")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(F.expr(f"pmod(xxhash64(id, text), {blocks}L)").alias("block"), "id", "text")
+    texts = texts.mapInArrow(squeezed, f"block long, id {kind}, copies long, text binary").repartition(blocks, "block")
 
     def restored(held: pa.Table, replies: pa.Table | None) -> Block:
         unpack = zstandard.ZstdDecompressor().decompress
-        b = Block([None if t is None else unpack(t) for t in held["text"].to_pylist()])
+        b = Block([None if t is None else unpack(t) for t in held["text"].to_pylist()], held["copies"].to_pylist())
         if replies is not None:
             rows = sorted(replies.select(["ord", "part", "counts"]).to_pylist(), key=lambda r: (r["ord"], r["part"]))
             for n in sorted({r["ord"] for r in rows}):
-                b.learn(n, np.concatenate([unplanes(r["counts"], "<u4") for r in rows if r["ord"] == n]).astype(np.int64), least)
+                b.learn(n, np.concatenate([unpacked(r["counts"]) for r in rows if r["ord"] == n]), least)
         return b
 
     def exploded(b: Block, orders: list[int], number: int) -> pa.Table:
         rows = []
         for n in orders:
-            u, c = np.unique(b.grams(n, b.at(n, least)), return_counts=True)
-            cuts = [0, *np.searchsorted(u, bounds).tolist(), len(u)]
-            # every part, empty ones too: a block knows of each order that it was answered
-            rows += [{"block": number, "ord": n, "part": p, "hashes": rising(u[i:j]), "counts": planes(c[i:j].astype("<u4"))} for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i or p == 0]
+            u, c = b.exploded(n, least)
+            of = (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
+            # only parts that occur; without any, an empty one: a block knows of each order that it was answered
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(u)]
+            rows += [{"block": number, "ord": n, "part": int(of[i]) if j > i else 0, "hashes": rising(u[i:j]), "counts": packed(c[i:j])} for i, j in zip(cuts, cuts[1:])]
         return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("ord", pa.int32()), ("part", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     def first(held: pa.Table) -> pa.Table:
@@ -147,12 +176,12 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
 
     def count(rows: pa.Table) -> pa.Table:
         h = [risen(x) for x in rows["hashes"].to_pylist()]
-        c = [unplanes(x, "<u4") for x in rows["counts"].to_pylist()]
         _, inverse = np.unique(np.concatenate(h), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate(c)) if len(inverse) else np.zeros(0)
-        answers = np.minimum(sums[inverse], 2**32 - 1).astype("<u4") if len(inverse) else np.zeros(0, "<u4")
+        sums = np.zeros(int(inverse.max()) + 1 if len(inverse) else 0, np.int64)
         cuts = np.cumsum([0, *(len(x) for x in h)])
-        return pa.table({"block": rows["block"], "ord": rows["ord"], "part": rows["part"], "counts": pa.array([planes(answers[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary())})
+        for x, i, j in zip(rows["counts"].to_pylist(), cuts, cuts[1:]):
+            sums[inverse[i:j]] += unpacked(x)  # a row's hashes are distinct
+        return pa.table({"block": rows["block"], "ord": rows["ord"], "part": rows["part"], "counts": pa.array([packed(sums[inverse[i:j]]) for i, j in zip(cuts, cuts[1:])], pa.binary())})
 
     def counted(rows: DataFrame) -> DataFrame:
         return rows.groupBy("ord", "part").applyInArrow(count, REPLY)
@@ -163,8 +192,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
 
     def finish(held: pa.Table, replies: pa.Table) -> pa.Table:
         b = restored(held, replies)
-        return pa.table({"id": held["id"], "n_tokens": pa.array(b.lengths), "log_score": pa.array(b.scores(order, alpha, least, total))})
+        return pa.table({"id": held["id"], "copies": held["copies"], "n_tokens": pa.array(b.lengths), "log_score": pa.array(b.scores(order, alpha, least, total))})
 
-    out = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"id {kind}, n_tokens long, log_score double")
+    out = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"id {kind}, copies long, n_tokens long, log_score double")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))  # at most the rows of a batch
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_score", mean.alias("mean_log_score"))
