@@ -3,20 +3,24 @@
 Vectors are cut in two halves, each quantised to one of `centroids` points of its own codebook; a row's cell is its
 pair of codes. Largest inner products become nearest points by one more component, sqrt(M^2 - |x|^2) with M the largest
 norm, in the second half (zero for a query), so norms may differ. A query walks over the cells in order of summed
-squared distances, with a heap over the two sorted lists, until the cells it has met hold `share` of the rows or
-`least` rows, whichever is more, and `k` at least. All rows of these cells are reranked with the original vectors in
-double precision.
+squared distances, with a heap over the two sorted lists, until the cells it has met hold `enough` rows. All rows of these cells are
+reranked with the original vectors in double precision.
 
-Codebooks are fitted on the driver by Lloyd's method on at most `sample` rows (the first by a hash of the id); every
+`enough` is measured on the fitted sample: the share of the rows that must be met for `recall` of the sample's true k nearest of `trials`
+of its rows, times the rows, and `least` and k + 1 at least. Neighbours in a whole table are nearer than those in a sample of it, so the share is on
+the safe side for larger tables; where vectors have structure it is small. Each length of vectors has an index of its own.
+
+Codebooks are fitted on the driver by Lloyd's method on at most `sample` rows of a length, drawn by a hash; every
 row is indexed. Centroids, and the row counts of centroids^2 cells, are what is broadcast: sizes that parameters bound.
 
-Rows are grouped by first code, in blocks of about `block` rows, so one cell or vector may hold any share of the rows.
-Each query goes to the blocks of the codes it meets with the set of second codes it meets there; a block returns its k
-best for each query, and the k best of these are kept. Ties, compared on exactly equal scores, go to the smaller id.
+Rows are grouped by first code, in blocks of about `block` rows, so one cell or vector may hold any share of the rows; so are the queries
+that meet a code. A pair of blocks is one task's: it returns its k best for each query, and the k best of these are kept. Ties, compared
+on exactly equal scores, go to the smaller id.
 
-Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, take no part, and vectors
-meet only those of the length that most rows have. With fewer than k candidates all are returned. Rows that repeat an id
-are candidates each; rows of the query's own id are none. Empty tables give no rows.
+Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows without an id, take no part, and vectors
+meet only those of their own length. With fewer than k candidates all are returned. Rows that repeat an id
+are candidates each, and queries each, whose answers are merged; rows of the query's own id are none. Extra columns, whatever their names,
+are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import stored
 from .vectors import matrices
 
-CENTROIDS, SAMPLE, SHARE, LEAST, BLOCK, ROUNDS = 63, 20_000, 0.5, 2_000, 2_048, 12
+CENTROIDS, SAMPLE, RECALL, TRIALS, LEAST, BLOCK, ROUNDS = 63, 20_000, 0.96, 256, 2_000, 4_096, 12
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
@@ -79,87 +83,126 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> dic
     return met
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def share_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], most: float, k: int, recall: float, trials: int = TRIALS) -> float:
+    """The share of the rows of x that walks must meet to find `recall` of the k nearest other rows of some of them."""
+    h1, h2 = halves(x, most)
+    a, b = nearest(h1, books[0]), nearest(h2, books[1])
+    some = np.random.default_rng(11).choice(len(x), min(trials, len(x)), replace=False)
+    h1, h2 = halves(x[some], 0.0)
+    cell = distances(h1, books[0])[:, a] + distances(h2, books[1])[:, b]  # of the row's cell, for each trial
+    score = x[some] @ x.T
+    score[np.arange(len(some)), some] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1.0
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    # rows in cells that are met no later
+    order = np.sort(cell, axis=1)
+    met = np.array([np.searchsorted(o, c[t], side="right") for o, c, t in zip(order, cell, top)]) / len(x)
+    return float(np.quantile(met, recall))
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = CENTROIDS, recall: float = RECALL, least: int = LEAST, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (int, from 1), vec_id and score of the k best rows for each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     if not 1 <= centroids <= 63:
-        centroids = 63 if centroids > 63 else 1
+        raise ValueError(f"{centroids} centroids: the codes that a walk meets are 63 bits at most")
+    kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
 
     def prepare(batches):
         for batch in batches:
-            out = [None] * batch.num_rows
+            out, size, norm = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
             for at, x in matrices(batch.column(1)):
-                for i, v in zip(at.tolist(), x):
+                size[at], norm[at] = x.shape[1], np.linalg.norm(x, axis=1)
+                for i, v in zip(at.tolist(), x.astype(kind)):
                     out[i] = v.tobytes()
-            keep = [i for i, v in enumerate(out) if v is not None and batch.column(0)[i].is_valid]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([out[i] for i in keep], pa.binary()), pa.array([float(np.linalg.norm(np.frombuffer(out[i], np.float64))) for i in keep], pa.float64())], ["id", "vec", "norm"])
+            keep = pa.array((size > 0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), pa.array(out, pa.binary()), pa.array(size), pa.array(norm))], ["id", "vec", "size", "norm"])
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(prepare, "id long, vec binary, norm double")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(prepare, "id long, vec binary, size int, norm double")
     rows = stored(rows, "vectors")
-    schema = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.octet_length("vec").alias("size")).agg(F.count("*").alias("n"), F.max("norm").alias("most")).orderBy(F.desc("n"), "size").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    size, n, most = sizes[0]
-    rows = rows.where(F.octet_length("vec") == size).drop("norm")
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    x = np.array([np.frombuffer(r["vec"], np.float64) for r in some])
-    h1, h2 = halves(x, most)
-    books = spark.sparkContext.broadcast((kmeans(h1, centroids), kmeans(h2, centroids)))
-    c1, c2 = (len(b) for b in books.value)
-
-    def matrix(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size // 8)
+    sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.max("norm").alias("most")).orderBy("size").collect()  # one row for each length
+    rows = rows.drop("norm")
+
+    def doubles(data: list[bytes], n: int) -> np.ndarray:
+        return np.frombuffer(b"".join(data), kind).astype(np.float64).reshape(n, -1)
+
+    sampled = {}
+    for size, n, _ in sizes:
+        own = rows.where(F.col("size") == size)
+        # a few more than are wanted, by a hash, so that the sorted rows of a task are few too
+        spread = own.where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(min(1.0, 1.25 * sample / n) * (1 << 30)))
+        some = spread.orderBy(F.xxhash64("id"), "id", "vec").limit(sample).select("vec").collect()
+        if len(some) < min(n, sample) // 4:  # rows that repeat each other share a hash
+            some = own.limit(sample).select("vec").collect()
+        sampled[size] = doubles([r["vec"] for r in some], len(some))
+    indexes, first = {}, 0
+    for size, n, most in sizes:
+        x = sampled[size]
+        h1, h2 = halves(x, most)
+        books = (kmeans(h1, centroids), kmeans(h2, centroids))
+        enough = max(math.ceil(share_for(x, books, most, k, recall) * n), least, k + 1)
+        indexes[size] = {"books": books, "most": most, "enough": enough, "first": first}  # first: number of its first code
+        first += len(books[0])
+    sent = spark.sparkContext.broadcast(indexes)
+
+    def by_size(batch):
+        """(rows, matrix, index) for each length of a batch of (id, vec, size)."""
+        sizes = batch.column(2).to_numpy()
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            yield pa.array(at), doubles(batch.column(1).take(pa.array(at)).to_pylist(), len(at)), sent.value[size]
 
     def encode(batches):
         for batch in batches:
-            if batch.num_rows:
-                h1, h2 = halves(matrix(batch.column(1)), most)
-                a, b = nearest(h1, books.value[0]), nearest(h2, books.value[1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["id", "vec", "a", "b"])
+            for at, x, index in by_size(batch):
+                h1, h2 = halves(x, index["most"])
+                a, b = nearest(h1, index["books"][0]) + index["first"], nearest(h2, index["books"][1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["id", "vec", "a", "b"])
 
     index = stored(rows.mapInArrow(encode, "id long, vec binary, a int, b int"), "index")
-    cells = np.zeros((c1, c2), np.int64)
-    for r in index.groupBy("a", "b").count().collect():  # centroids^2 rows at most
+    cells = np.zeros((first, centroids), np.int64)
+    for r in index.groupBy("a", "b").count().collect():  # centroids^2 rows of a length at most
         cells[r["a"], r["b"]] = r["count"]
-    blocks = np.maximum(1, -(-cells.sum(axis=1) // block))
-    sent = spark.sparkContext.broadcast((cells, blocks))
-    enough = max(math.ceil(share * n), least, k + 1)
+    counted = spark.sparkContext.broadcast(cells)
 
     def visit(batches):
-        cells, blocks = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = matrix(batch.column(1))
-            h1, h2 = halves(q, 0.0)
-            d1, d2 = distances(h1, books.value[0]), distances(h2, books.value[1])
-            at, a, bits = [], [], []
-            for i in range(len(q)):
-                for code, met in walk(d1[i], d2[i], cells, enough).items():
-                    at.append(i)
-                    a.append(code)
-                    bits.append(met)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a, pa.int32()), pa.array(bits, pa.int64())], ["id", "vec", "a", "bits"])
-
-    asked = rows.where(F.col("id") % every == 0)
+            for own, q, index in by_size(batch):
+                h1, h2 = halves(q, 0.0)
+                d1, d2 = distances(h1, index["books"][0]), distances(h2, index["books"][1])
+                here = counted.value[index["first"] : index["first"] + d1.shape[1], : d2.shape[1]]
+                at, a, bits = [], [], []
+                for i in range(len(q)):
+                    for code, met in walk(d1[i], d2[i], here, index["enough"]).items():
+                        at.append(i)
+                        a.append(code + index["first"])
+                        bits.append(met)
+                at = own.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(a, pa.int32()), pa.array(bits, pa.int64())], ["id", "a", "bits"])
+
+    queries = rows.where(F.col("id") % every == 0).distinct()
     # few queries are much work: deal them out
-    asked = asked.repartition(max(8, spark.sparkContext.defaultParallelism * 2), "id").mapInArrow(visit, "id long, vec binary, a int, bits long")
-    many = spark.createDataFrame([(i, int(m)) for i, m in enumerate(blocks)], "a int, blocks int")
-    asked = asked.join(F.broadcast(many), "a").withColumn("s", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
-    held = index.join(F.broadcast(many), "a").withColumn("s", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).drop("blocks")
+    asked = queries.repartition(max(8, spark.sparkContext.defaultParallelism * 2), "id").mapInArrow(visit, "id long, a int, bits long")
+    asked = stored(asked.groupBy("id", "a").agg(F.bit_or("bits").alias("bits")), "asked")
+    met = {r["a"]: r["count"] for r in asked.groupBy("a").count().collect()}  # a row for each code
+    many = [(a, int(max(1, -(-cells[a].sum() // block))), -(-met[a] // block)) for a in sorted(met)]
+    many = spark.createDataFrame(many, "a int, blocks int, parts int")
+    asked = asked.join(F.broadcast(many), "a").withColumn("p", F.expr("cast(pmod(xxhash64(id), parts) as int)")).withColumn("s", F.explode(F.expr("sequence(0, blocks - 1)")))
+    asked = asked.select("id", "a", "bits", "p", "s").join(queries.select("id", "vec"), "id")
+    held = index.join(F.broadcast(many), "a").withColumn("s", F.expr("cast(pmod(xxhash64(id, vec), blocks) as int)")).withColumn("p", F.explode(F.expr("sequence(0, parts - 1)")))
+    held = held.select("id", "vec", "a", "b", "s", "p")
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if asked.num_rows and held.num_rows:
             order = np.argsort(held["b"].to_numpy(), kind="stable")
             held = held.take(pa.array(order))
-            codes, ids, x = held["b"].to_numpy(), held["id"].to_numpy(), matrix(held["vec"])
+            codes, ids, x = held["b"].to_numpy(), held["id"].to_numpy(), doubles(held["vec"].to_pylist(), held.num_rows)
             starts = [(int(b), *np.searchsorted(codes, [b, b + 1]).tolist()) for b in np.unique(codes)]
             for lo in range(0, asked.num_rows, 512):
                 part = asked.slice(lo, 512)
-                q, qid, bits = matrix(part["vec"]), part["id"].to_numpy(), part["bits"].to_numpy()
+                q, qid, bits = doubles(part["vec"].to_pylist(), part.num_rows), part["id"].to_numpy(), part["bits"].to_numpy()
                 score = np.full((len(q), len(x)), -np.inf)
                 for b, i, j in starts:
                     met = np.flatnonzero((bits >> b) & 1)
@@ -180,7 +223,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         cat = lambda i, t: pa.array(np.concatenate([o[i] for o in out]) if out else [], t)
         return pa.table({"query_id": cat(0, pa.int64()), "vec_id": cat(1, pa.int64()), "score": cat(2, pa.float64())})
 
-    found = asked.groupBy("a", "s").cogroup(held.groupBy("a", "s")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    found = asked.groupBy("a", "s", "p").cogroup(held.groupBy("a", "s", "p")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
