@@ -1,26 +1,33 @@
 """Temperature mixing of sources to target weights.
 
 Weights are source token shares raised to an exponent t in [0, 1] and normalised: t = 1 keeps the natural mix, t = 0
-is uniform. Two limits are met by bisection: the entropy of the weights must reach `entropy` x log(sources), which
+is uniform. Two limits are met by bisection: the entropy of the weights must reach `target` x log(sources), which
 lowers t, and no source may be repeated more than `repetition` times, which raises it; where both can't hold, the
-repetition limit does. Weights become whole rows by budgeted block permutations: the budget is the number of tokens
+repetition limit does. A round of the search sums the weights for several exponents at once over the table of sources, so any number of
+sources will do. Weights become whole rows by budgeted block permutations: the budget is the number of tokens
 at which the source repeated least is read once, so every row is placed at least once; a source with quota q x its
 tokens is read in ceil(q) passes, each in a hashed order of its own, and the last pass stops where the quota is met.
 Blocks hold the same share of each source's quota; within a block rows lie in hashed order.
 
-Tokens of a row: its words (runs without white space), one at least. A null source is a source of its own. Empty
-tables give no rows. Running sums go over hash buckets, so a source may hold any share of the rows.
+Equal rows (id, source and tokens) are counted first and placed as one interval of a pass, so neither they nor a hot source fill one task:
+running sums go over hash buckets.
+
+Defined cases: tokens of a row are its words (runs without white space), one at least; null and empty texts have one, very long ones all
+of theirs. A null source is a source of its own. Rows that repeat an id are placed each; those without one like others. Extra columns are
+ignored by mix() and kept by mixed_documents(), whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import running
+from .common import numbered, running, stored, unrolled
 
-MAX_SOURCES = 100_000
+#: Exponents tried in a round of the search, and rounds: the exponent is found to within WIDTH ** -ROUNDS.
+WIDTH, ROUNDS = 64, 7
 
 
 def tokens_of(text: str):
@@ -28,52 +35,45 @@ def tokens_of(text: str):
     return F.greatest(F.lit(1), F.regexp_count(t, F.lit("[^\\s]+"))).cast("long")
 
 
-def weights(tokens: list[int], t: float) -> list[float]:
-    most = max(tokens)
-    raw = [(x / most) ** t for x in tokens]
-    total = sum(raw)
-    return [x / total for x in raw]
-
-
-def entropy(w: list[float]) -> float:
-    return -sum(x * math.log(x) for x in w if x > 0)
-
-
-def passes(tokens: list[int], w: list[float]) -> list[float]:
-    """How often each source is read if that repeated least is read once."""
-    q = [x / n for x, n in zip(w, tokens)]
-    return [x / min(q) for x in q]
+def narrowed(holds: Callable[[list[float]], list[bool]], rounds: int = ROUNDS, width: int = WIDTH) -> float:
+    """The largest number in [0, 1] for which holds; it does for 0 and for all numbers below one that it holds for."""
+    lo, hi = 0.0, 1.0
+    for _ in range(rounds):
+        tried = [lo + (hi - lo) * i / width for i in range(1, width)]
+        good = [t for t, ok in zip(tried, holds(tried)) if ok]
+        lo = good[-1] if good else lo
+        hi = next((t for t in tried if t > lo), hi)
+    return (lo + hi) / 2
 
 
-def exponent(tokens: list[int], target: float, repetition: float) -> float:
-    """The largest t whose entropy is target x log(sources) at least, but no smaller than the repetition limit needs."""
+def exponent(entropies: Callable[[list[float]], list[float]], sources: int, least: int, most: int, target: float, repetition: float) -> float:
+    """The largest t whose entropy is target x log(sources) at least, but no smaller than the repetition limit needs.
 
-    def bisect(holds) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if holds(mid) else (lo, mid)
-        return (lo + hi) / 2
-
-    goal = target * math.log(len(tokens)) if len(tokens) > 1 else 0.0
-    by_entropy = 1.0 if entropy(weights(tokens, 1.0)) >= goal else bisect(lambda t: entropy(weights(tokens, t)) >= goal)
-    by_limit = 0.0 if max(passes(tokens, weights(tokens, 0.0))) <= repetition else bisect(lambda t: max(passes(tokens, weights(tokens, t))) > repetition)
+    least, most: the tokens of the smallest and the largest source. At t the smallest is read (most / least) ** (1 - t) times.
+    """
+    goal = target * math.log(sources) if sources > 1 else 0.0
+    by_entropy = 1.0 if entropies([1.0])[0] >= goal else narrowed(lambda ts: [h >= goal for h in entropies(ts)])
+    ratio = math.log(most / least)
+    by_limit = 0.0 if ratio <= math.log(repetition) else 1.0 - narrowed(lambda us: [u * ratio <= math.log(repetition) for u in us])
     return max(by_entropy, by_limit)
 
 
 def plan(sizes: DataFrame, target: float, repetition: float) -> tuple[DataFrame, float]:
-    """(source, source_tokens, weight, quota) from (source, source_tokens), and the exponent. One row per source reaches the driver."""
-    rows = sizes.orderBy(F.col("source").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    schema = "source string, source_tokens long, weight double, quota double"
-    if not rows:
-        return sizes.sparkSession.createDataFrame([], schema), 1.0
-    tokens = [r["source_tokens"] for r in rows]
-    t = exponent(tokens, target, repetition)
-    w = weights(tokens, t)
-    q = [min(float(x), repetition) for x in passes(tokens, w)]
-    return sizes.sparkSession.createDataFrame([(r["source"], n, x, y) for r, n, x, y in zip(rows, tokens, w, q)], schema), t
+    """(source, source_tokens, weight, quota) from (source, source_tokens), and the exponent."""
+    sources, least, most = sizes.agg(F.count("*"), F.min("source_tokens"), F.max("source_tokens")).first()
+    if not sources:
+        return sizes.select("*", F.lit(0.0).alias("weight"), F.lit(0.0).alias("quota")), 1.0
+    share = F.log(F.col("source_tokens") / F.lit(float(most)))
+
+    def sums(ts: list[float]) -> list[tuple[float, float]]:
+        """For each t, the sum of all powers and that of power x logarithm."""
+        row = sizes.agg(*(f for t in ts for f in (F.sum(F.exp(t * share)), F.sum(F.exp(t * share) * share)))).first()
+        return list(zip(row[::2], row[1::2]))
+
+    t = exponent(lambda ts: [math.log(z) - t * a / z for t, (z, a) in zip(ts, sums(ts))], sources, least, most, target, repetition)
+    total = sums([t])[0][0]
+    quota = F.least(F.exp((t - 1.0) * share), F.lit(float(repetition)))
+    return sizes.select("*", (F.exp(t * share) / F.lit(total)).alias("weight"), quota.alias("quota")), t
 
 
 def mix(docs: DataFrame, target: float = 0.99, repetition: float = 1.5, blocks: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -83,28 +83,38 @@ def mix(docs: DataFrame, target: float = 0.99, repetition: float = 1.5, blocks:
     (block, place) is the order of the mix.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), tokens_of(text_col).alias("tokens"))
-    sizes = rows.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
+    # narrow rows: read by the sums below and again to be placed
+    rows = stored(rows.groupBy("id", "source", "tokens").agg(F.count("*").alias("copies")), "counted")
+    sizes = stored(rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("source_tokens")), "sources")
     planned, t = plan(sizes, target, repetition)
+    most = rows.agg(F.max("copies")).first()[0] or 0
     planned = planned.withColumnRenamed("source", "_source")
-    each = rows.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    each = rows.join(planned, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     each = each.withColumn("pass", F.explode(F.sequence(F.lit(0), (F.ceil("quota") - 1).cast("int"))))
-    each = each.withColumn("place", F.xxhash64(F.lit(seed), "pass", "id", "tokens"))
+    each = each.withColumn("place", F.xxhash64(F.lit(seed), "pass", "id", "tokens")).withColumn("size", F.col("tokens") * F.col("copies"))
     each = each.withColumn("_key", F.xxhash64(F.col("source").isNull(), "source", "pass"))
-    each = running(each, ["_key"], ["id", "tokens"], "tokens")
+    each = running(each, ["_key"], ["id", "tokens"], "size")
     held = F.col("source_tokens") * F.least(F.lit(1.0), F.col("quota") - F.col("pass"))
-    each = each.where(F.col("before") < held)
-    share = (F.col("pass") * F.col("source_tokens") + F.col("before")) / (F.col("quota") * F.col("source_tokens"))
+    # the copies whose tokens before them are below what is held
+    placed = F.least(F.col("copies"), F.ceil((held - F.col("before")) / F.col("tokens")).cast("long")) - 1
+    each = each.where(F.col("before") < held).withColumn("zero", F.lit(0).cast("long")).withColumn("upto", placed)
+    each = unrolled(each, "zero", "upto", "copy", most)
+    before = F.col("before") + F.col("copy") * F.col("tokens")
+    share = (F.col("pass") * F.col("source_tokens") + before) / (F.col("quota") * F.col("source_tokens"))
     block = F.least(F.floor(share * blocks), F.lit(blocks - 1)).cast("int")
     return each.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "tokens", "pass", block.alias("block"),
-        F.xxhash64(F.lit(seed + 1), "pass", "id", "tokens").alias("place"), "weight", "quota", F.lit(float(t)).alias("exponent"),
+        F.xxhash64(F.lit(seed + 1), "pass", "id", "tokens", "copy").alias("place"), "weight", "quota", F.lit(float(t)).alias("exponent"),
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs with each row as often as the mix places it, in its own columns. Rows of one id are repeated equally often, rounded up."""
-    placed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    """docs with each row as often as the mix places it, in its own columns. Rows of one id, source and number of tokens are repeated equally often, rounded up."""
+    d, name = numbered(docs)
+    own = [name[c] for c in (id_col, source_col)]
+    placed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "tokens", "pass")
     # pass 0 places each row once
-    times = placed.groupBy(F.col(id_col).alias("_id")).agg(F.ceil(F.count("*") / F.count_if(F.col("pass") == 0)).cast("int").alias("_times"))
-    out = docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select([docs[c] for c in docs.columns])
+    times = placed.groupBy("id", "source", "tokens").agg(F.ceil(F.count("*") / F.count_if(F.col("pass") == 0)).cast("int").alias("times")).where("times > 1")
+    same = F.col(own[0]).eqNullSafe(F.col("id")) & F.col(own[1]).cast("string").eqNullSafe(F.col("source")) & (tokens_of(name[text_col]) == F.col("tokens"))
+    out = d.join(times, same, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
+    return out.select(d.columns).toDF(*docs.columns)
