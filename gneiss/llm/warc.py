@@ -1,7 +1,8 @@
 """WARC archives: a writer that stores equal payloads once, and a splittable reader.
 
-Writing: payload digests are grouped (map-side maxima, then a join of ids and digests only), so each group of equal
-payloads of `least` bytes or more has one response, the record with the largest id, and revisits that refer to it. Each
+Writing: payload digests are grouped (map-side maxima), so each group of equal payloads of `least` bytes or more has one
+response, the record with the largest id, and revisits that refer to it. Only groups of several rows are kept, in a stored table of
+digests, so the join with the payloads moves none of them where that table is small and can be split where one digest is hot. Each
 task writes one archive: one gzip member per record, to a temporary name that is renamed when whole, so a task that
 runs again replaces its file.
 
@@ -10,9 +11,9 @@ if it decodes to a WARC header, and owns the records that start inside the range
 do. After a record it goes on at the member's end. Other members and stray bytes are passed over.
 
 Defined cases: null or empty payloads are payloads of no bytes. Rows that repeat an id and payload are each written as
-that id's record: all responses, or all revisits. Null ids group like others but are never referred to while another
-id is there. Ids of revisits whose group has null ids only refer to nothing. Empty tables give archives of no records.
-Extra columns are ignored.
+that id's record: all responses, or all revisits. Null ids group like others but are never referred to; a group of rows
+without ids is all responses. Very long payloads are records like others: a task holds one of them, and read rows of 8 MB besides. Empty
+tables give archives of no records. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import stored
+
 MAGIC, SPLIT, LEVEL = b"\x1f\x8b\x08", 32 << 20, 4
 RECORD = "path string, offset long, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
@@ -33,6 +36,7 @@ RECORD = "path string, offset long, record_type string, record_id string, refers
 def filesystem(uri: str):
     from pyarrow import fs
 
+    uri = re.sub(r"^file:/+", "file:///", uri)
     found, path = fs.FileSystem.from_uri(uri)
     return found, path
 
@@ -60,20 +64,18 @@ def record(kind: str, ident: str, uri: str | None, payload: bytes, sha: str, ref
     return z.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
 
 
-def decide(pages: DataFrame, id_col: str, payload_col: str, least: int = 0) -> DataFrame:
-    """(id, sha, keeper): distinct ids and payload digests with the id that keeps the payload; null where each row does."""
+def keepers(pages: DataFrame, id_col: str, payload_col: str, least: int = 0) -> DataFrame:
+    """(sha, keeper) of the payloads of several rows: their digest and the id that keeps them."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.unhex(F.sha1(payload)).alias("sha"), (F.octet_length(payload) >= least).alias("grouped"))
-    keepers = rows.where("grouped").groupBy("sha").agg(F.max("id").alias("keeper"))
-    return rows.select("id", "sha").distinct().join(keepers, "sha", "left")
+    rows = pages.select(F.col(id_col).alias("id"), F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("size")).where(F.col("size") >= least)
+    return rows.groupBy("sha").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("sha", "keeper")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", least: int = 0) -> DataFrame:
     """Write one archive per task to the folder, which must be one that all executors share. Returns (path, records, bytes)."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha"))
-    choice = decide(pages, id_col, payload_col, least).select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), "keeper")
-    rows = rows.join(choice, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
+    rows = rows.join(stored(keepers(pages, id_col, payload_col, least), "keepers"), "sha", "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     rows = rows.select(
         F.col("id").cast("string").alias("id"), "uri", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"),
@@ -175,34 +177,34 @@ def records(window: Window, start: int, end: int):
 
 
 def read(spark: SparkSession, folder: str, split: int = SPLIT, payload: bool = True) -> DataFrame:
-    """One row per record (RECORD) of the *.warc.gz files of a folder; payload=False leaves the payloads out once they are digested."""
-    from pyarrow import fs
-
-    store, top = filesystem(folder)
-    files = [(f.path, f.size) for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.path.endswith(".warc.gz") and f.size]
-    spans = [(p, size, a, min(size, a + split)) for p, size in files for a in range(0, size, split)]
-    spans.sort(key=lambda s: (s[2], s[0]))
+    """One row per record (RECORD) of the *.warc.gz files of a folder; payload=False leaves the payloads out once they are digested.
+
+    Files are listed by Spark as rows of names and sizes, and their ranges are dealt to tasks.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(folder)
+    files = files.select("path", F.col("length").alias("size")).where("size > 0")
+    ranges = files.withColumn("start", F.explode(F.expr(f"sequence(0L, size - 1, {split}L)")))
+    ranges = ranges.select("path", "size", "start", F.least(F.col("size"), F.col("start") + split).alias("end"))
+    schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORD.split(", "))])
 
     def run(batches):
-        store, _ = filesystem(folder)
         for batch in batches:
             for span in batch.to_pylist():
+                store, path = filesystem(span["path"])
                 rows, held = [], 0
-                with store.open_input_file(span["path"]) as f:
+                with store.open_input_file(path) as f:
                     for offset, data in records(Window(f, span["size"]), span["start"], span["end"]):
                         r = parse(data)
                         if r is None:
                             continue
                         if not payload:
                             r["payload"] = None
-                        rows.append({"path": span["path"], "offset": offset} | r)
+                        rows.append({"path": path, "offset": offset} | r)
                         held += len(r["payload"] or b"") + 200
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORD.split(", "))])
-    tasks = max(1, min(len(spans), 4096))
-    ranges = spark.createDataFrame([(i % tasks, *s) for i, s in enumerate(spans)], "k long, path string, size long, start long, end long")
-    return ranges.repartitionByRange(tasks, "k").drop("k").mapInArrow(run, RECORD)
+    tasks = max(1, min(files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 0, 100_000))
+    return ranges.repartition(tasks).mapInArrow(run, RECORD)
