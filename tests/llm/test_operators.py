@@ -92,6 +92,34 @@ def test_shards_are_even_and_slots_gapless(odd, nothing):
     assert sharding.assign(nothing, 7).count() == 0
 
 
+@pytest.mark.parametrize("shards,vnodes,rows", [(5, 8, 700), (2, 1, 6000)])
+def test_shards_match_a_walk_on_the_ring(spark, shards, vnodes, rows):
+    """Round r lets what is left of each arc, in ring order, try the r-th point ahead; the second case has arcs of more rows than a bucket."""
+    d = spark.range(rows).select(F.when(F.col("id") > 20, F.floor(F.col("id") / 3)).alias("doc_id"), F.lit("x").alias("text"))
+    got = collections.defaultdict(list)
+    for r in sharding.assign(d, shards, vnodes=vnodes).collect():
+        got[r.doc_id].append((r.shard, r.slot))
+    at = d.groupBy("doc_id").agg(F.count("*").alias("n"), F.first(F.crc32("text")).alias("crc"))
+    at = at.withColumn("h", F.xxhash64("doc_id", "crc", F.lit(9).cast("long"))).withColumn("rank", F.xxhash64(F.lit("rank"), "h")).collect()
+    points, owner = sharding.ring(shards, vnodes)
+    arcs = [[] for _ in points]
+    for r in at:
+        p = (r.h % (1 << 64)) >> (64 - sharding.BITS)
+        arcs[next((i for i, x in enumerate(points) if x >= p), 0)].append(r)
+    queues = []
+    for rs in arcs:
+        rs.sort(key=lambda r: r["rank"] % (1 << 64) if len(rs) > 2048 else r["rank"])
+        queues.append([r.doc_id for r in rs for _ in range(r.n)])
+    free, want, slot = sharding.capacities(rows, shards), collections.defaultdict(list), [0] * shards
+    for step in range(len(points)):
+        for a, q in enumerate(queues):
+            s = owner[(a + step) % len(points)]
+            while q and free[s]:
+                want[q.pop(0)].append((s, slot[s]))
+                free[s], slot[s] = free[s] - 1, slot[s] + 1
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_most_rows_stay_when_a_shard_is_added(spark):
     d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     a = {r.doc_id: r.shard for r in sharding.assign(d, 24).collect()}
@@ -152,7 +180,7 @@ def test_hadamard_keeps_lengths():
 
 def test_nearest_neighbours(spark):
     x, d = vectors(spark, np.random.default_rng(4))
-    got = ann.search(d, k=5, every=20, centroids=4, share=1.0, block=50).collect()
+    got = ann.search(d, k=5, every=20, centroids=4, least=10**6, block=50).collect()
     s = x @ x.T
     for q in range(0, 300, 20):
         rows = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
@@ -183,6 +211,38 @@ def test_nearest_neighbours_recall_and_ties(spark):
     assert hit / n >= 0.9
 
 
+def test_neighbours_of_all_lengths_and_odd_ids(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, rng.standard_normal(2).tolist()) for i in range(30)] + [(40 + i, rng.standard_normal(3).tolist()) for i in range(3)]
+    rows += [(None, [1.0, 2.0]), (20, rows[20][1]), (60, [1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).orderBy("query_id", "rank").collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.query_id].append((r.vec_id, r.score))
+    assert set(by) == {0, 20, 40}
+    assert {v for v, _ in by[40]} == {41, 42} and all(len(by[q]) == 4 for q in (0, 20))
+    x = dict(rows[:30])
+    want = sorted((-np.dot(x[0], x[i]), i) for i in range(1, 30))
+    want = sorted(want + [w for w in want if w[1] == 20])[:4]  # the id that is there twice is a candidate twice
+    assert [v for v, _ in by[0]] == [i for _, i in want]
+    assert 20 not in [v for v, _ in by[20]]
+    with pytest.raises(ValueError):
+        ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), centroids=64)
+
+
+def test_share_falls_where_vectors_have_structure():
+    rng = np.random.default_rng(17)
+    centers = rng.standard_normal((40, 16))
+    near = centers[rng.integers(0, 40, 4000)] + 0.05 * rng.standard_normal((4000, 16))
+    even = rng.standard_normal((4000, 16))
+    shares = []
+    for x in (near, even):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        h1, h2 = ann.halves(x, 1.0)
+        shares.append(ann.share_for(x, (ann.kmeans(h1, 16), ann.kmeans(h2, 16)), 1.0, 20, 0.95))
+    assert shares[0] < 0.1 < shares[1] <= 1
+
+
 def test_equal_scores_go_to_smaller_ids(spark):
     d = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(300)], "vec_id long, embedding array<float>")
     got = ann.search(d, k=20, every=100, block=16).where("query_id = 100").orderBy("rank").collect()
@@ -234,6 +294,40 @@ def test_narrow_margins_are_rejected(spark):
     assert rows[1].margin == 0 and rows[1].rejected
 
 
+def test_language_matches_compression_with_each_dictionary(spark):
+    import zstandard
+
+    d = lang_docs(spark, 90)
+    model = langid.train(d.where("doc_id < 45"))
+    for r in langid.predict(d, model).collect():
+        data, sizes = langid.plain(r.text), {}
+        for lang, raw in model.items():
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(data[i : i + langid.CHUNK])) for i in range(0, len(data), langid.CHUNK))
+        a, b = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == a and abs(r.margin - (b - a) / b) < 1e-12 and r.rejected == (r.margin < langid.NARROW)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i * 2 + j, f"{chr(0x4E00 + 7 * i)}{chr(0x4E01 + 7 * i)}" * 3, f"l{i}") for i in range(300) for j in range(2)]
+    rows += [(9000, "q", "tiny"), (9001, "123", "numbers"), (None, "no id abc", "none"), (9002, None, "nothing")]
+    rows += [(9003, f"copy {i % 4}", "same") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert set(model) == {f"l{i}" for i in range(300)} | {"tiny", "none", "same"}
+    assert len(model["tiny"]) == 8
+    rooms = langid.train(d, room=303 * 256)
+    assert set(rooms) == set(model) and all(len(x) <= 256 for x in rooms.values())
+
+
+def test_texts_without_letters_have_no_language(spark):
+    d = spark.createDataFrame([(1, "\u0301\u0302"), (2, "12 ."), (3, "abc")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(d, {"aa": b"abc abc abc", "bb": b"xyz xyz xyz"}).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und", "und", "aa"]
+    none = {r.doc_id: r.rejected for r in langid.predict(d, {}).collect()}
+    assert none == {1: True, 2: True, 3: False}
+
+
 def test_dictionaries_hold_pieces_of_whole_texts(spark):
     """Documents that begin with the same long foreign passage."""
     rng = random.Random(12)
@@ -276,7 +370,53 @@ def test_toxicity_on_held_out_rows(spark, odd, nothing):
     assert len(set(empty)) == 1 and empty[0] < 0.3
     assert toxicity.score(nothing, model).count() == 0
     none = toxicity.train(nothing, labels)
-    assert {r.score for r in toxicity.score(d.limit(5), none).collect()} == {0.5}
+    assert all(r.score < 1e-300 for r in toxicity.score(d.limit(5), none).collect())
+
+
+def test_toxicity_matches_scalar_ftrl(spark):
+    rng = random.Random(14)
+    rows = [(i, text(rng, rng.randrange(1, 9)) + (" rascal" if i % 3 == 0 else "")) for i in range(60)]
+    rows += [(7, "another text of seven"), (7, "another text of seven"), (8, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), bits=12, l1=0.4)
+    import xxhash
+
+    y = dict(labels)
+    learned = sorted({(i, t) for i, t in rows}, key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), len(toxicity.features(r[1], 12))))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.4 else (math.copysign(0.4, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for i, t in learned:
+            at = [*toxicity.features(t, 12).tolist(), "bias"]
+            w = {j: weight(j) for j in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[i]
+            for j in at:
+                step = (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / toxicity.ALPHA
+                z[j] += g - step * w[j]
+                n[j] += g * g
+    want = {j: weight(j) for j in z if j != "bias" and abs(z[j]) > 0.4}
+    assert dict(zip(model[0].tolist(), model[1])).keys() == want.keys() and len(want) > 5
+    assert all(abs(w - want[j]) < 1e-9 for j, w in zip(model[0].tolist(), model[1])) and abs(model[2] - weight("bias")) < 1e-9
+
+
+def test_toxicity_of_repeated_ids_is_bounded(spark):
+    d = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int")
+    at, _, _ = toxicity.train(d, labels, sample=10, l1=0.01)
+    assert 0 < len(at) <= 2 * 10
+    at, _, _ = toxicity.train(d, labels, sample=1000, room=200, l1=0.01)
+    assert 0 < len(at) <= 2 * 25  # two features of four bytes a text
+
+
+def test_results_replace_columns_of_their_name(spark):
+    d = spark.createDataFrame([(1, "abc def", 0.5, "x", True)], "doc_id long, text string, score double, lang_pred string, rejected boolean")
+    out = toxicity.score(d, (np.zeros(0, np.int64), np.zeros(0), 0.0))
+    assert sorted(out.columns) == sorted(d.columns) and out.first().score == 0.5
+    out = langid.predict(d, {"aa": b"abc def ghi", "bb": b"zzz yyy xxx"})
+    assert out.columns == ["doc_id", "text", "lang_pred", "score", "margin", "rejected"] and out.first().lang_pred == "aa"
 
 
 def test_toxicity_learns_from_all_labels_below_its_bound(spark):
@@ -329,6 +469,30 @@ def test_backoff_of_no_rows(nothing, odd):
     assert len(blank) == 3 and all(r.n_tokens == 0 and r.log_score == 0 and r.mean_log_score is None for r in blank)
 
 
+def test_counts_do_not_saturate():
+    for most in (3, 70_000, 1 << 32, 1 << 40):
+        x = np.array([1, most, 2], np.int64)
+        assert (lmscore.unpacked(lmscore.packed(x)) == x).all()
+    assert len(lmscore.packed(np.array([1]))) == 3 and len(lmscore.unpacked(lmscore.packed(np.zeros(0, np.int64)))) == 0
+    b = lmscore.Block([b"a b a b", b""])
+    b.learn(1, np.array([1 << 40, 1 << 33]), 2)  # in the order of the hashes
+    b.learn(2, np.array([1 << 35, 1 << 34]), 2)
+    assert np.isfinite(b.scores(2, 0.4, 2, 1 << 41)).all() and {1 << 40, 1 << 33} == set(b.count[1].tolist())
+
+
+def test_repeated_ids_and_rows_are_scored_each(spark):
+    rng = random.Random(23)
+    rows = [(None, text(rng, 20)) for _ in range(40)] + [(1, text(rng, 20)) for _ in range(40)] + [(2, "a b c d")] * 3000
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = d.select(F.expr("pmod(xxhash64(doc_id, text), 64L)").alias("b")).groupBy("b").count().where("b is not null").count()
+    assert blocks > 30
+    got = lmscore.score(d, block=500, part=100).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    n = 40 * 40 + 4 * 3000
+    same = [r for r in got if r.doc_id == 2]
+    assert len({r.log_score for r in same}) == 1 and abs(same[0].log_score - math.log(3000 / n)) < 1e-9
+
+
 def test_byte_planes_round_trip():
     x = np.unique(np.random.default_rng(1).integers(0, 2**64 - 1, 1000, np.uint64))
     assert (lmscore.risen(lmscore.rising(x)) == x).all()
@@ -338,14 +502,67 @@ def test_byte_planes_round_trip():
 # ---------------------------------------------------------------- mixing
 
 
+def powers(tokens, t):
+    raw = [(x / max(tokens)) ** t for x in tokens]
+    return [x / sum(raw) for x in raw]
+
+
+def entropy(w):
+    return -sum(x * math.log(x) for x in w)
+
+
+def exponent(tokens, target, repetition):
+    return mixing.exponent(lambda ts: [entropy(powers(tokens, t)) for t in ts], len(tokens), min(tokens), max(tokens), target, repetition)
+
+
 def test_exponent_meets_its_limits():
     tokens = [1000, 100, 10]
-    t = mixing.exponent(tokens, 0.9, 1e9)
-    assert abs(mixing.entropy(mixing.weights(tokens, t)) - 0.9 * math.log(3)) < 1e-6
-    t = mixing.exponent(tokens, 0.99, 1.5)
-    assert abs(max(mixing.passes(tokens, mixing.weights(tokens, t))) - 1.5) < 1e-6
-    assert mixing.exponent([5, 5], 0.9, 4.0) == 1.0
-    assert mixing.exponent([7], 0.9, 4.0) == 1.0
+    t = exponent(tokens, 0.9, 1e9)
+    assert abs(entropy(powers(tokens, t)) - 0.9 * math.log(3)) < 1e-6
+    t = exponent(tokens, 0.99, 1.5)
+    reads = [w / n for w, n in zip(powers(tokens, t), tokens)]
+    assert abs(max(reads) / min(reads) - 1.5) < 1e-6
+    assert exponent([5, 5], 0.9, 4.0) == 1.0
+    assert exponent([7], 0.9, 4.0) == 1.0
+
+
+def test_weights_of_many_sources(spark):
+    tokens = [10 + i % 977 for i in range(3000)]
+    sizes = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(tokens)], "source string, source_tokens long")
+    planned, t = mixing.plan(sizes, 0.997, 1e9)
+    assert 0 < t < 1 and abs(entropy(powers(tokens, t)) - 0.997 * math.log(3000)) < 1e-6
+    w = dict(zip((f"s{i}" for i in range(3000)), powers(tokens, t)))
+    rows = planned.collect()
+    assert len(rows) == 3000 and all(abs(r.weight - w[r.source]) < 1e-12 for r in rows)
+    assert abs(min(r.quota for r in rows) - 1) < 1e-9
+
+
+def test_mix_matches_brute_force(spark):
+    """Order, passes and blocks of each copy, with repeated rows, null ids and null sources."""
+    rng = random.Random(21)
+    rows = [(i, "w " * rng.randrange(1, 9), rng.choice(["big"] * 8 + ["small", None])) for i in range(900)]
+    rows += [(5, "w w", "big")] * 400 + [(None, "w w w", "small")] * 30 + [(None, "w", None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d, repetition=1.5).collect()
+    quota = {r.source: r.quota for r in got}
+    counted = collections.Counter((i, s, max(1, len(x.split()))) for i, x, s in rows)
+    keys = spark.createDataFrame([(i, s, n, p) for (i, s, n) in counted for p in range(2)], "id long, source string, tokens long, p int")
+    place = {(r.id, r.source, r.tokens, r.p): r.h for r in keys.withColumn("h", F.xxhash64(F.lit(7), "p", "id", "tokens")).collect()}
+    want = collections.Counter()
+    for s in quota:
+        own = [(i, n, c) for (i, x, n), c in counted.items() if x == s]
+        total = sum(n * c for _, n, c in own)
+        for p in range(math.ceil(quota[s])):
+            unsigned = len(own) > 2048
+            at = 0
+            for i, n, c in sorted(own, key=lambda r: place[r[0], s, r[1], p] % (1 << 64) if unsigned else place[r[0], s, r[1], p]):
+                for _ in range(c):
+                    if at < total * min(1.0, quota[s] - p) - 1e-9:
+                        want[i, s, n, p, min(63, int((p * total + at) / (quota[s] * total) * 64))] += 1
+                    at += n
+    have = collections.Counter((r.doc_id, r.source, r.tokens, r["pass"], r.block) for r in got)
+    assert have == want
+    assert len({r.place for r in got if r.doc_id == 5}) == sum(v for k, v in want.items() if k[0] == 5)
 
 
 def test_mix_places_quotas(spark, nothing):
@@ -467,30 +684,36 @@ def test_encoder_matches_the_tokenizer():
 
 
 def test_sum_of_squares_choice():
+    """A piece of whole levels goes where the sum of squared counts is smallest: levels are exact, so no other choice may be better."""
     rng, p = random.Random(2), packing.Packer(64, 4)
     fills = {}
+    ss = lambda c: int((c[1:16] ** 2).sum())
     for _ in range(3000):
-        size, before = rng.randrange(1, 64), p.count.copy()
-        w, offset = p.put(size)
-        assert offset == fills.get(w, 0) and offset + size <= 64
-        fills[w] = offset + size
-        a, b = -(-offset // 4), -(-(offset + size) // 4)
-        ss = lambda c: int((c[1:16] ** 2).sum())
-        after = p.count.copy()
-        # no other level would have given a smaller sum, by the level's own rounding up
-        up = -(-size // 4)
+        up, before = rng.randrange(1, 16), p.count.copy()
+        w, offset = p.put(4 * up)
+        assert offset == fills.get(w, 0) and offset + 4 * up <= 64
+        fills[w] = offset + 4 * up
+        least = []
         for h in range(0, 17 - up):
             if h and not before[h]:
                 continue
             c = before.copy()
-            if h:
-                c[h] -= 1
-            if h + up < 16:
-                c[h + up] += 1
-            assert ss(after) <= ss(c) + 2 * (abs(int(before[b]) - int(before[min(16, a + up)])) if b < 16 else 0) + 2
+            c[h] -= bool(h)
+            c[h + up] += h + up < 16
+            least.append(ss(c))
+        assert ss(p.count) == min(least)
     assert sum(fills.values()) / (64 * p.next) > 0.9
 
 
+def test_pieces_of_any_length_fit():
+    rng, p, fills = random.Random(3), packing.Packer(64, 4), {}
+    for _ in range(3000):
+        size = rng.randrange(1, 64)
+        w, offset = p.put(size)
+        assert offset == fills.get(w, 0) and offset + size <= 64
+        fills[w] = offset + size
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
@@ -538,6 +761,30 @@ def test_near_duplicates_match_brute_force(spark, size, percent, block):
     assert got == brute(rows, size, percent)
 
 
+def test_near_duplicates_without_ids_of_their_own(spark):
+    rng = random.Random(31)
+    base = [text(rng, 80) for _ in range(6)]
+    near = [b + " w1" for b in base]
+    rows = [(None, base[0]), (None, near[0])]  # only rows without an id
+    rows += [(4, base[1]), (4, base[2]), (3, near[2]), (9, near[1])]  # an id with two texts
+    rows += [(None, base[3]), (12, near[3])] + [(20, base[4])] * 5 + [(21, near[4])] * 2
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(None, None, True)] * 2 + [(4, 4, True), (9, 4, False), (4, 3, False), (3, 3, True), (None, 12, False), (12, 12, True)] + [(20, 20, True)] * 5 + [(21, 20, False)] * 2)
+
+
+def test_large_neighbourhood_of_near_copies(spark):
+    """Copies of one text that differ in a word each, chained so that the ends are not alike."""
+    rng = random.Random(33)
+    words, rows = text(rng, 60).split(), []
+    for i in range(240):
+        words[(i * 7) % 60] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, text(rng, 60)) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(d, 3, 85, block=16).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     rows = minhash.near_duplicates(odd).collect()
     got = {r.doc_id: r for r in rows}

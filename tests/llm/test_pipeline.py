@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gneiss.llm import mixing, queries
+from gneiss.llm.common import keyed
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -78,7 +79,7 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path, filed):
     if filed:
         d.write.parquet(f"{tmp_path}/d")
         d = spark.read.parquet(f"{tmp_path}/d")
-    assert corpus_pipeline._keyed(d).select("_row").distinct().count() == len(rows)
+    assert keyed(d).select("_row").distinct().count() == len(rows)
     out = corpus_pipeline.drop_near_duplicates(spark, d, "")
     assert out.columns == d.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
@@ -93,3 +94,49 @@ def test_sources_are_mixed_as_by_op7(spark):
     placed = lambda out: out.groupBy("source").count().orderBy("source").collect()
     got = placed(corpus_pipeline.mix_sources(spark, d, ""))
     assert got == placed(mixing.mixed_documents(d, repetition=1.5)) and got != placed(mixing.mixed_documents(d, repetition=1.25))
+
+
+CLASH = "score double, rejected boolean, margin double, lang_pred string, _score double, _times int, times int, id long, row long, _row long, c0 string, copy int, source_tokens long, place long, tokens long, text2 string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows with nulls, repeats, blank and long texts and clashing columns, after enough plain ones to learn from."""
+    words = lambda k, n=40: " ".join(f"{'abcdefgh'[k % 8]}{'xyzuvw'[(k + i) % 6]}ord{chr(97 + i % 26)}" for i in range(n))
+    rows = [(i, words(i) + f" n{i}", "en" if i % 2 else "de", f"s{i % 3}") for i in range(40)]
+    rows += [(None, words(50), "en", None), (3, None, "en", "s1"), (60, "", None, "s0"), (61, words(61, 20_000), "de", "s0"), (62, "\u0301", "en", "s0")]
+    rows += [(70, " ".join(f"u{j}q" for j in range(40)), "en", "s1")] * 6 + [(None, None, None, None)]
+    clash = [0.5, True, 0.1, "x", 0.5, 3, 3, 1, 1, 1, "c", 1, 1, 1, 1, "t"]
+    return spark.createDataFrame([(*r, len(r[1] or ""), *clash) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}")
+
+
+def labels(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("filed", [False, True])
+def test_stages_take_odd_rows(spark, odd, tmp_path, filed):
+    sf = labels(spark, tmp_path, [(i, 1, int(i % 5 == 0)) for i in range(30)] + [(None, 1, 1), (3, 1, None)])
+    d = odd
+    if filed:
+        d.write.parquet(f"{tmp_path}/d")
+        d = spark.read.parquet(f"{tmp_path}/d")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, sf)
+        assert out.columns == d.columns, name
+        assert {r.score for r in out.select("score").collect()} == {0.5}
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, sf)
+    assert packed.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    kept = corpus_pipeline.drop_near_duplicates(spark, d, sf).collect()
+    assert sum(r.doc_id == 70 for r in kept) == 1 and sum(r.text is None for r in kept) == 2
+    mixed = corpus_pipeline.mix_sources(spark, d, sf)
+    assert mixed.count() >= d.count() and mixed.exceptAll(mixed.dropDuplicates()).count() >= 5
+
+
+def test_nothing_learned_drops_nothing(spark, odd, tmp_path):
+    none = labels(spark, tmp_path, [(10_000, 1, 1)])
+    assert corpus_pipeline.drop_toxic(spark, odd, none).count() == odd.count()
+    unknown = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.keep_languages(spark, unknown, none)
+    assert kept.count() == odd.where("text rlike '[a-z]'").count() and kept.where("lang is not null").count() == 0
