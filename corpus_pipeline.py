@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gneiss.llm import langid, minhash, mixing, packing, toxicity
-from gneiss.llm.common import discard, stored, table
+from gneiss.llm.common import discard, keyed, numbered, stored, table
 from gneiss.llm.queries import tokenizer_path
 
 #: SQL can't express FTRL, compression, hashed orders and tokenizers.
 ORACLE_SQL = None
 
+# Columns are numbered inside a stage, so that columns of any name may stand beside those of documents.
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.3, by a model of the labels."""
+    """Documents with a toxicity score below 0.3, by a model of the labels; all of them where no document has a label."""
+    d, name = numbered(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_score")
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(docs.columns)
+    scored = toxicity.score(d, model, text_col=name["text"], out="score")
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(d.columns).toDF(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart by compression; lang becomes the predicted one."""
-    seen = docs.withColumnRenamed("lang", "_lang")
-    found = langid.predict(seen, langid.train(docs))
-    found = found.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred"))
-    return found.select(docs.columns)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of the row's own: a 64-bit hash of its place in its file; where rows have no place, they are stored with a number."""
-    try:
-        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """Documents whose language is told apart by compression; lang becomes the predicted one. Where no document has a language, those with letters."""
+    d, name = numbered(docs)
+    found = langid.predict(d, langid.train(docs), text_col=name["text"]).where(~F.col("rejected"))
+    lang = F.when(F.col("lang_pred") != "und", F.col("lang_pred")).otherwise(F.col(name["lang"]))
+    return found.withColumn(name["lang"], lang).select(d.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a key of the stage's own, so null and repeated ids are rows like others: a row that repeats an id and text is
     a copy. Texts without words are in no group, and all stay.
     """
-    keyed = _keyed(docs)
-    groups = minhash.near_duplicates(keyed, size=5, percent=80, id_col="_row").select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least._row").alias("_kept"))
-    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
+    d, name = numbered(docs)
+    d = keyed(d, "row")
+    groups = minhash.near_duplicates(d, size=5, percent=80, id_col="row", text_col=name["text"]).select("row", "component_id")
+    order = F.struct(F.col(name["doc_id"]).isNull().alias("none"), F.col(name["doc_id"]).alias("id"), F.col("row"))
+    least = groups.join(d.select("row", name["doc_id"]), "row").groupBy("component_id").agg(F.min(order).alias("least"))
+    out = d.join(least.select(F.col("least.row").alias("kept")), F.col("row") == F.col("kept"), "left_semi")
+    return out.drop("row").toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
