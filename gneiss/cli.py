@@ -36,19 +36,22 @@ def parser() -> argparse.ArgumentParser:
     add("co-change", "path", n=number(10))
     add("hotspots", n=number(20))
     add("stats")
-    add("eval", fraction={"type": float, "default": 0.8}, limit=number(200), json={"default": None})
+    add("eval", fraction={"type": float, "default": 0.8}, limit=number(200), json={"default": None}, no_rebuild=flag)
     add("serve")
-    add("map", "file")
+    add("map", "file", symbols=flag)
     add("summarize", command={"default": None, "dest": "caller"}, n=number(12))
     return p
 
 
-def evaluate(spark, store, root: str, fraction: float, limit: int) -> list:
-    """Rungs over changes after the cutoff, with a history that ends there."""
+def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool = True) -> list:
+    """Rungs over changes after the cutoff, with a history that ends there, in an epoch that is never published; rebuild=False takes the history that the index has."""
+    import contextlib
+
     from pyspark.sql import functions as F
 
     from gneiss.operators import evaluation, temporal
     from gneiss.plans.history import enrich
+    from gneiss.plans.index import encoder_of
     from gneiss.plans.retrieve import Retriever
     from gneiss.sources import history
 
@@ -58,25 +61,29 @@ def evaluate(spark, store, root: str, fraction: float, limit: int) -> list:
     rows = items.collect()
     if len(rows) < 20:
         raise ValueError(f"{len(rows)} changes are too few to evaluate")
-    with store.begin() as epoch:
-        old, n = history.commits(spark, root, temporal.HistoryConfig(before_ts=cutoff))
-        enrich(epoch, old, n, cutoff, temporal.HistoryConfig(before_ts=cutoff))
     queries = spark.createDataFrame([(r["sha"], r["query"]) for r in rows], "query_id string, query string")
-    truth = items.select(F.col("sha").alias("query_id"), F.explode("files").alias("path"))
+    truth = spark.createDataFrame([(r["sha"], p) for r in rows for p in r["files"]], "query_id string, path string")
+    with store.aside() if rebuild else contextlib.nullcontext(store.open()) as epoch:
+        if rebuild:
+            config = temporal.HistoryConfig(before_ts=cutoff)
+            old, n = history.commits(spark, root, config)
+            enrich(epoch, old, n, cutoff, config)
+        encoder = encoder_of(epoch)
+
+        def rung(use_lexical: bool, use_dense: bool, ppr: bool = False):
+            r = Retriever(epoch, encoder=encoder, use_lexical=use_lexical, use_dense=use_dense)
 
-    def rung(ppr: bool):
-        def search(asked):
-            r, out = Retriever(store.open()), None
-            for q in asked.collect():  # a bounded set of queries
-                hits = r.search(q["query"], k=60, use_ppr=ppr).hits
-                if hits is not None:
-                    h = hits.select(F.lit(q["query_id"]).alias("query_id"), "rank", "source_file")
-                    out = h if out is None else out.unionByName(h)
-            return out if out is not None else asked.select("query_id", F.lit(0).alias("rank"), F.lit("").alias("source_file")).limit(0)
+            def search(asked):
+                found = []
+                for q in asked.collect():  # a bounded set of queries, of each a bounded number of hits
+                    hits = r.search(q["query"], k=3 * max(evaluation.KS), use_ppr=ppr).hits
+                    found += [] if hits is None else [(q["query_id"], h["rank"], h["source_file"]) for h in hits.select("rank", "source_file").collect()]
+                return spark.createDataFrame(found, "query_id string, rank int, source_file string")
 
-        return search
+            return search
 
-    return evaluation.run_ladder({"bm25": rung(False), "dense": None, "hybrid": rung(False), "hybrid+ppr": rung(True)}, queries, truth)
+        dense = rung(False, True) if "vectors" in epoch and encoder is not None else None
+        return evaluation.run_ladder({"bm25": rung(True, False), "dense": dense, "hybrid": rung(True, True), "hybrid+ppr": rung(True, True, True)}, queries, truth)
 
 
 def serve(tools) -> None:
@@ -115,7 +122,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         return 1
     from gneiss.tools import Tools
 
-    tools = Tools(store, a.root)
+    tools = Tools(store, a.root, index.encoder_of(store.open()))
     if a.command == "ask":
         if a.json:
             hits, warnings = tools._hits(a.query, a.k, not a.no_tests)
@@ -136,7 +143,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         from gneiss.operators import evaluation
 
         try:
-            rungs = evaluate(spark, store, a.root, a.fraction, a.limit)
+            rungs = evaluate(spark, store, a.root, a.fraction, a.limit, not a.no_rebuild)
         except ValueError as e:
             print(e, file=sys.stderr)
             return 1
@@ -148,7 +155,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
     elif a.command == "map":
         from gneiss import viz
 
-        viz.write(store.open(), a.file, Path(a.root).resolve().name)
+        (viz.write_symbols if a.symbols else viz.write)(store.open(), a.file, Path(a.root).resolve().name)
     elif a.command == "summarize":
         import subprocess
 

@@ -17,9 +17,12 @@ TEST_PATH = r"(?i)(^|/)(tests?|spec|__tests__|testing)/|(^|/)test_[^/]*$|_test\.
 EVAL_NOISE_PATH = r"(?i)(^|/)(package-lock\.json|yarn\.lock|poetry\.lock|Cargo\.lock|uv\.lock|go\.sum|CHANGELOG(\.md)?)$|\.(min\.js|min\.css|lock)$|(^|/)(dist|build|vendor)/"
 PROCESS_SUBJECT = r"(?i)^\s*(merge|revert|bump|release|v?\d+\.\d+\.\d+|chore\(deps\)|update changelog|typo|formatting|lint|rename)\b"
 
+# Parts of identifiers, words of texts, and the signs whose pairs count.
 PART = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+"
 WORD = r"[\p{L}\p{M}]+|\p{Nd}+"
 CJK = "一-鿿぀-ヿ가-힯"
+#: Words that may have several parts.
+SPLITS = r"(?<![\p{L}\p{M}])[\p{L}\p{M}]*?(?:[a-z][A-Z]|[A-Z][A-Z][a-z]|[[\p{L}\p{M}]&&[^A-Za-z]])[\p{L}\p{M}]*"
 
 
 def _col(x: str | Column) -> Column:
@@ -42,17 +45,23 @@ def path_terms(path: str | Column) -> Column:
 
 
 def tokenize(text: str | Column) -> Column:
-    """Lower-cased words and numbers; after a word that splits, its parts; at the end, the pairs of neighbours in runs of Chinese, Japanese and Korean signs."""
+    """Lower-cased words and numbers; the parts of words that split; the pairs of neighbours in runs of Chinese, Japanese and Korean signs.
+
+    Only words with an inner capital, or a letter that is not one of A-Z and a-z, can split; the others are never looked at one by one.
+    """
     t = F.coalesce(_col(text), F.lit(""))
+    none = F.array().cast("array<string>")
 
-    def each(raw: Column) -> Column:
+    def split(raw: Column) -> Column:
         parts = split_identifier(raw)
-        return F.concat(F.array(F.lower(raw)), F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>")))
+        return F.when(F.size(parts) > 1, parts).otherwise(none)
 
-    words = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), each))
+    words = F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
+    parts = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(SPLITS), F.lit(0)), split))
     runs = F.regexp_extract_all(t, F.lit(f"[{CJK}]+"), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.when(t.rlike(f"[{CJK}]"), F.concat(words, pairs)).otherwise(words)
+    out = F.concat(words, F.when(t.rlike(SPLITS), parts).otherwise(none))
+    return F.when(t.rlike(f"[{CJK}]"), F.concat(out, pairs)).otherwise(out)
 
 
 def estimate_tokens(text: str | Column) -> Column:
@@ -64,6 +73,12 @@ def clean_label(label: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(_col(label), F.lit("")), r"[()]+$", ""), r"^\.+", "")
 
 
+def ingest_label(label: str | Column) -> Column:
+    """A raw node's label as spans name it: without blanks and a call's parentheses at the end, quotes around it and leading dots."""
+    bare = F.regexp_replace(F.trim(F.coalesce(_col(label), F.lit(""))), r"\(\)\s*$", "")
+    return F.regexp_replace(F.regexp_replace(bare, "^[\"']+|[\"']+$", ""), r"^\.+", "")
+
+
 def _line(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 

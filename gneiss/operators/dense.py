@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -120,15 +122,25 @@ def best(k: int, q: np.ndarray, i: np.ndarray, score: np.ndarray) -> np.ndarray:
     return order[np.arange(len(order)) - np.repeat(new, np.diff(new, append=len(order))) < k]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 100, block: int = 4096, at_once: int = 8192) -> DataFrame:
+def stacked(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) for each length of the vectors of a column of lists; null ones are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == d)
+        flat = column.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(float("nan"))
+        yield at, flat.to_numpy(zero_copy_only=False).reshape(len(at), d)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 100, at_once: int = 8192) -> DataFrame:
     """(query_id, idx, score, rank) of (idx, embedding) for (query_id, query_vec).
 
     Vectors have length one, so the product is the cosine. Queries pass through the driver in blocks of `at_once`, of which one is
-    held at a time. Each task multiplies blocks of its rows with the queries and keeps k of each, so rows are never shuffled.
+    held at a time. Each task multiplies its batches of rows with the queries and keeps k of each, so rows are never shuffled.
     Queries of another length find nothing.
     """
     spark, q_type = vectors.sparkSession, dict(queries.dtypes)["query_id"]
-    rows = vectors.select("idx", "embedding")
+    rows = vectors.select(F.col("idx").cast("long").alias("idx"), "embedding")
 
     def found(asked: list) -> DataFrame:
         by_size: dict[int, list] = {}
@@ -137,31 +149,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 100, block: int = 40
                 by_size.setdefault(len(r["query_vec"]), []).append(r)
         sent = spark.sparkContext.broadcast({d: ([r["query_id"] for r in own], np.array([r["query_vec"] for r in own], np.float64)) for d, own in by_size.items()})
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = {d: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] for d in sent.value}
-            for pdf in parts:
-                sizes = np.array([-1 if v is None else len(v) for v in pdf["embedding"]])
-                for d, (_, q) in sent.value.items():
-                    own = np.flatnonzero(sizes == d)
-                    for lo in range(0, len(own), block):
-                        some = own[lo : lo + block]
-                        x, idx = np.array(pdf["embedding"].iloc[some].tolist(), np.float64), pdf["idx"].to_numpy()[some]
-                        new = [held[d]]
-                        for at in range(0, len(q), 512):
-                            score = q[at : at + 512] @ x.T
-                            worth = np.where(np.isnan(score), -np.inf, score)
-                            least = np.partition(worth, -k, axis=1)[:, -k, None] if k < len(some) else -np.inf
-                            r, c = np.nonzero(worth >= least)
-                            new.append([r + at, idx[c], score[r, c]])
-                        both = [np.concatenate(z) for z in zip(*new)]
-                        keep = best(k, *both)
-                        held[d] = [z[keep] for z in both]
+            kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}.get(q_type)
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for own, x in stacked(batch.column(1)):
+                    if x.shape[1] not in held:
+                        continue
+                    idx, q, new = ids[own], sent.value[x.shape[1]][1], [held[x.shape[1]]]
+                    for at in range(0, len(q), 512):
+                        score = q[at : at + 512] @ x.T
+                        worth = np.where(np.isnan(score), -np.inf, score)
+                        least = np.partition(worth, -k, axis=1)[:, -k, None] if k < len(idx) else -np.inf
+                        r, c = np.nonzero(worth >= least)
+                        new.append([r + at, idx[c], score[r, c]])
+                    both = [np.concatenate(z) for z in zip(*new)]
+                    keep = best(k, *both)
+                    held[x.shape[1]] = [z[keep] for z in both]
             for d, (r, idx, score) in held.items():
-                ids = sent.value[d][0]
+                names = pa.array(sent.value[d][0], kind)
                 for lo in range(0, len(r), 100_000):
-                    yield pd.DataFrame({"query_id": [ids[i] for i in r[lo : lo + 100_000]], "idx": idx[lo : lo + 100_000], "score": score[lo : lo + 100_000]})
+                    some = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(r[some])), pa.array(idx[some]), pa.array(score[some])], ["query_id", "idx", "score"])
 
-        return rows.mapInPandas(run, f"query_id {q_type}, idx long, score double")
+        return rows.mapInArrow(run, f"query_id {q_type}, idx long, score double")
 
     out, asked = None, queries.select("query_id", "query_vec").toLocalIterator()
     while True:

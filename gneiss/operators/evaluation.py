@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.functions.text import EVAL_NOISE_PATH, PROCESS_SUBJECT, eval_query
 
@@ -82,40 +82,80 @@ def run_ladder(rungs: dict[str, Callable[[DataFrame], DataFrame] | None], items:
     return out
 
 
-def paired_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 0) -> DataFrame:
-    """One row (delta, lo, hi): the mean of diffs (diff) and the bounds of its resampled means.
+#: The modulus of the draws' numbers, a prime.
+PRIME = 2**31 - 1
 
-    Resampling with Poisson weights needs one pass: each row adds its weighted value to all iterations' sums.
-    """
 
-    def run(parts):
-        s, n = np.zeros(iterations), np.zeros(iterations)
-        for pdf in parts:
-            for key, d in zip(pdf["key"], pdf["diff"]):
-                w = np.random.default_rng([seed, int(key) & 0xFFFFFFFF]).poisson(1.0, iterations)
-                s, n = s + w * d, n + w
-        yield pd.DataFrame({"i": np.arange(iterations), "s": s, "n": n})
+def thresholds() -> list[int]:
+    """Numbers below PRIME that a draw passes as often as a Poisson number with mean 1 is at least 1, 2, ... 8."""
+    below, p, out = 0.0, math.exp(-1.0), []
+    for k in range(1, 9):
+        below += p
+        p /= k
+        out.append(int(below * PRIME))
+    return out
+
+
+def draw(key: Column, i: Column, seed: int) -> Column:
+    """A number from 0 to PRIME - 1 for a key and a resample: squares of sums, modulo a prime. The same in any engine with 64-bit integers."""
+    x = F.pmod(F.pmod(key, F.lit(PRIME)) * 48_271 + F.pmod(i, F.lit(PRIME)) * 69_621 + (seed % 1_000_003 + 1) * 40_692, F.lit(PRIME))
+    for c in (12_345, 67_891, 23_456):
+        x = F.pmod(x * x + c + i * 1_009, F.lit(PRIME))
+    return x
+
+
+def poisson(u: Column) -> Column:
+    """How often a row is drawn: a Poisson number with mean 1, by the thresholds that a number from draw() has passed."""
+    return sum(((u >= t).cast("int") for t in thresholds()), F.lit(0))
+
 
-    means = diffs.select("key", "diff").mapInPandas(run, "i long, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m"))
-    ranked = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # one number per iteration
+def paired_bootstrap(diffs: DataFrame, iterations: int = 2000, seed: int = 0) -> DataFrame:
+    """One row (delta, lo, hi): the mean of diffs (key long, diff) and the bounds of its resampled means.
+
+    Resampling with Poisson weights needs one pass: each row adds its weighted value to the sums of all resamples, which are aggregated
+    where the row is. The draws depend on the key and the seed alone, so results don't depend on how rows are dealt out.
+    """
+    each = diffs.select("key", "diff", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))).alias("i"))
+    weighted = each.withColumn("w", poisson(draw(F.col("key").cast("long"), F.col("i"), seed)))
+    means = weighted.groupBy("i").agg(F.sum(F.col("w") * F.col("diff")).alias("s"), F.sum("w").alias("n")).where("n > 0").select((F.col("s") / F.col("n")).alias("m"))
+    ranked = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # one number per resample
     observed = diffs.agg(F.avg("diff").alias("delta"))
-    return observed.crossJoin(ranked).select("delta", F.col("m")[int(0.025 * iterations)].alias("lo"), F.col("m")[int(0.975 * iterations) - 1].alias("hi"))
+    n = F.size("m")
+    at = lambda i: F.get("m", F.greatest(F.lit(0), i.cast("int")))
+    return observed.crossJoin(ranked).select("delta", at(F.floor(n * 0.025)).alias("lo"), at(F.floor(n * 0.975) - 1).alias("hi"))
 
 
 def bootstrap(a: list[float], b: list[float], iterations: int = 2000, seed: int = 0) -> tuple[float, float, float]:
-    """The same for two short lists on the driver, by plain resampling."""
+    """The same for two short lists on the driver, whose positions are the keys."""
     if not a or len(a) != len(b):
         return 0.0, 0.0, 0.0
     d = np.asarray(b, float) - np.asarray(a, float)
-    rng = np.random.default_rng(seed)
-    means = np.sort(d[rng.integers(0, len(d), (iterations, len(d)))].mean(axis=1))
-    return float(d.mean()), float(means[int(0.025 * iterations)]), float(means[int(0.975 * iterations) - 1])
+    i, key = np.arange(iterations, dtype=np.int64)[:, None], np.arange(len(d), dtype=np.int64)[None, :]
+    x = (key * 48_271 + i * 69_621 + (seed % 1_000_003 + 1) * 40_692) % PRIME
+    for c in (12_345, 67_891, 23_456):
+        x = (x * x + c + i * 1_009) % PRIME
+    w = sum((x >= t).astype(np.int64) for t in thresholds())
+    n = w.sum(axis=1)
+    means = np.sort((w @ d)[n > 0] / n[n > 0])
+    return float(d.mean()), float(means[int(0.025 * len(means))]), float(means[max(0, int(0.975 * len(means)) - 1)])
 
 
+# Words of the report.
 def verdict(lo: float, hi: float) -> str:
     return "significant" if lo > 0 else "regression" if hi < 0 else "not significant"
 
 
+def comparisons(rungs: list[Rung], ks: tuple[int, ...] = KS) -> list[tuple[str, str, int, float, float, float, str, bool]]:
+    """(from, to, k, delta, lo, hi, verdict, near ceiling): neighbours at the largest k, then the first and the last rung at each k."""
+    live = [r for r in rungs if r.n]
+    pairs = [(a, b, max(ks)) for a, b in zip(live, live[1:])] + [(live[0], live[-1], k) for k in sorted(ks) if len(live) > 1]
+    out = []
+    for j, (a, b, k) in enumerate(pairs):
+        d, lo, hi = bootstrap(a.each[k], b.each[k])
+        out.append((a.name, b.name, k, d, lo, hi, verdict(lo, hi), j >= len(live) - 1 and a.recall[k] > 0.8))
+    return out
+
+
 def report(rungs: list[Rung], ks: tuple[int, ...] = KS) -> str:
     live = [r for r in rungs if r.n]
     if not live:
@@ -123,12 +163,6 @@ def report(rungs: list[Rung], ks: tuple[int, ...] = KS) -> str:
     lines = [f"{live[0].n} held-out changes", "rung | " + " | ".join(f"R@{k}" for k in ks) + " | MRR | s/query"]
     for r in rungs:
         lines.append(f"{r.name} | " + (" | ".join(f"{r.recall[k]:.3f}" for k in ks) + f" | {r.mrr:.3f} | {r.seconds:.3f}" if r.n else r.note))
-    for a, b in zip(live, live[1:]):
-        d, lo, hi = bootstrap(a.each[max(ks)], b.each[max(ks)])
-        lines.append(f"{a.name} -> {b.name}: {d:+.3f} [{lo:+.3f}, {hi:+.3f}] {verdict(lo, hi)}")
-    if len(live) > 1:
-        for k in sorted(ks):
-            d, lo, hi = bootstrap(live[0].each[k], live[-1].each[k])
-            near = " (baseline near ceiling)" if live[0].recall[k] > 0.8 else ""
-            lines.append(f"{live[0].name} -> {live[-1].name}, R@{k}: {d:+.3f} [{lo:+.3f}, {hi:+.3f}] {verdict(lo, hi)}{near}")
+    for a, b, k, d, lo, hi, said, near in comparisons(rungs, ks):
+        lines.append(f"{a} -> {b}, R@{k}: {d:+.3f} [{lo:+.3f}, {hi:+.3f}] {said}{' (baseline near ceiling)' * near}")
     return "\n".join(lines)

@@ -60,7 +60,8 @@ def blend(ranked: DataFrame, diffused: DataFrame, nodes: DataFrame, seed_weight:
     j = r.join(d, "idx", "full_outer").crossJoin(F.broadcast(peak(ranked, "fp"))).crossJoin(F.broadcast(peak(diffused, "mp")))
     j = j.join(nodes.select("idx", "source_file"), "idx", "left")
     f, m = F.coalesce(F.col("f"), F.lit(0.0)) / F.col("fp"), F.coalesce(F.col("m"), F.lit(0.0)) / F.col("mp")
-    score = seed_weight * f + (1.0 - seed_weight) * m * prior("source_file", include_tests)
+    # twelve places: the order of sums, which differs from run to run, must not order equal scores
+    score = F.round(seed_weight * f + (1.0 - seed_weight) * m * prior("source_file", include_tests), 12)
     return j.where((f > 0) | (m > 0)).select("idx", score.alias("score"))
 
 
@@ -76,6 +77,7 @@ def explain(rows: DataFrame) -> DataFrame:
     """`why` for rows of (is_seed, s, t, in_seed_files, in_history_files, next_to_seed_files)."""
     s, t = F.coalesce(F.col("s"), F.lit(0.0)) > 0, F.coalesce(F.col("t"), F.lit(0.0)) > 0
     near = F.col("next_to_seed_files")
+    # fixed values: the words of provenance
     why = (
         F.when(F.col("is_seed"), "matched query")
         .when(t & F.col("in_seed_files"), "in the same file as a match")

@@ -35,57 +35,50 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
 
 
-def ppr_step(p: DataFrame, normal: DataFrame, seeds: DataFrame, alpha: float) -> DataFrame:
-    """One step: alpha x (spread mass + what leaks, back to the seeds) + (1 - alpha) x seeds. No mass is lost.
+def with_returns(normal: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Normalised edges, and edges to the seeds (idx, seed) from nodes that have none: what such a node holds goes back to the seeds, in their shares."""
+    ends = normal.select(F.col("dst").alias("idx")).unionByName(seeds.select("idx")).distinct()
+    dangling = ends.join(normal.select(F.col("src").alias("idx")).distinct(), "idx", "left_anti")
+    back = dangling.select(F.col("idx").alias("src")).crossJoin(F.broadcast(seeds.select(F.col("idx").alias("dst"), F.col("seed").alias("weight"))))
+    return normal.unionByName(back)
 
-    What was spread is read twice, so it is cut off here; else plans would double with each step.
-    """
-    spread = p.join(normal, p["idx"] == normal["src"]).groupBy(F.col("dst").alias("idx")).agg((alpha * F.sum(F.col("score") * F.col("weight"))).alias("score"))
-    spread = truncate(spread)
-    kept = spread.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("_kept"))
-    back = seeds.crossJoin(F.broadcast(kept)).select("idx", (F.col("seed") * (1.0 - F.col("_kept"))).alias("score"))
-    return spread.unionByName(back).groupBy("idx").agg(F.sum("score").alias("score"))
 
+def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, reverse: bool = False, every: int = 5) -> DataFrame:
+    """(idx, score) of personalised PageRank from seeds (idx, score), a bounded number of which negative ones count as 0.
 
-def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, reverse: bool = False, every: int = 3) -> DataFrame:
-    """(idx, score) of personalised PageRank from seeds (idx, score); negative seeds count as 0. Checked for convergence every few steps."""
+    A step spreads alpha of all scores over the edges and gives the rest to the seeds; no mass is lost. Edges are dealt out and sorted
+    by source once, and scores come from a grouping by the same key, so a step shuffles nothing but its partial sums. Every few steps the
+    scores are stored, and the loop ends where they have moved by less than the tolerance since the last time.
+    """
     e = row_normalize(transpose(edges) if reverse else edges)
     s = seeds.select("idx", F.greatest(F.col("score").cast("double"), F.lit(0.0)).alias("score")).groupBy("idx").agg(F.sum("score").alias("score"))
     total = s.agg(F.sum("score").alias("_t"))
     s = truncate(s.crossJoin(F.broadcast(total)).where("_t > 0").select("idx", (F.col("score") / F.col("_t")).alias("seed")))
-    e = truncate(e)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = truncate(with_returns(truncate(e), s)).repartition(parts, "src").sortWithinPartitions("src").persist()
+    given = s.select("idx", (F.col("seed") * (1.0 - alpha)).alias("score"))
     p = s.select("idx", F.col("seed").alias("score"))
     done = 0
-    while done < iterations:
-        before = p
-        for _ in range(min(every, iterations - done)):
-            before, p = p, ppr_step(p, e, s, alpha)
-            done += 1
-        if done >= iterations:
-            break
-        p = truncate(p)
-        moved = p.join(before.withColumnRenamed("score", "_b"), "idx", "full_outer").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))))).first()[0] or 0.0
-        if moved < tolerance:
-            break
-    return p
-
-
-def ppr_fixed(edges: DataFrame, seeds: DataFrame, steps: int, alpha: float = ALPHA) -> DataFrame:
-    """A fixed number of steps, without a test of convergence."""
-    e = truncate(row_normalize(edges))
-    total = seeds.agg(F.sum("score").alias("_t"))
-    s = seeds.crossJoin(F.broadcast(total)).select("idx", (F.col("score") / F.col("_t")).alias("seed"))
-    s = truncate(s)
-    p = s.select("idx", F.col("seed").alias("score"))
-    for _ in range(steps):
-        p = ppr_step(p, e, s, alpha)
+    try:
+        while done < iterations:
+            before = p
+            for _ in range(min(every, iterations - done)):
+                spread = p.join(e, p["idx"] == e["src"]).select(F.col("dst").alias("idx"), (alpha * F.col("score") * F.col("weight")).alias("score"))
+                p = spread.unionByName(given).groupBy("idx").agg(F.sum("score").alias("score"))
+                done += 1
+            p = truncate(p)
+            moved = p.join(before.withColumnRenamed("score", "_b"), "idx", "full_outer").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))))).first()[0] or 0.0
+            if moved < tolerance:
+                break
+    finally:
+        e.unpersist()
     return p
 
 
 def top(scores: DataFrame, k: int, exclude: DataFrame | None = None) -> DataFrame:
     if exclude is not None:
         scores = scores.join(exclude.select("idx"), "idx", "left_anti")
-    return scores.orderBy(F.desc("score"), "idx").limit(k)
+    return scores.orderBy(F.round("score", 12).desc(), "idx").limit(k)
 
 
 def combine_channels(structural: DataFrame | None, temporal: DataFrame | None, temporal_weight: float = 0.3) -> DataFrame:
@@ -127,18 +120,27 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int | None = None, until: int
     return seen
 
 
-def shortest_path(edges: DataFrame, a: int, b: int) -> list[int]:
-    """The nodes of a shortest path over edges in either direction; empty if there is none. One lookup per step of the path."""
+def path_nodes(edges: DataFrame, a: int, b: int) -> DataFrame:
+    """(step, idx) of a shortest path over edges in either direction, step 0 at a; no rows if there is none.
+
+    The search keeps the smallest parent of each node; the chain is followed back level by level, as joins.
+    """
     spark = edges.sparkSession
     seen = bfs(undirected(edges), spark.createDataFrame([(a,)], "idx long"), until=b)
-    path, at = [], b
-    while at is not None:
-        row = seen.where(F.col("idx") == at).select("parent").first()
-        if row is None:
-            return []
-        path.append(at)
-        at = row["parent"]
-    return path[::-1]
+    at = truncate(seen.where(F.col("idx") == b).select(F.col("dist").alias("step"), "idx", "parent"))
+    length = at.select("step").first()
+    if length is None:
+        return spark.createDataFrame([], "step int, idx long")
+    out, parents = at, seen.select(F.col("dist").alias("step"), F.col("idx"), "parent")
+    for _ in range(length[0]):
+        at = parents.join(F.broadcast(at.select(F.col("parent").alias("idx"))), "idx").select("step", "idx", "parent")
+        out = out.unionByName(at)
+    return out.select("step", "idx")
+
+
+def shortest_path(edges: DataFrame, a: int, b: int) -> list[int]:
+    """The nodes of a shortest path; empty if there is none."""
+    return [r["idx"] for r in path_nodes(edges, a, b).orderBy("step").collect()]
 
 
 def reachable(pairs: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
@@ -255,7 +257,7 @@ def explain_neighbours(edges: DataFrame, nodes: DataFrame, idx: int, n: int = 15
 def neighbour_cap(edges: DataFrame, nodes: DataFrame, cap: int = 12) -> DataFrame:
     """(idx, neighbours): the labels of a node's first `cap` neighbours, edges in either direction in the order of `ord`.
 
-    A hub keeps its first `cap` edges before anything is gathered, so lists are bounded.
+    Each map task keeps a node's first `cap` edges before any are shuffled (the window's limit is pushed down), so a hub brings `cap` rows of a task.
     """
     e = edges.select("ord", "src", "dst")
     both = e.select("ord", F.col("src").alias("idx"), F.col("dst").alias("other"), F.lit(0).alias("side")).unionByName(e.select("ord", F.col("dst").alias("idx"), F.col("src").alias("other"), F.lit(1).alias("side")))

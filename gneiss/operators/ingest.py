@@ -2,34 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.functions.identity import node_key
-from gneiss.functions.text import clean_label
+from gneiss.functions.text import ingest_label
 
 
-def infer_kind(span_kind, node_kind, file_type, label, path):
-    """A span's kind wins, then file for a file's own node, then symbol for code, then the file type."""
-    is_file = label == F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)$", 1)
-    return F.coalesce(span_kind, node_kind, F.when(is_file & (label != ""), F.lit("file")), F.when(file_type == "code", F.lit("symbol")), file_type, F.lit("unknown"))
+def infer_kind(span_kind: Column, node_kind: Column, file_type: Column, label: Column) -> Column:
+    """A span's kind wins, then the node's own; of code, a label with a dot that is no path or call is a file's, others are symbols; else the file type."""
+    label = F.coalesce(label, F.lit(""))
+    file = label.contains(".") & ~label.contains("/") & ~label.endswith(")")
+    return F.coalesce(span_kind, node_kind, F.when(file_type == "code", F.when(file, F.lit("file")).otherwise(F.lit("symbol"))), F.nullif(file_type, F.lit("")), F.lit("unknown"))
 
 
-def innermost_container(spans: DataFrame) -> DataFrame:
-    """spans (path, span_id, name, kind, start_line, end_line) with parent_id: the tightest other span around it.
+class Enclosing:
+    """The least value among those entered with an end of at least some end; ends are numbered by rank (a Fenwick tree from the right)."""
 
-    A range join within a file; of containers, the shortest, then the one that starts last, then the smallest id.
+    def __init__(self, ends: np.ndarray):
+        self.ends = np.unique(ends)
+        self.least: list[tuple | None] = [None] * (len(self.ends) + 1)
+
+    def rank(self, end) -> int:
+        return len(self.ends) - int(np.searchsorted(self.ends, end))  # 1 for the largest end
+
+    def enter(self, end, value: tuple) -> None:
+        i = self.rank(end)
+        while i < len(self.least):
+            if self.least[i] is None or value < self.least[i]:
+                self.least[i] = value
+            i += i & -i
+
+    def find(self, end) -> tuple | None:
+        i, best = self.rank(end), None
+        while i:
+            if self.least[i] is not None and (best is None or self.least[i] < best):
+                best = self.least[i]
+            i -= i & -i
+        return best
+
+
+def innermost_container(spans: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """spans (path, span_id, start_line, end_line, and kind if kinds are given) with parent_id: the tightest longer span around it.
+
+    Of containers, which are of the given kinds if any are, the shortest, then the one that starts last, then the smallest id. Spans of a
+    file, whose number its size bounds, are read once in the order of their starts: n log n steps for n of them.
     """
-    c = spans.select(F.col("path").alias("cp"), F.col("span_id").alias("cid"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
-    wider = (F.col("ce") - F.col("cs")) > (F.col("end_line") - F.col("start_line"))
-    around = spans.join(c, (F.col("path") == F.col("cp")) & (F.col("cs") <= F.col("start_line")) & (F.col("end_line") <= F.col("ce")) & (F.col("span_id") != F.col("cid")) & wider)
-    best = around.groupBy("path", "span_id").agg(F.min(F.struct((F.col("ce") - F.col("cs")).alias("len"), (-F.col("cs")).alias("s"), F.col("cid"))).alias("b"))
-    return spans.join(best.select("path", "span_id", F.col("b.cid").alias("parent_id")), ["path", "span_id"], "left")
+    kind = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start_line", "end_line", "span_id"], ascending=[True, False, True])
+        tree, waiting, parents = Enclosing(pdf["end_line"].to_numpy()), [], []
+        for i, a, b, holds in zip(pdf["span_id"], pdf["start_line"], pdf["end_line"], pdf["holds"]):
+            if waiting and waiting[0][:2] != (a, b):  # spans of the same extent hold none of each other
+                for x, y, j in waiting:
+                    tree.enter(y, (y - x, -x, j))
+                waiting = []
+            best = tree.find(b)
+            parents.append(None if best is None else best[2])
+            if holds:
+                waiting.append((a, b, i))
+        return pd.DataFrame({"path": pdf["path"], "span_id": pdf["span_id"], "parent_id": pd.Series(parents, index=pdf.index, dtype="object")})
+
+    holds = F.lit(True) if kinds is None else F.col("kind").isin(kinds)
+    found = spans.select("path", "span_id", "start_line", "end_line", holds.alias("holds")).groupBy("path").applyInPandas(run, f"path {kind['path']}, span_id {kind['span_id']}, parent_id {kind['span_id']}")
+    return spans.join(found, ["path", "span_id"], "left")
 
 
 def match_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     """nodes (id, label, source_file, line) with the span each means: one that holds its line and has its name, else the first of its
     qualified or bare name, else the first whose last name it is. spans: (path, name, qualified, kind, start_line, end_line, signature, docstring)."""
-    n = nodes.select("id", "source_file", clean_label("label").alias("clean"), "line")
+    n = nodes.select("id", "source_file", ingest_label("label").alias("clean"), "line")
     s = spans.withColumn("last", F.element_at(F.split("qualified", r"\."), -1))
     j = n.join(s, (n["source_file"] == s["path"]) & ((F.col("clean") == F.col("name")) | (F.col("clean") == F.col("qualified")) | (F.col("clean") == F.col("last"))))
     named = (F.col("clean") == F.col("name")) | (F.col("clean") == F.col("qualified"))
@@ -43,14 +87,18 @@ def match_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def dedupe_keys(nodes: DataFrame) -> DataFrame:
-    """nodes (ord, path, label, kind, start_line, ...) with node_key; the first of a key keeps it, others get one with their line, repeats of that are dropped."""
+    """nodes (ord, path, label, kind, start_line, ...) with node_key; the first of a key keeps it, others get one with their line, repeats of that are dropped.
+
+    The first of a key, and of a key and line, are aggregated, so equal keys are no window of one task.
+    """
     plain = node_key(F.col("path"), F.col("label"), F.col("kind"))
     lined = node_key(F.col("path"), F.col("label"), F.col("kind"), F.col("start_line"))
-    first = Window.partitionBy("path", "label", "kind").orderBy("ord")
-    second = Window.partitionBy("path", "label", "kind", "start_line", "_later").orderBy("ord")
-    n = nodes.withColumn("_later", F.row_number().over(first) > 1)
-    n = n.withColumn("_r", F.row_number().over(second)).where(~F.col("_later") | (F.col("_r") == 1))
-    return n.withColumn("node_key", F.when(F.col("_later"), lined).otherwise(plain)).drop("_later", "_r")
+    keyed = nodes.withColumn("_plain", plain).withColumn("_lined", lined)
+    first = keyed.groupBy("_plain").agg(F.min("ord").alias("_first"))
+    marked = keyed.join(first, "_plain").withColumn("_later", F.col("ord") > F.col("_first"))
+    second = marked.where("_later").groupBy(F.col("_lined").alias("_l")).agg(F.min("ord").alias("_second"))
+    kept = marked.join(second, F.col("_later") & (F.col("_lined") == F.col("_l")), "left").where(~F.col("_later") | (F.col("ord") == F.col("_second")))
+    return kept.withColumn("node_key", F.when(F.col("_later"), F.col("_lined")).otherwise(F.col("_plain"))).drop("_plain", "_lined", "_first", "_later", "_l", "_second")
 
 
 def with_idx(nodes: DataFrame, order: list[str]) -> DataFrame:

@@ -116,9 +116,9 @@ def key_files(files: DataFrame, degrees: DataFrame, n: int = KEY_FILES) -> DataF
 
 
 def capped_edges(pairs: DataFrame, per_file: int = MAX_PER_FILE, total: int = MAX_EDGES) -> list[tuple]:
-    """Edges by falling weight, left out only if both ends have `per_file` already; `total` at most.
+    """Edges (a, b) of (a, b, n) by falling weight, left out only if both ends have `per_file` already; `total` at most.
 
-    Each choice rests on the ones before, so this walks the ordered pairs on the driver, a partition at a time, and stops when full.
+    Each choice rests on the ones before, so the ordered pairs are walked on the driver, a partition at a time, until it is full.
     """
     n: dict = {}
     out: list[tuple] = []
@@ -132,6 +132,40 @@ def capped_edges(pairs: DataFrame, per_file: int = MAX_PER_FILE, total: int = MA
     return out
 
 
+#: The angle between neighbours on the map's spirals, the map's radius and how much the largest hub is drawn to its group's centre.
+GOLDEN, RADIUS, PULL = 2.399963229728653, 400.0, 0.55
+# Colours of the map, from its centre to its rim.
+INNER, OUTER = (255, 214, 170), (130, 170, 255)
+
+
+def layout(nodes: DataFrame) -> DataFrame:
+    """(idx, x, y, color) of (idx, group, degree): groups lie on a spiral, the largest at its centre, each on a disc whose area is its
+    share; nodes lie on a spiral in the disc, hubs nearer to its centre. Colours, as 0xRRGGBB, go with the distance from the map's centre.
+    """
+    sizes = nodes.groupBy("group").agg(F.count("*").alias("n"))
+    place = Window.orderBy(F.desc("n"), "group")  # one row for each group
+    sizes = sizes.select("group", "n", (F.row_number().over(place) - 1).alias("k"), (F.sum("n").over(place) - F.col("n")).alias("inside"))
+    all_ = nodes.agg(F.count("*").alias("total"), F.greatest(F.max("degree"), F.lit(1)).alias("most"))
+    j = nodes.join(F.broadcast(sizes), "group").crossJoin(F.broadcast(all_))
+    j = j.withColumn("j", F.row_number().over(Window.partitionBy("group").orderBy("idx")) - 1)  # the map's nodes are bounded
+    far = RADIUS * F.sqrt((F.col("inside") + F.col("n") / 2) / F.col("total")) * (F.col("k") > 0).cast("double")
+    own = RADIUS * F.sqrt(F.col("n") / F.col("total")) / 2 * F.sqrt((F.col("j") + 0.5) / F.col("n")) * (1 - PULL * F.sqrt(F.col("degree") / F.col("most")))
+    x = far * F.cos(F.col("k") * GOLDEN) + own * F.cos(F.col("j") * GOLDEN)
+    y = far * F.sin(F.col("k") * GOLDEN) + own * F.sin(F.col("j") * GOLDEN)
+    t = F.least(F.lit(1.0), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / RADIUS)
+    color = sum((F.floor(a + (b - a) * t + 0.5).cast("int") * (1 << shift) for a, b, shift in zip(INNER, OUTER, (16, 8, 0))), F.lit(0))
+    return j.select("idx", x.alias("x"), y.alias("y")).withColumn("color", color)
+
+
+def symbols(nodes: DataFrame, edges: DataFrame, cap: int = MAX_NODES) -> DataFrame:
+    """(idx, label, kind, source_file, group, degree, x, y, color) of the first `cap` nodes."""
+    kept = nodes.where(F.col("idx") < cap).withColumn("community", F.coalesce("community", F.lit(-1).cast("long")))
+    groups = merge_communities(kept, edges)
+    d = degree(edges)
+    n = kept.join(groups, "community").join(d, "idx", "left").select("idx", "label", "kind", "source_file", "group", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return n.join(layout(n.select("idx", "group", "degree")), "idx")
+
+
 def merge_communities(nodes: DataFrame, edges: DataFrame, top: int = TOP_GROUPS, passes: int = 4) -> DataFrame:
     """(community, group): the `top` largest communities stay; others join the group they share most edges with, in up to `passes` rounds; the rest get -1."""
     sizes = nodes.groupBy("community").agg(F.count("*").alias("n"))

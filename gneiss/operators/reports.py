@@ -8,17 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from gneiss.functions.identity import member_hash
 
-MOST = 50
-
-
 def cochange_partners(pairs: DataFrame, path: str, n: int = 10) -> DataFrame:
     hit = pairs.where((F.col("path_a") == path) | (F.col("path_b") == path))
     other = F.when(F.col("path_a") == path, F.col("path_b")).otherwise(F.col("path_a"))
-    return hit.select(other.alias("other"), "support", "n_ab", "lift").orderBy(F.desc("support"), "other").limit(min(n, MOST))
+    return hit.select(other.alias("other"), "support", "n_ab", "lift").orderBy(F.desc("support"), "other").limit(n)
 
 
 def hotspots(files: DataFrame, n: int = 20) -> DataFrame:
-    return files.where("hotspot > 0").orderBy(F.desc("hotspot"), "path").limit(min(n, MOST))
+    return files.where("hotspot > 0").orderBy(F.desc("hotspot"), "path").limit(n)
 
 
 def owners(ownership: DataFrame, path: str, n: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gneiss.functions import stats
 from gneiss.functions.text import is_noise
+from gneiss.plans.checkpoint import truncate
 
 
 @dataclass(frozen=True)
@@ -57,25 +58,28 @@ def cochange_pairs(t: DataFrame, n_commits: int | None = None, max_files: int =
 
     A commit of n files gives each of its pairs a support of 1 / C(n, 2). Commits of more than max_files files give no
     pairs (they count in n_a): sizes are filtered before the join, so no commit can make more than C(max_files, 2) rows.
+    The touches are stored once: sizes, both sides of the join and the files' counts read them.
     """
-    n = t.select("sha").distinct().count() if n_commits is None else n_commits
-    sizes = t.groupBy("sha").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= max_files))
-    kept = t.select("sha", "path").join(sizes, "sha")
+    t = truncate(t.select("sha", "path"))
+    sizes = t.groupBy("sha").agg(F.count("*").alias("n"))
+    total = t.sparkSession.range(1).select(F.lit(n_commits).cast("long").alias("_n")) if n_commits is not None else sizes.agg(F.count("*").alias("_n"))
+    kept = t.join(sizes.where((F.col("n") >= 2) & (F.col("n") <= max_files)), "sha")
     a = kept.select("sha", "n", F.col("path").alias("path_a"))
     b = kept.select(F.col("sha").alias("sha_b"), F.col("path").alias("path_b"))
     pairs = a.join(b, F.expr("sha = sha_b and path_a < path_b"))
     size = F.col("n").cast("double")
     pairs = pairs.groupBy("path_a", "path_b").agg(F.count("*").alias("n_ab"), F.sum(2.0 / (size * (size - 1.0))).alias("support"))
     counts = file_counts(t)
-    pairs = pairs.join(counts.toDF("path_a", "n_a"), "path_a").join(counts.toDF("path_b", "n_b"), "path_b")
-    total = F.lit(n)
-    cols = [F.col(c) for c in ("n_ab", "n_a", "n_b")]
-    return pairs.select("path_a", "path_b", "n_ab", "support", "n_a", "n_b", stats.lift(*cols, total).alias("lift"), stats.g_statistic(*cols, total).alias("g_stat"))
+    pairs = pairs.join(counts.toDF("path_a", "n_a"), "path_a").join(counts.toDF("path_b", "n_b"), "path_b").crossJoin(F.broadcast(total))
+    cols = [F.col(c) for c in ("n_ab", "n_a", "n_b", "_n")]
+    return pairs.select("path_a", "path_b", "n_ab", "support", "n_a", "n_b", stats.lift(*cols).alias("lift"), stats.g_statistic(*cols).alias("g_stat"))
 
 
 def significant(pairs: DataFrame, min_count: int = 3, min_support: float = 0.3, max_p: float = 0.01) -> DataFrame:
-    """Pairs that meet often enough; the cheap filters come before the p-value."""
+    """Pairs that meet often enough. The statistic is compared with its quantile first, so only pairs that are kept get a p-value."""
     kept = pairs.where((F.col("n_ab") >= min_count) & (F.col("support") >= min_support))
+    if max_p < 1:
+        kept = kept.where(F.col("g_stat") >= stats.chi2_quantile(max_p) * (1 - 1e-12))
     return kept.withColumn("p_value", stats.p_value(F.col("g_stat"))).where(F.col("p_value") <= max_p)
 
 

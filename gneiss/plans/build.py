@@ -5,17 +5,16 @@ from __future__ import annotations
 import posixpath
 from collections import Counter, defaultdict
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gneiss.functions.identity import content_hash
-from gneiss.functions.text import clean_label, line_slice, start_line
+from gneiss.functions.text import ingest_label, start_line
 from gneiss.operators import graph, ingest
 from gneiss.sources import tree
 from gneiss.sources.imports import import_edges
 from gneiss.sources.spans import spans as extract_spans
 
 NODE_COLUMNS = ["idx", "node_key", "id", "label", "kind", "file_type", "source_file", "start_line", "end_line", "signature", "docstring", "community", "community_name", "content_hash"]
-SMALL_GRAPH = 1_000_000
 
 
 def top_folder(path: str) -> str:
@@ -49,20 +48,39 @@ def name_communities(group: dict[str, int], files: list[str]) -> dict[str, tuple
     return out
 
 
-def communities(spark: SparkSession, files: DataFrame, edges: DataFrame) -> DataFrame:
+def communities(spark: SparkSession, files: DataFrame, edges: DataFrame, method: str = "louvain") -> DataFrame:
     """(path, community, community_name) by the import graph of one repository.
 
-    Louvain runs on the driver for graphs whose edge count is checked to be small; larger ones use label propagation.
+    louvain: on the driver, for graphs that fit it (about 0.5 KB an edge); labels: label propagation, for any size. Both number and name
+    communities by the same rules; which one runs is the caller's choice alone.
     """
-    if edges.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
-        group = graph.louvain([(r["importer"], r["target"]) for r in edges.collect()])
-        named = name_communities(group, [r["path"] for r in files.select("path").distinct().collect()])
+    if method == "louvain":
+        group = graph.louvain([(r["importer"], r["target"]) for r in edges.toLocalIterator()])
+        named = name_communities(group, [r["path"] for r in files.select("path").distinct().toLocalIterator()])
         return spark.createDataFrame([(p, c, n) for p, (c, n) in sorted(named.items())] or [], "path string, community long, community_name string")
-    ids = files.select("path", F.xxhash64("path").alias("idx"))
+    if method != "labels":
+        raise ValueError(f"no method {method}; there are louvain and labels")
+    ids = files.select("path").distinct().withColumn("idx", F.xxhash64("path"))
     e = edges.select(F.xxhash64("importer").alias("src"), F.xxhash64("target").alias("dst"))
-    c = ids.join(graph.label_communities(e), "idx", "left")
+    return named_groups(ids.join(graph.label_communities(e), "idx", "left").select("path", F.col("community").alias("g")))
+
+
+def named_groups(groups: DataFrame) -> DataFrame:
+    """(path, community, community_name) of (path, g): groups of two or fewer files, and files without one, join those of their top folder;
+    numbers by falling size, then by the smallest member; the name is the folders that all members share, else the most frequent top folder."""
     top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(F.lit("(root)"))
-    return c.select("path", F.coalesce("community", F.xxhash64(top)).alias("community"), top.alias("community_name"))
+    sizes = groups.where("g is not null").groupBy("g").agg(F.count("*").alias("n"))
+    key = F.when(F.col("n") > 2, F.concat(F.lit("g"), F.col("g").cast("string"))).otherwise(F.concat(F.lit("f"), F.col("top")))
+    keyed = groups.join(sizes, "g", "left").withColumn("top", top).select("path", "top", key.alias("key"))
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    # folders that the smallest and the largest path share, but for sorting by parts, are shared by all
+    ends = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("first"), F.min(folders).alias("lo"), F.max(folders).alias("hi"))
+    most = keyed.groupBy("key", "top").agg(F.count("*").alias("m")).groupBy("key").agg(F.min_by("top", F.struct(-F.col("m"), "top")).alias("often"))
+    same = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("lo"), F.size("hi")))), lambda i: F.get("lo", i - 1) == F.get("hi", i - 1))
+    shared = F.slice("lo", 1, F.coalesce(F.nullif(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)), F.lit(0)) - 1, F.size("lo")).cast("int"))
+    named = ends.join(most, "key").select("key", "n", "first", F.coalesce(F.nullif(F.array_join(shared, "/"), F.lit("")), "often").alias("community_name"))
+    numbered = named.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("long") - 1)  # one row for each community
+    return keyed.join(numbered, "key").select("path", "community", "community_name")
 
 
 def graph_of_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -90,17 +108,18 @@ def node_table(raw: DataFrame, files: DataFrame, spans: DataFrame) -> DataFrame:
     have = set(raw.columns)
     col = lambda c, t="string": F.col(c) if c in have else F.lit(None).cast(t)
     n = raw.select("id", col("label").alias("label"), col("file_type").alias("file_type"), col("kind").alias("own_kind"), col("source_file").alias("source_file"), start_line(col("source_location")).alias("line"), col("community", "long").cast("long").alias("community"), col("community_name").alias("community_name"))
-    n = n.withColumn("clean", clean_label("label"))
+    n = n.withColumn("clean", ingest_label("label"))
     m = ingest.match_spans(n, spans)
-    lines = files.select(F.col("path").alias("source_file"), F.split("text", "\r\n|[\n\r]").alias("lines"))
+    lines = files.select(F.col("path").alias("source_file"), tree.line_array("text").alias("lines"))
     m = m.join(lines, "source_file", "left")
-    kind = ingest.infer_kind(F.col("span_kind"), F.col("own_kind"), F.col("file_type"), F.col("label"), F.col("source_file"))
+    kind = ingest.infer_kind(F.col("span_kind"), F.col("own_kind"), F.col("file_type"), F.col("label"))
     m = m.withColumn("kind", kind)
     whole = (F.col("kind") == "file") & F.col("span_kind").isNull() & F.col("lines").isNotNull()
     start = F.when(whole, F.lit(1)).otherwise(F.coalesce("start_line", "line"))
     end = F.when(whole, F.size("lines")).otherwise(F.coalesce("end_line", start))
     m = m.withColumn("start_line", start).withColumn("end_line", end)
-    body = line_slice(F.col("lines"), F.col("start_line"), F.col("end_line"), 200)
+    # the head of a long body tells it
+    body = F.array_join(F.slice("lines", F.greatest(F.col("start_line"), F.lit(1)), F.greatest(F.lit(0), F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(200)))), "\n")
     fallback = F.concat_ws(":", F.coalesce("source_file", F.lit("")), F.coalesce("label", F.lit("")))
     m = m.withColumn("content_hash", content_hash(F.coalesce(F.nullif(body, F.lit("")), fallback))).withColumn("signature", F.coalesce("signature", F.lit(""))).withColumn("docstring", F.coalesce("docstring", F.lit(""))).drop("lines")
     keyed = ingest.dedupe_keys(m.select("*", F.col("source_file").alias("path"), F.struct("source_file", "start_line", "id").alias("ord")).drop("label").withColumnRenamed("clean", "label"))

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gneiss.operators import dense, ingest
+from gneiss.operators import dense, ingest, lexical
 from gneiss.operators.temporal import HistoryConfig
 from gneiss.plans import build
 from gneiss.plans.history import enrich
@@ -62,6 +62,7 @@ def build_index(spark: SparkSession, root: str, store: Store, graph_file: str |
             commits, n = history.commits(spark, root, config)
             out |= {"history": enrich(epoch, commits, n, time.time() if as_of is None else as_of, config)}
         epoch.write("docs", build.documents(epoch.read("nodes"), epoch.edges("structural")))
+        lexical.build(epoch.read("docs")).save(epoch)
         name = dense.resolve_backend(backend)
         if name:
             embed_into(epoch, before, dense.BACKENDS[name], agreed=agreed)
@@ -70,6 +71,12 @@ def build_index(spark: SparkSession, root: str, store: Store, graph_file: str |
     return out
 
 
+def encoder_of(epoch: Epoch):
+    """The encoder that made an epoch's vectors; None without one."""
+    name = epoch.meta().get("embedding_backend")
+    return dense.BACKENDS[name]() if name in dense.BACKENDS else None
+
+
 def stats(epoch: Epoch) -> DataFrame:
     from gneiss.operators import reports
 

@@ -25,16 +25,18 @@ class Retriever:
     def __init__(self, epoch: Epoch, temporal_weight: float = 0.3, include_tests: bool = True, encoder: Callable | None = None, use_lexical: bool = True, use_dense: bool = True, reranker: Callable | None = None):
         self.epoch, self.spark = epoch, epoch.spark
         self.nodes, self.docs = epoch.read("nodes"), epoch.read("docs")
+        self.lexical = lexical.LexicalIndex.load(epoch)
         self.vectors = epoch.read("vectors") if use_dense else None
         self.temporal_weight, self.include_tests, self.encoder, self.use_lexical, self.reranker = temporal_weight, include_tests, encoder, use_lexical, reranker
 
     def candidates(self, query: str, k: int = 100) -> tuple[DataFrame, dict]:
         lists = []
         stages = {"bm25": 0, "dense": 0}
-        if self.use_lexical and self.docs is not None:
+        if self.use_lexical and (self.docs is not None or self.lexical is not None):
             terms = [r[0] for r in self.spark.range(1).select(F.explode(tokenize(F.lit(query)))).collect()]
             if terms:
-                found = lexical.search_few(self.docs, terms, k).collect()
+                # stored postings; an index without them is read whole
+                found = (self.lexical.ask(terms, k).orderBy("rank") if self.lexical is not None else lexical.search_few(self.docs, terms, k)).collect()
                 stages["bm25"] = len(found)
                 lists.append([(0, r["idx"], i + 1) for i, r in enumerate(found)])
         if self.vectors is not None and self.encoder is not None:

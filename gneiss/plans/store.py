@@ -6,6 +6,7 @@ import contextlib
 import json
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,6 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 KEEP, POINTER, LINK = 3, "current_epoch.txt", "current"
 
 
+def linked(source: str, target: str) -> None:
+    """A second name for a file; a copy where the file system has no links."""
+    try:
+        os.link(source, target)
+    except OSError:
+        shutil.copy2(source, target)
+
+
 class Epoch:
     """One epoch's tables. Writes go to this epoch only; a reader keeps the epoch it has opened."""
 
@@ -88,6 +97,20 @@ class Store:
             raise FileNotFoundError(f"no index in {self.root}")
         return Epoch(self.spark, self.folder(n))
 
+    @contextlib.contextmanager
+    def aside(self) -> Iterator[Epoch]:
+        """A new epoch that is never published, deleted when the block ends: it starts with the current one's tables."""
+        before, path = self.current(), self.root / "epochs" / f"aside-{os.getpid()}-{uuid.uuid4().hex}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            if before is None:
+                path.mkdir()
+            else:
+                shutil.copytree(self.folder(before), path, copy_function=linked)
+            yield Epoch(self.spark, path)
+        finally:
+            shutil.rmtree(path, ignore_errors=True)
+
     @contextlib.contextmanager
     def begin(self, inherit: bool = True) -> Iterator[Epoch]:
         """A new epoch, published if the block ends well and deleted if it raises."""
@@ -96,7 +119,7 @@ class Store:
         path.parent.mkdir(parents=True, exist_ok=True)
         try:
             if inherit and before is not None:
-                shutil.copytree(self.folder(before), path)
+                shutil.copytree(self.folder(before), path, copy_function=linked)  # files are never changed in place
             else:
                 path.mkdir()
             yield Epoch(self.spark, path)

@@ -1,716 +1,8 @@
-"""All queries over the driver's tables, and the SQL that gives the same rows."""
+"""All queries: over the driver's tables, over an index made of them, and over sources written from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from gneiss import registry_index, registry_sources  # noqa: F401  (they add their queries)
+from gneiss.registry_tables import ORACLE_SQL, QUERIES
 
-from gneiss.driver_tables import AS_OF, commits, lines, part_edges, table
-from gneiss.functions import stats, text
-from gneiss.functions.identity import content_hash, framed
-from gneiss.operators import dense, evaluation, fusion, graph, ingest, lexical, mapview, pack, reports, temporal
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(column, digits: int = 6):
-    c = F.col(column) if isinstance(column, str) else column
-    return F.round(c, digits)
-
-
-# ---------------------------------------------------------------- text
-
-
-def sql_parts(x: str, stop: bool = True) -> str:
-    """split_identifier in DuckDB, whose patterns have no lookahead."""
-    words = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-    parts = rf"regexp_extract_all(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
-    keep = f"list_filter(list_transform({parts}, lambda p: lower(p)), lambda p: length(p) >= 2" + (f" AND NOT list_contains([{words}], p))" if stop else ")")
-    return f"list_filter({keep}, lambda p, i: list_position({keep}, p) = i)"
-
-
-def sql_path(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array({x}, '[/\\]'), lambda p: p NOT IN ('', '.', '..'))"
-
-
-STEM = r"regexp_replace(part, '\.\w+$', '')"
-NAMES = "SELECT c_name AS name FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT event_type FROM events UNION ALL SELECT url FROM pages"
-
-
-@query(f"WITH n AS (SELECT DISTINCT name FROM ({NAMES})) SELECT name, array_to_string({sql_parts('name')}, ' ') AS words, len({sql_parts('name', False)})::INT AS n_all FROM n")
-def split_identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    names = None
-    for t, c in (("customer", "c_name"), ("part", "p_name"), ("part", "p_brand"), ("events", "event_type"), ("pages", "url")):
-        d = table(spark, sf, t).select(F.col(c).alias("name"))
-        names = d if names is None else names.unionByName(d)
-    names = names.distinct()
-    return names.select("name", F.array_join(text.split_identifier("name"), " ").alias("words"), F.size(text.split_identifier("name", keep_stop=True)).alias("n_all"))
-
-
-@query(
-    f"WITH p AS (SELECT page_id, url, unnest({sql_path('url')}) AS part FROM pages), "
-    f"w AS (SELECT page_id, unnest({sql_parts(STEM)}) AS word FROM p) "
-    "SELECT page_id, word, count(*)::BIGINT AS n FROM (SELECT DISTINCT page_id, word FROM w) GROUP BY ALL"
-)
-def path_terms(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").select("page_id", F.explode(text.path_terms("url")).alias("word"))
-    return p.groupBy("page_id", "word").agg(F.count("*").alias("n"))
-
-
-@query(
-    rf"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{Nd}}+')) AS raw FROM documents),
-p AS (SELECT doc_id, lang, raw, {sql_parts('raw')} AS parts FROM w),
-t AS (SELECT doc_id, lang, lower(raw) AS term FROM p UNION ALL SELECT doc_id, lang, unnest(parts) FROM p WHERE len(parts) > 1)
-SELECT doc_id, lang, count(*)::BIGINT AS n_tokens, count(DISTINCT term)::BIGINT AS n_terms FROM t GROUP BY ALL"""
-)
-def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "documents").select("doc_id", "lang", text.tokenize("text").alias("t")).where(F.size("t") > 0)
-    return t.select("doc_id", "lang", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
-
-
-@query("SELECT doc_id, (floor(length(text) / 3.2::DOUBLE) + 1)::BIGINT AS tokens FROM documents")
-def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"))
-
-
-@query(
-    f"""WITH n AS (SELECT p_partkey, concat_ws(chr(10), p_name, nullif(array_to_string({sql_parts('p_name')}, ' '), ''), p_type, nullif(array_to_string({sql_parts('p_brand')}, ' '), ''), p_brand) AS doc FROM part)
-SELECT p_partkey, md5(doc) AS doc_md5, length(doc)::INT AS n FROM n"""
-)
-def node_documents(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    d = p.select("p_partkey", text.node_text("p_name", kind="p_type", path="p_brand", signature="p_brand").alias("doc"))
-    return d.select("p_partkey", F.md5("doc").alias("doc_md5"), F.length("doc").alias("n"))
-
-
-@query("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 32) AS content_hash FROM documents")
-def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
-
-
-@query(
-    """WITH k AS (SELECT s_suppkey, n_name, s_name, octet_length(encode(n_name))::VARCHAR || chr(31) || n_name || chr(30) || octet_length(encode(s_name))::VARCHAR || chr(31) || s_name || chr(30) AS f FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT s_suppkey, sha256(f) AS framed_hash FROM k"""
-)
-def node_key_frames(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    s = table(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select("s_suppkey", F.sha2(framed(F.col("n_name"), F.col("s_name")), 256).alias("framed_hash"))
-
-
-# ---------------------------------------------------------------- history
-
-T = "t AS (SELECT DISTINCT l_orderkey AS sha, l_suppkey AS path, epoch(o_orderdate)::BIGINT AS ts, n_name AS author FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
-
-
-def sql_g(ab: str, a: str, b: str, n: str) -> str:
-    def term(o: str, e: str) -> str:
-        return f"(CASE WHEN ({o}) > 0 AND ({e}) > 0 THEN ({o}) * ln(({o}) / ({e})) ELSE 0 END)"
-
-    ab, a, b, n = (f"{x}::DOUBLE" for x in (ab, a, b, n))
-    total = " + ".join([term(ab, f"{a} * {b} / {n}"), term(f"{a} - {ab}", f"{a} * ({n} - {b}) / {n}"), term(f"{b} - {ab}", f"({n} - {a}) * {b} / {n}"), term(f"{n} - {a} - {b} + {ab}", f"({n} - {a}) * ({n} - {b}) / {n}")])
-    return f"(CASE WHEN {ab} < {a} * {b} / {n} OR {n} - {a} - {b} + {ab} < 0 THEN 0 ELSE 2 * ({total}) END)"
-
-
-PAIRS = f"""{T}, sz AS (SELECT sha, count(*) AS n FROM t GROUP BY sha HAVING count(*) BETWEEN 2 AND 400), nf AS (SELECT path, count(*) AS n FROM t GROUP BY path), tot AS (SELECT count(DISTINCT sha) AS n FROM t),
-pr AS (SELECT a.path AS path_a, b.path AS path_b, count(*)::BIGINT AS n_ab, sum(2.0::DOUBLE / (sz.n::DOUBLE * (sz.n - 1))) AS support FROM t a JOIN sz ON sz.sha = a.sha JOIN t b ON b.sha = a.sha AND a.path < b.path GROUP BY ALL),
-pairs AS (SELECT path_a, path_b, n_ab, support, fa.n AS n_a, fb.n AS n_b, n_ab::DOUBLE * tot.n / (fa.n::DOUBLE * fb.n) AS lift, {sql_g('n_ab', 'fa.n', 'fb.n', 'tot.n')} AS g_stat FROM pr JOIN nf fa ON fa.path = path_a JOIN nf fb ON fb.path = path_b CROSS JOIN tot)"""
-PAIR_COLUMNS = "path_a, path_b, n_ab, round(support, 6) AS support, n_a, n_b, round(lift, 6) AS lift, round(g_stat, 6) AS g_stat"
-
-
-def _touches(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.touches(commits(spark, sf), noise=False)
-
-
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.cochange_pairs(_touches(spark, sf))
-
-
-def _pair_columns(d: DataFrame) -> DataFrame:
-    return d.select("path_a", "path_b", "n_ab", r6("support").alias("support"), "n_a", "n_b", r6("lift").alias("lift"), r6("g_stat").alias("g_stat"))
-
-
-@query(f"WITH {PAIRS} SELECT {PAIR_COLUMNS} FROM pairs")
-def cochange_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _pair_columns(_pairs(spark, sf))
-
-
-@query(f"WITH {PAIRS} SELECT {PAIR_COLUMNS} FROM pairs WHERE n_ab >= 3 AND support >= 0.3 AND g_stat >= {stats.CHI2_01}")
-def cochange_significant(spark: SparkSession, sf: str) -> DataFrame:
-    return _pair_columns(temporal.significant(_pairs(spark, sf)))
-
-
-@query(f"WITH {PAIRS} SELECT CASE WHEN path_a = 7 THEN path_b ELSE path_a END AS other, round(support, 6) AS support, n_ab, round(lift, 6) AS lift FROM pairs WHERE path_a = 7 OR path_b = 7 ORDER BY pairs.support DESC, other LIMIT 50")
-def cochange_partners(spark: SparkSession, sf: str) -> DataFrame:
-    d = reports.cochange_partners(_pairs(spark, sf), 7, 50)
-    return d.select("other", r6("support").alias("support"), "n_ab", r6("lift").alias("lift"))
-
-
-@query(f"WITH {T} SELECT path, count(*)::BIGINT AS n_commits, min(ts) AS first_seen, max(ts) AS last_modified FROM t GROUP BY path")
-def first_last_touch(spark: SparkSession, sf: str) -> DataFrame:
-    t = _touches(spark, sf)
-    return temporal.first_last_touch(t).join(temporal.file_counts(t), "path").select("path", "n_commits", "first_seen", "last_modified")
-
-
-CHURN = f"c AS (SELECT path, sum(CASE WHEN ts = 0 THEN 0 ELSE pow(0.5::DOUBLE, ({AS_OF}::DOUBLE - ts) / 7776000.0::DOUBLE) END) AS churn FROM t GROUP BY path), l AS (SELECT l_suppkey AS path, count(DISTINCT l_partkey) AS lines FROM lineitem GROUP BY l_suppkey)"
-
-
-@query(f"WITH {T}, {CHURN} SELECT path, round(churn, 6) AS churn FROM c")
-def churn_decay(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.churn(_touches(spark, sf), AS_OF).select("path", r6("churn").alias("churn"))
-
-
-@query(f"WITH {T}, {CHURN} SELECT path, round(churn, 6) AS churn, round(ln(1 + lines), 6) AS complexity, round(churn * ln(1 + lines), 6) AS hotspot FROM c JOIN l USING (path) ORDER BY churn * ln(1 + lines) DESC, path LIMIT 50")
-def hotspots(spark: SparkSession, sf: str) -> DataFrame:
-    d = reports.hotspots(temporal.hotspots(temporal.churn(_touches(spark, sf), AS_OF), lines(spark, sf)), 50)
-    return d.select("path", r6("churn").alias("churn"), r6("complexity").alias("complexity"), r6("hotspot").alias("hotspot"))
-
-
-OWN = "o AS (SELECT path, author, count(*) AS n_commits, max(ts) AS last_ts FROM t GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS r, sum(n_commits) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, sum(n_commits) OVER (PARTITION BY path) AS total, count(*) OVER (PARTITION BY path) AS n FROM o WINDOW w AS (PARTITION BY path ORDER BY n_commits DESC, last_ts DESC, author))"
-
-
-@query(f"WITH {T} SELECT path, author, count(*)::BIGINT AS n_commits, max(ts) AS last_ts FROM t GROUP BY ALL")
-def ownership(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.ownership(_touches(spark, sf))
-
-
-@query(f"WITH {T}, {OWN} SELECT path, author AS primary_owner, round(n_commits::DOUBLE / total, 6) AS owner_share, n::BIGINT AS n_authors FROM k WHERE r = 1")
-def primary_owner(spark: SparkSession, sf: str) -> DataFrame:
-    d = temporal.primary_owner(temporal.ownership(_touches(spark, sf)))
-    return d.select("path", "primary_owner", r6("owner_share").alias("owner_share"), "n_authors")
-
-
-@query(f"WITH {T}, {OWN} SELECT path, min(r)::BIGINT AS bus_factor FROM k WHERE 2 * cum >= total GROUP BY path")
-def bus_factor(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.bus_factor(temporal.ownership(_touches(spark, sf)))
-
-
-@query(f"WITH {T}, {OWN} SELECT author, n_commits::BIGINT AS n_commits FROM o WHERE path = 7 ORDER BY n_commits DESC, author LIMIT 10")
-def owners_report(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.owners(temporal.ownership(_touches(spark, sf)), 7)
-
-
-@query(f"WITH {T} SELECT count(DISTINCT sha)::BIGINT AS commits, count(*)::BIGINT AS touches, count(DISTINCT author)::BIGINT AS authors, max(ts) AS last FROM t WHERE ts > 0 AND ts < 930000000")
-def leakage_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    t = temporal.touches(commits(spark, sf), before_ts=930_000_000, noise=False)
-    return t.agg(F.count_distinct("sha").alias("commits"), F.count("*").alias("touches"), F.count_distinct("author").alias("authors"), F.max("ts").alias("last"))
-
-
-def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations (files, idx their key) and suppliers (symbols of their nation's file, idx 100 + key)."""
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("label"), F.lit("file").alias("kind"), F.col("n_name").alias("source_file"), F.col("n_regionkey").cast("long").alias("community"))
-    names = n.select("source_file", F.col("idx").alias("k"), "community")
-    s = table(spark, sf, "supplier").select((F.col("s_suppkey") + 100).alias("idx"), F.col("s_name").alias("label"), F.lit("symbol").alias("kind"), F.col("s_nationkey").cast("long").alias("k"))
-    s = s.join(F.broadcast(names), "k").select("idx", "label", "kind", "source_file", "community")
-    return n.unionByName(s)
-
-
-NODES = "nodes AS (SELECT n_nationkey::BIGINT AS idx, n_name AS label, 'file' AS kind, n_name AS source_file, n_regionkey::BIGINT AS community FROM nation UNION ALL SELECT s_suppkey + 100, s_name, 'symbol', n_name, n_regionkey::BIGINT FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
-
-
-@query(f"WITH {NODES}, f AS (SELECT source_file, min(idx) AS fi FROM nodes WHERE kind = 'file' GROUP BY 1) SELECT fi AS src, idx AS dst, 'file_contains' AS relation, 1.0::DOUBLE AS weight FROM nodes JOIN f USING (source_file) WHERE idx <> fi")
-def containment_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.containment_edges(_nodes(spark, sf))
-
-
-@query(
-    f"WITH {PAIRS} SELECT path_a * 2 AS src, path_b * 2 AS dst, 'co_changes_with' AS relation, round(support, 6) AS weight FROM pairs WHERE support >= 0.5"
-)
-def temporal_edges(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "supplier").select((F.col("s_suppkey") * 2).alias("idx"), F.lit("file").alias("kind"), F.col("s_suppkey").alias("source_file"))
-    return temporal.cochange_edges(_pairs(spark, sf), files, 0.5).withColumn("weight", r6("weight"))
-
-
-# ---------------------------------------------------------------- retrieval
-
-TERMS = ["the", "scum", "und", "que"]
-_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
-
-
-def sql_bm25(terms: list[str]) -> str:
-    q = ", ".join(f"('{t}')" for t in terms)
-    return rf"""w AS (SELECT doc_id AS idx, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]+') AS ws FROM documents WHERE text IS NOT NULL AND text <> ''),
-corpus AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)::DOUBLE) AS avgdl FROM w), q(term) AS (VALUES {q}),
-tf AS (SELECT idx, len(ws)::DOUBLE AS dl, term, len(list_filter(ws, lambda x: x = term))::DOUBLE AS tf FROM w CROSS JOIN q), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf WHERE tf > 0 GROUP BY term),
-bm AS (SELECT idx, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM tf JOIN df USING (term) CROSS JOIN corpus WHERE tf > 0 GROUP BY idx)"""
-
-
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("doc"))
-
-
-@query(f"WITH {sql_bm25(TERMS)} SELECT idx, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, idx LIMIT 100")
-def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.search_few(_documents(spark, sf), TERMS, 100, _words).select("idx", r6("score").alias("score"))
-
-
-@query(f"WITH {sql_bm25(TERMS)} SELECT idx, round(score, 6) AS score FROM bm")
-def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Over postings, with the query's words as a relation."""
-    index = lexical.build(_documents(spark, sf), _words)
-    asked = spark.createDataFrame([(0, " ".join(TERMS))], "query_id int, query string")
-    return index.search(asked, 1 << 30).select("idx", r6("score").alias("score"))
-
-
-QUERY_VECS = "q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id < 5)"
-COSINE = f"WITH {QUERY_VECS}, s AS (SELECT query_id, vec_id AS idx, list_inner_product(q, list_transform(embedding, lambda x: x::DOUBLE)) AS score FROM embeddings CROSS JOIN q), d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS rank FROM s QUALIFY rank <= 50)"
-
-
-#: The query set of the SQL, which is kept small for it, and the whole one.
-FEW, ALL = "{} < 5", "{} % 20 = 0"
-
-
-def _cosine(spark: SparkSession, sf: str, asked: str = FEW, k: int = 50) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
-    q = e.where(asked.format("idx")).select(F.col("idx").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return dense.search(e, q, k)
-
-
-@query(f"{COSINE} SELECT query_id, idx, rank::INT AS rank, round(score, 6) AS score FROM d")
-def cosine_topk(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
-    return _cosine(spark, sf, asked).select("query_id", "idx", "rank", r6("score").alias("score"))
-
-
-@query()
-def cosine_topk_all(spark: SparkSession, sf: str) -> DataFrame:
-    """For every row whose id is divisible by 20, as the three others with this ending."""
-    return cosine_topk(spark, sf, ALL)
-
-
-@query(f"{COSINE}, x AS (SELECT vec_id AS idx, label FROM embeddings), a AS (SELECT query_id, idx, rank FROM d), b AS (SELECT query_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY label, idx) AS rank FROM d JOIN x USING (idx)) SELECT query_id, idx, round(sum(w / (60.0::DOUBLE + rank)), 9) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM a UNION ALL SELECT *, 0.5::DOUBLE FROM b) GROUP BY ALL")
-def rrf_fuse(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
-    a = _cosine(spark, sf, asked)
-    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "label")
-    b = a.join(labels, "idx").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("label", "idx")))
-    return fusion.rrf([a, b], [1.0, 0.5]).select("query_id", "idx", r6("score", 9).alias("score"))
-
-
-@query()
-def rrf_fuse_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rrf_fuse(spark, sf, ALL)
-
-
-@query("WITH s AS (SELECT c_custkey AS idx, CASE WHEN lower(c_name) = 'customer#000000012' THEN 1.0::DOUBLE WHEN lower(c_name) LIKE 'customer#00000001%' THEN 0.7::DOUBLE END AS score FROM customer) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, idx LIMIT 10")
-def exact_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Names as identifiers: # is no word character, so the prefix tier is asked for by the name's own letters."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("label"))
-    exact = fusion.exact_match(c, "Customer#000000012").unionByName(c.where(F.lower("label").startswith("customer#00000001")).select("idx", F.lit(0.7).alias("score")))
-    return exact.groupBy("idx").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "idx").limit(10)
-
-
-PRIOR = "(CASE WHEN regexp_matches(url, '(?i)(^|/)(tests?|spec|__tests__|testing)/|(^|/)test_[^/]*$|_test\\.[a-z]+$|\\.(spec|test)\\.[a-z]+$') OR url LIKE '%7%' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END)"
-
-
-@query(f"SELECT page_id AS idx, round(length(html)::DOUBLE * {PRIOR}, 6) AS score FROM pages")
-def kind_prior_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages whose address holds a 7 stand for tests."""
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("idx"), F.when(F.col("url").contains("7"), F.concat(F.lit("tests/"), "url")).otherwise(F.col("url")).alias("source_file"), F.length("html").cast("double").alias("score"))
-    return fusion.apply_prior(p.select("idx", "score"), p.select("idx", "source_file")).select("idx", r6("score").alias("score"))
-
-
-@query("WITH s AS (SELECT p_partkey AS idx, p_retailprice AS score, row_number() OVER (PARTITION BY lower(trim(p_brand)), p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) SELECT idx, round(score, 6) AS score FROM s WHERE r <= 2 ORDER BY s.score DESC, idx LIMIT 200")
-def dedupe_label_cap(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    d = fusion.suppress_duplicates(p.select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("score")), p.select(F.col("p_partkey").alias("idx"), F.col("p_brand").alias("label"), F.col("p_type").alias("kind")), 200)
-    return d.select("idx", r6("score").alias("score"))
-
-
-@query("WITH f AS (SELECT c_custkey AS idx, greatest(c_acctbal, 0) AS f FROM customer WHERE c_custkey % 3 = 0), m AS (SELECT o_custkey AS idx, sum(o_totalprice) AS m FROM orders GROUP BY 1), j AS (SELECT coalesce(f.idx, m.idx) AS idx, coalesce(f, 0) / (SELECT max(f) FROM f) AS f, coalesce(m, 0) / (SELECT max(m) FROM m) AS m FROM f FULL JOIN m ON f.idx = m.idx) SELECT idx, round(0.6::DOUBLE * f + 0.4::DOUBLE * m, 6) AS score FROM j WHERE f > 0 OR m > 0")
-def blend_scores(spark: SparkSession, sf: str, ranked: str = "c_custkey % 3 = 0") -> DataFrame:
-    c = table(spark, sf, "customer")
-    f = c.where(ranked).select(F.col("c_custkey").alias("idx"), F.greatest("c_acctbal", F.lit(0.0)).alias("score"))
-    m = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("idx")).agg(F.sum("o_totalprice").alias("score"))
-    nodes = c.select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("source_file"))
-    return fusion.blend(f, m, nodes).select("idx", r6("score").alias("score"))
-
-
-@query()
-def blend_scores_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All customers; those without orders have no diffused score."""
-    return blend_scores(spark, sf, "true")
-
-
-@query("WITH h AS (SELECT md5(text) AS hash, doc_id FROM documents) SELECT h.doc_id, coalesce(NOT (h.hash = o.hash AND h.doc_id % 4 <> 0), true) AS dirty FROM h LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE hash END AS hash FROM h WHERE doc_id % 3 <> 0) o ON o.doc_id = h.doc_id")
-def dirty_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """A third of the keys are new, a fifth changed, a quarter without a vector."""
-    new = table(spark, sf, "documents").select(F.col("doc_id").alias("node_key"), F.md5("text").alias("content_hash"))
-    old = new.where("node_key % 3 <> 0").withColumn("content_hash", F.when(F.col("node_key") % 5 == 0, "x").otherwise(F.col("content_hash")))
-    return dense.dirty_keys(new, old, new.where("node_key % 4 <> 0")).select(F.col("node_key").alias("doc_id"), "dirty")
-
-
-# ---------------------------------------------------------------- graphs
-
-EDGES = "e AS (SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL), s AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), w AS (SELECT src, dst, sum(weight) AS weight FROM s GROUP BY ALL), n AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM w)"
-
-
-def sql_ppr(edges: str, seeds: str, steps: int, name: str = "p") -> str:
-    """CTEs for `steps` steps; edges: a normalised (src, dst, weight); seeds: (idx, seed)."""
-    out = [f"{name}0 AS (SELECT idx, seed AS score FROM {seeds})"]
-    for i in range(steps):
-        a, b = f"{name}{i}", f"{name}{i + 1}"
-        out.append(f"{b}s AS (SELECT dst AS idx, 0.85::DOUBLE * sum(score * weight) AS score FROM {a} JOIN {edges} ON idx = src GROUP BY dst)")
-        out.append(f"{b} AS (SELECT idx, sum(score) AS score FROM (SELECT * FROM {b}s UNION ALL SELECT idx, seed * (1 - (SELECT coalesce(sum(score), 0) FROM {b}s)) FROM {seeds}) GROUP BY idx)")
-    return ", ".join(out)
-
-
-SEEDS = "seeds AS (SELECT s_suppkey * 2 AS idx, s_acctbal / (SELECT sum(s_acctbal) FROM supplier WHERE s_suppkey <= 5 AND s_acctbal > 0) AS seed FROM supplier WHERE s_suppkey <= 5 AND s_acctbal > 0)"
-
-
-def _seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").where("s_suppkey <= 5 and s_acctbal > 0").select((F.col("s_suppkey") * 2).alias("idx"), F.col("s_acctbal").alias("score"))
-
-
-@query(f"WITH {EDGES} SELECT src, dst, weight FROM w")
-def csr_symmetric_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.symmetric_weights(part_edges(spark, sf))
-
-
-@query(f"WITH {EDGES} SELECT src, dst, round(weight, 9) AS weight FROM n")
-def row_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.row_normalize(graph.symmetric_weights(part_edges(spark, sf))).withColumn("weight", r6("weight", 9))
-
-
-@query(f"WITH {EDGES}, {SEEDS}, {sql_ppr('n', 'seeds', 5)} SELECT idx, round(score, 10) AS score FROM p5")
-def ppr_structural(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.ppr_fixed(graph.symmetric_weights(part_edges(spark, sf)), _seeds(spark, sf), 5).select("idx", r6("score", 10).alias("score"))
-
-
-@query()
-def ppr_structural_full(spark: SparkSession, sf: str) -> DataFrame:
-    """With the operator's own steps and tolerance."""
-    return graph.ppr(graph.symmetric_weights(part_edges(spark, sf)), _seeds(spark, sf)).select("idx", r6("score", 10).alias("score"))
-
-
-TEMPORAL = "te AS (SELECT path_a * 2 AS src, path_b * 2 AS dst, support AS weight FROM pairs WHERE support >= 0.3), ts AS (SELECT src, dst, weight FROM te UNION ALL SELECT dst, src, weight FROM te), tn AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM ts)"
-
-
-def _temporal(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pairs(spark, sf).where("support >= 0.3")
-    return graph.symmetric_weights(p.select((F.col("path_a") * 2).alias("src"), (F.col("path_b") * 2).alias("dst"), F.col("support").alias("weight")))
-
-
-@query(f"WITH {PAIRS}, {TEMPORAL}, {SEEDS}, {sql_ppr('tn', 'seeds', 3)} SELECT idx, round(score, 10) AS score FROM p3")
-def ppr_temporal(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.ppr_fixed(_temporal(spark, sf), _seeds(spark, sf), 3).select("idx", r6("score", 10).alias("score"))
-
-
-@query(
-    f"WITH {EDGES}, {PAIRS}, {TEMPORAL}, {SEEDS}, {sql_ppr('n', 'seeds', 3, 'p')}, {sql_ppr('tn', 'seeds', 3, 'q')} "
-    "SELECT coalesce(p3.idx, q3.idx) AS idx, round(0.7::DOUBLE * coalesce(p3.score, 0) / (SELECT max(score) FROM p3) + 0.3::DOUBLE * coalesce(q3.score, 0) / (SELECT max(score) FROM q3), 9) AS score FROM p3 FULL JOIN q3 ON p3.idx = q3.idx"
-)
-def ppr_combined(spark: SparkSession, sf: str) -> DataFrame:
-    s = graph.ppr_fixed(graph.symmetric_weights(part_edges(spark, sf)), _seeds(spark, sf), 3)
-    t = graph.ppr_fixed(_temporal(spark, sf), _seeds(spark, sf), 3)
-    return graph.combine_channels(s, t, 0.3).select("idx", r6("score", 9).alias("score"))
-
-
-@query(f"WITH RECURSIVE {EDGES}, b(idx, dist) AS (SELECT 2::BIGINT, 0 UNION SELECT dst, dist + 1 FROM b JOIN w ON idx = src WHERE dist < 4) SELECT idx, min(dist)::INT AS dist FROM b GROUP BY idx")
-def bfs_distance(spark: SparkSession, sf: str) -> DataFrame:
-    start = spark.createDataFrame([(2,)], "idx long")
-    return graph.bfs(graph.symmetric_weights(part_edges(spark, sf)), start, depth=4).select("idx", "dist")
-
-
-@query(f"WITH RECURSIVE {PAIRS}, l AS (SELECT path_a AS a, path_b AS b FROM pairs WHERE support >= 1.2 UNION SELECT path_b, path_a FROM pairs WHERE support >= 1.2), r(node) AS (SELECT 1::BIGINT UNION SELECT b FROM r JOIN l ON node = a) SELECT node FROM r WHERE node <> 1")
-def history_closure(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pairs(spark, sf).where("support >= 1.2").select(F.col("path_a").alias("a"), F.col("path_b").alias("b"))
-    return graph.reachable(p, spark.createDataFrame([(1,)], "node long"))
-
-
-CYCLES = "d AS (SELECT DISTINCT o_custkey % 60 AS a, (o_custkey * 7 + o_orderkey) % 60 AS b FROM orders WHERE o_orderkey <= 300), e AS (SELECT a, b FROM d WHERE a <> b), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
-
-
-@query(f"WITH RECURSIVE {CYCLES}, s AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT node, component FROM s WHERE (SELECT count(*) FROM s t WHERE t.component = s.component) > 1")
-def file_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey <= 300")
-    e = o.select((F.col("o_custkey") % 60).alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 60).alias("dst")).distinct()
-    return graph.strong_components(e)
-
-
-@query()
-def file_cycles_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Cycles between customers (files) over all orders (nodes): a line joins its order to the order whose key is its part's."""
-    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    n = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), F.format_string("c%09d", "o_custkey").alias("source_file"))
-    return graph.file_cycles(e, n, n=None)
-
-
-SUPPLY = "x AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), f AS (SELECT x.src, x.dst, 'n' || s_nationkey AS a, p_brand AS b FROM x JOIN supplier ON s_suppkey = src JOIN part ON p_partkey = dst)"
-
-
-def _supply(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Edges from suppliers (of files named by nation) to parts (of files named by brand)."""
-    e = table(spark, sf, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
-    n = table(spark, sf, "supplier").select((F.col("s_suppkey") * 2).alias("idx"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("source_file"))
-    return e, n.unionByName(table(spark, sf, "part").select((F.col("p_partkey") * 2 + 1).alias("idx"), F.col("p_brand").alias("source_file")))
-
-
-@query(f"WITH {SUPPLY}, g AS (SELECT a, b FROM f UNION ALL SELECT b, a FROM f) SELECT b AS path, count(*)::BIGINT AS connections FROM g WHERE a IN ('n3', 'n7') AND b NOT IN ('n3', 'n7') GROUP BY b")
-def diff_impact(spark: SparkSession, sf: str) -> DataFrame:
-    e, n = _supply(spark, sf)
-    return graph.diff_impact(e, n, spark.createDataFrame([("n3",), ("n7",)], "path string"))
-
-
-@query(f"WITH {SUPPLY} SELECT 'test/' || b AS path, count(*)::BIGINT AS connections FROM f WHERE a = 'n3' GROUP BY b ORDER BY connections DESC, path LIMIT 10")
-def tests_for(spark: SparkSession, sf: str) -> DataFrame:
-    e, n = _supply(spark, sf)
-    n = n.withColumn("source_file", F.when(F.col("idx") % 2 == 1, F.concat(F.lit("test/"), "source_file")).otherwise(F.col("source_file")))
-    return graph.tests_for(e, n, "n3")
-
-
-@query(f"WITH {SUPPLY} SELECT least(a, b) AS a, greatest(a, b) AS b, count(*)::BIGINT AS n FROM f GROUP BY ALL")
-def file_pair_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.file_pairs(*_supply(spark, sf))
-
-
-@query(f"WITH {EDGES} SELECT idx, count(*)::BIGINT AS degree FROM (SELECT src AS idx FROM e UNION ALL SELECT dst FROM e) GROUP BY idx")
-def degree(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.degree(part_edges(spark, sf))
-
-
-@query(
-    """WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS ord, l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem), b AS (SELECT ord, src AS idx, dst AS other, 0 AS side FROM e UNION ALL SELECT ord, dst, src, 1 FROM e),
-k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY ord, side, other) AS r FROM b QUALIFY r <= 12) SELECT idx, string_agg(other::VARCHAR, ',' ORDER BY r) AS neighbours FROM k GROUP BY idx"""
-)
-def neighbour_cap(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
-    n = e.select(F.col("src").alias("idx")).unionByName(e.select(F.col("dst").alias("idx"))).distinct().withColumn("label", F.col("idx").cast("string"))
-    return graph.neighbour_cap(e, n).select("idx", F.array_join("neighbours", ",").alias("neighbours"))
-
-
-@query(f"WITH {EDGES}, d AS (SELECT idx, count(*) AS degree FROM (SELECT src AS idx FROM e UNION ALL SELECT dst FROM e) GROUP BY idx) SELECT dst AS other, 'structural' AS channel, degree::BIGINT AS degree FROM e JOIN d ON d.idx = dst WHERE src = 14 ORDER BY degree DESC, other LIMIT 30")
-def neighbours_by_degree(spark: SparkSession, sf: str) -> DataFrame:
-    return mapview.neighbours_by_degree(part_edges(spark, sf).withColumn("channel", F.lit("structural")), 14)
-
-
-@query(
-    f"""WITH {EDGES}, u AS (SELECT src, dst, max(CASE WHEN weight > 1 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END) AS f FROM s GROUP BY ALL),
-h0 AS (SELECT 2::BIGINT AS idx, 1.0::DOUBLE AS w), r0 AS (SELECT idx FROM h0),
-n1 AS (SELECT dst AS idx, max(f) * 0.55::DOUBLE AS w FROM r0 JOIN u ON idx = src GROUP BY dst), h1 AS (SELECT idx, max(w) AS w FROM (SELECT * FROM h0 UNION ALL SELECT * FROM n1) GROUP BY idx), r1 AS (SELECT n1.idx FROM n1 LEFT JOIN h0 ON h0.idx = n1.idx WHERE n1.w > coalesce(h0.w, 0)),
-n2 AS (SELECT dst AS idx, max(f) * 0.3::DOUBLE AS w FROM r1 JOIN u ON idx = src GROUP BY dst), h2 AS (SELECT idx, max(w) AS w FROM (SELECT * FROM h1 UNION ALL SELECT * FROM n2) GROUP BY idx), r2 AS (SELECT n2.idx FROM n2 LEFT JOIN h1 ON h1.idx = n2.idx WHERE n2.w > coalesce(h1.w, 0)),
-n3 AS (SELECT dst AS idx, max(f) * 0.16::DOUBLE AS w FROM r2 JOIN u ON idx = src GROUP BY dst), h3 AS (SELECT idx, max(w) AS w FROM (SELECT * FROM h2 UNION ALL SELECT * FROM n3) GROUP BY idx) SELECT idx, round(w, 6) AS weight FROM h3"""
-)
-def blast_radius(spark: SparkSession, sf: str) -> DataFrame:
-    e = part_edges(spark, sf).withColumn("temporal", F.col("weight") > 1)
-    return mapview.blast(e, spark.createDataFrame([(2,)], "idx long")).select("idx", r6("weight").alias("weight"))
-
-
-@query(
-    """WITH t AS (SELECT DISTINCT page_id AS idx, unnest(regexp_split_to_array(lower(concat_ws(' ', url, url)), '[^a-z0-9]+')) AS token FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY idx) AS r FROM t WHERE length(token) >= 2 AND (starts_with(token, 'pa') OR starts_with(token, 'ex')) QUALIFY r <= 400)
-SELECT idx, round(sum((CASE WHEN token = 'pa' THEN 2.0::DOUBLE WHEN starts_with(token, 'pa') THEN 1.0::DOUBLE / (1 + length(token) - 2) ELSE 0 END) + (CASE WHEN token = 'ex' THEN 2.0::DOUBLE WHEN starts_with(token, 'ex') THEN 1.0::DOUBLE / (1 + length(token) - 2) ELSE 0 END)), 6) AS score FROM k GROUP BY idx ORDER BY score DESC, idx LIMIT 30"""
-)
-def prefix_search(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("idx"), F.col("url").alias("label"), F.col("url").alias("source_file"))
-    return mapview.prefix_search(p, "pa ex").select("idx", r6("score").alias("score"))
-
-
-@query(f"WITH {T}, x AS (SELECT path, max(ts) AS last_modified FROM t GROUP BY path) SELECT path, last_modified FROM x WHERE last_modified <= (SELECT min(last_modified) + (max(last_modified) - min(last_modified)) * 0.5::DOUBLE FROM x)")
-def history_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return mapview.history_cut(temporal.first_last_touch(_touches(spark, sf)).select("path", "last_modified"), 0.5)
-
-
-@query(
-    f"""WITH {T}, {CHURN}, {OWN}, b AS (SELECT path, min(r) AS bus_factor FROM k WHERE 2 * cum >= total GROUP BY path), x AS (SELECT path, max(ts) AS last FROM t GROUP BY path), j AS (SELECT path, churn * ln(1 + lines) AS h, last, bus_factor FROM c JOIN l USING (path) JOIN b USING (path) JOIN x USING (path))
-SELECT path, round(sqrt(h / (SELECT max(h) FROM j)), 6) AS hot, round(coalesce((last - (SELECT min(last) FROM j))::DOUBLE / nullif((SELECT max(last) - min(last) FROM j), 0), 0), 6) AS age, (CASE WHEN bus_factor IN (1, 2) THEN bus_factor ELSE 0 END)::INT AS bus FROM j"""
-)
-def minmax_scale(spark: SparkSession, sf: str) -> DataFrame:
-    f = temporal.file_table(_touches(spark, sf), lines(spark, sf), AS_OF)
-    return mapview.scaled(f).select("path", r6("hot").alias("hot"), r6("age").alias("age"), "bus")
-
-
-@query("WITH n AS (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL) SELECT source AS path, lang AS community FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1")
-def majority_community(spark: SparkSession, sf: str) -> DataFrame:
-    return mapview.majority(table(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("community")))
-
-
-@query("WITH m AS (SELECT p_brand AS path, p_size AS community FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) = 1), g AS (SELECT community, row_number() OVER (ORDER BY count(*) DESC, community) - 1 AS region FROM m GROUP BY community) SELECT path, m.community, CASE WHEN region < 7 THEN region ELSE least(7, (SELECT count(*) FROM g)) END::INT AS region FROM m JOIN g ON g.community = m.community")
-def community_regions(spark: SparkSession, sf: str) -> DataFrame:
-    return mapview.regions(table(spark, sf, "part").select(F.col("p_brand").alias("source_file"), F.col("p_size").alias("community")))
-
-
-@query("WITH a AS (SELECT DISTINCT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 20), k AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS owner FROM a) SELECT s_suppkey - 1 AS idx, s_name AS source_file, coalesce(owner, -1)::INT AS owner FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN k ON k.n_name = nation.n_name WHERE s_suppkey <= 50")
-def map_nodes(spark: SparkSession, sf: str, owners: str = "n_nationkey < 20", cap: int = 50) -> DataFrame:
-    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation").where(owners)
-    nodes = s.select((F.col("s_suppkey") - 1).alias("idx"), F.col("s_name").alias("source_file"))
-    files = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("path"), F.col("n_name").alias("primary_owner"))
-    return mapview.map_nodes(nodes, files, cap)
-
-
-@query()
-def map_nodes_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All nations and suppliers, up to the operator's own cap."""
-    return map_nodes(spark, sf, "true", mapview.MAX_NODES)
-
-
-@query("SELECT event_id AS span_id, greatest(event_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 1000000)) AS end_line FROM (SELECT DISTINCT event_id, user_id FROM events)")
-def ends_before_next(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_id").alias("span_id"), F.col("user_id").alias("path")).distinct()
-    return ingest.ends_before_next(e.select("span_id", "path", F.col("span_id").alias("start_line"), F.lit(1_000_000).cast("long").alias("end_line"))).select("span_id", "end_line")
-
-
-@query(f"WITH {T}, {CHURN}, h AS (SELECT path, churn * ln(1 + lines) AS h FROM c JOIN l USING (path)), d AS (SELECT l_suppkey AS path, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY 1) SELECT path, round(h, 6) AS hotspot, degree::BIGINT AS degree FROM h JOIN d USING (path) ORDER BY h DESC, degree DESC, path LIMIT 12")
-def key_files(spark: SparkSession, sf: str) -> DataFrame:
-    h = temporal.hotspots(temporal.churn(_touches(spark, sf), AS_OF), lines(spark, sf))
-    d = mapview.key_files(h, lines(spark, sf).withColumnRenamed("lines", "degree"))
-    return d.select("path", r6("hotspot").alias("hotspot"), "degree")
-
-
-# ---------------------------------------------------------------- ingest
-
-
-@query("WITH x AS (SELECT event_id AS idx, user_id, (floor(epoch(ts))::BIGINT - 1704067200) // 60 AS s FROM events) SELECT idx, greatest(s, least(coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, idx) - 1, 50000), s + 60, 50000)) AS end_line FROM x")
-def flat_ranges_lead(spark: SparkSession, sf: str) -> DataFrame:
-    minute = F.floor((F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") - 1_704_067_200) / 60)
-    n = table(spark, sf, "events").select(F.col("event_id").alias("idx"), F.col("user_id").alias("source_file"), minute.alias("start_line"), F.lit(50_000).cast("long").alias("total"))
-    return ingest.flat_ranges(n).select("idx", "end_line")
-
-
-def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as spans of their user, from their minute on."""
-    minute = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 60)
-    return table(spark, sf, "events").select(F.col("event_id").alias("span_id"), F.col("user_id").alias("path"), minute.alias("start_line"), (minute + 600 + (F.col("event_id") * 7919) % 5000).alias("end_line"))
-
-
-@query(
-    """WITH s AS (SELECT event_id AS id, user_id AS path, floor(epoch(ts))::BIGINT // 60 AS a, floor(epoch(ts))::BIGINT // 60 + 600 + (event_id * 7919) % 5000 AS b FROM events WHERE user_id <= 40)
-SELECT x.id AS span_id, (SELECT y.id FROM s y WHERE y.path = x.path AND y.id <> x.id AND y.a <= x.a AND x.b <= y.b AND y.b - y.a > x.b - x.a ORDER BY y.b - y.a, y.a DESC, y.id LIMIT 1) AS parent_id FROM s x"""
-)
-def innermost_container(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.innermost_container(_spans(spark, sf).where("path <= 40")).select("span_id", "parent_id")
-
-
-@query()
-def innermost_container_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the spans of all users."""
-    return ingest.innermost_container(_spans(spark, sf)).select("span_id", "parent_id")
-
-
-@query(
-    """WITH n AS (SELECT event_id AS ord, user_id::VARCHAR AS path, event_type AS label, floor(epoch(ts))::BIGINT // 86400 AS line FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY path, label ORDER BY ord) > 1 AS later FROM n),
-b AS (SELECT *, row_number() OVER (PARTITION BY path, label, line, later ORDER BY ord) AS r FROM a) SELECT path, count(*)::BIGINT AS kept, count_if(later)::BIGINT AS lined FROM b WHERE NOT later OR r = 1 GROUP BY path"""
-)
-def node_key_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 86400)
-    n = table(spark, sf, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("label"), F.lit("e").alias("kind"), day.alias("start_line"))
-    d = ingest.dedupe_keys(n)
-    from gneiss.functions.identity import node_key
-
-    plain = node_key(F.col("path"), F.col("label"), F.col("kind"))
-    return d.groupBy("path").agg(F.count_distinct("node_key").alias("kept"), F.count_if(F.col("node_key") != plain).alias("lined"))
-
-
-@query(
-    """WITH k AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0), e AS (SELECT l_orderkey AS s, l_partkey AS t, l_discount AS w FROM lineitem)
-SELECT e.s AS src, e.t AS dst, count(*)::BIGINT AS n, round(sum(CASE WHEN w = 0 THEN 1 ELSE w END), 6) AS weight FROM e JOIN k a ON a.id = e.s JOIN k b ON b.id = e.t WHERE e.s <> e.t GROUP BY ALL"""
-)
-def edge_ingest_drop(spark: SparkSession, sf: str) -> DataFrame:
-    ids = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("idx"))
-    links = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.col("l_discount").alias("weight"))
-    return ingest.ingest_edges(links, ids).groupBy("src", "dst").agg(F.count("*").alias("n"), r6(F.sum("weight")).alias("weight"))
-
-
-@query("WITH n AS (SELECT o_custkey AS path, count(*) AS n_commits FROM orders GROUP BY 1) SELECT coalesce(c_custkey, path) AS path, n_commits::BIGINT AS n_commits, c_name AS language FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN n ON path = c_custkey")
-def files_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    old = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path"), F.lit(None).cast("long").alias("n_commits"), F.col("c_name").alias("language"))
-    new = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("n_commits"))
-    return ingest.upsert(old, new, "path", ["n_commits"])
-
-
-HREF = "h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages)"
-
-
-@query(f"WITH {HREF} SELECT page_id, href, count(*)::BIGINT AS n FROM h GROUP BY ALL")
-def href_extract(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
-    return h.groupBy("page_id", "href").agg(F.count("*").alias("n"))
-
-
-@query(
-    f"""WITH {HREF}, c AS (SELECT DISTINCT page_id, href, 0 AS pr, href AS path FROM h UNION ALL SELECT DISTINCT page_id, href, 1, lower(href) FROM h), f AS (SELECT DISTINCT lower(href) AS url FROM h WHERE page_id % 2 = 0),
-b AS (SELECT page_id, href, path FROM c JOIN f ON f.url = c.path QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pr, path) = 1) SELECT DISTINCT page_id::VARCHAR AS importer, path AS target FROM b"""
-)
-def import_resolve_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Addresses as imports: as written, then in lower case; files are the lower-cased addresses of every other page."""
-    h = table(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("href"))
-    tries = F.explode(F.array(F.struct(F.lit(0).alias("priority"), F.col("href").alias("path")), F.struct(F.lit(1).alias("priority"), F.lower("href").alias("path"))))
-    c = h.select(F.col("page_id").cast("string").alias("importer"), F.col("href").alias("import_id"), tries.alias("t")).select("importer", "import_id", "t.*")
-    return ingest.resolve_imports(c, h.where("page_id % 2 = 0").select(F.lower("href").alias("path")).distinct())
-
-
-@query(f"WITH {NODES} SELECT (SELECT count(*) FROM nodes)::BIGINT AS nodes, (SELECT count(DISTINCT community) FROM nodes)::BIGINT AS communities, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R')::BIGINT AS structural_edges, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R')::BIGINT AS temporal_edges, (SELECT count(*) FROM nation)::BIGINT AS files, (SELECT count(*) FROM region)::BIGINT AS cochange_pairs")
-def index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "temporal").otherwise("structural").alias("channel"))
-    return reports.stats(_nodes(spark, sf), e, table(spark, sf, "nation"), table(spark, sf, "region"))
-
-
-# ---------------------------------------------------------------- evaluation and packs
-
-JUDGED = f"{COSINE}, x AS (SELECT vec_id AS idx, label FROM embeddings), h AS (SELECT query_id, idx, rank FROM d), y AS (SELECT q.query_id, x.idx AS path FROM q JOIN x qx ON qx.idx = q.query_id JOIN x ON x.label = qx.label), j AS (SELECT y.query_id, y.path, h.rank FROM y LEFT JOIN h ON h.query_id = y.query_id AND h.idx = y.path)"
-
-
-@query(f"{JUDGED} SELECT query_id, round(count_if(rank <= 1)::DOUBLE / count(*), 6) AS recall_1, round(count_if(rank <= 5)::DOUBLE / count(*), 6) AS recall_5, round(count_if(rank <= 10)::DOUBLE / count(*), 6) AS recall_10, round(count_if(rank <= 20)::DOUBLE / count(*), 6) AS recall_20, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM j GROUP BY query_id")
-def recall_at_k(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
-    """Vectors of the query's label are the truth."""
-    hits = _cosine(spark, sf, asked).select("query_id", F.col("idx").alias("source_file"), "rank")
-    files = hits.select("query_id", F.col("source_file").alias("path"), "rank")
-    e = table(spark, sf, "embeddings")
-    truth = e.where(asked.format("vec_id")).select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("path"), "label"), "label").select("query_id", "path")
-    return evaluation.scores(files, truth).select("query_id", *(r6(f"recall_{k}").alias(f"recall_{k}") for k in evaluation.KS), r6("rr").alias("rr"))
-
-
-@query()
-def recall_at_k_all(spark: SparkSession, sf: str) -> DataFrame:
-    return recall_at_k(spark, sf, ALL)
-
-
-@query(f"{JUDGED}, m AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM j GROUP BY query_id) SELECT round(avg(rr), 6) AS mrr, count(*)::BIGINT AS n FROM m")
-def mrr(spark: SparkSession, sf: str, asked: str = FEW) -> DataFrame:
-    return recall_at_k(spark, sf, asked).agg(r6(F.avg("rr")).alias("mrr"), F.count("*").alias("n"))
-
-
-@query()
-def mrr_all(spark: SparkSession, sf: str) -> DataFrame:
-    return mrr(spark, sf, ALL)
-
-
-@query("WITH c AS (SELECT o_orderkey AS sha, epoch(o_orderdate)::BIGINT AS ts, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS r FROM orders) SELECT sha, ts FROM c WHERE r = (SELECT floor(count(*) * (1.0::DOUBLE - 0.8::DOUBLE)) FROM orders)")
-def time_split(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").alias("ts"))
-    return evaluation.time_split(o)
-
-
-@query(
-    """WITH r AS (SELECT o_orderkey AS sha, epoch(o_orderdate)::BIGINT AS ts, o_orderpriority || '. status ' || o_orderstatus AS query, 's' || l_suppkey AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate > TIMESTAMP '2001-01-01' AND l_suppkey % 5 <> 0)
-SELECT sha, ts, query, string_agg(DISTINCT path, ',' ORDER BY path) AS files FROM r WHERE length(query) >= 15 GROUP BY ALL HAVING count(DISTINCT path) BETWEEN 1 AND 3"""
-)
-def eval_set_filter(spark: SparkSession, sf: str) -> DataFrame:
-    ts = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), ts.alias("ts"), F.col("o_orderpriority").alias("subject"), F.concat(F.lit("status "), "o_orderstatus").alias("body"))
-    c = o.join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sha"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path")), "sha")
-    now = table(spark, sf, "supplier").where("s_suppkey % 5 <> 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
-    out = evaluation.eval_set(c, now, 978_307_200, limit=None, max_files=3)
-    return out.select("sha", "ts", "query", F.array_join("files", ",").alias("files"))
-
-
-@query()
-def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Account balances against zero; the draws are Poisson weights, which SQL hasn't."""
-    d = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("diff"))
-    return evaluation.paired_bootstrap(d)
-
-
-@query()
-def pack_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    """One pack per query of the cosine ranking; each choice rests on the ones before."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.concat(F.lit("f"), (F.col("vec_id") % 17).cast("string")).alias("source_file"), F.col("label").cast("long").alias("community"))
-    hits = _cosine(spark, sf, ALL).join(e, "idx").withColumn("cost", (F.col("idx") * 131 % 900 + 100).cast("long"))
-    return pack.pack(hits)
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gneiss.operators.temporal import HistoryConfig
+from gneiss.plans.checkpoint import truncate
 
 RECORD, FIELD = "\x1e", "\x1f"
 SCHEMA = "sha string, ts long, author string, path string"
@@ -27,10 +30,19 @@ def is_repo(root: str | Path) -> bool:
         return False
 
 
-def parse_log(raw: str) -> Iterator[tuple[str, int, str, list[str]]]:
-    """Commits (sha, ts, author, files) of a log with NUL between fields; a rename, which has an empty path and then two more fields, counts as its new path."""
+def records(chunks: Iterable[str], end: str = "\0") -> Iterator[str]:
+    """The fields of a text that comes in chunks."""
+    left = ""
+    for chunk in chunks:
+        *fields, left = (left + chunk).split(end)
+        yield from fields
+    yield left
+
+
+def parse_log(raw: str | Iterable[str]) -> Iterator[tuple[str, int, str, list[str]]]:
+    """Commits (sha, ts, author, files) of a log with NUL between fields, whole or in chunks; a rename, which has an empty path and then two more fields, counts as its new path."""
     head, files = None, []
-    fields = iter(raw.split("\0"))
+    fields = records([raw] if isinstance(raw, str) else raw)
     for f in fields:
         at = f.find(RECORD)
         if at >= 0:
@@ -52,28 +64,90 @@ def parse_log(raw: str) -> Iterator[tuple[str, int, str, list[str]]]:
         yield (*head, files)
 
 
-def mine(root: str | Path, config: HistoryConfig = HistoryConfig(), revisions: str | None = None) -> list[tuple[str, int, str, list[str]]]:
-    args = ["log", "--no-merges", "--numstat", "-z", "--encoding=UTF-8", f"--max-count={config.max_commits}", f"--format={RECORD}%H{FIELD}%at{FIELD}%an%x00"]
+def logs(raw: DataFrame) -> DataFrame:
+    """SCHEMA rows of exported logs (raw string), each parsed by the task that holds it; a commit without files has a null path."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for text in pdf["raw"]:
+                rows = [(sha, ts, author, p) for sha, ts, author, files in parse_log(text) for p in dict.fromkeys(files or [None])]
+                yield pd.DataFrame(rows, columns=["sha", "ts", "author", "path"])
+
+    return raw.select("raw").mapInPandas(run, SCHEMA)
+
+
+def parse_subjects(raw: str) -> Iterator[tuple[str, int, str, str, str]]:
+    """(sha, ts, subject, body, path) of a log whose records have these four fields, and names with NUL between them."""
+    for record in raw.split(RECORD)[1:]:
+        sha, ts, subject, body, files = record.split(FIELD, 4)
+        for p in files.split("\0"):
+            if p := p.strip("\n"):
+                yield sha.strip("\n"), int(ts), subject, body, p
+
+
+SUBJECTS = "sha string, ts long, subject string, body string, path string"
+
+
+def subject_logs(raw: DataFrame) -> DataFrame:
+    """SUBJECTS rows of exported logs (raw string)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for text in pdf["raw"]:
+                yield pd.DataFrame(list(parse_subjects(text)), columns=["sha", "ts", "subject", "body", "path"])
+
+    return raw.select("raw").mapInPandas(run, SUBJECTS)
+
+
+def log_args(config: HistoryConfig, revisions: str | None = None, skip: int = 0, most: int | None = None) -> list[str]:
+    args = ["log", "--no-merges", "--numstat", "-z", "--encoding=UTF-8", f"--skip={skip}", f"--max-count={config.max_commits if most is None else most}", f"--format={RECORD}%H{FIELD}%at{FIELD}%an%x00"]
     args += ["-M"] if config.follow_renames else ["--no-renames"]
     args += [f"--since={config.since}"] if config.since else []
-    args += [revisions] if revisions else []
-    return [c for c in parse_log(git(root, *args)) if config.before_ts is None or c[1] < config.before_ts]
+    return args + ([revisions] if revisions else [])
+
+
+def streamed(root: str | Path, *args: str, size: int = 1 << 20) -> Iterator[str]:
+    """A git command's output in chunks."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    with subprocess.Popen(["git", "-c", "core.quotepath=off", "-C", str(root), *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+        while data := run.stdout.read(size):
+            yield decoder.decode(data)
+        yield decoder.decode(b"", True)
+        if run.wait():
+            raise subprocess.CalledProcessError(run.returncode, run.args)
+
+
+def mine(root: str | Path, config: HistoryConfig = HistoryConfig(), revisions: str | None = None, skip: int = 0, most: int | None = None) -> Iterator[tuple[str, int, str, list[str]]]:
+    """Commits one by one, never the whole log."""
+    return (c for c in parse_log(streamed(root, *log_args(config, revisions, skip, most))) if config.before_ts is None or c[1] < config.before_ts)
+
+
+class Slice(InputPartition):
+    def __init__(self, skip: int, most: int):
+        self.skip, self.most = skip, most
 
 
 class GitLogReader(DataSourceReader):
+    """The commits in slices of `slice` commits, a partition each."""
+
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.slice = options["path"], int(options.get("slice", 5_000))
         before = options.get("before_ts")
-        self.config = HistoryConfig(max_commits=int(options.get("max_commits", 20_000)), since=options.get("since"), before_ts=int(before) if before else None)
+        self.config = HistoryConfig(max_commits=int(options.get("max_commits", HistoryConfig.max_commits)), since=options.get("since"), follow_renames=options.get("follow_renames", "true") == "true", before_ts=int(before) if before else None)
 
-    def read(self, partition):
-        for sha, ts, author, files in mine(self.root, self.config):
-            for path in sorted(set(files)):
+    def partitions(self) -> list[Slice]:
+        since = [f"--since={self.config.since}"] if self.config.since else []
+        n = min(int(git(self.root, "rev-list", "--count", "--no-merges", *since, "HEAD")), self.config.max_commits)
+        return [Slice(i, min(self.slice, n - i)) for i in range(0, max(1, n), self.slice)]
+
+    def read(self, partition: Slice):
+        for sha, ts, author, files in mine(self.root, self.config, skip=partition.skip, most=partition.most):
+            for path in sorted(set(files)) or [None]:
                 yield sha, ts, author, path
 
 
 class GitLog(DataSource):
-    """spark.read.format("gitlog").load(root): one row per commit and file."""
+    """spark.read.format("gitlog").load(root): one row per commit and file, and one without a path for a commit without files."""
 
     @classmethod
     def name(cls) -> str:
@@ -87,20 +161,17 @@ class GitLog(DataSource):
 
 
 def commits(spark: SparkSession, root: str | Path, config: HistoryConfig = HistoryConfig()) -> tuple[DataFrame, int]:
-    """(sha, ts, author, path) rows and the number of commits, those without files too."""
-    found = mine(root, config)
-    rows = [(sha, ts, author, p) for sha, ts, author, files in found for p in dict.fromkeys(files)]
-    return spark.createDataFrame(rows, SCHEMA), len(found)
+    """(sha, ts, author, path) rows, read in slices by tasks, and the number of commits, those without files too."""
+    spark.dataSource.register(GitLog)
+    options = {"max_commits": config.max_commits, "follow_renames": str(config.follow_renames).lower()} | ({"since": config.since} if config.since else {}) | ({"before_ts": config.before_ts} if config.before_ts is not None else {})
+    found = truncate(spark.read.format("gitlog").options(**options).load(str(root)))
+    return found.where("path is not null"), found.select("sha").distinct().count()
 
 
 def subjects(spark: SparkSession, root: str | Path, after_ts: int = 0) -> DataFrame:
     """(sha, ts, subject, body, path) of changes after a time."""
     raw = git(root, "log", "--no-merges", "--name-only", "-z", f"--format={RECORD}%H{FIELD}%at{FIELD}%s{FIELD}%b{FIELD}", *[f"--since=@{after_ts}"] * bool(after_ts))
-    rows = []
-    for record in raw.split(RECORD)[1:]:
-        sha, ts, subject, body, files = record.split(FIELD, 4)
-        rows += [(sha.strip("\n"), int(ts), subject, body, p) for p in (x.strip("\n") for x in files.split("\0")) if p]
-    return spark.createDataFrame(rows, "sha string, ts long, subject string, body string, path string")
+    return spark.createDataFrame(list(parse_subjects(raw)), SUBJECTS)
 
 
 def current_files(spark: SparkSession, root: str | Path) -> DataFrame:

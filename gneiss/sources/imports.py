@@ -14,6 +14,7 @@ from gneiss.operators.ingest import resolve_imports
 # Endings that a relative import may leave out, in order.
 SCRIPT_ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
 
+# The forms of imports that are read.
 _FROM = re.compile(r"(?m)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(\([^)]*\)|[^\n]+)")
 _IMPORT = re.compile(r"(?m)^[ \t]*import[ \t]+([^\n#]+)")
 _SCRIPT = re.compile(r"""\b(?:import|export)\s+(?:[\w\s{},*$]+\s+from\s+)?['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]\s*\)""")

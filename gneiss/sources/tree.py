@@ -1,16 +1,30 @@
-"""Source trees as tables of files."""
+"""Source trees as tables of files.
+
+Folders are listed level by level, each level in parallel, and those that are skipped are never listed; then the kept files
+are read in parallel.
+"""
 
 from __future__ import annotations
 
 import os
+import posixpath
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gneiss.plans.checkpoint import truncate
+
 # Folders that are not read, endings of documents, sizes that are read at most.
 SKIP_DIRS = [
     ".git", ".hg", ".svn", "node_modules", ".venv", "venv", "env", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", "dist", "build", "target",
-    "vendor", ".next", ".nuxt", ".output", ".terraform", ".idea", ".vscode", "coverage", ".tox", ".eggs", ".worktrees",
+    "vendor", ".next", ".nuxt", ".output", ".terraform", ".idea", ".vscode", "coverage", ".tox", ".eggs", ".worktrees", ".codex_worktrees",
+]
+# Folders that the walk for definitions skips; hidden ones besides these are read.
+SOURCE_SKIP_DIRS = [
+    ".git", ".hg", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", "vendor", ".mypy_cache", ".pytest_cache", ".tox", ".next", ".cache",
 ]
 DOC_ENDINGS = [".md", ".rst", ".txt"]
 MOST_TEXT, MOST_SOURCE = 1_500_000, 2_000_000
@@ -40,14 +54,21 @@ def is_document(path: str | Column) -> Column:
     return ending(path).isin(DOC_ENDINGS)
 
 
-def walkable(path: str | Column) -> Column:
-    """Whether a relative path is read: no skipped or hidden folder (but .github), no hidden file unless a document."""
+def folder_read(name: str | Column, sources: bool = False) -> Column:
+    """Whether a folder of this name is listed: not if it is skipped or, but for .github and the walk for definitions, hidden."""
+    n = F.col(name) if isinstance(name, str) else name
+    return ~n.isin(SOURCE_SKIP_DIRS) if sources else ~(n.isin(SKIP_DIRS) | (n.startswith(".") & (n != ".github")))
+
+
+def walkable(path: str | Column, sources: bool = False) -> Column:
+    """Whether a relative path is read: no skipped folder, and no hidden file unless a document. For definitions (sources): no skipped
+    name anywhere in the path, and an ending of a known language."""
     p = F.col(path) if isinstance(path, str) else path
     parts = F.split(p, "/")
+    if sources:
+        return ~F.exists(parts, lambda d: ~folder_read(d, True)) & language(p).isNotNull()
     dirs = F.slice(parts, 1, F.size(parts) - 1)
-    hidden = F.exists(dirs, lambda d: d.isin(SKIP_DIRS) | (d.startswith(".") & (d != ".github")))
-    name = F.element_at(parts, -1)
-    return ~hidden & (~name.startswith(".") | is_document(p))
+    return ~F.exists(dirs, lambda d: ~folder_read(d)) & (~F.element_at(parts, -1).startswith(".") | is_document(p))
 
 
 def contained(root: str | Path, path: str | Path) -> Path | None:
@@ -65,37 +86,90 @@ def read_lines(root: str | Path, path: str | Path) -> list[str]:
     return real.read_bytes().decode("utf-8", "replace").splitlines() if real else []
 
 
-def leading_out(root: str | Path) -> list[str]:
-    """Links of a local tree whose targets lie outside it, as relative paths."""
-    base, out = Path(root).resolve(), []
-    for folder, dirs, names in os.walk(base):
-        for n in [*dirs, *names]:
-            p = Path(folder, n)
-            if p.is_symlink() and not p.resolve().is_relative_to(base):
-                out.append(p.relative_to(base).as_posix())
-    return out
+def store_of(root: str):
+    """(file system, path) of a folder: a local path, or an address that pyarrow knows."""
+    from pyarrow import fs
+
+    if "://" not in root and not root.startswith("file:"):
+        return fs.LocalFileSystem(), os.path.realpath(root)
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root).rstrip("/"))
 
 
-def scan(spark: SparkSession, root: str, most: int = MOST_TEXT) -> DataFrame:
+def entries(root: str, folder: str) -> Iterator[tuple[str, str, bool, int]]:
+    """(path, name, is_dir, size) of what lies in a folder below root. Links to folders, and to files outside root, are left out."""
+    from pyarrow import fs
+
+    store, base = store_of(root)
+    at = posixpath.join(base, folder) if folder else base
+    local = isinstance(store, fs.LocalFileSystem)
+    try:
+        found = store.get_file_info(fs.FileSelector(at))
+    except OSError:  # a folder that may not be read, or is gone
+        return
+    for f in found:
+        path = posixpath.join(folder, f.base_name) if folder else f.base_name
+        if local and os.path.islink(f.path) and (f.type == fs.FileType.Directory or contained(base, path) is None):
+            continue
+        if f.type in (fs.FileType.Directory, fs.FileType.File):
+            yield path, f.base_name, f.type == fs.FileType.Directory, f.size or 0
+
+
+def listed(spark: SparkSession, root: str, sources: bool = False) -> DataFrame:
+    """(path, size) of all files in folders that are read; paths are relative to root. A job for each level of folders."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for folder in pdf["path"]:
+                yield pd.DataFrame(list(entries(root, folder)), columns=["path", "name", "is_dir", "size"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        found = truncate(level.mapInPandas(run, "path string, name string, is_dir boolean, size long"))
+        own = found.where("not is_dir").select("path", "size")
+        files = own if files is None else files.unionByName(own)
+        level = found.where(F.col("is_dir") & folder_read("name", sources)).select("path").repartition(spark.sparkContext.defaultParallelism)
+        if not level.limit(1).count():
+            return files
+
+
+def scan(spark: SparkSession, root: str, most: int = MOST_TEXT, sources: bool = False) -> DataFrame:
     """(path, text, language, is_doc) of the tree's code and documents, in parallel over files.
 
-    Paths are relative to root. Links of a local tree that lead out of it are left out.
+    Paths are relative to root. Links of a local tree that lead out of it are left out. sources: the walk for definitions, which takes
+    code only, by another rule; as that rule looks at the root's own folders too, a tree below a skipped folder has none.
     """
-    local = "://" not in root
-    base = str(Path(root).resolve()) if local else root.rstrip("/")
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + base if local else base)
-    rel = F.regexp_replace("path", ("^file:/*" if local else "^") + r"\Q" + base.lstrip("/" if local else "") + r"\E/?", "")
-    out = f.withColumn("path", rel).where(walkable("path") & (F.col("length") <= most))
-    for link in leading_out(root) if local else []:
-        out = out.where(~((F.col("path") == link) | F.startswith(F.col("path"), F.lit(link + "/"))))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    out = out.select("path", text.alias("text"), language("path").alias("language"), is_document("path").alias("is_doc"))
-    return out.where(F.col("language").isNotNull() | F.col("is_doc"))
+    if sources and not set(SOURCE_SKIP_DIRS).isdisjoint(store_of(root)[1].split("/")):
+        return spark.createDataFrame([], "path string, text string, language string, is_doc boolean")
+    kept = listed(spark, root, sources).where(walkable("path", sources) & (F.col("size") <= most))
+    kept = kept.where(language("path").isNotNull() | is_document("path")).select("path")
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = store_of(root)
+        for pdf in parts:
+            rows, held = [], 0
+            for path in pdf["path"]:
+                try:
+                    with store.open_input_stream(posixpath.join(base, path)) as f:
+                        data = f.read()
+                except OSError:
+                    continue
+                rows.append((path, data.decode("utf-8", "replace")))
+                held += len(data)
+                if held > 16 << 20:
+                    yield pd.DataFrame(rows, columns=["path", "text"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "text"])
+
+    texts = kept.repartition(spark.sparkContext.defaultParallelism).mapInPandas(read, "path string, text string")
+    return texts.select("path", "text", language("path").alias("language"), is_document("path").alias("is_doc"))
+
+
+def line_array(text: str | Column) -> Column:
+    """The lines of a text, at every kind of line end that Python knows; a line end at the end begins no line."""
+    parts = F.split(F.col(text) if isinstance(text, str) else text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(path, line, text): lines from 1, at every kind of line end that Python knows."""
-    ends = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-    parts = F.split(F.col("text"), ends)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return files.select("path", F.posexplode(whole).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+    """(path, line, text), lines from 1."""
+    return files.select("path", F.posexplode(line_array("text")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")

@@ -60,12 +60,12 @@ class Tools:
 
     def co_change(self, path: str, n: int = 10) -> str:
         pairs = self.epoch.read("cochange")
-        rows = [] if pairs is None else reports.cochange_partners(pairs, path, n).collect()
+        rows = [] if pairs is None else reports.cochange_partners(pairs, path, min(n, MOST)).collect()
         return "\n".join(f"{r['other']} {r['support']:.2f} ({r['n_ab']} commits, lift {r['lift']:.1f})" for r in rows) or f"nothing changes with {path}"
 
     def hotspots(self, n: int = 10) -> str:
         files = self.epoch.read("files")
-        rows = [] if files is None else reports.hotspots(files, n).collect()
+        rows = [] if files is None else reports.hotspots(files, min(n, MOST)).collect()
         return "\n".join(f"{r['path']} {r['hotspot']:.2f} (churn {r['churn']:.2f}, bus factor {r['bus_factor']})" for r in rows) or "no history"
 
     def owners(self, path: str) -> str:

@@ -20,14 +20,47 @@ d.files.forEach((f, i) => { const [cx, cy] = at(i); const t = document.createEle
 </script></body></html>"""
 
 
-def payload(epoch: Epoch, max_files: int = 20_000) -> dict:
-    """Regions, files (path, region, hotspot), edges between them and key files; at most max_files files, by hotspot."""
+SYMBOLS = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title></head><body style="margin:0;background:#0b0e14;color:#ccc;font:13px sans-serif"><input id="find" placeholder="find" style="position:fixed;left:8px;top:8px"><div id="said" style="position:fixed;left:8px;top:40px;white-space:pre"></div><canvas id="map"></canvas><script type="application/json" id="data">{data}</script><script>
+const d = JSON.parse(document.getElementById("data").textContent), c = document.getElementById("map"), g = c.getContext("2d"), n = d.nodes;
+let zoom = 1, at = [0, 0], chosen = -1;
+const near = n.map(() => []);
+for (const [a, b] of d.edges) { near[a].push(b); near[b].push(a); }
+const place = i => [c.width / 2 + (n[i].x - at[0]) * zoom, c.height / 2 + (n[i].y - at[1]) * zoom];
+const draw = () => {
+  c.width = innerWidth; c.height = innerHeight;
+  g.strokeStyle = "#ffffff30";
+  for (const b of chosen < 0 ? [] : near[chosen]) { g.beginPath(); g.moveTo(...place(chosen)); g.lineTo(...place(b)); g.stroke(); }
+  n.forEach((f, i) => { const [x, y] = place(i); g.fillStyle = "#" + f.c.toString(16).padStart(6, "0"); g.fillRect(x - 1, y - 1, i === chosen ? 6 : 2 + Math.min(4, Math.sqrt(f.d) / 2), i === chosen ? 6 : 2 + Math.min(4, Math.sqrt(f.d) / 2)); });
+};
+const choose = i => { chosen = i; document.getElementById("said").textContent = i < 0 ? "" : [n[i].l + " (" + n[i].k + ")", n[i].p, ...near[i].slice().sort((a, b) => n[b].d - n[a].d).slice(0, 30).map(b => "  " + n[b].l)].join("\\n"); draw(); };
+c.onclick = e => { let best = -1, least = 100; n.forEach((_, i) => { const [x, y] = place(i), q = (x - e.clientX) ** 2 + (y - e.clientY) ** 2; if (q < least) { least = q; best = i; } }); choose(best); };
+c.onwheel = e => { zoom *= e.deltaY < 0 ? 1.2 : 1 / 1.2; draw(); };
+c.onmousemove = e => { if (e.buttons) { at = [at[0] - e.movementX / zoom, at[1] - e.movementY / zoom]; draw(); } };
+document.getElementById("find").onchange = e => choose(n.findIndex(f => f.l.toLowerCase().startsWith(e.target.value.toLowerCase())));
+onresize = draw; draw();
+</script></body></html>"""
+
+
+def symbol_payload(epoch: Epoch, cap: int = mapview.MAX_NODES, links: int = mapview.MAX_EDGES) -> dict:
+    """Nodes of the symbol map (label, kind, path, degree, place and colour), at most `cap`, and at most `links` edges between them, of the largest weights."""
+    e = epoch.edges()
+    rows = mapview.symbols(epoch.read("nodes"), e, cap).orderBy("idx").collect()
+    number = {r["idx"]: i for i, r in enumerate(rows)}
+    some = e.where((F.col("src") < cap) & (F.col("dst") < cap)).orderBy(F.desc("weight"), "src", "dst").limit(links).select("src", "dst").collect()
+    nodes = [{"l": r["label"] or "", "k": r["kind"] or "", "p": r["source_file"] or "", "g": r["group"], "d": r["degree"], "x": round(r["x"], 2), "y": round(r["y"], 2), "c": r["color"]} for r in rows]
+    return {"nodes": nodes, "edges": [[number[r["src"]], number[r["dst"]]] for r in some]}
+
+
+def payload(epoch: Epoch, max_files: int | None = None) -> dict:
+    """Regions, files (path, region, hotspot), edges between them and key files; if max_files is given, that many files by hotspot at most."""
     nodes, spark = epoch.read("nodes"), epoch.spark
     files = epoch.read("files")
     hot = files.select("path", F.coalesce("hotspot", F.lit(0.0)).alias("hotspot")) if files is not None else spark.createDataFrame([], "path string, hotspot double")
     r = mapview.regions(nodes).join(hot, "path", "left").fillna(0.0, ["hotspot"])
     names = mapview.majority(nodes, "community_name")
-    rows = sorted(r.join(names, "path", "left").orderBy(F.desc("hotspot"), "path").limit(max_files).collect(), key=lambda x: x["path"])
+    found = r.join(names, "path", "left")
+    found = found if max_files is None else found.orderBy(F.desc("hotspot"), "path").limit(max_files)
+    rows = sorted(found.collect(), key=lambda x: x["path"])  # the page holds them all
     at = {x["path"]: i for i, x in enumerate(rows)}
     shown: dict[int, dict] = {}
     for x in rows:
@@ -45,12 +78,18 @@ def payload(epoch: Epoch, max_files: int = 20_000) -> dict:
     return {"regions": regions, "files": [{"p": x["path"], "r": x["region"], "h": round(x["hotspot"], 2)} for x in rows], "edges": edges, "key": key}
 
 
-def page(data: dict, title: str) -> str:
+def page(data: dict, title: str, template: str = PAGE) -> str:
     """One page with all it needs; no text of the data can end its script or open a tag."""
-    first, rest = PAGE.split("{title}")
+    first, rest = template.split("{title}")
     middle, last = rest.split("{data}")
     return first + html.escape(title) + middle + json.dumps(data).replace("<", "\\u003c") + last
 
 
 def write(epoch: Epoch, path: str | Path, title: str = "map") -> None:
+    """The map of files."""
     Path(path).write_text(page(payload(epoch), title), encoding="utf-8")
+
+
+def write_symbols(epoch: Epoch, path: str | Path, title: str = "map") -> None:
+    """The map of symbols."""
+    Path(path).write_text(page(symbol_payload(epoch), title, SYMBOLS), encoding="utf-8")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss import cli, tools, viz
-from gneiss.operators import dense, evaluation, ingest, lexical, reports, temporal
+from gneiss.operators import dense, evaluation, ingest, lexical, pack, reports, temporal
 from gneiss.plans import build, index
 from gneiss.plans.retrieve import Retriever
 from gneiss.plans.store import Store
@@ -79,6 +79,9 @@ def test_command_line(indexed, spark, capsys, tmp_path):
     assert cli.run([*base, "ask", "Session", "--json"], spark) == 0
     assert json.loads(capsys.readouterr().out)["hits"][0]["label"] == "Session"
     assert cli.run([*base, "map", str(tmp_path / "m.html")], spark) == 0 and "<svg" in (tmp_path / "m.html").read_text()
+    assert cli.run([*base, "map", "--symbols", str(tmp_path / "s.html")], spark) == 0
+    page = json.loads((tmp_path / "s.html").read_text().split('id="data">')[1].split("</script>")[0])
+    assert {"Session", "auth.py"} <= {n["l"] for n in page["nodes"]} and page["edges"] and all(len(f"{n['c']:06x}") == 6 for n in page["nodes"])
     assert cli.run([*base, "stats"], spark) == 0 and cli.run([*base, "eval"], spark) == 1
     assert cli.run(["--out", str(tmp_path / "none"), "stats"], spark) == 1
     assert cli.run([*base, "summarize", "--command", "wc -c"], spark) == 0
@@ -111,6 +114,54 @@ def test_epochs(spark, tmp_path):
     assert s.open().edges("structural").count() == 1 and s.open().edges("temporal").count() == 1 and before.read("t").count() == 3
 
 
+def test_epochs_aside_are_never_published(spark, tmp_path):
+    s = Store(spark, tmp_path)
+    with s.begin() as e:
+        e.write("t", spark.range(3))
+        e.put_meta(a=1)
+    with s.aside() as e:
+        e.write("t", spark.range(5))
+        e.put_meta(a=2)
+        assert e.read("t").count() == 5 and e.meta() == {"a": 2} and s.open().meta() == {"a": 1}
+    assert s.numbers() == [1] and s.open().read("t").count() == 3 and not list((tmp_path / "epochs").glob("aside*"))
+
+
+def test_evaluation_leaves_the_index_alone(spark, tmp_path):
+    root = tmp_path / "repo"
+    write(root, {f"pkg/m{i}.py": f"def handler_{i}():\n    return {i}\n" for i in range(30)})
+    git(root, "init", "-q")
+    for i in range(60):
+        f = root / f"pkg/m{i % 30}.py"
+        f.write_text(f.read_text() + f"# {i}\n")
+        git(root, "add", "-A")
+        when = f"{1700000000 + i * 86400} +0000"
+        git(root, "commit", "-qm", f"touch handler_{i % 30} in its module", GIT_AUTHOR_DATE=when, GIT_COMMITTER_DATE=when)
+    store = Store(spark, tmp_path / "index")
+    index.build_index(spark, str(root), store, backend="hash", as_of=1710000000)
+    before = store.open().read("files").agg(F.sum("n_commits")).first()[0]
+    rungs = cli.evaluate(spark, store, str(root), 0.5, 20)
+    assert [r.name for r in rungs] == ["bm25", "dense", "hybrid", "hybrid+ppr"] and all(r.n == 20 for r in rungs)
+    assert rungs[0].recall[20] > 0.9 and rungs[0].each != rungs[1].each
+    assert store.numbers() == [1] and store.open().read("files").agg(F.sum("n_commits")).first()[0] == before
+
+
+def test_communities_by_either_method(spark):
+    paths = [f"r{g}/{x}.py" for g in range(3) for x in "abcd"] + ["z/one.py", "two.py"]
+    edges = [(f"r{g}/{x}.py", f"r{g}/{y}.py") for g in range(3) for x in "abcd" for y in "abcd" if x < y]
+    f, e = spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(edges, "importer string, target string")
+    a, b = ({r.path: (r.community, r.community_name) for r in build.communities(spark, f, e, m).collect()} for m in ("louvain", "labels"))
+    assert a == b and a["r1/a.py"] == (1, "r1") and a["z/one.py"][1] == "z" and a["two.py"][1] == "(root)"
+    with pytest.raises(ValueError):
+        build.communities(spark, f, e, "other")
+
+
+def test_packs_are_rendered():
+    items = [{"label": "f", "location": "a.py:3", "kind": "function", "why": "matched query", "text": "x = ```1```", "community": 2}, {"label": "g", "text": "", "community": None}]
+    page = pack.render("how", items, 120, 2)
+    assert page.startswith("# how\n\n2 items of 1 communities, about 120 tokens, 2 left out") and "````\nx = ```1```\n````" in page and "### 2. g" in page
+    assert "no match" in pack.render("how", [], 0, 0, ["no match"])
+
+
 def test_pages_escape_what_they_hold():
     data = {"regions": [{"name": "</script><b>"}], "files": [], "edges": [], "key": []}
     p = viz.page(data, "<t>{data}")

@@ -8,7 +8,7 @@ import pytest
 from gneiss import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -41,6 +41,5 @@ def test_rows_match(spark, duck, name):
         assert all(close(x, y) for a, b in zip(sorted(got, key=lambda r: repr(key(r))), sorted(want, key=lambda r: repr(key(r)))) for x, y in zip(a, b))
 
 
-def test_other_queries_give_rows(spark):
-    for name in set(registry.QUERIES) - set(registry.ORACLE_SQL):
-        assert registry.QUERIES[name](spark, SF).limit(1).count() == 1
+def test_all_have_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
