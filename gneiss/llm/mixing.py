@@ -59,7 +59,7 @@ def exponent(entropies: Callable[[list[float]], list[float]], sources: int, leas
 
 
 def plan(sizes: DataFrame, target: float, repetition: float) -> tuple[DataFrame, float]:
-    """(source, source_tokens, weight, quota) from (source, source_tokens), and the exponent."""
+    """The table with weight and quota, from (source, source_tokens, ...), and the exponent."""
     sources, least, most = sizes.agg(F.count("*"), F.min("source_tokens"), F.max("source_tokens")).first()
     if not sources:
         return sizes.select("*", F.lit(0.0).alias("weight"), F.lit(0.0).alias("quota")), 1.0
@@ -85,8 +85,8 @@ def mix(docs: DataFrame, target: float = 0.99, repetition: float = 1.5, blocks:
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), tokens_of(text_col).alias("tokens"))
     # narrow rows: read by the sums below and again to be placed
     rows = stored(rows.groupBy("id", "source", "tokens").agg(F.count("*").alias("copies")), "counted")
-    sizes = stored(rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("source_tokens")), "sources")
-    planned, t = plan(sizes, target, repetition)
+    sizes = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("source_tokens"), F.count("*").alias("group_rows"))
+    planned, t = plan(stored(sizes, "sources"), target, repetition)
     most = rows.agg(F.max("copies")).first()[0] or 0
     planned = planned.withColumnRenamed("source", "_source")
     each = rows.join(planned, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")

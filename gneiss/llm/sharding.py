@@ -71,13 +71,14 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     kept = kept.withColumn("at", F.shiftrightunsigned("place", 64 - BITS)).join(F.broadcast(arcs), "at").drop("at")
     # places of one arc lie close together: the order within it comes from another hash
     kept = kept.withColumn("place", F.xxhash64(F.lit("rank"), "place"))
-    counted = {r[0]: (r[1], r[2]) for r in kept.groupBy("arc").agg(F.sum("copies"), F.max("copies")).collect()}
-    counts = [counted.get(a, (0, 0))[0] for a in range(len(points))]
+    counted = {r[0]: r[1:] for r in kept.groupBy("arc").agg(F.sum("copies"), F.max("copies"), F.count("*")).collect()}
+    counts = [counted[a][0] if a in counted else 0 for a in range(len(points))]
     plan = settle(counts, owner, capacities(sum(counts), shards))
     pieces = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "arc int, lo long, hi long, shard int, slot0 long")
     # equal rows have equal places: they form one interval of ranks, cut at the ends of the pieces
-    ranked = running(kept, ["arc"], ["id", "crc", "size"], "copies")
+    sizes = spark.createDataFrame([(a, r[2]) for a, r in counted.items()] or [(0, 0)], "arc int, group_rows long")
+    ranked = running(kept.join(F.broadcast(sizes), "arc"), ["arc"], ["id", "crc", "size"], "copies")
     cut = ranked.join(F.broadcast(pieces), "arc").where("before < hi and before + copies > lo")
     cut = cut.withColumn("first", F.greatest("before", "lo")).withColumn("last", F.least(F.expr("before + copies"), "hi") - 1)
-    out = unrolled(cut, "first", "last", "r", max((m for _, m in counted.values()), default=0))
+    out = unrolled(cut, "first", "last", "r", max((r[1] for r in counted.values()), default=0))
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("slot0") + F.col("r") - F.col("lo")).alias("slot"))
