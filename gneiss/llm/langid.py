@@ -8,7 +8,7 @@ Chunks keep the dictionary in reach over long texts; the whole text counts.
 The margin is (second smallest - smallest) / second smallest. `score` is 1 - 2^-(margin / `half`), and a text is
 rejected if its margin is below `narrow` or it has no letter.
 
-Sample: at most `per_lang` documents of each language, the first by a hash of the id, then of the text; a dictionary holds at most
+Sample: at most `per_lang` documents of each language, by a hash of id and text; a dictionary holds at most
 `dictionary` bytes of them, or `room` bytes shared equally by all languages if that is less, so that what is broadcast is bounded whatever
 their number: no language is left out. Each document gives an equal share first (more where others are shorter): pieces of about
 `PIECE` bytes from places all over the text, in the order of a hash. A language's dictionary is made in one task from its sampled texts.
@@ -30,10 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import small_batches, stored
 
 PER_LANG, DICTIONARY, ROOM, CHUNK, LEVEL, NARROW, HALF = 64, 96 * 1024, 128 << 20, 2048, 6, 0.002, 0.05
 PIECE = 256
+#: Rows of a sample that are broadcast to find their texts; a larger one is joined.
+PICKED = 500_000
 _GAPS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}").search
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -70,15 +72,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Dictionaries by language, the language with most sampled documents first."""
     small_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    # one row for each language
-    languages = known.select("lang").distinct().count()
+    key = F.xxhash64(F.lit("langid"), "id", F.xxhash64("text"))  # of equal rows, the same
+    keyed = known.withColumn("key", key)
+    # of each of a few buckets of a language the row of the least hash, as a sum that is aggregated where the rows are; of these the first
+    least = keyed.groupBy("lang", F.pmod("key", F.lit(4 * per_lang)).alias("bucket")).agg(F.min("key").alias("key"))
+    order = Window.partitionBy("lang").orderBy("key")  # 4 x per_lang rows of a language at most
+    picked = stored(least.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select(F.col("lang").alias("_lang"), F.col("key").alias("_key")), "picked")
+    languages, wanted = picked.agg(F.count_distinct("_lang"), F.count("*")).first()
     most = min(dictionary, max(256, room // max(1, languages)))
-    # ids and hashes of texts are sampled, then only texts that are wanted are moved; copies of one row are one
-    light = known.select("id", "lang", F.xxhash64("text").alias("h")).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "id"), "id", "h")
-    picked = light.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).toDF("_id", "_lang", "_h", "r").drop("r")
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h"))
-    rows = known.withColumn("h", F.xxhash64("text")).join(picked, same).select(F.col("id").cast("string").alias("id"), "lang", "h", "text")
+    picked = F.broadcast(picked) if wanted <= PICKED else picked
+    rows = keyed.join(picked, F.expr("lang = _lang and key = _key")).select(F.col("id").cast("string").alias("id"), "lang", F.col("key").alias("h"), "text")
 
     def pieces(batches):
         for batch in batches:
