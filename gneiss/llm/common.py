@@ -33,6 +33,9 @@ def small_batches(spark: SparkSession) -> None:
         now = int(re.match(r"-?\d+", spark.conf.get(name))[0])
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
+    # workers give memory back that they have freed, and don't keep it for each thread
+    for name, value in (("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_MMAP_THRESHOLD_", "1048576"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 # ---------------------------------------------------------------- shared files
@@ -162,24 +165,23 @@ def arrow_list(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 
 
 def running(df: DataFrame, groups: list[str], order: list[str], value: str, rows: int = 2048) -> DataFrame:
-    """df with `before` (the sum of value over the earlier rows of the group, in the order given by
-    `place`, a 64-bit hash that the caller has put into the column, then by the columns of order) and `total`.
+    """df with `before`, the sum of value over the earlier rows of the group, in the order given by `place`, a 64-bit hash that the
+    caller has put into the column, then by the columns of order. The caller also says, in the column `group_rows`, how many rows the group
+    has; a join here that finds it out would deal whole groups to tasks.
 
     A group may hold any share of the rows: it is cut into buckets of about `rows` rows by the leading bits
     of place; windows run within a bucket and over the table of bucket sums, never over a whole group. So places must
     be spread evenly within a group, whatever the group is.
     """
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"), F.sum(value).cast("long").alias("total"))
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("_n") / F.lit(rows), F.lit(1.0))))).cast("int")
-    sizes = sizes.select(*groups, "total", F.least(bits, F.lit(40)).alias("_bits"))
-    cut = df.join(sizes, groups).withColumn("_b", F.expr("shiftrightunsigned(shiftrightunsigned(place, 23), 41 - _bits)"))
+    bits = F.ceil(F.log2(F.greatest(F.col("group_rows") / F.lit(rows), F.lit(1.0)))).cast("int")
+    cut = df.withColumn("_bits", F.least(bits, F.lit(40))).withColumn("_b", F.expr("shiftrightunsigned(shiftrightunsigned(place, 23), 41 - _bits)"))
     sums = cut.groupBy(*groups, "_b").agg(F.sum(value).cast("long").alias("_s"))
     w = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*groups, "_b", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_base"))
     w = Window.partitionBy(*groups, "_b").orderBy("place", *order).rowsBetween(Window.unboundedPreceding, -1)
     out = cut.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
     out = out.join(sums, [*groups, "_b"])
-    return out.withColumn("before", F.col("_base") + F.col("_in")).drop("_b", "_bits", "_base", "_in")
+    return out.withColumn("before", F.col("_base") + F.col("_in")).drop("_b", "_bits", "_base", "_in", "group_rows")
 
 
 def unrolled(df: DataFrame, first: str, last: str, number: str, most: int, step: int = 1 << 16) -> DataFrame:
