@@ -29,6 +29,8 @@ from pyspark.sql.types import StructType
 from .common import across, confirm, connected_components, keyed, mix, shingle_set, signed, stored
 
 WIDTH, FOUND, BLOCK = 3, 0.9985, 512
+#: Table keys that a task makes, about.
+KEYS = 1_000_000
 SIGNATURE = "n_shingles long, cls long, lefts array<long>, rights array<long>"
 
 
@@ -153,7 +155,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classes = stored(classes.select("cls", "rep", "row", F.col("s.n_shingles").alias("n"), "s.lefts", "s.rights"), "classes")
 
     tables = F.flatten(F.transform("lefts", lambda x: F.transform("rights", lambda y: F.xxhash64(x, y))))
-    rows = classes.select("cls", "n", F.explode(tables).alias("key"))
+    # a row makes groups^2 of them: dealt out so that a task's sums, most of which stay alone, are few
+    tasks = max(1, classes.count() * groups * groups // KEYS)
+    rows = classes.repartition(tasks, "cls").select("cls", "n", F.explode(tables).alias("key"))
     # stored, so that the join with it can be split where a key is hot
     shared = stored(rows.groupBy("key").agg(F.min("cls").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "shared")
     members = stored(rows.join(shared, "key").select("first", "cls", "n").distinct(), "members")
