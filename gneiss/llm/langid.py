@@ -8,15 +8,14 @@ Chunks keep the dictionary in reach over long texts; the whole text counts.
 The margin is (second smallest - smallest) / second smallest. `score` is 1 - 2^-(margin / `half`), and a text is
 rejected if its margin is below `narrow` or it has no letter.
 
-Sample: at most `per_lang` documents of each language, by a hash of id and text; a dictionary holds at most
+Sample: at most `per_lang` texts of each language, by a hash of the text, copies once; a dictionary holds at most
 `dictionary` bytes of them, or `room` bytes shared equally by all languages if that is less, so that what is broadcast is bounded whatever
 their number: no language is left out. Each document gives an equal share first (more where others are shorter): pieces of about
 `PIECE` bytes from places all over the text, in the order of a hash. A language's dictionary is made in one task from its sampled texts.
 
 Defined cases: texts that are null or have no letters (combining marks alone are none) get `und`, score 0 and are rejected. Rows with a
 null language teach nothing, nor does a language whose sampled texts have no letters. With nothing learned every text is `und` with score
-0, and none is rejected but those without letters. Rows that repeat an id are predicted each, and are sampled as one where their texts are
-equal too. Very long texts are read whole, chunk by chunk. Extra columns are kept; one that has the name of a result is replaced by it. An
+0, and none is rejected but those without letters. Rows that repeat an id are predicted each; copies of a text teach once. Very long texts are read whole, chunk by chunk. Extra columns are kept; one that has the name of a result is replaced by it. An
 empty table gives no rows.
 """
 
@@ -68,12 +67,11 @@ def made_of(texts: list[bytes], dictionary: int) -> bytes:
     return data and data.rjust(8)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, dictionary: int = DICTIONARY, room: int = ROOM) -> dict[str, bytes]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, dictionary: int = DICTIONARY, room: int = ROOM) -> dict[str, bytes]:
     """Dictionaries by language, the language with most sampled documents first."""
     small_batches(docs.sparkSession)
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    key = F.xxhash64(F.lit("langid"), "id", F.xxhash64("text"))  # of equal rows, the same
-    keyed = known.withColumn("key", key)
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    keyed = known.withColumn("key", F.xxhash64(F.lit("langid"), "text"))  # of copies, the same
     # of each of a few buckets of a language the row of the least hash, as a sum that is aggregated where the rows are; of these the first
     least = keyed.groupBy("lang", F.pmod("key", F.lit(4 * per_lang)).alias("bucket")).agg(F.min("key").alias("key"))
     order = Window.partitionBy("lang").orderBy("key")  # 4 x per_lang rows of a language at most
@@ -81,20 +79,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages, wanted = picked.agg(F.count_distinct("_lang"), F.count("*")).first()
     most = min(dictionary, max(256, room // max(1, languages)))
     picked = F.broadcast(picked) if wanted <= PICKED else picked
-    rows = keyed.join(picked, F.expr("lang = _lang and key = _key")).select(F.col("id").cast("string").alias("id"), "lang", F.col("key").alias("h"), "text")
+    rows = keyed.join(picked, F.expr("lang = _lang and key = _key")).groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def pieces(batches):
         for batch in batches:
             data = [spread(plain(t), most) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("h"), pa.array(data, pa.binary())], ["id", "lang", "h", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(data, pa.binary())], ["lang", "key", "data"])
 
     def gathered(t: pa.Table) -> pa.Table:
-        texts = [r["data"] for r in sorted(t.to_pylist(), key=lambda r: (r["id"] or "", r["h"]))]
+        texts = [r["data"] for r in sorted(t.to_pylist(), key=lambda r: r["key"])]
         return pa.table({"lang": t["lang"].slice(0, 1), "n": pa.array([len(texts)], pa.int64()), "data": pa.array([made_of(texts, most)], pa.binary())})
 
-    rows = rows.mapInArrow(pieces, "id string, lang string, h long, data binary")
-    rows = rows.groupBy("id", "lang", "h").agg(F.first("data").alias("data"))  # at most per_lang of a language
-    found = rows.groupBy("lang").applyInArrow(gathered, "lang string, n long, data binary").collect()
+    found = rows.mapInArrow(pieces, "lang string, key long, data binary").groupBy("lang").applyInArrow(gathered, "lang string, n long, data binary").collect()
     return {r["lang"]: bytes(r["data"]) for r in sorted(found, key=lambda r: (-r["n"], r["lang"])) if r["data"]}
 
 
