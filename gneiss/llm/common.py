@@ -34,7 +34,7 @@ def small_batches(spark: SparkSession) -> None:
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
     # workers give memory back that they have freed, and don't keep it for each thread
-    for name, value in (("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_MMAP_THRESHOLD_", "1048576"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+    for name, value in (("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", str(16 << 20)), ("MALLOC_MMAP_THRESHOLD_", str(4 << 20)), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
         spark.sparkContext.environment.setdefault(name, value)
 
 
