@@ -635,6 +635,16 @@ def test_warc_false_magic_is_passed_over(spark, tmp_path):
         assert len(rows) == 2 and {r.payload for r in rows} == {warc.MAGIC * 50 + b"x"}
 
 
+def test_warc_of_rows_without_ids(spark):
+    """Groups of null ids only, of null and other ids, and one hot payload without bytes."""
+    rows = [(None, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (None, "u", "<p>b</p>"), (7, "u", "<p>b</p>"), (5, "u", "<p>b</p>")] + [(1000 + i, "u", None if i % 2 else "") for i in range(500)]
+    folder = scratch_path(spark, "warc-null")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), folder)
+    got = collections.Counter((r.record_id or None, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, folder, split=700).collect())
+    want = collections.Counter([(None, "response", None, 8)] * 2 + [(None, "revisit", "7", 8), ("7", "response", None, 8), ("5", "revisit", "7", 8), ("1499", "response", None, 0)] + [(str(1000 + i), "revisit", "1499", 0) for i in range(499)])
+    assert got == want
+
+
 def test_warc_of_no_pages(spark):
     folder = scratch_path(spark, "warc-none")
     warc.write(pages(spark).limit(0), folder)

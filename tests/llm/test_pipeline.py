@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,66 @@ def test_nothing_learned_drops_nothing(spark, odd, tmp_path):
     unknown = odd.withColumn("lang", F.lit(None).cast("string"))
     kept = corpus_pipeline.keep_languages(spark, unknown, none)
     assert kept.count() == odd.where("text rlike '[a-z]'").count() and kept.where("lang is not null").count() == 0
+
+
+@needs_data
+def test_pipeline_matches_brute_force(spark):
+    """Stage by stage over the smallest tables: each stage's rows against plain Python over its input."""
+    import xxhash
+    from tokenizers import Tokenizer
+
+    from gneiss.llm import langid, toxicity
+    from tests.llm.test_operators import brute
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+
+    # toxicity: all labelled documents, in the order of their ids' hashes
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None and r.doc_id in rows}
+    learned = sorted(y, key=lambda i: (xxhash.xxh3_64_intdigest(str(i)), len(toxicity.features(rows[i].text))))
+    at, w, bias = toxicity.fit([toxicity.features(rows[i].text) for i in learned], [y[i] for i in learned])
+    weight = dict(zip(at.tolist(), w.tolist()))
+    score = lambda t: 1 / (1 + np.exp(-(bias + sum(weight.get(f, 0.0) for f in toxicity.features(t).tolist()))))
+    kept = stages["toxicity"](spark, docs, SF)
+    want = {i for i, r in rows.items() if score(r.text) < 0.3}
+    assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) < len(rows)
+
+    # language: the smallest sum of compressed chunks, with the dictionaries of the input
+    coders = langid.Coders(langid.train(kept))
+    found = {i: coders.choose(rows[i].text) for i in want}
+    out = {r.doc_id: r.lang for r in stages["language_id"](spark, kept, SF).collect()}
+    assert out == {i: lang for i, (lang, margin) in found.items() if lang != "und" and margin >= langid.NARROW}
+    langs = docs.where(F.col("doc_id").isin(list(out)))
+
+    # near duplicates: all pairs of whole sets
+    groups = brute([(i, rows[i].text) for i in out], 5, 80)
+    unique = stages["near_dedup"](spark, langs, SF)
+    want = {i for i, (n, root) in groups.items() if i == root}
+    assert {r.doc_id for r in unique.collect()} == want and len(want) < len(out)
+
+    # mixing: each source as often as its quota says, rows rounded up
+    mixed = stages["mixing"](spark, unique, SF)
+    tokens = lambda t: max(1, len((t or "").split()))
+    sizes = {}
+    for i in want:
+        sizes[rows[i].source] = sizes.get(rows[i].source, 0) + tokens(rows[i].text)
+    placed = {}
+    for r in mixed.collect():
+        placed[r.doc_id] = placed.get(r.doc_id, 0) + 1
+    assert set(placed) == want and max(placed.values()) <= 2
+    t = mixing.plan(spark.createDataFrame(list(sizes.items()), "source string, source_tokens long"), 0.99, 1.5)[1]
+    for source, n in sizes.items():
+        own = sum(tokens(rows[i].text) * c for i, c in placed.items() if rows[i].source == source)
+        quota = min(1.5, (max(sizes.values()) / n) ** (1 - t))
+        longest = max(tokens(rows[i].text) for i in want if rows[i].source == source)
+        assert quota * n - 1e-6 <= own <= quota * n + longest
+
+    # packing: the tokenizer's ids, each once for each time that a document is there
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    got = {}
+    for r in stages["packing"](spark, mixed, SF).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert r.doc_tokens == len(tok.encode(rows[r.doc_id].text or "", add_special_tokens=False).ids) + 1
+    assert got == {i: c * (len(tok.encode(rows[i].text or "", add_special_tokens=False).ids) + 1) for i, c in placed.items()}
