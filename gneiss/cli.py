@@ -47,8 +47,6 @@ def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool
     """Rungs over changes after the cutoff, with a history that ends there, in an epoch that is never published; rebuild=False takes the history that the index has."""
     import contextlib
 
-    from pyspark.sql import functions as F
-
     from gneiss.operators import evaluation, temporal
     from gneiss.plans.history import enrich
     from gneiss.plans.index import encoder_of

@@ -11,10 +11,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def seconds(column: str):
-    return F.unix_timestamp(F.col(column).cast("timestamp"))
-
-
 def commits(spark: SparkSession, sf: str) -> DataFrame:
     """(sha, ts, author, path) from lineitem, orders, customer and nation."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_suppkey").alias("path")).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from gneiss.driver_tables import AS_OF, commits, part_edges, table
 from gneiss.functions import text
 from gneiss.operators import dense, evaluation, fusion, graph, lexical, mapview, pack, reports, temporal
+from gneiss.operators.ingest import with_idx
 from gneiss.plans import build, history
 from gneiss.plans.checkpoint import scratch
 from gneiss.plans.retrieve import Retriever
@@ -322,7 +323,8 @@ HITS = "hits AS (SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) A
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
     why = F.when(F.col("s_suppkey") % 3 == 0, "file co-changes with a matched file").otherwise("connected to matches")
-    return s.select(F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("rank"), F.col("s_suppkey").alias("idx"), F.col("n_name").alias("source_file"), why.alias("why"))
+    ranked = with_idx(s.withColumn("least", -F.col("s_acctbal")), ["least", "s_suppkey"])
+    return ranked.select((F.col("idx") + 1).alias("rank"), F.col("s_suppkey").alias("idx"), F.col("n_name").alias("source_file"), why.alias("why"))
 
 
 @query(f"WITH {HITS} SELECT n_name AS path, 'region ' || n_regionkey AS primary_owner, 0.5::DOUBLE AS owner_share, n_regionkey::BIGINT AS bus_factor FROM nation WHERE n_regionkey <> 2 AND n_name IN (SELECT source_file FROM hits WHERE rank <= 10)")

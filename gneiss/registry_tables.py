@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gneiss.driver_tables import AS_OF, commits, lines, part_edges, table

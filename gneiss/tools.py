@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
 from gneiss.operators import graph, pack, reports
@@ -119,7 +117,3 @@ class Tools:
 
 def names() -> list[str]:
     return sorted(n for n, f in vars(Tools).items() if callable(f) and not n.startswith("_") and n != "retriever")
-
-
-def root_of(store: Store) -> str:
-    return store.open().meta().get("root", str(Path.cwd()))

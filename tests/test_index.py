@@ -50,6 +50,16 @@ def test_index_tables(indexed):
     assert files["app/auth.py"].n_commits == 4 and files["app/auth.py"].bus_factor == 1 and files["app/auth.py"].primary_owner == "ann"
 
 
+def test_stored_postings_answer_as_documents_do(indexed):
+    e = indexed[1].open()
+    stored = lexical.LexicalIndex.load(e)
+    a = [(r.idx, round(r.score, 9)) for r in stored.ask(["session", "store", "session"], 10).orderBy("rank").collect()]
+    b = [(r.idx, round(r.score, 9)) for r in lexical.search_few(e.read("docs"), ["session", "store", "session"], 10).collect()]
+    assert a == b and len(a) > 1
+    assert "PushedFilters: [" in (plan := stored.ask(["session"])._jdf.queryExecution().toString()) and "In(term" in plan or "EqualTo(term" in plan
+    assert lexical.LexicalIndex.load(type(e)(e.spark, e.path / "none")) is None
+
+
 def test_retrieval_and_provenance(indexed):
     root, store, _ = indexed
     r = Retriever(store.open(), encoder=dense.hash_encoder()).search("Session", k=10, seed_k=1)
