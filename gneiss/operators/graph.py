@@ -13,6 +13,8 @@ from gneiss.plans.checkpoint import truncate
 
 # Fixed values of diffusion.
 ALPHA, ITERATIONS, TOLERANCE, WEIGHT_FLOOR = 0.85, 30, 1e-6, 1e-4
+#: Edges of a node that one task takes.
+HUB = 1_000_000
 
 
 def symmetric_weights(edges: DataFrame, symmetric: bool = True) -> DataFrame:
@@ -43,11 +45,12 @@ def with_returns(normal: DataFrame, seeds: DataFrame) -> DataFrame:
     return normal.unionByName(back)
 
 
-def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, reverse: bool = False, every: int = 5) -> DataFrame:
+def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, reverse: bool = False, every: int = 5, hub: int = HUB) -> DataFrame:
     """(idx, score) of personalised PageRank from seeds (idx, score), a bounded number of which negative ones count as 0.
 
     A step spreads alpha of all scores over the edges and gives the rest to the seeds; no mass is lost. Edges are dealt out and sorted
-    by source once, and scores come from a grouping by the same key, so a step shuffles nothing but its partial sums. Every few steps the
+    by source once, and scores come from a grouping by the same key, so a step shuffles nothing but its partial sums. Where a node has more
+    than `hub` edges, they are dealt to slices, and its score is sent to each. Every few steps the
     scores are stored, and the loop ends where they have moved by less than the tolerance since the last time.
     """
     e = row_normalize(transpose(edges) if reverse else edges)
@@ -55,7 +58,20 @@ def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: in
     total = s.agg(F.sum("score").alias("_t"))
     s = truncate(s.crossJoin(F.broadcast(total)).where("_t > 0").select("idx", (F.col("score") / F.col("_t")).alias("seed")))
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = truncate(with_returns(truncate(e), s)).repartition(parts, "src").sortWithinPartitions("src").persist()
+    e = truncate(with_returns(truncate(e), s))
+    hubs = truncate(e.groupBy(F.col("src").alias("hub")).agg(F.ceil(F.count("*") / hub).cast("int").alias("slices")).where("slices > 1"))
+    keys = ["src"]
+    if hubs.limit(1).count():
+        keys = ["src", "slice"]
+        e = e.join(hubs, F.col("src") == F.col("hub"), "left").select("src", "dst", "weight", F.expr("cast(pmod(xxhash64(dst), coalesce(slices, 1)) as int)").alias("slice"))
+    e = e.repartition(parts, *keys).sortWithinPartitions(*keys).persist()
+
+    def met(p: DataFrame) -> DataFrame:
+        if len(keys) == 1:
+            return p.join(e, p["idx"] == e["src"])
+        p = p.join(hubs, F.col("idx") == F.col("hub"), "left").withColumn("s", F.explode(F.expr("sequence(0, coalesce(slices, 1) - 1)")))
+        return p.join(e, (F.col("idx") == F.col("src")) & (F.col("s") == F.col("slice")))
+
     given = s.select("idx", (F.col("seed") * (1.0 - alpha)).alias("score"))
     p = s.select("idx", F.col("seed").alias("score"))
     done = 0
@@ -63,7 +79,7 @@ def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: in
         while done < iterations:
             before = p
             for _ in range(min(every, iterations - done)):
-                spread = p.join(e, p["idx"] == e["src"]).select(F.col("dst").alias("idx"), (alpha * F.col("score") * F.col("weight")).alias("score"))
+                spread = met(p).select(F.col("dst").alias("idx"), (alpha * F.col("score") * F.col("weight")).alias("score"))
                 p = spread.unionByName(given).groupBy("idx").agg(F.sum("score").alias("score"))
                 done += 1
             p = truncate(p)

@@ -29,6 +29,12 @@ def test_reverse_follows_edges_backwards(spark):
     assert scores(graph.ppr(e, seeds(spark, 0))).get(2, 0) > scores(graph.ppr(e, seeds(spark, 0), reverse=True)).get(2, 0)
 
 
+def test_ppr_with_hubs_in_slices(spark):
+    e = edges(spark, [(0, i) for i in range(1, 40)] + [(i, (i * 7) % 40) for i in range(1, 40)] + [(3, i) for i in range(10, 30)])
+    plain, sliced = (scores(graph.ppr(e, seeds(spark, 0, 5), hub=h)) for h in (10**6, 6))
+    assert plain.keys() == sliced.keys() and all(abs(plain[i] - sliced[i]) < 1e-12 for i in plain) and abs(sum(plain.values()) - 1) < 1e-9
+
+
 def test_ppr_without_edges_stays_at_the_seed(spark):
     assert scores(graph.ppr(edges(spark, []), seeds(spark, 1))) == {1: pytest.approx(1.0)}
 
