@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool = True) -> list:
+def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool = True, least: int = 20) -> list:
     """Rungs over changes after the cutoff, with a history that ends there, in an epoch that is never published; rebuild=False takes the history that the index has."""
     import contextlib
 
@@ -57,7 +57,7 @@ def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool
     cutoff = evaluation.time_split(commits, fraction).first()["ts"]
     items = evaluation.eval_set(history.subjects(spark, root, cutoff), history.current_files(spark, root), cutoff, limit)
     rows = items.collect()
-    if len(rows) < 20:
+    if len(rows) < least:
         raise ValueError(f"{len(rows)} changes are too few to evaluate")
     queries = spark.createDataFrame([(r["sha"], r["query"]) for r in rows], "query_id string, query string")
     truth = spark.createDataFrame([(r["sha"], p) for r in rows for p in r["files"]], "query_id string, path string")

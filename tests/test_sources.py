@@ -70,6 +70,9 @@ def test_python_spans():
         ("java", "class A {\n  A(int x) {\n    this.x = x;\n  }\n\n  @Override\n  public <T> Map<String,\n      List<T>> f(\n      int a,\n      T[] b) throws X, Y {\n    return g(a);\n  }\n  abstract int h(int a);\n}\nrecord R(int a, String b) {}\n", [("A", "class", 1, 14), ("f", "method", 7, 12), ("R", "record", 15, 15)]),
         ("cpp", "template <class T>\nclass V : public W<T> {\n  int f(int a) const {\n    return a;\n  }\n};\nnamespace n {\nstd::vector<int> make(\n    int a,\n    std::map<int, int> b) {\n  return {};\n}\n}\n", [("V", "class", 1, 6), ("f", "method", 3, 5), ("n", "namespace", 7, 13), ("make", "method", 8, 12)]),
         ("rust", "pub trait T {\n  fn a(&self);\n}\nimpl<'a, T: Clone> From<Vec<T>> for B<'a> {\n  pub async fn b<F>(f: F) -> Result<(), E>\n  where\n    F: Fn(i32) -> i32,\n  {\n    Ok(())\n  }\n}\npub struct U(i32);\n", [("T", "trait", 1, 3), ("B", "impl", 4, 11), ("b", "method", 5, 10), ("U", "struct", 12, 12)]),
+        ("javascript", "function a(x) {\n  return 1\n}\nfunction* g() {\n}\nasync function h() {\n}\nif (x) {\n}\nclass Z {\n  get q() { return 1 }\n}\n", [("a", "function", 1, 3), ("g", "function", 4, 5), ("h", "function", 6, 7), ("Z", "class", 10, 12), ("q", "method", 11, 11)]),
+        ("scala", "class A(x: Int) extends B {\n  def f(a: Int): Int = {\n    a\n  }\n  def g = 1\n}\ncase class C(a: Int)\nobject D {\n}\n", [("A", "class", 1, 6), ("f", "method", 2, 4), ("g", "method", 5, 5), ("C", "class", 7, 7), ("D", "object", 8, 9)]),
+        ("swift", "protocol P {\n}\nextension S {\n  func f<T>(a: T,\n    b: (Int) -> Int) -> [T] {\n    return []\n  }\n}\n", [("P", "protocol", 1, 2), ("S", "class", 3, 8), ("f", "method", 4, 7)]),
         ("kotlin", "data class P(val a: Int)\n\nfun <T> String.ext(\n  a: T,\n): List<T> {\n  return listOf(a)\n}\n", [("P", "class", 1, 1), ("ext", "function", 3, 7)]),
         ("go", "type Num interface {\n\tint\n}\n\nfunc Map[T, U any](\n\txs []T,\n\tf func(T) U,\n) []U {\n\treturn nil\n}\n", [("Num", "type", 1, 3), ("Map", "function", 5, 10)]),
         ("php", "<?php\nclass A {\n  public function b(array $x = []): ?string\n  {\n    return null;\n  }\n}\n", [("A", "class", 2, 7), ("b", "method", 3, 6)]),
