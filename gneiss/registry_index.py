@@ -259,7 +259,7 @@ def capped_edges(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(mapview.capped_edges(graph.file_pairs(*_supply(spark, sf))), "a string, b string")
 
 
-COMMUNITIES = "cn AS MATERIALIZED (SELECT s_suppkey * 2 AS idx, 100 + s_nationkey AS c FROM supplier UNION ALL SELECT p_partkey * 2 + 1, p_size FROM part), ce AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity > 40)"
+COMMUNITIES = "cn AS MATERIALIZED (SELECT s_suppkey * 2 AS idx, 100 + s_nationkey AS c FROM supplier UNION ALL SELECT p_partkey * 2 + 1, p_size FROM part), ce AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem)"
 
 
 def sql_merge(top: int, passes: int = 4) -> str:
@@ -276,7 +276,7 @@ mass AS MATERIALIZED (SELECT a, b, count(*) AS w FROM (SELECT a, b FROM m0 UNION
 def _communities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     s = table(spark, sf, "supplier").select((F.col("s_suppkey") * 2).alias("idx"), (F.col("s_nationkey") + 100).cast("long").alias("community"), F.col("s_name").alias("label"), F.col("s_name").alias("source_file"))
     p = table(spark, sf, "part").select((F.col("p_partkey") * 2 + 1).alias("idx"), F.col("p_size").cast("long").alias("community"), F.col("p_name").alias("label"), F.col("p_brand").alias("source_file"))
-    e = table(spark, sf, "lineitem").where("l_quantity > 40").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    e = table(spark, sf, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
     return s.unionByName(p).withColumn("kind", F.lit("symbol")), e
 
 
@@ -380,15 +380,15 @@ def summarized(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-RENDERED = """t AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_name, p_brand, p_type, p_size, p_partkey FROM part WHERE p_partkey < 12)
+RENDERED = """t AS (SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS i, p_name, p_brand, p_type, p_size, p_partkey FROM part QUALIFY i <= 12)
 SELECT '# rings' || chr(10) || chr(10) || count(*) || ' items of ' || count(DISTINCT p_size) || ' communities, about ' || sum(floor(length(p_name || p_brand || 'price ' || p_partkey) / 3.2::DOUBLE)::BIGINT + 1 + 12) || ' tokens, 3 left out for the budget.' || chr(10) || chr(10)
   || string_agg('### ' || i || '. ' || p_name || chr(10) || '- kind: ' || p_type || chr(10) || '- at: ' || p_brand || chr(10) || '- because: matched query' || chr(10) || chr(10) || '```' || chr(10) || 'price ' || p_partkey || chr(10) || '```', chr(10) || chr(10) ORDER BY i) || chr(10) AS page FROM t"""
 
 
 @query(f"WITH {RENDERED}")
 def rendered_pack(spark: SparkSession, sf: str) -> DataFrame:
-    """A page of the first dozen of parts."""
-    rows = table(spark, sf, "part").where("p_partkey < 12").orderBy("p_partkey").collect()
+    """A page of the dozen dearest parts."""
+    rows = table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(12).collect()
     items = [{"label": r.p_name, "location": r.p_brand, "kind": r.p_type, "why": "matched query", "text": f"price {r.p_partkey}", "community": r.p_size} for r in rows]
     used = sum(pack.cost(i["label"], i["location"], i["text"]) for i in items)
     return spark.createDataFrame([(pack.render("rings", items, used, 3),)], "page string")

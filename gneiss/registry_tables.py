@@ -346,12 +346,13 @@ def sql_ppr(edges: str, seeds: str, name: str = "p", steps: int = 30, every: int
     )
 
 
-SEEDS = "seeds AS (SELECT s_suppkey * 2 AS idx, s_acctbal / (SELECT sum(s_acctbal) FROM supplier WHERE s_suppkey <= 5 AND s_acctbal > 0) AS seed FROM supplier WHERE s_suppkey <= 5 AND s_acctbal > 0)"
+SEEDS = "seeds AS MATERIALIZED (SELECT idx, score / sum(score) OVER () AS seed FROM (SELECT s_suppkey * 2 AS idx, s_acctbal AS score FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 15))"
 
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
-    """A query's seeds: five suppliers."""
-    return table(spark, sf, "supplier").where("s_suppkey <= 5 and s_acctbal > 0").select((F.col("s_suppkey") * 2).alias("idx"), F.col("s_acctbal").alias("score"))
+    """A query's seeds: the fifteen best of all suppliers."""
+    s = table(spark, sf, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") * 2).alias("idx"), F.col("s_acctbal").alias("score"))
+    return s.orderBy(F.desc("score"), "idx").limit(15)
 
 
 @query(f"WITH {EDGES} SELECT src, dst, weight FROM w")
@@ -375,10 +376,10 @@ def ppr_top(spark: SparkSession, sf: str) -> DataFrame:
     return graph.top(graph.ppr(graph.symmetric_weights(part_edges(spark, sf)), s), 50, exclude=s).select("idx", r6("score", 10).alias("score"))
 
 
-@query(f"WITH RECURSIVE {EDGES}, d AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM (SELECT dst AS src, src AS dst, weight FROM e)), seeds AS (SELECT p_partkey * 2 + 1 AS idx, 0.2::DOUBLE AS seed FROM part WHERE p_partkey <= 4), {sql_ppr('d', 'seeds')} SELECT idx, round(score, 10) AS score FROM p")
+@query(f"WITH RECURSIVE {EDGES}, d AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM (SELECT dst AS src, src AS dst, weight FROM e)), seeds AS MATERIALIZED (SELECT p_partkey * 2 + 1 AS idx, 0.2::DOUBLE AS seed FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5), {sql_ppr('d', 'seeds')} SELECT idx, round(score, 10) AS score FROM p")
 def ppr_reversed(spark: SparkSession, sf: str) -> DataFrame:
     """Over directed edges, backwards: suppliers have no edges then, and what they hold goes back to the seeds."""
-    s = table(spark, sf, "part").where("p_partkey <= 4").select((F.col("p_partkey") * 2 + 1).alias("idx"), F.lit(1.0).alias("score"))
+    s = table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(5).select((F.col("p_partkey") * 2 + 1).alias("idx"), F.lit(1.0).alias("score"))
     return graph.ppr(part_edges(spark, sf), s, reverse=True).select("idx", r6("score", 10).alias("score"))
 
 

@@ -133,14 +133,14 @@ def test_page_rank_until_it_settles_and_all_resamples(spark, tmp_path, monkeypat
     rng = random.Random(8)
     lines = [(rng.randrange(1, 9), rng.randrange(1, 12)) for _ in range(30)]
     sf = write(spark, tmp_path / "t", lineitem=(lines, "l_suppkey long, l_partkey long"), supplier=([(i, 10.0 * i) for i in range(1, 9)], "s_suppkey long, s_acctbal double"), customer=([(i, float(i)) for i in range(9)], "c_custkey long, c_acctbal double"))
-    nodes = sorted({a * 2 for a, _ in lines} | {b * 2 + 1 for _, b in lines} | {2, 4, 6, 8, 10})
+    nodes = sorted({a * 2 for a, _ in lines} | {b * 2 + 1 for _, b in lines} | {2 * i for i in range(1, 9)})
     at, w, seed = {x: i for i, x in enumerate(nodes)}, np.zeros((len(nodes),) * 2), np.zeros(len(nodes))
     for a, b in lines:
         w[at[a * 2], at[b * 2 + 1]] += 1
         w[at[b * 2 + 1], at[a * 2]] += 1
     w /= np.maximum(w.sum(axis=1, keepdims=True), 1)
-    for i in range(1, 6):
-        seed[at[2 * i]] = i / 15
+    for i in range(1, 9):
+        seed[at[2 * i]] = i / 36
     p = seed
     for _ in range(30):
         spread = 0.85 * p @ w
