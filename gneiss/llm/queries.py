@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, embed_dedup, langid, lmscore, minhash, mixing, packing, sharding, toxicity, warc
+from . import ann, embed_dedup, langid, linededup, lmscore, minhash, mixing, packing, runs, sharding, toxicity, warc
 from .common import scratch_path, table
 
 SHARDS, TOKENIZER = 24, "word_bpe_49k.json"
@@ -73,13 +73,46 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _repeating(doc_id: str, text: str):
+    """The text of op12: where crc32 of the id leaves no remainder by 10, its words repeat from some place on."""
+    h = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        # w is bound once, not split again for each word
+        n = F.size(w)
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    rewritten = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))[0]
+    return F.when(h % 10 == 0, rewritten).otherwise(F.col(text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _repeating("doc_id", "text").alias("text"))
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    best = F.col("strongest")
+    return runs.periodic_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_dedup, op3_language_id, op4_toxicity, op5_lm_scoring, op6_nearest_neighbours, op7_mixing, op8_warc, op9_packing, op10_minhash_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_dedup, op3_language_id, op4_toxicity, op5_lm_scoring, op6_nearest_neighbours, op7_mixing, op8_warc, op9_packing, op10_minhash_dedup, op11_line_dedup, op12_periodic_runs, pipeline)}
 
 _COMPONENTS = """
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
@@ -129,6 +162,14 @@ d AS (
     max(page_id) OVER (PARTITION BY x) AS keeper
   FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+""",
+    "op11_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, t.ord AS i, t.line, translate(regexp_replace(regexp_replace(t.line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS ord) t
+), r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.*, r.keeper IS NOT NULL AND r.keeper <> l.doc_id AS gone FROM l LEFT JOIN r USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """,
     "op10_minhash_dedup": rf"""
 WITH RECURSIVE w AS (
