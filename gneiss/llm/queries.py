@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, embed_dedup, langid, linededup, lmscore, minhash, mixing, packing, runs, sharding, toxicity, warc
-from .common import scratch_path, table
+from . import ann, convtrie, embed_dedup, langid, linededup, lmscore, minhash, mixing, packing, runs, sharding, toxicity, warc
+from .common import scratch_path, stored, table
 
 SHARDS, TOKENIZER = 24, "word_bpe_49k.json"
 
@@ -106,13 +106,29 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _shared_starts(turns: DataFrame, convs: DataFrame) -> DataFrame:
+    """The turns of op13: the first crc32(id) mod 6 of a conversation are those of the first conversation of its hundred."""
+    at = convtrie.placed(turns, "conv", ["turn", "key", "row"], [], "turns")
+    shared = F.crc32(F.col("conv").cast("string")) % 6
+    own = at.where(F.col("pos") > shared)
+    heads = at.where("conv % 100 = 0 and pos < 6").withColumnRenamed("conv", "base")
+    lent = convs.withColumn("base", F.expr("conv - conv % 100")).join(heads, "base").where(F.col("pos") <= shared)
+    return own.unionByName(lent.drop("base")).select("conv", F.col("pos").alias("order"), "key", "chars")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = convtrie.turn_rows(table(spark, sf_dir, "conversations"))
+    convs = stored(turns.select("conv").distinct(), "convs")
+    return convtrie.prefix_trie(_shared_starts(turns, convs), convs)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_dedup, op3_language_id, op4_toxicity, op5_lm_scoring, op6_nearest_neighbours, op7_mixing, op8_warc, op9_packing, op10_minhash_dedup, op11_line_dedup, op12_periodic_runs, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_dedup, op3_language_id, op4_toxicity, op5_lm_scoring, op6_nearest_neighbours, op7_mixing, op8_warc, op9_packing, op10_minhash_dedup, op11_line_dedup, op12_periodic_runs, op13_prefix_trie, pipeline)}
 
 _COMPONENTS = """
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
@@ -170,6 +186,27 @@ WITH l AS (
 ), r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
 m AS (SELECT l.*, r.keeper IS NOT NULL AND r.keeper <> l.doc_id AS gone FROM l LEFT JOIN r USING (k))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""",
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda x, y: list_reduce(range(8), lambda z, i: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END, xor(x, y)), 4294967295)) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)
+),
+r AS (
+  SELECT c.c, t.i, t.k, t.n FROM c JOIN t ON t.c = c.base AND t.i <= c.h
+  UNION ALL SELECT c.c, t.i, t.k, t.n FROM c JOIN t ON t.c = c.c AND t.i > c.h
+), p AS (SELECT c.c, coalesce(list(k ORDER BY i) FILTER (WHERE k IS NOT NULL), []) AS ks, coalesce(list(n ORDER BY i) FILTER (WHERE n IS NOT NULL), []) AS ns FROM c LEFT JOIN r ON r.c = c.c GROUP BY c.c),
+e AS (SELECT c, len(ks) AS m, unnest(range(0, len(ks) + 1)) AS d, ks, ns FROM p),
+nodes AS (
+  SELECT d, ks[1:d] AS path, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN ns[d] ELSE 0 END) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE m = d), '')) AS ends_sha256 FROM e GROUP BY ALL
+), kids AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+up AS (SELECT path[1:a] AS path, a AS d, n.d AS below, n.n_convs, n.chars, n.leaf FROM (SELECT nodes.*, kids.path IS NULL AS leaf, unnest(range(0, nodes.d + 1)) AS a FROM nodes LEFT JOIN kids USING (path, d)) n),
+sums AS (SELECT path, d, count_if(leaf) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens FROM up GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (path, d) LEFT JOIN kids k USING (path, d) LEFT JOIN nodes q ON q.path = n.path[1:n.d - 1] AND q.d = n.d - 1
 """,
     "op10_minhash_dedup": rf"""
 WITH RECURSIVE w AS (
