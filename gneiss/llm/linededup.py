@@ -60,17 +60,17 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[str, int] | None] = []
 
-    def _append(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append(None)
+    def _write(self, run: DataFrame, level: int) -> None:
         name, runs = self.levels[level] or (f"gneiss_lines_{uuid.uuid4().hex}", 0)
         writer = run.write.bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").format("parquet").mode("append")
         (writer if runs else writer.option("path", scratch_path(self.spark, name))).saveAsTable(name)
         self.levels[level] = name, runs + 1
-        if runs + 1 == self.fan:
-            self.levels[level] = None
-            self._append(_merged(self.spark.table(name)), level + 1)
-            self.spark.sql(f"drop table {name}")
+
+    def _compact(self, level: int, into: int) -> None:
+        """Merge a level's runs into one run of another level."""
+        name, self.levels[level] = self.levels[level][0], None
+        self._write(_merged(self.spark.table(name)), into)
+        self.spark.sql(f"drop table {name}")
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch (hi, lo, doc, ...), a row for each key of each of its rows."""
@@ -79,15 +79,21 @@ class LineRuns:
             known = self.spark.table(level[0]).where(F.col("n") >= self.need).select("hi", "lo", F.col("last").alias("known"))
             same = (new.hi == known.hi) & (new.lo == known.lo) & (new["last"].isNull() | (known.known >= new["last"]))
             new = new.join(known, same, "left_anti")
-        self._append(new, 0)
+        level, self.levels = 0, self.levels or [None]
+        self._write(new, level)
+        while self.levels[level][1] == self.fan:
+            if level + 1 == len(self.levels):
+                self.levels.append(None)
+            self._compact(level, level + 1)
+            level += 1
 
     def repeated(self) -> DataFrame:
         """(hi, lo, last) of the keys in at least `need` rows."""
-        tables = [self.spark.table(level[0]) for level in self.levels if level]
-        runs = tables[0]
-        for t in tables[1:]:
-            runs = runs.unionByName(t)
-        return _merged(runs).where(F.col("n") >= self.need).drop("n")
+        # a union of tables would lose their buckets: lower levels become runs of the highest one
+        live = [k for k, level in enumerate(self.levels) if level]
+        for k in live[:-1]:
+            self._compact(k, live[-1])
+        return _merged(self.spark.table(self.levels[live[-1]][0])).where(F.col("n") >= self.need).drop("n")
 
     def drop(self) -> None:
         """Forget the tables; their files go with the session."""
