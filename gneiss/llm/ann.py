@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import stored
 from .vectors import matrices
 
-CENTROIDS, SAMPLE, RECALL, TRIALS, LEAST, BLOCK, ROUNDS = 63, 20_000, 0.96, 256, 2_000, 4_096, 12
+CENTROIDS, SAMPLE, RECALL, TRIALS, LEAST, BLOCK, ROUNDS = 63, 20_000, 0.96, 256, 64, 4_096, 12
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
@@ -134,7 +134,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         spread = own.where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(min(1.0, 1.25 * sample / n) * (1 << 30)))
         some = spread.orderBy(F.xxhash64("id"), "id", "vec").limit(sample).select("vec").collect()
         if len(some) < min(n, sample) // 4:  # rows that repeat each other share a hash
-            some = own.limit(sample).select("vec").collect()
+            some = own.orderBy(F.xxhash64("id", "vec", "_metadata.row_index")).limit(sample).select("vec").collect()
         sampled[size] = doubles([r["vec"] for r in some], len(some))
     indexes, first = {}, 0
     for size, n, most in sizes:

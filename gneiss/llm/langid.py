@@ -107,17 +107,17 @@ class Coders:
         parts = [data[i : i + chunk] for i in range(0, len(data), chunk)]
         return [sum(len(c(p)) for p in parts) for c in self.coders]
 
-    def choose(self, text: str | None) -> tuple[str, float]:
-        """The language and the margin."""
+    def choose(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, the margin, and whether there is one; a language may be called `und` itself."""
         data = plain(text)
         if not data or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, False
         sizes = self.sizes(data)
         if len(sizes) == 1:
-            return self.langs[0], 1.0
+            return self.langs[0], 1.0, True
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         second = min(s for i, s in enumerate(sizes) if i != best)
-        return self.langs[best], (second - sizes[best]) / second
+        return self.langs[best], (second - sizes[best]) / second, True
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = LEVEL, narrow: float = NARROW, half: float = HALF) -> DataFrame:
@@ -134,11 +134,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
             state.append(Coders(sent.value, level))
         for batch in batches:
             got = [state[0].choose(t) for t in batch.column(at).to_pylist()]
-            margin = np.array([m for _, m in got], np.float64)
+            margin = np.array([m for _, m, _ in got], np.float64)
             score = 1 - np.exp2(-margin / half)
-            bad = np.array([l == "und" for l, _ in got], bool) | (margin < narrow)
+            bad = np.array([not told for _, _, told in got], bool) | (margin < narrow)
             if not state[0].langs:
                 bad = np.array([not plain(t) for t in batch.column(at).to_pylist()], bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([l for l, _ in got], pa.string()), pa.array(score), pa.array(margin), pa.array(bad)], names=[*batch.schema.names, *own.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([l for l, _, _ in got], pa.string()), pa.array(score), pa.array(margin), pa.array(bad)], names=[*batch.schema.names, *own.names])
 
     return docs.select([f.name for f in keep]).mapInArrow(run, StructType([*keep, *own.fields]))

@@ -24,10 +24,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import numbered, running, stored, unrolled
+from .common import keyed, numbered, running, stored, unrolled
 
 #: Exponents tried in a round of the search, and rounds: the exponent is found to within WIDTH ** -ROUNDS.
 WIDTH, ROUNDS = 64, 7
+#: The entropy aimed at: all of log(sources), so sources come out even as far as the repetition limit lets them.
+TARGET = 1.0
 
 
 def tokens_of(text: str):
@@ -76,7 +78,7 @@ def plan(sizes: DataFrame, target: float, repetition: float) -> tuple[DataFrame,
     return sizes.select("*", (F.exp(t * share) / F.lit(total)).alias("weight"), quota.alias("quota")), t
 
 
-def mix(docs: DataFrame, target: float = 0.99, repetition: float = 1.5, blocks: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, target: float = TARGET, repetition: float = 1.5, blocks: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, tokens, pass int, block int, place long, weight, quota, exponent), one row for each time that a row is placed.
 
     A row is placed in its source's pass p while the tokens before it in that pass are below the quota's rest;
@@ -109,12 +111,21 @@ def mix(docs: DataFrame, target: float = 0.99, repetition: float = 1.5, blocks:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs with each row as often as the mix places it, in its own columns. Rows of one id, source and number of tokens are repeated equally often, rounded up."""
+    """docs with each row as often as the mix places it, in its own columns. Of rows of one id, source and number of tokens, which are alike to the mix,
+    those that are placed once more than the others come first by a hash of the row's place."""
     d, name = numbered(docs)
+    d = keyed(d, "row")
     own = [name[c] for c in (id_col, source_col)]
     placed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "tokens", "pass")
     # pass 0 places each row once
-    times = placed.groupBy("id", "source", "tokens").agg(F.ceil(F.count("*") / F.count_if(F.col("pass") == 0)).cast("int").alias("times")).where("times > 1")
-    same = F.col(own[0]).eqNullSafe(F.col("id")) & F.col(own[1]).cast("string").eqNullSafe(F.col("source")) & (tokens_of(name[text_col]) == F.col("tokens"))
-    out = d.join(times, same, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
-    return out.select(d.columns).toDF(*docs.columns)
+    more = placed.groupBy("id", "source", "tokens").agg(F.count("*").alias("placed"), F.count_if(F.col("pass") == 0).alias("group_rows")).where("placed > group_rows")
+    more = stored(more.withColumn("group", F.monotonically_increasing_id()), "more")
+    rows = d.select("row", F.col(own[0]).alias("_id"), F.col(own[1]).cast("string").alias("_source"), tokens_of(name[text_col]).alias("_tokens"))
+    same = F.col("_id").eqNullSafe(F.col("id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_tokens") == F.col("tokens"))
+    rows = stored(rows.join(more, same).select("row", "group", "placed", "group_rows"), "repeated")
+    each, left = F.expr("placed div group_rows"), F.expr("placed % group_rows")
+    alike = rows.where(left > 0).select("*", F.xxhash64(F.lit("copy"), "row").alias("place"), F.lit(1).alias("one"), F.col("group_rows").alias("n"))
+    ranked = running(alike, ["group"], ["row"], "one").select("row", F.expr("placed div n + if(before < placed % n, 1, 0)").alias("times"))
+    times = rows.where(left == 0).select("row", each.alias("times")).unionByName(ranked).where("times > 1")
+    out = d.join(stored(times, "times").hint("shuffle_hash"), "row", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("times").cast("int"), F.lit(1)))))
+    return out.select([name[c] for c in docs.columns]).toDF(*docs.columns)

@@ -93,6 +93,8 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: floa
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, **how) -> tuple[np.ndarray, np.ndarray, float]:
     """The model from at most `sample` labelled documents; its sparse weights reach the driver."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    # labels of documents that aren't there take no place in the sample
+    y = y.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     order = F.xxhash64(F.lit("toxicity"), "id")
     pick = F.broadcast(y.orderBy(order).limit(sample))
     # ids and hashes of texts are picked first: a repeated id brings no more than `sample` texts, a repeated row one
@@ -129,6 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, room: int =
     if not model:
         return np.zeros(0, np.int64), np.zeros(0), UNKNOWN
     m = model[0]
+    if not m["at"] and not m["bias"]:
+        return np.zeros(0, np.int64), np.zeros(0), UNKNOWN
     return np.frombuffer(m["at"], "<i8"), np.frombuffer(m["w"], "<f8"), m["bias"]
 
 
