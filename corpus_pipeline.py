@@ -15,7 +15,11 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.3, by a model of the labels; all of them where no document has a label."""
+    """Documents with a toxicity score below 0.3, by a model of the labels of documents that are there; all of them where none has a label.
+
+    Whole texts are scored, null and empty ones by the model's bias. Rows are judged one by one, so rows that repeat an id or text go together;
+    null ids have no label and stay if their text does. An empty table stays empty.
+    """
     d, name = numbered(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(d, model, text_col=name["text"], out="score")
@@ -23,11 +27,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart by compression; lang becomes the predicted one. Where no document has a language, those with letters."""
+    """Documents whose language is told apart by compression; lang becomes the predicted one. Where no document has a language, those with letters, as they are.
+
+    Whole texts are compressed, in chunks. Null and empty texts and such without a letter have no language and go. Rows are judged one by one,
+    whatever their ids; rows that repeat a text go together. An empty table stays empty.
+    """
     d, name = numbered(docs)
-    found = langid.predict(d, langid.train(docs), text_col=name["text"]).where(~F.col("rejected"))
-    lang = F.when(F.col("lang_pred") != "und", F.col("lang_pred")).otherwise(F.col(name["lang"]))
-    return found.withColumn(name["lang"], lang).select(d.columns).toDF(*docs.columns)
+    dictionaries = langid.train(docs)
+    found = langid.predict(d, dictionaries, text_col=name["text"]).where(~F.col("rejected"))
+    return found.withColumn(name["lang"], F.col("lang_pred") if dictionaries else F.col(name["lang"])).select(d.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +54,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as temperature mixing places them, with op7's defaults; each once at least."""
+    """Documents as often as temperature mixing places them, with op7's defaults: sources even but for the repetition limit of 1.5; each row once at least.
+
+    A null source is one of its own; null and empty texts have one token, very long ones all of theirs. Of rows that repeat an id, source and
+    number of tokens as many are repeated as the mix says. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 tokens."""
+    """Pieces of documents in windows of 4096 tokens: op9's rows.
+
+    Texts are encoded whole and cut where a window ends; null and empty ones are the end mark alone. Rows that repeat an id or text are packed each.
+    An empty table gives no rows.
+    """
     return packing.pack(docs, tokenizer_path(), known=100_000)
 
 
