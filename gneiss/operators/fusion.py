@@ -89,16 +89,3 @@ def explain(rows: DataFrame) -> DataFrame:
         .otherwise("matched query")
     )
     return rows.withColumn("why", why)
-
-
-def rerank(ranked: DataFrame, docs: DataFrame, query: str, score_pairs, top: int = 50) -> DataFrame:
-    """The best `top` rows scored anew by score_pairs(list of (query, doc)), before all others; unchanged if that fails."""
-    head = ranked.orderBy(F.desc("score"), "idx").limit(top).join(docs, "idx").orderBy(F.desc("score"), "idx").collect()
-    try:
-        new = [float(x) for x in score_pairs([(query, r["doc"] or "") for r in head])]
-    except Exception:  # a scorer is the caller's own
-        return ranked
-    lift = ranked.agg(F.max("score")).first()[0] or 0.0
-    low = min(new, default=0.0)
-    scored = ranked.sparkSession.createDataFrame([(r["idx"], lift + 1 + x - low) for r, x in zip(head, new)], "idx long, _new double")
-    return ranked.join(F.broadcast(scored), "idx", "left").select("idx", F.coalesce("_new", "score").alias("score"))

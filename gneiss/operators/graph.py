@@ -174,6 +174,51 @@ def reachable(pairs: DataFrame, start: DataFrame, depth: int | None = None) -> D
     return seen.where("d > 0").select("node")
 
 
+#: A node with one of so many edges, or more, is a hub: what it holds is broadcast (so many hubs at most).
+HUBS = 1000
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of pairs (a, b), in either direction; root is the smallest node that is reachable.
+
+    Alternating large and small stars: each node hands its larger neighbours, then its smaller ones, to the smallest of all. Minima are
+    aggregated; those of hubs are broadcast to the edges, those of other nodes joined.
+    """
+    now = truncate(pairs.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = truncate(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).where("node is not null").distinct())
+
+    def least(edges: DataFrame) -> DataFrame:
+        """edges (a, b) with m, the least of a and its neighbours b."""
+        near = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        near = truncate(near.crossJoin(F.broadcast(near.agg(F.sum("n").alias("all")))).select("a", "m", (F.col("n") * HUBS >= F.col("all")).alias("hub")))
+        hubs = F.broadcast(near.where("hub").select("a", "m"))
+        return edges.join(hubs, "a").unionByName(edges.join(F.broadcast(near.where("hub").select("a")), "a", "left_anti").join(near.where("not hub").select("a", "m"), "a"))
+
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = least(truncate(large))
+        new = truncate(down.select("a", F.col("m").alias("b")).unionByName(down.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        # settled: one edge for each node, to one that has none itself
+        roots = new.select(F.col("b").alias("a")).distinct().join(new, "a", "left_semi").limit(1).count()
+        now = new.select("a", "b")
+        if not roots and not now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            break
+    return nodes.join(now.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def beside(pairs: DataFrame, start: DataFrame) -> DataFrame:
+    """(node) one step from start (node) over pairs (a, b) in either direction, start left out."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.join(start.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.col("b").alias("node")).distinct().join(start, "node", "left_anti")
+
+
+def closure(groups: DataFrame, start: DataFrame) -> DataFrame:
+    """(node) reached from start (node) over pairs whose components are groups (node, root), start left out: those of the same components."""
+    met = groups.join(start.select("node").distinct(), "node", "left_semi").select("root").distinct()
+    return groups.join(met, "root", "left_semi").select("node").join(start, "node", "left_anti")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) for nodes on directed cycles; the component is its smallest node.
 
@@ -294,21 +339,6 @@ def degree(edges: DataFrame) -> DataFrame:
     return both.groupBy("idx").agg(F.count("*").alias("degree"))
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(idx, community) by label propagation: the label most met among neighbours, ties to the smallest; for graphs too large for Louvain."""
-    e = truncate(undirected(edges))
-    label = truncate(e.select(F.col("src").alias("idx")).distinct().withColumn("community", F.col("idx")))
-    for _ in range(rounds):
-        votes = e.join(label, e["dst"] == label["idx"]).groupBy("src", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("community")).alias("c"))).alias("v"))
-        new = truncate(best.select(F.col("src").alias("idx"), (-F.col("v.c")).alias("community")))
-        moved = new.join(label.withColumnRenamed("community", "_old"), "idx").where("community <> _old").limit(1).count()
-        label = new
-        if not moved:
-            break
-    return label
-
-
 def louvain(edges: list[tuple[str, str]], seed: int = 42) -> dict[str, int]:
     """Communities of a small undirected graph (files of one repository) by local moves and merges, in sorted order; on the driver."""
     names = sorted({x for e in edges for x in e})

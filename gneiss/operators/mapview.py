@@ -38,25 +38,55 @@ def search_tokens(label: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
 
 
-def prefix_search(nodes: DataFrame, query: str, k: int = SEARCH_TOP) -> DataFrame:
-    """(idx, score): for each query word, 2 for an equal token, 1 / (1 + letters missing) for a token it begins; summed.
+def token_index(nodes: DataFrame) -> DataFrame:
+    """(token, idx): the dictionary of search tokens; a token keeps its first POSTINGS nodes, of which each map task keeps as many at most."""
+    t = nodes.select("idx", F.explode(search_tokens(F.col("label"), F.col("source_file"))).alias("token"))
+    w = Window.partitionBy("token").orderBy("idx")
+    return t.withColumn("r", F.row_number().over(w)).where(F.col("r") <= POSTINGS).select("token", "idx")
 
-    Tokens that no query word begins are dropped in the scan; a token keeps its first POSTINGS nodes.
-    """
+
+def save_tokens(epoch, index: DataFrame) -> None:
+    """Write the dictionary in order of tokens, files by range: the blocks that hold a prefix lie together, and a scan reads only these."""
+    epoch.write("tokens", index.repartitionByRange("token").sortWithinPartitions("token", "idx"))
+
+
+def query_words(query: str) -> list[str]:
     import re
 
-    words = [t for t in re.split(r"[^a-z0-9]+", query.strip().lower()) if t]
-    if len(query.strip()) < 2 or not words:
-        return nodes.limit(0).select("idx", F.lit(0.0).alias("score"))
-    t = nodes.select("idx", F.explode(search_tokens(F.col("label"), F.col("source_file"))).alias("token"))
-    value = F.lit(0.0)
-    hit = F.lit(False)
-    for x in words:
+    return [t for t in re.split(r"[^a-z0-9]+", query.strip().lower()) if t] if len(query.strip()) >= 2 else []
+
+
+def prefix_hits(index: DataFrame, query: str, k: int = SEARCH_TOP) -> DataFrame:
+    """(idx, score) from a dictionary (token, idx): for each query word, 2 for an equal token, 1 / (1 + letters missing) for a token it begins; summed.
+
+    The prefixes are filters of the scan, so blocks of a stored dictionary without them aren't read.
+    """
+    value, hit = F.lit(0.0), F.lit(False)
+    for x in query_words(query):
         value = value + F.when(F.col("token") == x, 2.0).when(F.startswith(F.col("token"), F.lit(x)), 1.0 / (1 + F.length("token") - len(x))).otherwise(0.0)
-        hit = hit | F.startswith(F.col("token"), F.lit(x))
-    w = Window.partitionBy("token").orderBy("idx")
-    kept = t.where(hit).withColumn("r", F.row_number().over(w)).where(F.col("r") <= POSTINGS)
-    return kept.groupBy("idx").agg(F.sum(value).alias("score")).orderBy(F.desc("score"), "idx").limit(k)
+        hit = hit | F.col("token").startswith(x)
+    return index.where(hit).groupBy("idx").agg(F.sum(value).alias("score")).orderBy(F.desc("score"), "idx").limit(k)
+
+
+def prefix_hits_all(index: DataFrame, queries: DataFrame, k: int = SEARCH_TOP) -> DataFrame:
+    """(query_id, idx, score, rank) for queries (query_id, query), in one plan: words meet the tokens that share their first two letters (their
+    first, if they have no more), then those that they begin."""
+    q = queries.select("query_id", F.trim(F.lower(F.coalesce("query", F.lit("")))).alias("q")).where(F.length("q") >= 2)
+    words = q.select("query_id", F.posexplode(F.filter(F.split("q", "[^a-z0-9]+"), lambda t: t != "")).alias("place", "word"))
+    words = words.groupBy("query_id", "word").agg(F.count("*").alias("times")).withColumn("head", F.substring("word", 1, 2))
+    heads = F.explode(F.array(F.substring("token", 1, 1), F.substring("token", 1, 2)))
+    # only tokens that some query asks for are spelled out
+    met = index.select("token").distinct().withColumn("head", heads).join(words, "head").where(F.startswith(F.col("token"), F.col("word")))
+    value = F.when(F.col("token") == F.col("word"), 2.0).otherwise(1.0 / (1 + F.length("token") - F.length("word"))) * F.col("times")
+    met = met.groupBy("query_id", "token").agg(F.sum(value).alias("value"))
+    scored = index.join(met, "token").groupBy("query_id", "idx").agg(F.sum("value").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "idx")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def prefix_search(nodes: DataFrame, query: str, k: int = SEARCH_TOP) -> DataFrame:
+    """prefix_hits without a stored dictionary: tokens that no query word begins are dropped in the scan."""
+    return prefix_hits(token_index(nodes), query, k)
 
 
 def neighbours_by_degree(edges: DataFrame, idx: int, n: int = 30) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gneiss.functions.identity import content_hash
 from gneiss.functions.text import ingest_label, start_line
-from gneiss.operators import graph, ingest
+from gneiss.operators import community, graph, ingest
 from gneiss.sources import tree
 from gneiss.sources.imports import import_edges
 from gneiss.sources.spans import spans as extract_spans
@@ -48,21 +48,22 @@ def name_communities(group: dict[str, int], files: list[str]) -> dict[str, tuple
     return out
 
 
-def communities(spark: SparkSession, files: DataFrame, edges: DataFrame, method: str = "louvain") -> DataFrame:
-    """(path, community, community_name) by the import graph of one repository.
+def communities(spark: SparkSession, files: DataFrame, edges: DataFrame, method: str = "moves") -> DataFrame:
+    """(path, community, community_name) by the import graph of a repository.
 
-    louvain: on the driver, for graphs that fit it (about 0.5 KB an edge); labels: label propagation, for any size. Both number and name
-    communities by the same rules; which one runs is the caller's choice alone.
+    moves: modularity moves on the cluster; labels: label propagation, coarser and cheaper; louvain: moves one by one on the driver, for a graph
+    that fits it. All number and name communities by the same rules; which one runs is the caller's choice alone.
     """
     if method == "louvain":
         group = graph.louvain([(r["importer"], r["target"]) for r in edges.toLocalIterator()])
         named = name_communities(group, [r["path"] for r in files.select("path").distinct().toLocalIterator()])
         return spark.createDataFrame([(p, c, n) for p, (c, n) in sorted(named.items())] or [], "path string, community long, community_name string")
-    if method != "labels":
-        raise ValueError(f"no method {method}; there are louvain and labels")
+    if method not in ("moves", "labels"):
+        raise ValueError(f"no method {method}; there are moves, labels and louvain")
     ids = files.select("path").distinct().withColumn("idx", F.xxhash64("path"))
     e = edges.select(F.xxhash64("importer").alias("src"), F.xxhash64("target").alias("dst"))
-    return named_groups(ids.join(graph.label_communities(e), "idx", "left").select("path", F.col("community").alias("g")))
+    found = community.communities(e) if method == "moves" else community.label_communities(e)
+    return named_groups(ids.join(found, "idx", "left").select("path", F.col("community").alias("g")))
 
 
 def named_groups(groups: DataFrame) -> DataFrame:

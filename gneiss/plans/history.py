@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gneiss.operators import ingest, temporal
+from gneiss.operators import graph, ingest, temporal
 from gneiss.plans.store import Epoch
 
 
@@ -22,6 +22,7 @@ def enrich(epoch: Epoch, commits: DataFrame, n_commits: int, as_of: float, confi
     epoch.write("ownership", temporal.ownership(t))
     pairs = temporal.significant(temporal.cochange_pairs(t, n_commits, config.max_files), config.min_count, config.min_support, config.max_p)
     epoch.write("cochange", pairs)
+    epoch.write("cochange_groups", graph.components(epoch.read("cochange").select(F.col("path_a").alias("a"), F.col("path_b").alias("b"))))
     if nodes is not None:
         epoch.write_edges(temporal.temporal_edges(epoch.read("cochange"), nodes, config.edge_min_support), "temporal")
     t.unpersist()

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gneiss.operators import dense, ingest, lexical
+from gneiss.operators import dense, ingest, lexical, mapview
 from gneiss.operators.temporal import HistoryConfig
 from gneiss.plans import build
 from gneiss.plans.history import enrich
@@ -63,6 +63,7 @@ def build_index(spark: SparkSession, root: str, store: Store, graph_file: str |
             out |= {"history": enrich(epoch, commits, n, time.time() if as_of is None else as_of, config)}
         epoch.write("docs", build.documents(epoch.read("nodes"), epoch.edges("structural")))
         lexical.build(epoch.read("docs")).save(epoch)
+        mapview.save_tokens(epoch, mapview.token_index(epoch.read("nodes")))
         name = dense.resolve_backend(backend)
         if name:
             embed_into(epoch, before, dense.BACKENDS[name], agreed=agreed)

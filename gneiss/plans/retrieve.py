@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gneiss.functions.text import tokenize
 from gneiss.operators import dense, fusion, graph, lexical
+from gneiss.operators.rerank import rerank as rerank_pairs
 from gneiss.plans.checkpoint import truncate
 from gneiss.plans.store import Epoch
 
@@ -66,7 +67,9 @@ class Retriever:
             out.warnings.append("nothing in the corpus matches by name, words or meaning")
             return out
         if rerank and self.reranker is not None:
-            ranked = truncate(fusion.rerank(ranked, self.docs, query, self.reranker))
+            one = F.lit(0).alias("query_id")
+            asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+            ranked = truncate(rerank_pairs(ranked.select(one, "idx", "score"), asked, self.docs, self.reranker).select("idx", "score"))
         seeds = truncate(graph.top(ranked, seed_k))
         out.seeds = self.described(seeds.withColumn("why", F.lit("seed")))
         s, t = (self.epoch.edges(c) for c in ("structural", "temporal"))
@@ -95,7 +98,9 @@ class Retriever:
         reached = near = none
         if t is not None and pairs is not None:
             p = pairs.select(F.col("path_a").alias("a"), F.col("path_b").alias("b"))
-            reached, near = graph.reachable(p, seed_files), graph.reachable(p, seed_files, depth=1)
+            groups = self.epoch.read("cochange_groups")
+            reached = graph.closure(graph.components(p) if groups is None else groups, seed_files)
+            near = graph.beside(p, seed_files)
         flag = lambda d, c: d.select(F.col("node").alias("source_file"), F.lit(True).alias(c))
         rows = best.join(file_of, "idx").join(seeds.select("idx", F.lit(True).alias("is_seed")), "idx", "left")
         for d, c in ((s, "s"), (t, "t")):

@@ -15,6 +15,7 @@ from gneiss.driver_tables import AS_OF, commits, part_edges, table
 from gneiss.functions import text
 from gneiss.operators import dense, evaluation, fusion, graph, lexical, mapview, pack, reports, temporal
 from gneiss.operators.ingest import with_idx
+from gneiss.operators.rerank import rerank
 from gneiss.plans import build, history
 from gneiss.plans.checkpoint import scratch
 from gneiss.plans.retrieve import Retriever
@@ -165,8 +166,9 @@ def stored_postings(spark: SparkSession, sf: str) -> DataFrame:
 def reranked_hits(spark: SparkSession, sf: str) -> DataFrame:
     """The 50 best by a scorer of pairs (the length of the document, modulo 97), before all others."""
     docs = _lib_nodes(spark, sf).select("idx", "doc")
-    ranked = lexical.build(docs).ask([ASKED], 100).select("idx", "score")
-    return fusion.rerank(ranked, docs, ASKED, lambda pairs: [len(d) % 97 for _, d in pairs]).select("idx", r6("score").alias("score"))
+    ranked = lexical.build(docs).ask([ASKED], 100).select(F.lit(0).alias("query_id"), "idx", "score")
+    asked = spark.createDataFrame([(0, ASKED)], "query_id int, query string")
+    return rerank(ranked, asked, docs, lambda pairs: [len(d) % 97 for _, d in pairs]).select("idx", r6("score").alias("score"))
 
 
 @query(

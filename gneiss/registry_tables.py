@@ -415,7 +415,7 @@ def bfs_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {PAIRS}, l AS (SELECT path_a AS a, path_b AS b FROM pairs WHERE support >= 1.2 UNION SELECT path_b, path_a FROM pairs WHERE support >= 1.2), r(node) AS (SELECT 1::BIGINT UNION SELECT b FROM r JOIN l ON node = a) SELECT node FROM r WHERE node <> 1")
 def history_closure(spark: SparkSession, sf: str) -> DataFrame:
     p = _pairs(spark, sf).where("support >= 1.2").select(F.col("path_a").alias("a"), F.col("path_b").alias("b"))
-    return graph.reachable(p, spark.createDataFrame([(1,)], "node long"))
+    return graph.closure(graph.components(p), spark.createDataFrame([(1,)], "node long"))
 
 
 #: Customers are files, orders nodes; a line joins its order to the order whose key is its part's.

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import fusion, graph, mapview, pack
+from gneiss.operators import community, fusion, graph, mapview, pack
 
 
 def edges(spark, pairs):
@@ -95,7 +95,7 @@ def test_louvain_finds_two_cliques_in_any_order():
 
 def test_label_propagation(spark):
     e = edges(spark, [(i, j) for i in range(5) for j in range(i)] + [(i + 10, j + 10) for i in range(5) for j in range(i)])
-    got = {r.idx: r.community for r in graph.label_communities(e).collect()}
+    got = {r.idx: r.community for r in community.label_communities(e).collect()}
     assert len({got[i] for i in range(5)}) == 1 and got[0] != got[10]
 
 
@@ -138,17 +138,6 @@ def test_packs_hold_back_and_come_again():
     assert pack.order([hit(5, None, None)] * 3, budget=4) == ([], 0)
 
 
-def test_rerank_keeps_the_order_if_the_scorer_fails(spark):
-    ranked = spark.createDataFrame([(0, 3.0), (1, 2.0), (2, 1.0)], "idx long, score double")
-    docs = spark.createDataFrame([(i, f"d{i}") for i in range(3)], "idx long, doc string")
-
-    def fails(pairs):
-        raise RuntimeError
-
-    assert scores(fusion.rerank(ranked, docs, "q", fails)) == scores(ranked)
-    new = fusion.rerank(ranked, docs, "q", lambda pairs: [float(d == "d1") for _, d in pairs], top=2)
-    assert [r.idx for r in new.orderBy(F.desc("score")).collect()] == [1, 0, 2]
-
 
 def test_blast_takes_the_largest_weight(spark):
     e = spark.createDataFrame([(0, 1, False), (1, 2, True), (2, 3, False), (3, 4, False), (0, 5, True)], "src long, dst long, temporal boolean")

@@ -159,8 +159,8 @@ def test_communities_by_either_method(spark):
     paths = [f"r{g}/{x}.py" for g in range(3) for x in "abcd"] + ["z/one.py", "two.py"]
     edges = [(f"r{g}/{x}.py", f"r{g}/{y}.py") for g in range(3) for x in "abcd" for y in "abcd" if x < y]
     f, e = spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(edges, "importer string, target string")
-    a, b = ({r.path: (r.community, r.community_name) for r in build.communities(spark, f, e, m).collect()} for m in ("louvain", "labels"))
-    assert a == b and a["r1/a.py"] == (1, "r1") and a["z/one.py"][1] == "z" and a["two.py"][1] == "(root)"
+    a, b, c = ({r.path: (r.community, r.community_name) for r in build.communities(spark, f, e, m).collect()} for m in ("louvain", "labels", "moves"))
+    assert a == b == c and a["r1/a.py"] == (1, "r1") and a["z/one.py"][1] == "z" and a["two.py"][1] == "(root)"
     with pytest.raises(ValueError):
         build.communities(spark, f, e, "other")
 
