@@ -50,7 +50,7 @@ def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool
     from gneiss.operators import evaluation, temporal
     from gneiss.plans.history import enrich
     from gneiss.plans.index import encoder_of
-    from gneiss.plans.retrieve import Retriever
+    from gneiss.plans.batch import BatchRetriever
     from gneiss.sources import history
 
     commits, _ = history.commits(spark, root)
@@ -69,16 +69,8 @@ def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool
         encoder = encoder_of(epoch)
 
         def rung(use_lexical: bool, use_dense: bool, ppr: bool = False):
-            r = Retriever(epoch, encoder=encoder, use_lexical=use_lexical, use_dense=use_dense)
-
-            def search(asked):
-                found = []
-                for q in asked.collect():  # a bounded set of queries, of each a bounded number of hits
-                    hits = r.search(q["query"], k=3 * max(evaluation.KS), use_ppr=ppr).hits
-                    found += [] if hits is None else [(q["query_id"], h["rank"], h["source_file"]) for h in hits.select("rank", "source_file").collect()]
-                return spark.createDataFrame(found, "query_id string, rank int, source_file string")
-
-            return search
+            r = BatchRetriever(epoch, encoder=encoder, use_lexical=use_lexical, use_dense=use_dense)
+            return lambda asked: r.search(asked, k=3 * max(evaluation.KS), use_ppr=ppr).select("query_id", "rank", "source_file")
 
         dense = rung(False, True) if "vectors" in epoch and encoder is not None else None
         return evaluation.run_ladder({"bm25": rung(True, False), "dense": dense, "hybrid": rung(True, True), "hybrid+ppr": rung(True, True, True)}, queries, truth)

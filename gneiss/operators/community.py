@@ -2,7 +2,7 @@
 
 A round moves only nodes of one colour, a hash of the node that changes with each sweep, so most of a moving node's neighbours stand still while it decides. A node joins the
 neighbouring community with the largest gain, counted from its links to it and the community's degree without the node; of two
-communities of one node each only the later one joins the earlier one, so they don't swap. When a sweep over all colours moves nothing, communities become
+communities of one node each only the later one joins the earlier one, so they don't swap. When a sweep over all colours moves hardly anything, communities become
 the nodes of a smaller graph, whose edges are sums, and all is repeated until nothing moves.
 
 Of edges to a node with a thousandth of all edges or more the node's state is broadcast (a thousand nodes at most), so hubs fill no task.
@@ -29,17 +29,24 @@ class Facing:
     """Mirrored edges, and what their far ends hold."""
 
     def __init__(self, edges: DataFrame):
-        self.edges = edges
-        far = edges.groupBy(F.col("dst").alias("hub")).agg(F.count("*").alias("n"))
-        self.hubs = truncate(far.where(F.col("n") * HUBS >= edges.count()).select("hub"))
+        total = edges.count()
+        far = edges.groupBy(F.col("dst").alias("hub")).agg(F.count("*").alias("n")).where(F.col("n") * HUBS >= total)
+        far = truncate(far)
+        met = far.agg(F.sum("n")).first()[0] or 0
+        self.edges, self.hubs = edges, F.broadcast(far.select(F.col("hub").alias("dst")))
+        self.any, self.all = met > 0, met == total
 
     def ends(self, state: DataFrame, colour=None) -> DataFrame:
         """(src, w, c) of the edges, c from state (idx, c) of their far ends; those of sources that meet the condition."""
         e = self.edges if colour is None else self.edges.where(colour)
         s = state.select(F.col("idx").alias("dst"), "c")
-        hubs = F.broadcast(self.hubs.withColumnRenamed("hub", "dst"))
-        near = e.join(F.broadcast(s.join(hubs, "dst", "left_semi")), "dst")
-        return near.unionByName(e.join(hubs, "dst", "left_anti").join(s, "dst")).select("src", "w", "c")
+        parts = []
+        if self.any:
+            parts.append(e.join(F.broadcast(s.join(self.hubs, "dst", "left_semi")), "dst"))
+        if not self.all:
+            parts.append((e.join(self.hubs, "dst", "left_anti") if self.any else e).join(s, "dst"))
+        out = [p.select("src", "w", "c") for p in parts] or [e.select("src", "w", F.col("dst").alias("c"))]
+        return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def _colour(node: str, colours: int, which: int, salt: int = 0):
@@ -60,8 +67,7 @@ def _moved(facing: Facing, state: DataFrame, total: float, colour, resolution: f
     """(idx, to) of the nodes of a colour that another community suits better. state: (idx, k, c)."""
     sizes = state.groupBy("c").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
     own = state.where(colour("idx"))
-    links = facing.ends(state, colour("src")).groupBy(F.col("src").alias("idx"), "c").agg(F.sum("w").alias("l"))
-    links = links.unionByName(own.select("idx", "c", F.lit(0.0).alias("l"))).groupBy("idx", "c").agg(F.sum("l").alias("l"))
+    links = facing.ends(state, colour("src")).toDF("idx", "w", "c").unionByName(own.select("idx", F.lit(0.0).alias("w"), "c")).groupBy("idx", "c").agg(F.sum("w").alias("l"))
     met = links.join(own.select("idx", "k", F.col("c").alias("own")), "idx").join(sizes, "c")
     home = F.col("c") == F.col("own")
     gain = F.col("l") - resolution * F.col("k") * (F.col("tot") - F.when(home, F.col("k")).otherwise(0.0)) / total
@@ -71,8 +77,11 @@ def _moved(facing: Facing, state: DataFrame, total: float, colour, resolution: f
     return best.where(~F.col("b.home") & ((F.col("n_home") > 1) | (F.col("b.n") > 1) | (-F.col("b.c") < F.col("own")))).select("idx", (-F.col("b.c")).alias("to"))
 
 
-def communities(edges: DataFrame, colours: int = 2, sweeps: int = 12, resolution: float = 1.0) -> DataFrame:
-    """(idx, community) for the ends of edges (src, dst[, weight]), longs; a community is called by its smallest node."""
+def communities(edges: DataFrame, colours: int = 2, sweeps: int = 12, settled: float = 0.02, resolution: float = 1.0) -> DataFrame:
+    """(idx, community) for the ends of edges (src, dst[, weight]), longs; a community is called by its smallest node.
+
+    A level ends when each colour has moved less than the share `settled` of the nodes, or after `sweeps`; all ends when a level moves nothing.
+    """
     e = truncate(mirrored(edges))
     whole = truncate(e.select(F.col("src").alias("idx")).distinct().withColumn("community", F.col("idx")))
     loops: DataFrame | None = None
@@ -82,12 +91,13 @@ def communities(edges: DataFrame, colours: int = 2, sweeps: int = 12, resolution
         if loops is not None:
             degree = degree.unionByName(loops).groupBy("idx").agg(F.sum("k").alias("k"))
         state, facing, ever, still, which = truncate(degree.withColumn("c", F.col("idx"))), Facing(e), False, 0, 0
+        few = settled * state.count()
         while still < colours and which < colours * sweeps:
             colour = lambda node, s=which // colours, w=which % colours: _colour(node, colours, w, s)
             to = _moved(facing, state, total, colour, resolution)
             new = truncate(state.join(to, "idx", "left").select("idx", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-            moved = new.where("moved").limit(1).count()
-            state, still, ever, which = new.drop("moved"), 0 if moved else still + 1, ever or bool(moved), which + 1
+            moved = new.where("moved").count()
+            state, still, ever, which = new.drop("moved"), 0 if moved and moved >= few else still + 1, ever or bool(moved), which + 1
         if not ever:
             break
         named = state.groupBy("c").agg(F.min("idx").alias("to"))

@@ -82,9 +82,9 @@ class PairScorer:
 
 
 def fit(pairs: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int = 20, rate: float = 0.5, l2: float = 1e-4) -> PairScorer:
-    """A scorer from (query, doc, label) with label 0 or 1: at most `sample` pairs, first by a hash of the pair; tasks make their features, the
+    """A scorer from (query, doc, label) with label 0 or 1: at most `sample` different pairs, first by a hash of the pair; tasks make their features, the
     driver holds these and descends by the averaged gradient with rates of their own for each weight."""
-    picked = pairs.where("label is not null").select("query", "doc", F.col("label").cast("double").alias("label")).orderBy(F.xxhash64("query", "doc"), "label").limit(sample)
+    picked = pairs.where("label is not null").select("query", "doc", F.col("label").cast("double").alias("label")).distinct().orderBy(F.xxhash64("query", "doc"), "label").limit(sample)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from gneiss.driver_tables import table
 from gneiss.operators import community, lexical, mapview
 from gneiss.operators.rerank import PairScorer, rerank
+from gneiss.plans.batch import BatchRetriever
 from gneiss.plans.store import Epoch
-from gneiss.registry_index import TERMS, folder
+from gneiss.registry_index import LIB, TERMS, _library, folder, one_hot
 from gneiss.registry_tables import query, r6, sql_parts
 
 # ---------------------------------------------------------------- communities
@@ -38,8 +39,9 @@ def graph_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- search
 
-#: Each benchmark item asks with its first three words.
-ASKED_ALL = rf"""{TERMS}, item AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{Nd}}+'), 1, 3) AS raws FROM benchmark),
+def sql_asked(n: int) -> str:
+    """bm: the documents of each benchmark item, which asks with its first n words, by BM25."""
+    return rf"""{TERMS}, item AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{Nd}}+'), 1, {n}) AS raws FROM benchmark),
 said AS (SELECT query_id, raw, {sql_parts('raw')} AS parts FROM (SELECT query_id, unnest(raws) AS raw FROM item)),
 asked AS (SELECT query_id, term, count(*)::DOUBLE AS qtf FROM (SELECT query_id, lower(raw) AS term FROM said UNION ALL SELECT query_id, unnest(parts) FROM said WHERE len(parts) > 1) GROUP BY ALL),
 tf AS MATERIALIZED (SELECT idx, term, count(*)::DOUBLE AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
@@ -47,9 +49,12 @@ bm AS MATERIALIZED (SELECT query_id, idx, score, row_number() OVER (PARTITION BY
 FROM (SELECT query_id, idx, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (idx) CROSS JOIN corpus GROUP BY ALL))"""
 
 
-def _items(spark: SparkSession, sf: str) -> DataFrame:
-    three = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{M}]+|\p{Nd}+"), 0), 1, 3)
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(three, " ").alias("query"))
+ASKED_ALL = sql_asked(3)
+
+
+def _items(spark: SparkSession, sf: str, n: int = 3) -> DataFrame:
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{M}]+|\p{Nd}+"), 0), 1, n)
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,6 +84,22 @@ def prefix_questions(spark: SparkSession, sf: str) -> DataFrame:
     return mapview.prefix_hits_all(epoch.read("tokens"), asked).select("query_id", "idx", r6("score").alias("score"), "rank")
 
 
+@query(
+    f"""WITH {LIB}, {sql_asked(1)}, qs AS (SELECT query_id, array_to_string(raws, ' ') AS q FROM item),
+near AS (SELECT query_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY (text <> '' AND q <> '' AND length(text) % 8 = length(q) % 8)::INT DESC, idx) AS rank FROM lib CROSS JOIN qs QUALIFY rank <= 100),
+fused AS (SELECT query_id, idx, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, idx, rank FROM bm WHERE rank <= 100 UNION ALL SELECT * FROM near) GROUP BY ALL),
+exact AS (SELECT query_id, idx, CASE WHEN lower(label) = lower(q) THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS score FROM lib JOIN qs ON starts_with(lower(label), lower(q)) WHERE length(q) >= 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (lower(label) = lower(q))::INT DESC, idx) <= 10),
+peak AS (SELECT query_id, max(score) AS top FROM fused GROUP BY query_id),
+injected AS (SELECT query_id, idx, coalesce(p.top + e.score, f.score) AS score FROM fused f FULL JOIN exact e USING (query_id, idx) LEFT JOIN peak p USING (query_id)),
+ranked AS (SELECT query_id, idx, i.score * (CASE WHEN starts_with(file, 'tests/') THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END) AS score FROM injected i JOIN lib USING (idx))
+SELECT query_id, idx, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(ranked.score, 12) DESC, idx)::INT AS rank FROM ranked QUALIFY rank <= 30"""
+)
+def search_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """All items' answers by names, words and vectors, in one plan."""
+    r = BatchRetriever(_library(spark, sf), encoder=one_hot())
+    return r.search(_items(spark, sf, 1), k=30, use_ppr=False).select("query_id", "idx", r6("score", 9).alias("score"), "rank")
+
+
 # ---------------------------------------------------------------- reranking
 
 WORDS = r"list_transform(regexp_extract_all(coalesce({x}, ''), '[\p{{L}}\p{{M}}]+|\p{{Nd}}+'), lambda w: lower(w))"

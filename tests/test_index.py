@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss import cli, tools, viz
 from gneiss.operators import dense, evaluation, ingest, lexical, pack, reports, temporal
 from gneiss.plans import build, index
+from gneiss.plans.batch import BatchRetriever
 from gneiss.plans.retrieve import Retriever
 from gneiss.plans.store import Store
 from gneiss.streaming import cochange
@@ -72,6 +73,37 @@ def test_retrieval_and_provenance(indexed):
     assert Retriever(store.open(), include_tests=False).search("test session", use_ppr=False).hits.where("source_file like 'tests/%'").count() == 0
 
 
+def test_many_questions_are_answered_as_one_by_one(spark, indexed):
+    e = indexed[1].open()
+    asked = [("a", "Session"), ("b", "how does the login refresh a session"), ("c", "zzzzqq"), ("d", "db")]
+    got = {}
+    for r in BatchRetriever(e, encoder=dense.hash_encoder()).search(spark.createDataFrame(asked, "query_id string, query string"), k=12).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.idx, r.score, r.source_file)
+    one = Retriever(e, encoder=dense.hash_encoder())
+    for name, q in asked[:2]:
+        want = {h.rank: (h.idx, h.score, h.source_file) for h in one.search(q, k=12).hits.collect()}
+        assert got[name].keys() == want.keys()
+        assert all(got[name][k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+        # nodes whose scores differ by less than that may change places
+        assert {x[0] for x in got[name].values()} == {x[0] for x in want.values()}
+
+
+def test_components_are_stored_with_the_pairs(indexed):
+    e = indexed[1].open()
+    groups = {r.node: r.root for r in e.read("cochange_groups").collect()}
+    pairs = [(r.path_a, r.path_b) for r in e.read("cochange").collect()]
+    assert pairs and groups.keys() == {x for p in pairs for x in p} and all(groups[a] == groups[b] == min(x for x in groups if groups[x] == groups[a]) for a, b in pairs)
+
+
+def test_stored_tokens_answer_as_nodes_do(indexed):
+    e = indexed[1].open()
+    stored, nodes = e.read("tokens"), e.read("nodes")
+    for q in ("auth ses", "re", "py py", "x", "nothing"):
+        assert mapview.prefix_hits(stored, q).collect() == mapview.prefix_search(nodes, q).collect()
+    plan = mapview.prefix_hits(stored, "auth ses")._jdf.queryExecution().toString()
+    assert "StringStartsWith(token,auth)" in plan and "StringStartsWith(token,ses)" in plan
+
+
 def test_tools_answer(indexed):
     root, store, _ = indexed
     t = tools.Tools(store, str(root))
