@@ -256,8 +256,8 @@ def across(near: DataFrame, payload: DataFrame, linked: Callable[[list[bytes]],
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each end of an edge of edges (a long, b long); root is the smallest node that is reachable.
 
-    Alternating large stars and small stars. Minima are aggregated before they are joined, so that a hub's
-    neighbours never meet in one task; each round is stored in the shared folder.
+    Alternating large stars and small stars. Minima are aggregated before they are joined; the join deals a hub's edges out only as far as adaptive
+    execution splits its partition. Forests of 200,000 edges shrink hubs before; each round is stored in the shared folder.
     """
     spark = edges.sparkSession
     now = stored(_forest(edges.select("a", "b").where("a <> b")), "edges")
