@@ -90,6 +90,34 @@ def embed(docs: DataFrame, make: Callable[[], Encoder], batch: int = 64, key: st
     return docs.select(key, "doc").mapInPandas(run, f"{key} string, embedding array<float>")
 
 
+def save(epoch, vectors: DataFrame) -> None:
+    """Write (node_key, embedding) with components of 16 bits, two bytes each in a binary column: half the room of 32-bit lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data: list[bytes | None] = [b"" if ok else None for ok in b.column(1).is_valid().to_pylist()]
+            for at, x in stacked(b.column(1)):
+                for i, row in zip(at.tolist(), x.astype("<f2")):
+                    data[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["node_key", "half"])
+
+    epoch.write("vectors", vectors.select("node_key", "embedding").mapInArrow(run, "node_key string, half binary"))
+
+
+def load(epoch) -> DataFrame | None:
+    """(node_key, embedding array<float>) of an epoch; None without vectors. Vectors that were written as lists are read as they are."""
+    held = epoch.read("vectors")
+    if held is None or "half" not in held.columns:
+        return held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [None if x is None else np.frombuffer(x, "<f2").astype(np.float32) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], ["node_key", "embedding"])
+
+    return held.select("node_key", "half").mapInArrow(run, "node_key string, embedding array<float>")
+
+
 def dirty_keys(new: DataFrame, old: DataFrame, vectors: DataFrame) -> DataFrame:
     """(node_key, dirty) for new (node_key, content_hash): dirty unless the old hash is equal and a vector is there."""
     o = old.select("node_key", F.col("content_hash").alias("old_hash"))

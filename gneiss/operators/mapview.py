@@ -145,21 +145,26 @@ def key_files(files: DataFrame, degrees: DataFrame, n: int = KEY_FILES) -> DataF
     return j.select("path", "hotspot", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("hotspot"), F.desc("degree"), "path").limit(n)
 
 
-def capped_edges(pairs: DataFrame, per_file: int = MAX_PER_FILE, total: int = MAX_EDGES) -> list[tuple]:
-    """Edges (a, b) of (a, b, n) by falling weight, left out only if both ends have `per_file` already; `total` at most.
+def capped_edges(pairs: DataFrame, per_file: int = MAX_PER_FILE, total: int = MAX_EDGES) -> DataFrame:
+    """(a, b) of (a, b, n) by falling weight, left out only if both ends have `per_file` already; `total` at most.
 
-    Each choice rests on the ones before, so the ordered pairs are walked on the driver, a partition at a time, until it is full.
+    What a walk in that order would choose, in rounds: an edge that is among the first `per_file` at one of its ends, of those not
+    yet left out, is chosen whatever becomes of the others; one that comes behind `per_file` chosen ones at both ends is left out. The first
+    undecided edge of all is decided by either rule, so rounds end; each reads a few rows of a file, of which map tasks keep no more.
     """
-    n: dict = {}
-    out: list[tuple] = []
-    for r in pairs.orderBy(F.desc("n"), "a", "b").toLocalIterator():
-        if n.get(r["a"], 0) >= per_file and n.get(r["b"], 0) >= per_file:
-            continue
-        out.append((r["a"], r["b"]))
-        n[r["a"]], n[r["b"]] = n.get(r["a"], 0) + 1, n.get(r["b"], 0) + 1
-        if len(out) >= total:
-            break
-    return out
+    order = [F.desc("n"), "a", "b"]
+    first = Window.partitionBy("end").orderBy(*order)
+    place = lambda x, y, z: F.struct((-F.col(x)).alias("n"), F.col(y).alias("a"), F.col(z).alias("b"))
+    ends = lambda e: e.withColumn("end", F.explode(F.array_distinct(F.array("a", "b")))).withColumn("r", F.row_number().over(first))
+    left = truncate(pairs.select("a", "b", "n", F.lit(False).alias("chosen")))
+    while left.where("not chosen").limit(1).count():
+        head = ends(left).where(F.col("r") <= per_file).select("a", "b").distinct().withColumn("head", F.lit(True))
+        now = truncate(left.join(head, ["a", "b"], "left").select("a", "b", "n", (F.col("chosen") | F.coalesce("head", F.lit(False))).alias("chosen")))
+        full = ends(now.where("chosen")).where(F.col("r") == per_file).select("end", place("n", "a", "b").alias("bar"))
+        both = now.join(full.toDF("a", "bar_a"), "a", "left").join(full.toDF("b", "bar_b"), "b", "left")
+        own = place("n", "a", "b")
+        left = truncate(both.where(F.col("chosen") | ~F.coalesce((own > F.col("bar_a")) & (own > F.col("bar_b")), F.lit(False))).select("a", "b", "n", "chosen"))
+    return left.orderBy(*order).limit(total).select("a", "b")
 
 
 #: The angle between neighbours on the map's spirals, the map's radius and how much the largest hub is drawn to its group's centre.

@@ -94,7 +94,7 @@ class BatchRetriever:
         self.lexical = lexical.LexicalIndex.load(epoch) if use_lexical else None
         if use_lexical and self.lexical is None and self.docs is not None:
             self.lexical = lexical.build(self.docs)
-        self.vectors = epoch.read("vectors") if use_dense and encoder is not None else None
+        self.vectors = dense.load(epoch) if use_dense and encoder is not None else None
         self.temporal_weight, self.include_tests = temporal_weight, include_tests
 
     def candidates(self, queries: DataFrame, k: int = 100) -> DataFrame:

@@ -47,10 +47,10 @@ def embed_into(epoch: Epoch, before: Epoch | None, make, device: str = "static",
     if slow and not agreed:
         raise LongBuild(f"about {slow:.0f} s")
     if before is not None and "vectors" in before:
-        new = dense.update_vectors(docs, before.read("nodes"), before.read("vectors"), make)
+        new = dense.update_vectors(docs, before.read("nodes"), dense.load(before), make)
     else:
         new = dense.embed(docs, make)
-    epoch.write("vectors", new)
+    dense.save(epoch, new)
 
 
 def build_index(spark: SparkSession, root: str, store: Store, graph_file: str | None = None, config: HistoryConfig = HistoryConfig(), backend: str = "none", force: bool = False, agreed: bool = False, as_of: float | None = None) -> dict:

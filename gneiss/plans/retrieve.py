@@ -27,7 +27,7 @@ class Retriever:
         self.epoch, self.spark = epoch, epoch.spark
         self.nodes, self.docs = epoch.read("nodes"), epoch.read("docs")
         self.lexical = lexical.LexicalIndex.load(epoch)
-        self.vectors = epoch.read("vectors") if use_dense else None
+        self.vectors = dense.load(epoch) if use_dense else None
         self.temporal_weight, self.include_tests, self.encoder, self.use_lexical, self.reranker = temporal_weight, include_tests, encoder, use_lexical, reranker
 
     def candidates(self, query: str, k: int = 100) -> tuple[DataFrame, dict]:

@@ -88,7 +88,7 @@ def _library(spark: SparkSession, sf: str) -> Epoch:
     first = nodes.groupBy("source_file").agg(F.min("idx").alias("fi"))
     holds = nodes.join(first, "source_file").where("idx <> fi").select(F.col("fi").alias("src"), F.col("idx").alias("dst"), F.lit("file_contains").alias("relation"), F.lit(1.0).alias("weight"))
     epoch.write_edges(holds.unionByName(pairs.select(F.col("ia").alias("src"), F.col("ib").alias("dst"), F.lit("co_changes_with").alias("relation"), F.col("support").alias("weight"))), "temporal")
-    epoch.write("vectors", dense.embed(nodes.select("node_key", "idx").join(epoch.read("docs"), "idx"), one_hot))
+    dense.save(epoch, dense.embed(nodes.select("node_key", "idx").join(epoch.read("docs"), "idx"), one_hot))
     lexical.build(epoch.read("docs")).save(epoch)
     return epoch
 
@@ -258,7 +258,7 @@ w(i, a, b, took, ends) AS (SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, false
 SELECT a, b FROM w WHERE took"""
 )
 def capped_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(mapview.capped_edges(graph.file_pairs(*_supply(spark, sf))), "a string, b string")
+    return mapview.capped_edges(graph.file_pairs(*_supply(spark, sf)))
 
 
 COMMUNITIES = "cn AS MATERIALIZED (SELECT s_suppkey * 2 AS idx, 100 + s_nationkey AS c FROM supplier UNION ALL SELECT p_partkey * 2 + 1, p_size FROM part), ce AS (SELECT DISTINCT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem)"

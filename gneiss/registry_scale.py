@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gneiss.driver_tables import table
-from gneiss.operators import community, lexical, mapview
+from gneiss.operators import community, dense, lexical, mapview
 from gneiss.operators.rerank import PairScorer, rerank
 from gneiss.plans.batch import BatchRetriever
 from gneiss.plans.store import Epoch
@@ -100,6 +100,21 @@ def search_questions(spark: SparkSession, sf: str) -> DataFrame:
     return r.search(_items(spark, sf, 1), k=30, use_ppr=False).select("query_id", "idx", r6("score", 9).alias("score"), "rank")
 
 
+# ---------------------------------------------------------------- vectors
+
+
+@query("SELECT vec_id, len(embedding)::INT AS n, 2 * len(embedding)::INT AS bytes, true AS near FROM embeddings")
+def half_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector after a round trip through 16 bits: its length, its bytes, and whether no component moved by more than 2^-11 of itself (2^-24 near zero)."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("node_key"), "embedding")
+    epoch = Epoch(spark, folder(spark, "halves"))
+    dense.save(epoch, v)
+    held = epoch.read("vectors").select("node_key", F.octet_length("half").alias("bytes"))
+    back = dense.load(epoch).withColumnRenamed("embedding", "back").join(v, "node_key").join(held, "node_key")
+    far = F.zip_with("embedding", "back", lambda x, y: F.abs(x.cast("double") - y) <= F.greatest(F.abs(x) * 2.0**-11, F.lit(2.0**-24)))
+    return back.select(F.col("node_key").cast("long").alias("vec_id"), F.size("back").alias("n"), "bytes", F.forall(far, lambda ok: ok).alias("near"))
+
+
 # ---------------------------------------------------------------- reranking
 
 WORDS = r"list_transform(regexp_extract_all(coalesce({x}, ''), '[\p{{L}}\p{{M}}]+|\p{{Nd}}+'), lambda w: lower(w))"

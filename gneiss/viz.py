@@ -69,7 +69,7 @@ def payload(epoch: Epoch, max_files: int | None = None) -> dict:
     last = max(shown, default=0)
     regions = [{"name": max(sorted(shown[i]), key=lambda k: shown[i][k])[:26]} if i in shown and not (i == last and i == 7) else {"name": "everything else"} for i in range(last + 1)]
     pairs = graph.file_pairs(epoch.edges(), nodes)
-    edges = [[at[a], at[b]] for a, b in mapview.capped_edges(pairs) if a in at and b in at]
+    edges = [[at[a], at[b]] for a, b in mapview.capped_edges(pairs).collect() if a in at and b in at]
     degree: dict[int, int] = {}
     for e in edges:
         for i in e:

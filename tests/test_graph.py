@@ -108,9 +108,24 @@ def test_community_merge_resolves_chains(spark):
 
 def test_capped_edges_skip_only_full_pairs(spark):
     p = spark.createDataFrame([("a", x, n) for n, x in enumerate("bcde", 1)] + [("b", "c", 9)], "a string, b string, n long")
-    got = mapview.capped_edges(p, per_file=1, total=10)
+    got = [tuple(r) for r in mapview.capped_edges(p, per_file=1, total=10).collect()]
     assert ("b", "c") in got and ("a", "e") in got and len(got) == 3
-    assert len(mapview.capped_edges(p, total=2)) == 2
+    assert mapview.capped_edges(p, total=2).count() == 2
+
+
+@pytest.mark.parametrize("seed, per_file, total", [(1, 1, 1000), (2, 3, 1000), (3, 2, 15)])
+def test_capped_edges_are_those_of_a_walk(spark, seed, per_file, total):
+    rng = random.Random(seed)
+    # a hub, ties, and a clique in which most edges are left out
+    pairs = {(0, i) for i in range(1, 60)} | {(a, b) for b in range(60, 75) for a in range(60, b)} | {tuple(sorted(rng.sample(range(60), 2))) for _ in range(120)}
+    rows = [(f"f{a:02}", f"f{b:02}", rng.randrange(1, 6)) for a, b in pairs]
+    have, want = {}, []
+    for a, b, n in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if len(want) < total and (have.get(a, 0) < per_file or have.get(b, 0) < per_file):
+            want.append((a, b))
+            have[a], have[b] = have.get(a, 0) + 1, have.get(b, 0) + 1
+    got = mapview.capped_edges(spark.createDataFrame(rows, "a string, b string, n long").repartition(3), per_file, total)
+    assert [tuple(r) for r in got.collect()] == want
 
 
 def test_exact_names(spark):

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import graph, lexical, mapview
+from gneiss.operators import dense, graph, lexical, mapview
 from gneiss.plans import batch
+from gneiss.plans.store import Epoch
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +106,14 @@ def test_rank_of_many_questions_is_that_of_each(spark):
         want = {r.idx: r.score for r in graph.ppr(edges, own, iterations=10).collect()}
         assert all(got[q].get(i, 0.0) == pytest.approx(s, abs=1e-6) for i, s in want.items()) and sum(got[q].values()) == pytest.approx(1.0, abs=1e-6)
     assert set(got) == {7, 8, 9}
+
+
+def test_vectors_of_half_precision_come_back(spark, tmp_path):
+    epoch = Epoch(spark, tmp_path)
+    rows = [("a", [1.0, -0.5, 0.333]), ("b", None), ("c", []), ("d", [2.0, 65504.0])]
+    dense.save(epoch, spark.createDataFrame(rows, "node_key string, embedding array<float>"))
+    got = {r.node_key: r.embedding for r in dense.load(epoch).collect()}
+    assert got["a"] == pytest.approx([1.0, -0.5, 0.333], rel=2**-11) and got["b"] is None and got["c"] == [] and got["d"] == [2.0, 65504.0]
+    assert dict(epoch.read("vectors").dtypes)["half"] == "binary" and dense.load(Epoch(spark, tmp_path / "none")) is None
+    epoch.write("vectors", spark.createDataFrame([("x", [1.0])], "node_key string, embedding array<float>"))
+    assert dense.load(epoch).first().embedding == [1.0]
