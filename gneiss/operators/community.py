@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gneiss.plans.checkpoint import truncate
+from gneiss.plans.checkpoint import rewritten
 
 #: A node with one of so many edges, or more, is a hub.
 HUBS = 1000
@@ -31,7 +31,7 @@ class Facing:
     def __init__(self, edges: DataFrame):
         total = edges.count()
         far = edges.groupBy(F.col("dst").alias("hub")).agg(F.count("*").alias("n")).where(F.col("n") * HUBS >= total)
-        far = truncate(far)
+        far = rewritten(far)
         met = far.agg(F.sum("n")).first()[0] or 0
         self.edges, self.hubs = edges, F.broadcast(far.select(F.col("hub").alias("dst")))
         self.any, self.all = met > 0, met == total
@@ -55,7 +55,7 @@ def _colour(node: str, colours: int, which: int, salt: int = 0):
 
 def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) -> float:
     """The modularity of groups (idx, community) over edges (src, dst[, weight]); 0 without edges."""
-    e = truncate(mirrored(edges))
+    e = rewritten(mirrored(edges))
     of = groups.select(F.col("idx").alias("dst"), F.col("community").alias("b"))
     both = e.join(of, "dst").join(of.toDF("src", "a"), "src")
     by = both.groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("i"))
@@ -82,48 +82,48 @@ def communities(edges: DataFrame, colours: int = 2, sweeps: int = 12, settled: f
 
     A level ends when each colour has moved less than the share `settled` of the nodes, or after `sweeps`; all ends when a level moves nothing.
     """
-    e = truncate(mirrored(edges))
-    whole = truncate(e.select(F.col("src").alias("idx")).distinct().withColumn("community", F.col("idx")))
+    e = rewritten(mirrored(edges))
+    whole = rewritten(e.select(F.col("src").alias("idx")).distinct().withColumn("community", F.col("idx")))
     loops: DataFrame | None = None
     total = e.agg(F.sum("w")).first()[0]
     while total:
         degree = e.groupBy(F.col("src").alias("idx")).agg(F.sum("w").alias("k"))
         if loops is not None:
             degree = degree.unionByName(loops).groupBy("idx").agg(F.sum("k").alias("k"))
-        state, facing, ever, still, which = truncate(degree.withColumn("c", F.col("idx"))), Facing(e), False, 0, 0
+        state, facing, ever, still, which = rewritten(degree.withColumn("c", F.col("idx"))), Facing(e), False, 0, 0
         few = settled * state.count()
         while still < colours and which < colours * sweeps:
             colour = lambda node, s=which // colours, w=which % colours: _colour(node, colours, w, s)
             to = _moved(facing, state, total, colour, resolution)
-            new = truncate(state.join(to, "idx", "left").select("idx", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+            new = rewritten(state.join(to, "idx", "left").select("idx", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
             moved = new.where("moved").count()
             state, still, ever, which = new.drop("moved"), 0 if moved and moved >= few else still + 1, ever or bool(moved), which + 1
         if not ever:
             break
         named = state.groupBy("c").agg(F.min("idx").alias("to"))
-        group = truncate(state.join(named, "c").select("idx", "to"))
-        whole = truncate(whole.join(group, whole["community"] == group["idx"]).select(whole["idx"], F.col("to").alias("community")))
+        group = rewritten(state.join(named, "c").select("idx", "to"))
+        whole = rewritten(whole.join(group, whole["community"] == group["idx"]).select(whole["idx"], F.col("to").alias("community")))
         both = Facing(e).ends(group.select("idx", F.col("to").alias("c"))).join(group.toDF("src", "a"), "src")
-        sums = truncate(both.groupBy("a", "c").agg(F.sum("w").alias("w")))
+        sums = rewritten(both.groupBy("a", "c").agg(F.sum("w").alias("w")))
         inside = sums.where("a = c").select(F.col("a").alias("idx"), F.col("w").alias("k"))
         if loops is not None:
             inside = inside.unionByName(loops.join(group, "idx").select(F.col("to").alias("idx"), "k"))
-        loops = truncate(inside.groupBy("idx").agg(F.sum("k").alias("k")))
-        e = truncate(sums.where("a <> c").select(F.col("a").alias("src"), F.col("c").alias("dst"), "w"))
+        loops = rewritten(inside.groupBy("idx").agg(F.sum("k").alias("k")))
+        e = rewritten(sums.where("a <> c").select(F.col("a").alias("src"), F.col("c").alias("dst"), "w"))
     return whole
 
 
 def label_communities(edges: DataFrame, rounds: int = 20, colours: int = 2) -> DataFrame:
     """(idx, community) by label propagation: the label with most weight among neighbours, its own if that is among these, else the smallest;
     nodes of one colour at a time, so that two sides of a star don't swap labels for ever."""
-    e = truncate(mirrored(edges))
+    e = rewritten(mirrored(edges))
     facing = Facing(e)
-    state, still = truncate(e.select(F.col("src").alias("idx")).distinct().withColumn("c", F.col("idx"))), 0
+    state, still = rewritten(e.select(F.col("src").alias("idx")).distinct().withColumn("c", F.col("idx"))), 0
     for which in range(rounds * colours):
         votes = facing.ends(state, _colour("src", colours, which % colours, which // colours)).groupBy(F.col("src").alias("idx"), "c").agg(F.round(F.sum("w"), 12).alias("n"))
         best = votes.join(state.select("idx", F.col("c").alias("own")), "idx").groupBy("idx").agg(F.max(F.struct("n", F.col("c") == F.col("own"), (-F.col("c")).alias("c"))).alias("v"))
         best = best.select("idx", (-F.col("v.c")).alias("to"))
-        new = truncate(state.join(best, "idx", "left").select("idx", F.coalesce("to", "c").alias("c"), (F.col("to") != F.col("c")).alias("moved")))
+        new = rewritten(state.join(best, "idx", "left").select("idx", F.coalesce("to", "c").alias("c"), (F.col("to") != F.col("c")).alias("moved")))
         still = 0 if new.where("moved").limit(1).count() else still + 1
         state = new.select("idx", "c")
         if still == colours:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gneiss.functions.text import is_test_file
-from gneiss.plans.checkpoint import truncate
+from gneiss.plans.checkpoint import rewritten, truncate
 
 # Fixed values of diffusion.
 ALPHA, ITERATIONS, TOLERANCE, WEIGHT_FLOOR = 0.85, 30, 1e-6, 1e-4
@@ -184,21 +184,21 @@ def components(pairs: DataFrame) -> DataFrame:
     Alternating large and small stars: each node hands its larger neighbours, then its smaller ones, to the smallest of all. Minima are
     aggregated; those of hubs are broadcast to the edges, those of other nodes joined.
     """
-    now = truncate(pairs.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = truncate(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).where("node is not null").distinct())
+    now = rewritten(pairs.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = rewritten(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).where("node is not null").distinct())
 
     def least(edges: DataFrame) -> DataFrame:
         """edges (a, b) with m, the least of a and its neighbours b."""
         near = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        near = truncate(near.crossJoin(F.broadcast(near.agg(F.sum("n").alias("all")))).select("a", "m", (F.col("n") * HUBS >= F.col("all")).alias("hub")))
+        near = rewritten(near.crossJoin(F.broadcast(near.agg(F.sum("n").alias("all")))).select("a", "m", (F.col("n") * HUBS >= F.col("all")).alias("hub")))
         hubs = F.broadcast(near.where("hub").select("a", "m"))
         return edges.join(hubs, "a").unionByName(edges.join(F.broadcast(near.where("hub").select("a")), "a", "left_anti").join(near.where("not hub").select("a", "m"), "a"))
 
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = least(truncate(large))
-        new = truncate(down.select("a", F.col("m").alias("b")).unionByName(down.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        down = least(rewritten(large))
+        new = rewritten(down.select("a", F.col("m").alias("b")).unionByName(down.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
         # settled: one edge for each node, to one that has none itself
         roots = new.select(F.col("b").alias("a")).distinct().join(new, "a", "left_semi").limit(1).count()
         now = new.select("a", "b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.operators.graph import degree
-from gneiss.plans.checkpoint import truncate
+from gneiss.plans.checkpoint import rewritten, truncate
 
 # Fixed values of the map.
 HOPS, TEMPORAL_DECAY, POSTINGS, SEARCH_TOP = (0.55, 0.3, 0.16), 0.8, 400, 30
@@ -156,14 +156,14 @@ def capped_edges(pairs: DataFrame, per_file: int = MAX_PER_FILE, total: int = MA
     first = Window.partitionBy("end").orderBy(*order)
     place = lambda x, y, z: F.struct((-F.col(x)).alias("n"), F.col(y).alias("a"), F.col(z).alias("b"))
     ends = lambda e: e.withColumn("end", F.explode(F.array_distinct(F.array("a", "b")))).withColumn("r", F.row_number().over(first))
-    left = truncate(pairs.select("a", "b", "n", F.lit(False).alias("chosen")))
+    left = rewritten(pairs.select("a", "b", "n", F.lit(False).alias("chosen")))
     while left.where("not chosen").limit(1).count():
         head = ends(left).where(F.col("r") <= per_file).select("a", "b").distinct().withColumn("head", F.lit(True))
-        now = truncate(left.join(head, ["a", "b"], "left").select("a", "b", "n", (F.col("chosen") | F.coalesce("head", F.lit(False))).alias("chosen")))
+        now = rewritten(left.join(head, ["a", "b"], "left").select("a", "b", "n", (F.col("chosen") | F.coalesce("head", F.lit(False))).alias("chosen")))
         full = ends(now.where("chosen")).where(F.col("r") == per_file).select("end", place("n", "a", "b").alias("bar"))
         both = now.join(full.toDF("a", "bar_a"), "a", "left").join(full.toDF("b", "bar_b"), "b", "left")
         own = place("n", "a", "b")
-        left = truncate(both.where(F.col("chosen") | ~F.coalesce((own > F.col("bar_a")) & (own > F.col("bar_b")), F.lit(False))).select("a", "b", "n", "chosen"))
+        left = rewritten(both.where(F.col("chosen") | ~F.coalesce((own > F.col("bar_a")) & (own > F.col("bar_b")), F.lit(False))).select("a", "b", "n", "chosen"))
     return left.orderBy(*order).limit(total).select("a", "b")
 
 

@@ -35,3 +35,11 @@ def truncate(df: DataFrame) -> DataFrame:
     """df from a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again. Unlike a checkpoint it forgets the size that was estimated for the plan: where each round
+    joins what the last one gave with itself, these estimates multiply until planning takes longer than the work."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
