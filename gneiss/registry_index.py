@@ -523,7 +523,7 @@ def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     now = store.open()
     out += [("nodes", now.read("nodes").count()), ("structural", now.edges("structural").count()), ("temporal", now.edges("temporal").count()), ("vectors", now.read("vectors").count()), ("meta", now.meta()["a"] + (now.meta().keys() != {"a", "b", "c"}))]
     out += [("epochs", len(store.numbers())), ("current", store.current())]
-    out.append(("old reader", now.read("nodes").join(reader.read("nodes") if reader.path.exists() else nation, "n_nationkey").count()))
+    out.append(("old reader", now.read("nodes").join(reader.read("nodes"), "n_nationkey").count()))
     try:
         with store.begin() as e:
             e.write("nodes", nation.limit(0))

@@ -10,7 +10,7 @@ from gneiss.operators import dense, evaluation, ingest, lexical, pack, reports,
 from gneiss.plans import build, index
 from gneiss.plans.batch import BatchRetriever
 from gneiss.plans.retrieve import Retriever
-from gneiss.plans.store import Store
+from gneiss.plans.store import Conflict, Store
 from gneiss.streaming import cochange
 from tests.test_sources import MINI, write
 
@@ -58,7 +58,7 @@ def test_stored_postings_answer_as_documents_do(indexed):
     b = [(r.idx, round(r.score, 9)) for r in lexical.search_few(e.read("docs"), ["session", "store", "session"], 10).collect()]
     assert a == b and len(a) > 1
     assert "PushedFilters: [" in (plan := stored.ask(["session"])._jdf.queryExecution().toString()) and "In(term" in plan or "EqualTo(term" in plan
-    assert lexical.LexicalIndex.load(type(e)(e.spark, e.path / "none")) is None
+    assert lexical.LexicalIndex.load(type(e)(e.spark, f"{e.files.root}/none")) is None
 
 
 def test_retrieval_and_provenance(indexed):
@@ -165,7 +165,57 @@ def test_epochs_aside_are_never_published(spark, tmp_path):
         e.write("t", spark.range(5))
         e.put_meta(a=2)
         assert e.read("t").count() == 5 and e.meta() == {"a": 2} and s.open().meta() == {"a": 1}
-    assert s.numbers() == [1] and s.open().read("t").count() == 3 and not list((tmp_path / "epochs").glob("aside*"))
+    assert s.numbers() == [1] and s.open().read("t").count() == 3 and len(list((tmp_path / "data").iterdir())) == 1
+
+
+def tables_of(path) -> set[str]:
+    return {p.name.split("-", 1)[1] for p in (path / "data").iterdir()}
+
+
+def test_of_two_writers_the_first_wins(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}")
+    with s.begin() as e:
+        e.write("t", spark.range(3))
+    with pytest.raises(Conflict):
+        with s.begin() as late:
+            late.write("late", spark.range(1))
+            with s.begin() as e:
+                e.write("t", spark.range(4))
+                e.write("t", e.read("t").where("id > 0"))
+    assert s.numbers() == [1, 2] and s.open().read("t").count() == 3 and "late" not in s.open() and tables_of(tmp_path) == {"t"}
+    assert len(list((tmp_path / "data").iterdir())) == 2 and len(list((tmp_path / "log").glob("[0-9]*"))) == 2
+
+
+def test_unchanged_tables_are_named_and_appended_ones_not_copied(spark, tmp_path):
+    s = Store(spark, tmp_path)
+    with s.begin() as e:
+        e.write("a", spark.range(3))
+    first = s.open()
+    for i in range(5):
+        with s.begin() as e:
+            e.append("b", spark.range(i, i + 1))
+            e.write("c", spark.range(i))
+    now = s.open()
+    assert now.tables["a"] == first.tables["a"] and sorted(r.id for r in now.read("b").collect()) == [0, 1, 2, 3, 4]
+    assert sorted(p.name.split("-")[1] for p in (tmp_path / "data").iterdir()) == ["a"] + ["b"] * 5 + ["c"] * 3
+    with s.begin(inherit=False) as e:
+        e.put_meta(x=1)
+    assert "a" not in s.open() and now.read("a").count() == 3 and s.open().edges() is None
+
+
+def test_an_epoch_on_a_file_system_that_is_not_local(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.gneiss.link./store", f"file://{tmp_path}")
+    s = Store(spark, "viewfs://gneiss/store/index")
+    with s.begin() as e:
+        e.write("t", spark.range(3))
+        e.put_meta(said="é<")
+    with pytest.raises(Conflict):
+        with s.begin():
+            with s.begin() as e:
+                e.write_edges(spark.createDataFrame([(0, 1)], "src long, dst long"), "structural")
+    assert s.numbers() == [1, 2] and s.open().read("t").count() == 3 and s.open().meta() == {"said": "é<"} and s.open().path.startswith("viewfs://gneiss/store")
+    assert s.open().edges("structural").count() == 1 and s.open().edges("temporal").count() == 0 and (tmp_path / "index" / "log" / "000002.json").is_file()
 
 
 def test_evaluation_leaves_the_index_alone(spark, tmp_path):
