@@ -48,7 +48,7 @@ def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool
     import contextlib
 
     from gneiss.operators import evaluation, temporal
-    from gneiss.plans.history import enrich
+    from gneiss.plans.history import refresh
     from gneiss.plans.index import encoder_of
     from gneiss.plans.batch import BatchRetriever
     from gneiss.sources import history
@@ -63,9 +63,7 @@ def evaluate(spark, store, root: str, fraction: float, limit: int, rebuild: bool
     truth = spark.createDataFrame([(r["sha"], p) for r in rows for p in r["files"]], "query_id string, path string")
     with store.aside() if rebuild else contextlib.nullcontext(store.open()) as epoch:
         if rebuild:
-            config = temporal.HistoryConfig(before_ts=cutoff)
-            old, n = history.commits(spark, root, config)
-            enrich(epoch, old, n, cutoff, config)
+            refresh(epoch, root, cutoff, temporal.HistoryConfig(before_ts=cutoff))
         encoder = encoder_of(epoch)
 
         def rung(use_lexical: bool, use_dense: bool, ppr: bool = False):

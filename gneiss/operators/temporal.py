@@ -69,12 +69,39 @@ def cochange_pairs(t: DataFrame, n_commits: int | None = None, max_files: int =
     pairs = a.join(b, F.expr("sha = sha_b and path_a < path_b"))
     size = F.col("n").cast("double")
     pairs = pairs.groupBy("path_a", "path_b").agg(F.count("*").alias("n_ab"), F.sum(2.0 / (size * (size - 1.0))).alias("support"))
-    counts = file_counts(t)
+    return _scored(pairs, file_counts(t), total)
+
+
+def _scored(pairs: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
     pairs = pairs.join(counts.toDF("path_a", "n_a"), "path_a").join(counts.toDF("path_b", "n_b"), "path_b").crossJoin(F.broadcast(total))
     cols = [F.col(c) for c in ("n_ab", "n_a", "n_b", "_n")]
     return pairs.select("path_a", "path_b", "n_ab", "support", "n_a", "n_b", stats.lift(*cols).alias("lift"), stats.g_statistic(*cols).alias("g_stat"))
 
 
+def pair_counts(t: DataFrame, max_files: int = 400, sign: int = 1) -> DataFrame:
+    """(path_a, path_b, size, n): how often two files met in commits of a size; with sign -1 the counts that take these commits away again.
+
+    Whole numbers add up and cancel without a rest, which sums of supports would not; pairs_of makes supports of them.
+    """
+    t = truncate(t.select("sha", "path"))
+    sizes = t.groupBy("sha").agg(F.count("*").alias("size")).where((F.col("size") >= 2) & (F.col("size") <= max_files))
+    kept = t.join(sizes, "sha")
+    a, b = kept.select("sha", "size", F.col("path").alias("path_a")), kept.select(F.col("sha").alias("sha_b"), F.col("path").alias("path_b"))
+    return a.join(b, F.expr("sha = sha_b and path_a < path_b")).groupBy("path_a", "path_b", "size").agg((F.count("*") * sign).cast("long").alias("n"))
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """Pair counts of several parts as one, without those that cancel."""
+    return counts.groupBy("path_a", "path_b", "size").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def pairs_of(counts: DataFrame, t: DataFrame, n_commits: int) -> DataFrame:
+    """The rows of cochange_pairs from the pair counts of touches t."""
+    size = F.col("size").cast("double")
+    pairs = merged_counts(counts).groupBy("path_a", "path_b").agg(F.sum("n").alias("n_ab"), F.sum(F.col("n") * (2.0 / (size * (size - 1.0)))).alias("support"))
+    return _scored(pairs, file_counts(t), t.sparkSession.range(1).select(F.lit(n_commits).cast("long").alias("_n")))
+
+
 def significant(pairs: DataFrame, min_count: int = 3, min_support: float = 0.3, max_p: float = 0.01) -> DataFrame:
     """Pairs that meet often enough. The statistic is compared with its quantile first, so only pairs that are kept get a p-value."""
     kept = pairs.where((F.col("n_ab") >= min_count) & (F.col("support") >= min_support))

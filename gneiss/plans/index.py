@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gneiss.operators import dense, ingest, lexical, mapview
 from gneiss.operators.temporal import HistoryConfig
 from gneiss.plans import build
-from gneiss.plans.history import enrich
+from gneiss.plans.history import refresh
 from gneiss.plans.store import Epoch, Store
 from gneiss.sources import history, nodelink
 
@@ -59,8 +59,7 @@ def build_index(spark: SparkSession, root: str, store: Store, graph_file: str |
     with store.begin(inherit=not force) as epoch:
         out = ingest_into(epoch, root, graph_file)
         if history.is_repo(root):
-            commits, n = history.commits(spark, root, config)
-            out |= {"history": enrich(epoch, commits, n, time.time() if as_of is None else as_of, config)}
+            out |= {"history": refresh(epoch, root, time.time() if as_of is None else as_of, config)}
         epoch.write("docs", build.documents(epoch.read("nodes"), epoch.edges("structural")))
         lexical.build(epoch.read("docs")).save(epoch)
         mapview.save_tokens(epoch, mapview.token_index(epoch.read("nodes")))

@@ -125,6 +125,10 @@ class Epoch:
         """Add rows to a table: what it has is neither read nor copied."""
         self.tables[table] = [*self.tables.get(table, []), self._new(table, df)]
 
+    def drop(self, *tables: str) -> None:
+        for t in tables:
+            self.tables.pop(t, None)
+
     def write_edges(self, df: DataFrame, channel: str) -> None:
         """Replace one channel's edges; other channels' files stay."""
         self.write(f"edges/{channel}", df.drop("channel"))

@@ -5,6 +5,7 @@ Documents are the nodes, their texts the retrieval documents; files, calls betwe
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from pathlib import Path
 
@@ -17,7 +18,7 @@ from gneiss.operators import dense, evaluation, fusion, graph, lexical, mapview,
 from gneiss.operators.ingest import with_idx
 from gneiss.operators.rerank import rerank
 from gneiss.plans import build, history
-from gneiss.plans.checkpoint import scratch
+from gneiss.plans.checkpoint import scratch, truncate
 from gneiss.plans.retrieve import Retriever
 from gneiss.plans.store import Epoch, Store
 from gneiss.registry_tables import CHURN, COSINE, EDGES, NODES, OWN, PACK, SUPPLY, _cosine, _nodes, _supply, query, r6, sql_draws, sql_g, sql_parts, sql_path, sql_ppr
@@ -541,15 +542,26 @@ T2 = "t AS (SELECT DISTINCT l_orderkey AS sha, 's' || l_suppkey AS path, epoch(o
 CHURN2 = CHURN.replace("l_suppkey AS path", "'s' || l_suppkey AS path").replace("GROUP BY l_suppkey", "GROUP BY l_suppkey")
 
 
-def _layer(spark: SparkSession, sf: str) -> Epoch:
-    """The history layer of an index whose files are the suppliers; pairs by other thresholds than the usual ones."""
+#: Other thresholds than the usual ones.
+LAYER = temporal.HistoryConfig(max_files=4, min_count=2, min_support=0.2, max_p=0.05, edge_min_support=0.25)
+
+
+def _files_of_suppliers(spark: SparkSession, sf: str) -> Epoch:
     epoch = Epoch(spark, folder(spark, "history"))
     lines = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").cast("int").alias("end_line"))
     s = table(spark, sf, "supplier").join(lines, F.col("l_suppkey") == F.col("s_suppkey"))
     epoch.write("nodes", s.select(F.col("s_suppkey").alias("idx"), F.lit("file").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("source_file"), "end_line"))
-    c = commits(spark, sf).withColumn("path", F.concat(F.lit("s"), F.col("path").cast("string")))
-    n = c.select("sha").distinct().count()
-    history.enrich(epoch, c, n, AS_OF, temporal.HistoryConfig(max_files=4, min_count=2, min_support=0.2, max_p=0.05, edge_min_support=0.25))
+    return epoch
+
+
+def _commits_of_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    return commits(spark, sf).withColumn("path", F.concat(F.lit("s"), F.col("path").cast("string")))
+
+
+def _layer(spark: SparkSession, sf: str) -> Epoch:
+    """The history layer of an index whose files are the suppliers."""
+    epoch, c = _files_of_suppliers(spark, sf), _commits_of_suppliers(spark, sf)
+    history.enrich(epoch, c, c.select("sha").distinct().count(), AS_OF, LAYER)
     return epoch
 
 
@@ -562,15 +574,32 @@ def history_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("path", "n_commits", "first_seen", "last_modified", r6("churn").alias("churn"), r6("hotspot").alias("hotspot"), "primary_owner", r6("owner_share").alias("owner_share"), "n_authors", "bus_factor")
 
 
-@query(
-    f"""WITH {T2}, sz AS (SELECT sha, count(*) AS n FROM t GROUP BY sha HAVING count(*) BETWEEN 2 AND 4), nf AS (SELECT path, count(*) AS n FROM t GROUP BY path), tot AS (SELECT count(DISTINCT sha) AS n FROM t),
+HISTORY_PAIRS = f"""WITH {T2}, sz AS (SELECT sha, count(*) AS n FROM t GROUP BY sha HAVING count(*) BETWEEN 2 AND 4), nf AS (SELECT path, count(*) AS n FROM t GROUP BY path), tot AS (SELECT count(DISTINCT sha) AS n FROM t),
 pr AS (SELECT a.path AS path_a, b.path AS path_b, count(*)::BIGINT AS n_ab, sum(2.0::DOUBLE / (sz.n::DOUBLE * (sz.n - 1))) AS support FROM t a JOIN sz ON sz.sha = a.sha JOIN t b ON b.sha = a.sha AND a.path < b.path GROUP BY ALL),
 g AS (SELECT path_a, path_b, n_ab, support, {sql_g('n_ab', 'fa.n', 'fb.n', 'tot.n')} AS g FROM pr JOIN nf fa ON fa.path = path_a JOIN nf fb ON fb.path = path_b CROSS JOIN tot), kept AS (SELECT * FROM g WHERE n_ab >= 2 AND support >= 0.2 AND g >= 3.841458820694124)
 SELECT 'pair' AS what, path_a AS a, path_b AS b, round(support, 6) AS weight FROM kept UNION ALL SELECT 'edge', substr(path_a, 2), substr(path_b, 2), round(support, 6) FROM kept WHERE support >= 0.25 UNION ALL SELECT 'owner', path, author, count(*)::DOUBLE FROM t GROUP BY path, author"""
-)
+
+
+@query(HISTORY_PAIRS)
 def history_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Stored pairs, co-change edges and ownership."""
-    e = _layer(spark, sf)
+    return _pairs_edges_owners(_layer(spark, sf))
+
+
+@query(HISTORY_PAIRS)
+def history_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows by merged counts: an older half of the commits, the newer half, orders a century on, and some that are read and taken away again."""
+    epoch = _files_of_suppliers(spark, sf)
+    c = truncate(_commits_of_suppliers(spark, sf))
+    other = c.withColumn("sha", -F.col("sha"))
+    for part in (c.where("ts < 820454400"), other.where("sha % 7 = 0"), c.where("ts >= 820454400"), other.where("sha % 7 = -1").withColumn("ts", F.col("ts") + 3155760000)):
+        history.add(epoch, part, LAYER.max_files)
+    history.take(epoch, other.where("sha % 7 = 0").select("sha").distinct(), LAYER.max_files)
+    history.enrich_stored(epoch, AS_OF, dataclasses.replace(LAYER, before_ts=3155760000))
+    return _pairs_edges_owners(epoch)
+
+
+def _pairs_edges_owners(e: Epoch) -> DataFrame:
     pairs = e.read("cochange").select(F.lit("pair").alias("what"), F.col("path_a").alias("a"), F.col("path_b").alias("b"), r6("support").alias("weight"))
     edges = e.edges("temporal").where("relation = 'co_changes_with'").select(F.lit("edge").alias("what"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), r6("weight").alias("weight"))
     owners = e.read("ownership").select(F.lit("owner").alias("what"), F.col("path").alias("a"), F.col("author").alias("b"), F.col("n_commits").cast("double").alias("weight"))

@@ -30,6 +30,25 @@ def is_repo(root: str | Path) -> bool:
         return False
 
 
+def head(root: str | Path) -> str:
+    return git(root, "rev-parse", "HEAD").strip()
+
+
+def is_ancestor(root: str | Path, older: str, newer: str) -> bool:
+    """Whether a commit is there and all of its history belongs to another's."""
+    return subprocess.run(["git", "-C", str(root), "merge-base", "--is-ancestor", older, newer], capture_output=True).returncode == 0
+
+
+def reach(config: HistoryConfig) -> list[str]:
+    return ["--no-merges"] + ([f"--since={config.since}"] if config.since else [])
+
+
+def kept(spark: SparkSession, root: str | Path, config: HistoryConfig, at: str) -> DataFrame:
+    """(sha) of the commits that a whole reading would take, max_commits at most: names only, no files."""
+    names = git(root, "rev-list", *reach(config), f"--max-count={config.max_commits}", at).split()
+    return spark.createDataFrame([(n,) for n in names], "sha string")
+
+
 def records(chunks: Iterable[str], end: str = "\0") -> Iterator[str]:
     """The fields of a text that comes in chunks."""
     left = ""
@@ -128,20 +147,22 @@ class Slice(InputPartition):
 
 
 class GitLogReader(DataSourceReader):
-    """The commits in slices of `slice` commits, a partition each."""
+    """The commits in slices of `slice` commits, a partition each; those of a range of revisions, if one is named. All tasks read from one commit back."""
 
     def __init__(self, options: dict):
         self.root, self.slice = options["path"], int(options.get("slice", 5_000))
+        self.revisions = options.get("revisions") or head(self.root)
+        if self.revisions.startswith("-"):
+            raise ValueError(f"not a range: {self.revisions}")
         before = options.get("before_ts")
         self.config = HistoryConfig(max_commits=int(options.get("max_commits", HistoryConfig.max_commits)), since=options.get("since"), follow_renames=options.get("follow_renames", "true") == "true", before_ts=int(before) if before else None)
 
     def partitions(self) -> list[Slice]:
-        since = [f"--since={self.config.since}"] if self.config.since else []
-        n = min(int(git(self.root, "rev-list", "--count", "--no-merges", *since, "HEAD")), self.config.max_commits)
+        n = min(int(git(self.root, "rev-list", "--count", *reach(self.config), self.revisions)), self.config.max_commits)
         return [Slice(i, min(self.slice, n - i)) for i in range(0, max(1, n), self.slice)]
 
     def read(self, partition: Slice):
-        for sha, ts, author, files in mine(self.root, self.config, skip=partition.skip, most=partition.most):
+        for sha, ts, author, files in mine(self.root, self.config, self.revisions, skip=partition.skip, most=partition.most):
             for path in sorted(set(files)) or [None]:
                 yield sha, ts, author, path
 
@@ -162,10 +183,16 @@ class GitLog(DataSource):
 
 def commits(spark: SparkSession, root: str | Path, config: HistoryConfig = HistoryConfig()) -> tuple[DataFrame, int]:
     """(sha, ts, author, path) rows, read in slices by tasks, and the number of commits, those without files too."""
+    found = log_of(spark, root, config)
+    return found.where("path is not null"), found.select("sha").distinct().count()
+
+
+def log_of(spark: SparkSession, root: str | Path, config: HistoryConfig = HistoryConfig(), revisions: str | None = None) -> DataFrame:
+    """SCHEMA rows of a repository or of a range of its revisions."""
     spark.dataSource.register(GitLog)
     options = {"max_commits": config.max_commits, "follow_renames": str(config.follow_renames).lower()} | ({"since": config.since} if config.since else {}) | ({"before_ts": config.before_ts} if config.before_ts is not None else {})
-    found = truncate(spark.read.format("gitlog").options(**options).load(str(root)))
-    return found.where("path is not null"), found.select("sha").distinct().count()
+    options |= {"revisions": revisions} if revisions else {}
+    return truncate(spark.read.format("gitlog").options(**options).load(str(root)))
 
 
 def subjects(spark: SparkSession, root: str | Path, after_ts: int = 0) -> DataFrame:
