@@ -591,7 +591,7 @@ def history_refreshed(spark: SparkSession, sf: str) -> DataFrame:
     """The same rows by merged counts: an older half of the commits, the newer half, orders a century on, and some that are read and taken away again."""
     epoch = _files_of_suppliers(spark, sf)
     c = truncate(_commits_of_suppliers(spark, sf))
-    other = c.withColumn("sha", -F.col("sha"))
+    other = c.withColumn("sha", -1 - F.col("sha"))
     for part in (c.where("ts < 820454400"), other.where("sha % 7 = 0"), c.where("ts >= 820454400"), other.where("sha % 7 = -1").withColumn("ts", F.col("ts") + 3155760000)):
         history.add(epoch, part, LAYER.max_files)
     history.take(epoch, other.where("sha % 7 = 0").select("sha").distinct(), LAYER.max_files)
