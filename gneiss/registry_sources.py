@@ -270,8 +270,8 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _logs(rows: DataFrame, record: Column) -> DataFrame:
-    """One exported log for each author, of its commits' records."""
-    return rows.select("n_name", "o_orderkey", record.alias("r")).groupBy("n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "r"))), lambda x: x["r"]), "").alias("raw"))
+    """Exported logs of each author's commits, 1,024 order keys at most in each, so that no log grows with the table."""
+    return rows.select("n_name", "o_orderkey", record.alias("r")).groupBy("n_name", F.expr("o_orderkey div 1024").alias("piece")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "r"))), lambda x: x["r"]), "").alias("raw"))
 
 
 @query(f"SELECT 'o' || o_orderkey AS sha, ts, n_name AS author, 'dir é/s' || l_suppkey || '.py' AS path FROM ({OF_ORDERS})")
