@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.functions.identity import node_key
 from gneiss.functions.text import ingest_label
+from gneiss.plans.checkpoint import truncate
 
 
 def infer_kind(span_kind: Column, node_kind: Column, file_type: Column, label: Column) -> Column:
@@ -70,20 +71,39 @@ def innermost_container(spans: DataFrame, kinds: list[str] | None = None) -> Dat
     return spans.join(found, ["path", "span_id"], "left")
 
 
+#: Halvings of a span's lines: more than any file has.
+HALVINGS = 31
+
+
 def match_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     """nodes (id, label, source_file, line) with the span each means: one that holds its line and has its name, else the first of its
-    qualified or bare name, else the first whose last name it is. spans: (path, name, qualified, kind, start_line, end_line, signature, docstring)."""
-    n = nodes.select("id", "source_file", ingest_label("label").alias("clean"), "line")
-    s = spans.withColumn("last", F.element_at(F.split("qualified", r"\."), -1))
-    j = n.join(s, (n["source_file"] == s["path"]) & ((F.col("clean") == F.col("name")) | (F.col("clean") == F.col("qualified")) | (F.col("clean") == F.col("last"))))
-    named = (F.col("clean") == F.col("name")) | (F.col("clean") == F.col("qualified"))
-    holds = named & (F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line"))
-    tier = F.when(holds, 0).when(F.col("clean") == F.col("name"), 1).when(F.col("clean") == F.col("qualified"), 2).otherwise(3)
-    exact = F.when(holds, (F.col("start_line") != F.col("line")).cast("int")).otherwise(0)
-    width = F.when(holds, F.col("end_line") - F.col("start_line")).otherwise(0)
-    w = Window.partitionBy("id").orderBy(tier, exact, width, "start_line", "end_line")
-    best = j.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", F.col("kind").alias("span_kind"), "start_line", "end_line", "signature", "docstring")
-    return nodes.join(best, "id", "left")
+    qualified or bare name, else the first whose last name it is. spans: (path, name, qualified, kind, start_line, end_line, signature, docstring).
+
+    Nodes meet one row for each name of a file, and one for each name and first line, so that a name that a file repeats is no product. Only
+    nodes whose line is no such first line look for the tightest span around it: spans are cut into aligned stretches of 2^level lines, of
+    which the tightest span is kept, and a line lies in one stretch of each level.
+    """
+    n = nodes.withColumn("_clean", ingest_label("label"))
+    names = F.array(*(F.struct(F.col(c).alias("key"), F.lit(t).alias("tier")) for t, c in enumerate(("name", "qualified", "last"), 1)))
+    s = spans.withColumn("last", F.element_at(F.split("qualified", r"\."), -1)).withColumn("k", F.explode(names))
+    s = s.select(F.col("path").alias("_path"), F.col("k.key").alias("_key"), F.col("k.tier").alias("tier"), (F.col("end_line") - F.col("start_line")).alias("width"), "kind", "start_line", "end_line", "signature", "docstring")
+    told = ["kind", "signature", "docstring"]
+    own = s.where("tier < 3 and width >= 0")
+    first = s.groupBy("_path", "_key").agg(F.min(F.struct("tier", "start_line", "end_line", *told)).alias("_first"))
+    begins = own.groupBy("_path", "_key", F.col("start_line").alias("_line")).agg(F.min(F.struct("width", "start_line", "end_line", *told)).alias("_begins"))
+    same = (n["source_file"] == F.col("_path")) & (n["_clean"] == F.col("_key"))
+    j = n.join(first, same, "left").drop("_path", "_key").join(begins, same & (n["line"] == F.col("_line")), "left").drop("_path", "_key", "_line")
+    asked = j.where("_first is not null and _begins is null and line is not null").select("source_file", "_clean", "line").distinct()
+    around = asked.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS - 1)))).withColumn("_at", F.expr("shiftright(cast(line as bigint), _level)"))
+    levels = own.where("width > 0").withColumn("_level", F.explode(F.expr("sequence(0, cast(floor(log2(width + 1)) as int))")))
+    levels = levels.withColumn("_lo", F.expr("shiftright(start_line + shiftleft(1L, _level) - 1, _level)")).withColumn("_hi", F.expr("shiftright(end_line + 1L, _level)"))
+    pieces = levels.where("_lo < _hi").withColumn("_at", F.explode(F.expr("filter(array(if(_lo % 2 = 1, _lo, null), if(_hi % 2 = 1, _hi - 1, null)), x -> x is not null)")))
+    tight = pieces.groupBy("_path", "_key", "_level", "_at").agg(F.min(F.struct("width", "start_line", "end_line", *told)).alias("_held"))
+    met = around.join(tight, (F.col("source_file") == F.col("_path")) & (F.col("_clean") == F.col("_key")) & (around["_level"] == tight["_level"]) & (around["_at"] == tight["_at"]))
+    held = met.groupBy("source_file", "_clean", "line").agg(F.min("_held").alias("_around"))
+    j = j.join(held, ["source_file", "_clean", "line"], "left")
+    of = lambda c: F.coalesce(F.col(f"_begins.{c}"), F.col(f"_around.{c}"), F.col(f"_first.{c}"))
+    return j.select(*nodes.columns, of("kind").alias("span_kind"), *(of(c).alias(c) for c in ("start_line", "end_line", "signature", "docstring")))
 
 
 def dedupe_keys(nodes: DataFrame) -> DataFrame:
@@ -102,8 +122,11 @@ def dedupe_keys(nodes: DataFrame) -> DataFrame:
 
 
 def with_idx(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """nodes with idx from 0 without gaps, in order: ranks within range partitions and the counts before them, so no window spans all rows."""
-    ranged = nodes.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """nodes with idx from 0 without gaps, in order: ranks within range partitions and the counts before them, so no window spans all rows.
+
+    The ranges are stored, since counts and ranks must see the same ones: ranges that each works out for itself are sampled, and merged, differently.
+    """
+    ranged = truncate(nodes.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     base = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))  # one row per partition
     out = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))

@@ -14,6 +14,9 @@ from gneiss.sources import tree
 from gneiss.sources.imports import import_edges
 from gneiss.sources.spans import spans as extract_spans
 
+#: Lines of a body that its content hash reads.
+HEAD = 200
+
 NODE_COLUMNS = ["idx", "node_key", "id", "label", "kind", "file_type", "source_file", "start_line", "end_line", "signature", "docstring", "community", "community_name", "content_hash"]
 
 
@@ -84,9 +87,9 @@ def named_groups(groups: DataFrame) -> DataFrame:
     return keyed.join(numbered, "key").select("path", "community", "community_name")
 
 
-def graph_of_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(nodes, links, files, spans): raw nodes and links of a tree, and what they were made of."""
-    files = tree.scan(spark, root).persist()
+def graph_of_tree(spark: SparkSession, root: str, most: int = tree.MOST_TEXT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, files, spans): raw nodes and links of a tree, files of `most` bytes at most, and what they were made of."""
+    files = tree.scan(spark, root, most).persist()
     found = extract_spans(files.where("not is_doc")).persist()
     imports = import_edges(files)
     groups = communities(spark, files, imports)
@@ -112,17 +115,21 @@ def node_table(raw: DataFrame, files: DataFrame, spans: DataFrame) -> DataFrame:
     n = n.withColumn("clean", ingest_label("label"))
     m = ingest.match_spans(n, spans)
     lines = files.select(F.col("path").alias("source_file"), tree.line_array("text").alias("lines"))
-    m = m.join(lines, "source_file", "left")
+    m = m.join(lines.select("source_file", F.size("lines").alias("n_lines")), "source_file", "left")
     kind = ingest.infer_kind(F.col("span_kind"), F.col("own_kind"), F.col("file_type"), F.col("label"))
     m = m.withColumn("kind", kind)
-    whole = (F.col("kind") == "file") & F.col("span_kind").isNull() & F.col("lines").isNotNull()
+    whole = (F.col("kind") == "file") & F.col("span_kind").isNull() & F.col("n_lines").isNotNull()
     start = F.when(whole, F.lit(1)).otherwise(F.coalesce("start_line", "line"))
-    end = F.when(whole, F.size("lines")).otherwise(F.coalesce("end_line", start))
+    end = F.when(whole, F.col("n_lines")).otherwise(F.coalesce("end_line", start))
     m = m.withColumn("start_line", start).withColumn("end_line", end)
-    # the head of a long body tells it
-    body = F.array_join(F.slice("lines", F.greatest(F.col("start_line"), F.lit(1)), F.greatest(F.lit(0), F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(200)))), "\n")
+    # the head of a long body tells it: a node meets the stretch of its file that begins with its block of lines and holds the next one too, not the file
+    stretch = F.transform(F.sequence(F.lit(0), F.expr(f"(greatest(1, size(lines)) - 1) div {HEAD}").cast("int")), lambda i: F.slice("lines", i * HEAD + 1, F.lit(2 * HEAD)))
+    pieces = lines.select("source_file", F.posexplode(stretch).alias("block", "piece"))
+    first = F.greatest(F.col("start_line"), F.lit(1))
+    m = m.withColumn("block", ((first - 1) / HEAD).cast("int")).join(pieces, ["source_file", "block"], "left")
+    body = F.array_join(F.slice("piece", first - F.col("block") * HEAD, F.greatest(F.lit(0), F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(HEAD)))), "\n")
     fallback = F.concat_ws(":", F.coalesce("source_file", F.lit("")), F.coalesce("label", F.lit("")))
-    m = m.withColumn("content_hash", content_hash(F.coalesce(F.nullif(body, F.lit("")), fallback))).withColumn("signature", F.coalesce("signature", F.lit(""))).withColumn("docstring", F.coalesce("docstring", F.lit(""))).drop("lines")
+    m = m.withColumn("content_hash", content_hash(F.coalesce(F.nullif(body, F.lit("")), fallback))).withColumn("signature", F.coalesce("signature", F.lit(""))).withColumn("docstring", F.coalesce("docstring", F.lit(""))).drop("n_lines", "block", "piece")
     keyed = ingest.dedupe_keys(m.select("*", F.col("source_file").alias("path"), F.struct("source_file", "start_line", "id").alias("ord")).drop("label").withColumnRenamed("clean", "label"))
     keyed = keyed.join(raw.select("id", F.col("label").alias("raw_label")).dropDuplicates(["id"]), "id")
     return ingest.with_idx(keyed.withColumn("label", F.col("raw_label")), ["source_file", "start_line", "id"]).select(NODE_COLUMNS)

@@ -12,17 +12,17 @@ from gneiss.operators.temporal import HistoryConfig
 from gneiss.plans import build
 from gneiss.plans.history import refresh
 from gneiss.plans.store import Epoch, Store
-from gneiss.sources import history, nodelink
+from gneiss.sources import history, nodelink, tree
 
 
 class LongBuild(RuntimeError):
     """Embedding would take longer than the user has agreed to."""
 
 
-def ingest_into(epoch: Epoch, root: str, graph_file: str | None = None) -> dict:
-    """Write nodes and structural edges of a tree, or of a graph file over it."""
+def ingest_into(epoch: Epoch, root: str, graph_file: str | None = None, most: int = tree.MOST_TEXT) -> dict:
+    """Write nodes and structural edges of a tree, files of `most` bytes at most, or of a graph file over it."""
     spark = epoch.spark
-    nodes, links, files, spans = build.graph_of_tree(spark, root)
+    nodes, links, files, spans = build.graph_of_tree(spark, root, most)
     if graph_file:
         nodes, links = nodelink.load(spark, graph_file)
     epoch.write("nodes", build.node_table(nodes, files, spans))
