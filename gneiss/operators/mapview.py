@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.operators.graph import degree
+from gneiss.operators.ingest import with_idx
 from gneiss.plans.checkpoint import rewritten, truncate
 
 # Fixed values of the map.
@@ -181,8 +182,11 @@ def layout(nodes: DataFrame) -> DataFrame:
     place = Window.orderBy(F.desc("n"), "group")  # one row for each group
     sizes = sizes.select("group", "n", (F.row_number().over(place) - 1).alias("k"), (F.sum("n").over(place) - F.col("n")).alias("inside"))
     all_ = nodes.agg(F.count("*").alias("total"), F.greatest(F.max("degree"), F.lit(1)).alias("most"))
-    j = nodes.join(F.broadcast(sizes), "group").crossJoin(F.broadcast(all_))
-    j = j.withColumn("j", F.row_number().over(Window.partitionBy("group").orderBy("idx")) - 1)  # the map's nodes are bounded
+    # numbered by group and idx, less the nodes of the groups before: a group is no window of one task
+    before = sizes.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("before"))  # one row for each group
+    numbered = with_idx(nodes.select("group", "degree", F.col("idx").alias("node")), ["group", "node"])
+    j = numbered.join(F.broadcast(sizes.join(before, "group")), "group").crossJoin(F.broadcast(all_))
+    j = j.select("*", (F.col("idx") - F.col("before")).alias("j")).drop("idx").withColumnRenamed("node", "idx")
     far = RADIUS * F.sqrt((F.col("inside") + F.col("n") / 2) / F.col("total")) * (F.col("k") > 0).cast("double")
     own = RADIUS * F.sqrt(F.col("n") / F.col("total")) / 2 * F.sqrt((F.col("j") + 0.5) / F.col("n")) * (1 - PULL * F.sqrt(F.col("degree") / F.col("most")))
     x = far * F.cos(F.col("k") * GOLDEN) + own * F.cos(F.col("j") * GOLDEN)
@@ -192,9 +196,9 @@ def layout(nodes: DataFrame) -> DataFrame:
     return j.select("idx", x.alias("x"), y.alias("y")).withColumn("color", color)
 
 
-def symbols(nodes: DataFrame, edges: DataFrame, cap: int = MAX_NODES) -> DataFrame:
-    """(idx, label, kind, source_file, group, degree, x, y, color) of the first `cap` nodes."""
-    kept = nodes.where(F.col("idx") < cap).withColumn("community", F.coalesce("community", F.lit(-1).cast("long")))
+def symbols(nodes: DataFrame, edges: DataFrame, cap: int | None = MAX_NODES) -> DataFrame:
+    """(idx, label, kind, source_file, group, degree, x, y, color) of the first `cap` nodes; of all if it is None."""
+    kept = (nodes if cap is None else nodes.where(F.col("idx") < cap)).withColumn("community", F.coalesce("community", F.lit(-1).cast("long")))
     groups = merge_communities(kept, edges)
     d = degree(edges)
     n = kept.join(groups, "community").join(d, "idx", "left").select("idx", "label", "kind", "source_file", "group", F.coalesce("degree", F.lit(0)).alias("degree"))

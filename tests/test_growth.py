@@ -77,3 +77,18 @@ def _nodes(df):
             yield from below(node.children().apply(i))
 
     return list(below(df._jdf.queryExecution().executedPlan()))
+
+
+def test_the_whole_map_is_laid_out(spark):
+    """Nodes beyond the exported map's bound have places too, as a plain count within their group gives them."""
+    from gneiss.operators import mapview
+
+    n = spark.range(300_000).select((F.col("id") * 3).alias("idx"), F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 3).cast("long").alias("community"), F.lit("x").alias("label"), F.lit("s").alias("kind"), F.lit("y").alias("source_file"))
+    e = spark.range(1000).select((F.col("id") * 3).alias("src"), (F.col("id") * 6 + 3).alias("dst")).where("src <> dst")
+    assert mapview.symbols(n, e, None).count() == 300_000
+    placed = mapview.layout(n.select("idx", F.col("community").alias("group"), F.lit(0).alias("degree")))
+    w = Window.partitionBy("community").orderBy("idx")
+    plain = n.withColumn("j", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("community")))
+    own = mapview.RADIUS * F.sqrt(F.col("n") / 300_000) / 2 * F.sqrt((F.col("j") + 0.5) / F.col("n"))
+    middle = plain.where("community = -1").select("idx", (own * F.cos(F.col("j") * mapview.GOLDEN)).alias("want"))  # the largest group lies at the centre
+    assert middle.join(placed, "idx").where("abs(want - x) < 1e-6").count() == 150_000
