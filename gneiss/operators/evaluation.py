@@ -58,6 +58,19 @@ def scores(files: DataFrame, truth: DataFrame, ks: tuple[int, ...] = KS) -> Data
     return j.groupBy("query_id").agg(*hit, F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr"))
 
 
+def group_scores(files: DataFrame, asked: DataFrame, members: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """scores() where a query's truth is a group: asked (query_id, group), members (path, group), a path in one group at most.
+
+    Groups are counted and hits looked up in them, so the pairs of queries and members, which grow with the square of both, are never spelled out.
+    """
+    sizes = members.groupBy("group").agg(F.count("*").alias("_n"))
+    mine = files.select("query_id", "path", "rank").join(asked, "query_id").join(members.select("path", F.col("group").alias("_g")), "path").where("_g = `group`")
+    hit = mine.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"_h{k}") for k in ks), F.min("rank").alias("_best"))
+    j = asked.join(sizes, "group").join(hit, "query_id", "left")
+    recall = [(F.coalesce(F.col(f"_h{k}"), F.lit(0)) / F.col("_n")).alias(f"recall_{k}") for k in ks]
+    return j.select("query_id", *recall, F.coalesce(1.0 / F.col("_best"), F.lit(0.0)).alias("rr"))
+
+
 @dataclass
 class Rung:
     name: str

@@ -92,3 +92,18 @@ def test_the_whole_map_is_laid_out(spark):
     own = mapview.RADIUS * F.sqrt(F.col("n") / 300_000) / 2 * F.sqrt((F.col("j") + 0.5) / F.col("n"))
     middle = plain.where("community = -1").select("idx", (own * F.cos(F.col("j") * mapview.GOLDEN)).alias("want"))  # the largest group lies at the centre
     assert middle.join(placed, "idx").where("abs(want - x) < 1e-6").count() == 150_000
+
+
+def test_a_group_as_truth_scores_as_its_pairs_do(spark):
+    from gneiss.operators import evaluation
+
+    m = spark.range(200).select(F.col("id").alias("path"), F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("group"))
+    asked = m.where("path % 10 = 0").select(F.col("path").alias("query_id"), "group")
+    files = asked.select("query_id").crossJoin(spark.range(30).toDF("r")).select("query_id", ((F.col("query_id") + F.col("r") * 7) % 200).alias("path"), (F.col("r") + 1).alias("rank"))
+    got = evaluation.group_scores(files, asked, m)
+    assert sorted(got.collect()) == sorted(evaluation.scores(files, asked.join(m, "group").select("query_id", "path")).collect())
+    big = spark.range(40_000).select(F.col("id").alias("path"), F.lit(1).alias("group"))
+    few = evaluation.group_scores(files, big.where("path % 100 = 0").select(F.col("path").alias("query_id"), "group"), big)
+    few.collect()
+    rows = [int(node.metrics().apply("numOutputRows").value()) for node in _nodes(few) if node.metrics().contains("numOutputRows")]
+    assert max(rows) <= 100_000  # 400 queries with 40,000 members each
