@@ -107,3 +107,23 @@ def test_a_group_as_truth_scores_as_its_pairs_do(spark):
     few.collect()
     rows = [int(node.metrics().apply("numOutputRows").value()) for node in _nodes(few) if node.metrics().contains("numOutputRows")]
     assert max(rows) <= 100_000  # 400 queries with 40,000 members each
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    """The counts are those of a grouping, and the stage that makes them moves no row."""
+    from gneiss.functions import text
+    from gneiss.operators import lexical
+
+    docs = spark.createDataFrame([(0, "b a b fooBar naïve 12"), (1, None), (2, ""), (3, "..."), (4, "a a a"), (9000, "中文字 b")], "idx long, doc string")
+    before = _shuffled(spark)
+    postings = lexical.build(docs).postings
+    assert _shuffled(spark) == before
+    want = docs.select("idx", F.explode(text.tokenize("doc")).alias("term")).groupBy("idx", "term").agg(F.count("*").alias("tf"))
+    size = want.groupBy("idx").agg(F.sum("tf").cast("double").alias("dl"))
+    assert sorted(postings.select("term", "block", "idx", "tf", "dl").collect()) == sorted(want.join(size, "idx").select("term", F.floor(F.col("idx") / lexical.BLOCK).alias("block"), "idx", "tf", "dl").collect())
+
+
+def _shuffled(spark):
+    """Bytes that stages have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
