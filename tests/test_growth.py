@@ -127,3 +127,11 @@ def _shuffled(spark):
     """Bytes that stages have written to shuffles."""
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_library_that_is_not_searched_has_no_postings(spark):
+    from gneiss.registry_index import _library
+
+    e = _library(spark, "/root/testdata/sf0.001", search=False)
+    assert "nodes" in e and "docs" in e and "cochange" in e
+    assert "postings" not in e and "vectors" not in e
