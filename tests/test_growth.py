@@ -135,3 +135,15 @@ def test_a_library_that_is_not_searched_has_no_postings(spark):
     e = _library(spark, "/root/testdata/sf0.001", search=False)
     assert "nodes" in e and "docs" in e and "cochange" in e
     assert "postings" not in e and "vectors" not in e
+
+
+def test_a_search_moves_only_what_it_reaches(spark, tmp_path):
+    """Edges were made distinct and shuffled with each level, though the search meets five nodes."""
+    from gneiss.operators import graph
+
+    far = spark.range(400_000).select((F.col("id") * 7919 % 400_009 + 100).alias("src"), (F.col("id") + 100).alias("dst"))
+    far.unionByName(spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (5, 1)], "src long, dst long")).write.parquet(f"{tmp_path}/e")
+    e, before = spark.read.parquet(f"{tmp_path}/e"), _shuffled(spark)
+    got = graph.bfs(e, spark.createDataFrame([(1,)], "idx long")).collect()
+    assert _shuffled(spark) - before < 300_000
+    assert sorted((r.idx, r.dist, r.parent) for r in got) == [(1, 0, None), (2, 1, 1), (3, 2, 2), (4, 1, 1), (5, 3, 3)]
