@@ -178,3 +178,38 @@ def test_cycles_are_trimmed_without_moving_all_edges(spark, tmp_path):
     kept = graph.trimmed(e)
     assert kept.count() == 2 * n + 2 and kept.where(f"src >= {n}").count() == 2
     assert _shuffled(spark) - before < 40_000_000
+
+
+def _workers(spark, action):
+    """The largest number that `action` gives in a Python worker, of several tasks."""
+    def run(parts):
+        import time
+
+        import pandas as pd
+
+        for _ in parts:
+            pass
+        time.sleep(0.5)  # so that each task has a worker of its own
+        yield pd.DataFrame({"n": [action()]})
+
+    return max(r.n for r in spark.range(0, 4, 1, 4).mapInPandas(run, "n long").collect())
+
+
+def test_equal_products_are_not_all_held(spark):
+    """2,500 equal rows of a task met 2,000 queries in five million products that were held together."""
+    from gneiss.operators import dense
+
+    def peak():
+        return next(int(line.split()[1]) // 1024 for line in open("/proc/self/status") if line.startswith("VmHWM"))
+
+    def start():
+        with open("/proc/self/clear_refs", "w") as f:
+            f.write("5")
+        return peak()
+
+    rows = spark.range(0, 10_000, 1, 4).select(F.col("id").alias("idx"), F.array(F.lit(0.6), F.lit(0.8)).alias("embedding"))
+    asked = rows.where("idx % 5 = 0").select(F.col("idx").alias("query_id"), F.col("embedding").alias("query_vec"))
+    before = _workers(spark, start)
+    found = dense.search(rows, asked, 3).groupBy("idx").count().collect()
+    assert _workers(spark, peak) - before < 120
+    assert {r.idx: r["count"] for r in found} == {0: 2000, 1: 2000, 2: 2000}
