@@ -38,7 +38,8 @@ def touches(commits: DataFrame, before_ts: int | None = None, noise: bool = True
         out = out.where(~is_noise("path"))
     if before_ts is not None:
         out = out.where((F.col("ts") > 0) & (F.col("ts") < before_ts))
-    return out.select("sha", "ts", "author", "path").distinct()
+    # dealt out by commit: rows are told apart, counted and met within commits where they lie
+    return out.select("sha", "ts", "author", "path").repartition("sha").distinct()
 
 
 def file_counts(t: DataFrame) -> DataFrame:
@@ -83,9 +84,8 @@ def pair_counts(t: DataFrame, max_files: int = 400, sign: int = 1) -> DataFrame:
 
     Whole numbers add up and cancel without a rest, which sums of supports would not; pairs_of makes supports of them.
     """
-    t = truncate(t.select("sha", "path"))
-    sizes = t.groupBy("sha").agg(F.count("*").alias("size")).where((F.col("size") >= 2) & (F.col("size") <= max_files))
-    kept = t.join(sizes, "sha")
+    sized = t.select("sha", "path", F.count("*").over(Window.partitionBy("sha")).alias("size"))
+    kept = truncate(sized.where((F.col("size") >= 2) & (F.col("size") <= max_files)))
     a, b = kept.select("sha", "size", F.col("path").alias("path_a")), kept.select(F.col("sha").alias("sha_b"), F.col("path").alias("path_b"))
     return a.join(b, F.expr("sha = sha_b and path_a < path_b")).groupBy("path_a", "path_b", "size").agg((F.count("*") * sign).cast("long").alias("n"))
 

@@ -213,3 +213,17 @@ def test_equal_products_are_not_all_held(spark):
     found = dense.search(rows, asked, 3).groupBy("idx").count().collect()
     assert _workers(spark, peak) - before < 120
     assert {r.idx: r["count"] for r in found} == {0: 2000, 1: 2000, 2: 2000}
+
+
+def test_pairs_of_a_commit_meet_where_its_files_lie(spark):
+    """Touches were dealt out by all their columns, and again by commit for sizes and both sides of the pairs."""
+    from gneiss.operators import temporal
+
+    c = spark.range(60_000).select((F.col("id") % 20_000).alias("sha"), F.lit(1).cast("long").alias("ts"), F.lit("a").alias("author"), F.concat(F.lit("s"), F.col("id") % 7).alias("path"))
+    before = _shuffled(spark)
+    got = temporal.pair_counts(temporal.touches(c)).collect()
+    moved = _shuffled(spark) - before
+    assert sum(r.n for r in got) == 60_000 and all(r.size == 3 and r.path_a < r.path_b for r in got)
+    once = _shuffled(spark)
+    temporal.touches(c).write.format("noop").mode("overwrite").save()
+    assert moved < 1.5 * (_shuffled(spark) - once)
