@@ -227,3 +227,37 @@ def test_pairs_of_a_commit_meet_where_its_files_lie(spark):
     once = _shuffled(spark)
     temporal.touches(c).write.format("noop").mode("overwrite").save()
     assert moved < 1.5 * (_shuffled(spark) - once)
+
+
+def test_page_rank_leaves_no_shuffles_and_moves_a_sum_for_each_bucket_and_node(spark):
+    """Partial sums grew with the partitions of shuffles, and their files stayed, with those of the edges, until the driver collected garbage."""
+    from gneiss.operators import graph
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    e = spark.range(60_000).select((F.xxhash64("id") % 300).alias("src"), (F.xxhash64("id", F.lit(1)) % 300).alias("dst"), F.lit(1.0).alias("weight"))
+    seeds = spark.createDataFrame([(1, 1.0), (2, 3.0)], "idx long, score double")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        before, disk = _shuffled(spark), held()
+        got = graph.ppr(e, seeds, iterations=10)
+        moved, left = _shuffled(spark) - before, held() - disk
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got.count() == 599 and left < 100_000
+    assert moved < 2_500_000
+
+
+def test_page_rank_of_edges_that_repeat_and_count_both_ways(spark, monkeypatch):
+    from gneiss.operators import graph
+
+    e = spark.range(3000).select((F.xxhash64("id") % 40).alias("src"), (F.xxhash64("id", F.lit(1)) % 50).alias("dst"), (F.col("id") % 3 + 1).cast("double").alias("weight"))
+    seeds = spark.createDataFrame([(1, 1.0), (2, 3.0), (9999, 1.0)], "idx long, score double")
+    want = {r.idx: r.score for r in graph.ppr(graph.symmetric_weights(e), seeds, iterations=5).collect()}
+    monkeypatch.setattr(graph, "FEW", 10)  # edges are dealt out to the nodes
+    for hub in (10**6, 50):
+        got = {r.idx: r.score for r in graph.ppr(e, seeds, iterations=5, symmetric=True, hub=hub).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and abs(sum(got.values()) - 1) < 1e-12
