@@ -14,9 +14,6 @@ from gneiss.sources import tree
 from gneiss.sources.imports import import_edges
 from gneiss.sources.spans import spans as extract_spans
 
-#: Lines of a body that its content hash reads.
-HEAD = 200
-
 NODE_COLUMNS = ["idx", "node_key", "id", "label", "kind", "file_type", "source_file", "start_line", "end_line", "signature", "docstring", "community", "community_name", "content_hash"]
 
 
@@ -122,14 +119,14 @@ def node_table(raw: DataFrame, files: DataFrame, spans: DataFrame) -> DataFrame:
     start = F.when(whole, F.lit(1)).otherwise(F.coalesce("start_line", "line"))
     end = F.when(whole, F.col("n_lines")).otherwise(F.coalesce("end_line", start))
     m = m.withColumn("start_line", start).withColumn("end_line", end)
-    # the head of a long body tells it: a node meets the stretch of its file that begins with its block of lines and holds the next one too, not the file
-    stretch = F.transform(F.sequence(F.lit(0), F.expr(f"(greatest(1, size(lines)) - 1) div {HEAD}").cast("int")), lambda i: F.slice("lines", i * HEAD + 1, F.lit(2 * HEAD)))
-    pieces = lines.select("source_file", F.posexplode(stretch).alias("block", "piece"))
-    first = F.greatest(F.col("start_line"), F.lit(1))
-    m = m.withColumn("block", ((first - 1) / HEAD).cast("int")).join(pieces, ["source_file", "block"], "left")
-    body = F.array_join(F.slice("piece", first - F.col("block") * HEAD, F.greatest(F.lit(0), F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(HEAD)))), "\n")
+    # whole bodies tell nodes: the lines of a file meet each extent in it once, where they lie, and only hashes leave with the nodes
+    m = m.withColumn("first", F.greatest(F.col("start_line"), F.lit(1))).withColumn("length", F.col("end_line") - F.col("start_line") + 1)
+    extents = m.where("length > 0").select("source_file", "first", "length").distinct()
+    body = F.nullif(F.array_join(F.slice("lines", F.col("first"), F.col("length")), "\n"), F.lit(""))
+    hashed = lines.repartition("source_file").join(extents, "source_file").select("source_file", "first", "length", F.when(body.isNotNull(), content_hash(body)).alias("hash"))
+    m = m.join(hashed, ["source_file", "first", "length"], "left")
     fallback = F.concat_ws(":", F.coalesce("source_file", F.lit("")), F.coalesce("label", F.lit("")))
-    m = m.withColumn("content_hash", content_hash(F.coalesce(F.nullif(body, F.lit("")), fallback))).withColumn("signature", F.coalesce("signature", F.lit(""))).withColumn("docstring", F.coalesce("docstring", F.lit(""))).drop("n_lines", "block", "piece")
+    m = m.withColumn("content_hash", F.coalesce("hash", content_hash(fallback))).withColumn("signature", F.coalesce("signature", F.lit(""))).withColumn("docstring", F.coalesce("docstring", F.lit(""))).drop("n_lines", "first", "length", "hash")
     keyed = ingest.dedupe_keys(m.select("*", F.col("source_file").alias("path"), F.struct("source_file", "start_line", "id").alias("ord")).drop("label").withColumnRenamed("clean", "label"))
     keyed = keyed.join(raw.select("id", F.col("label").alias("raw_label")).dropDuplicates(["id"]), "id")
     return ingest.with_idx(keyed.withColumn("label", F.col("raw_label")), ["source_file", "start_line", "id"]).select(NODE_COLUMNS)

@@ -196,7 +196,7 @@ def _index(spark: SparkSession, sf: str) -> tuple[Epoch, dict]:
 
 @query(
     f"""WITH {BODIES} SELECT idx, id, label, kind, 'code' AS file_type, path AS source_file, a::INT AS start_line, b::INT AS end_line, signature, docstring, n_regionkey::BIGINT AS community, 'r' || n_regionkey AS community_name,
-CASE WHEN nth = 1 THEN {sql_key('path', 'label', 'kind')} ELSE {sql_key('path', 'label', 'kind', 'a::VARCHAR')} END AS node_key, substr(sha256(array_to_string(list_slice(ls, a, least(b, a + 199)), chr(10))), 1, 32) AS content_hash FROM nums"""
+CASE WHEN nth = 1 THEN {sql_key('path', 'label', 'kind')} ELSE {sql_key('path', 'label', 'kind', 'a::VARCHAR')} END AS node_key, substr(sha256(array_to_string(list_slice(ls, a, b), chr(10))), 1, 32) AS content_hash FROM nums"""
 )
 def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The node table of a tree: spans, kinds, communities, keys with their collisions, hashes and numbers."""

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import subprocess
@@ -337,3 +338,20 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
     was = {r.path: r.churn for r in cochange.churn(spark, str(tmp_path / "out"), 1700000000.0, 1700000000.0 + 90 * 86400).collect()}
     now = {r.path: r.churn for r in temporal.churn(temporal.touches(d), 1700000000.0 + 90 * 86400).collect()}
     assert {k: round(v, 9) for k, v in was.items()} == {k: round(v, 9) for k, v in now.items()}
+
+
+def test_a_change_far_down_in_a_body_is_seen(spark):
+    """Bodies were told by their first 200 lines."""
+    text = "\n".join(["def f():", *(f"    x{i}" for i in range(900)), "def g():", "    pass"])
+    other = text.replace("x850", "y850")
+    names = "path string, name string, qualified string, kind string, start_line int, end_line int, signature string, docstring string"
+    raw = spark.createDataFrame([(f"{p}{k}", k, "code", None if k != "p.py" else "file", p, f"L{n}") for p in ("a/p.py", "b/p.py") for k, n in (("p.py", 1), ("f", 1), ("g", 902), ("gone", 5000))], "id string, label string, file_type string, kind string, source_file string, source_location string")
+    spans = spark.createDataFrame([(p, k, k, "function", a, b, "", "") for p in ("a/p.py", "b/p.py") for k, a, b in (("f", 1, 901), ("g", 902, 903))], names)
+    files = spark.createDataFrame([("a/p.py", text), ("b/p.py", other)], "path string, text string")
+    got = {(r.source_file[0], r.label): r for r in build.node_table(raw, files, spans).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()[:32]
+    for k, t in (("a", text), ("b", other)):
+        lines = t.split("\n")
+        assert got[k, "p.py"].content_hash == sha(t) and got[k, "f"].content_hash == sha("\n".join(lines[:901])) and got[k, "g"].content_hash == sha("\n".join(lines[901:]))
+        assert got[k, "gone"].content_hash == sha(f"{k}/p.py:gone")
+    assert got["a", "f"].content_hash != got["b", "f"].content_hash
